@@ -263,3 +263,197 @@ select workspace_id, count(*) as events_all,
                                               'changeDbTokenAcl', 'grantPermission', 'revokePermission'))
          as permission_changes
 from audit where {_win("event_date", "audit", 14)} group by workspace_id""")
+
+# ---- inventory features ------------------------------------------------------------------------
+
+oracle("cloud_of_host", ["workspaces"], """
+select workspace_id, host,
+       case when host is null or host = '' then 'unknown'
+            when regexp_matches(lower(host), '\\.azuredatabricks\\.net') then 'azure'
+            when regexp_matches(lower(host), '\\.gcp\\.databricks\\.com') then 'gcp'
+            when regexp_matches(lower(host), '\\.cloud\\.databricks\\.com') then 'aws'
+            when regexp_matches(lower(host), '\\.databricks\\.com') then 'aws'
+            else 'unknown' end as cloud
+from workspaces""")
+
+oracle("best_warehouse", ["warehouses"], """
+select workspace_id, warehouse_id from (
+  select workspace_id, warehouse_id,
+         row_number() over (partition by workspace_id
+                            order by coalesce(enable_serverless_compute, false) desc,
+                                     (state = 'RUNNING') desc, warehouse_id desc) as rn
+  from warehouses) where rn = 1""")
+
+_F_CLUSTERS = """
+fc as (
+  select workspace_id,
+         count(*) as cluster_count,
+         count(*) filter (where state = 'RUNNING') as running_clusters,
+         count(*) filter (where runtime_engine = 'PHOTON') as photon_clusters,
+         count(*) filter (where autoscale_max_workers is not null) as autoscale_clusters,
+         cast(coalesce(sum(coalesce(num_workers, 0)), 0) as bigint) as total_workers,
+         cast(coalesce(max(case when coalesce(autoscale_max_workers, 0) <> 0 then autoscale_max_workers
+                                when coalesce(num_workers, 0) <> 0 then num_workers else 0 end), 0) as bigint)
+           as max_workers,
+         count(distinct case when node_type_id <> '' then node_type_id end) as node_type_count,
+         min(case when node_type_id <> '' then node_type_id end) as node_type_sample,
+         count(*) filter (where state = 'RUNNING' and coalesce(auto_termination_minutes, 0) = 0)
+           as running_no_autoterm,
+         count(*) filter (where auto_termination_minutes > 0) as autoterm_clusters,
+         count(*) filter (where custom_tag_count > 0) as tagged_clusters,
+         count(*) filter (where spark_version <> '') as versioned_clusters,
+         count(*) filter (where spark_version <> '' and regexp_matches(spark_version, '^1[4-9]\\.'))
+           as recent_runtime_clusters,
+         count(*) filter (where lower(node_type_id) like '%gpu%') as gpu_clusters,
+         count(*) filter (where upper(coalesce(availability, '')) in ('SPOT', 'SPOT_WITH_FALLBACK', 'PREEMPTIBLE')
+                            or first_on_demand = 0) as spot_clusters,
+         count(*) filter (where upper(coalesce(data_security_mode, '')) in ('USER_ISOLATION', 'STANDARD'))
+           as standard_mode_clusters,
+         count(*) filter (where upper(coalesce(data_security_mode, '')) in ('SINGLE_USER', 'DEDICATED'))
+           as dedicated_mode_clusters,
+         count(*) filter (where upper(coalesce(data_security_mode, '')) not in
+                            ('USER_ISOLATION', 'STANDARD', 'SINGLE_USER', 'DEDICATED')) as none_mode_clusters,
+         count(*) filter (where node_type_id <> '' and (
+             lower(node_type_id) like '%6g.%' or lower(node_type_id) like '%7g.%'
+          or lower(node_type_id) like '%6gd.%' or lower(node_type_id) like '%7gd.%'
+          or lower(node_type_id) like '%6gn.%' or lower(node_type_id) like '%7gn.%')) as efficient_aws,
+         count(*) filter (where node_type_id <> '' and (
+             lower(node_type_id) like '%dpsv5%' or lower(node_type_id) like '%dpdsv5%'
+          or lower(node_type_id) like '%epsv5%' or lower(node_type_id) like '%epdsv5%'
+          or lower(node_type_id) like '%dpsv6%' or lower(node_type_id) like '%standard\\_d%' escape '\\'))
+           as efficient_azure,
+         count(*) filter (where node_type_id <> '' and (
+             lower(node_type_id) like '%t2d-%' or lower(node_type_id) like '%n2d-%'
+          or lower(node_type_id) like '%t2a-%')) as efficient_gcp
+  from clusters group by workspace_id)"""
+
+_F_WAREHOUSES = """
+fw as (
+  select workspace_id, count(*) as warehouse_count,
+         count(*) filter (where warehouse_type = 'PRO' or enable_serverless_compute) as pro_or_serverless_wh,
+         count(*) filter (where coalesce(max_num_clusters, 0) > 1 or enable_serverless_compute)
+           as multi_or_serverless_wh,
+         count(*) filter (where coalesce(max_num_clusters, 0) > 1) as multi_cluster_wh,
+         count(*) filter (where enable_photon) as photon_wh,
+         count(*) filter (where coalesce(auto_stop_mins, 0) > 0) as autostop_wh,
+         count(*) filter (where state = 'RUNNING') as running_wh
+  from warehouses group by workspace_id)"""
+
+_F_JOBS = """
+owned as (
+  select j.workspace_id, count(distinct j.job_id) as sp_owned_jobs
+  from jobs j join service_principals s
+    on j.workspace_id = s.workspace_id and s.display_name <> ''
+   and contains(lower(j.creator_user_name), lower(s.display_name))
+  group by j.workspace_id),
+fj0 as (
+  select workspace_id, count(*) as job_count,
+         count(*) filter (where has_git_source) as git_jobs,
+         count(*) filter (where coalesce(max_retries, 0) > 0) as retry_jobs,
+         count(*) filter (where has_job_clusters) as job_cluster_jobs,
+         count(*) filter (where contains(coalesce(name, ''), '[DAB]') or contains(coalesce(name, ''), '[dev '))
+           as dab_jobs,
+         count(*) filter (where contains(coalesce(name, ''), '[DAB]') or contains(lower(coalesce(name, '')), 'dabs'))
+           as iac_jobs
+  from jobs group by workspace_id),
+fj as (
+  select fj0.*, cast(coalesce(owned.sp_owned_jobs, 0) as bigint) as sp_owned_jobs
+  from fj0 left join owned using (workspace_id))"""
+
+_F_PIPELINES = """
+fp as (
+  select workspace_id, count(*) as pipeline_count,
+         count(*) filter (where state = 'FAILED') as failed_pipelines,
+         count(*) filter (where contains(lower(coalesce(name, '')), 'connect')
+                            or contains(lower(coalesce(name, '')), 'gateway')) as connect_pipelines,
+         cast(0 as bigint) as autoscale_pipelines
+  from pipelines group by workspace_id)"""
+
+_F_CATALOGS = """
+fcat as (
+  select workspace_id, count(*) as catalog_count,
+         coalesce(bool_or(isolation_mode = 'OPEN'), false) as has_open_catalog
+  from catalogs group by workspace_id)"""
+
+_F_SCIM = """
+fs as (
+  select workspace_id, count(*) as scim_count,
+         count(*) filter (where external_id <> '') as idp_synced
+  from scim_groups group by workspace_id),
+fsp as (select workspace_id, count(*) as sp_count from service_principals group by workspace_id)"""
+
+_F_SETTINGS = """
+fset as (
+  select workspace_id, count(*) > 0 as has_settings,
+         coalesce(bool_or(setting = 'enableDbfsFileBrowser' and lower(value) = 'false'), false) as dbfs_off,
+         coalesce(bool_or(setting = 'enableIpAccessLists' and lower(value) = 'true'), false) as ipl_on,
+         max(case when setting = 'enableDbfsFileBrowser' then value end) as setting_dbfs_browser,
+         max(case when setting = 'enableIpAccessLists' then value end) as setting_ip_access_lists,
+         max(case when setting = 'enableResultsDownloading' then value end) as setting_results_download,
+         max(case when setting = 'enableExportNotebook' then value end) as setting_export_notebook,
+         max(case when setting = 'maxTokenLifetimeDays' then value end) as setting_token_lifetime_days
+  from settings group by workspace_id)"""
+
+_KINDS = ("policy", "pool", "endpoint", "repo", "init_script", "group", "scope", "ip_access_list",
+          "token", "external_location", "storage_credential", "workspace_object")
+_F_COUNTS = "fcnt as (select workspace_id, " + ", ".join(
+    f"cast(coalesce(sum(case when kind = '{k}' then n end), 0) as bigint) as {k}_count" for k in _KINDS
+) + " from object_counts group by workspace_id)"
+
+oracle("features_clusters", ["clusters"], f"with {_F_CLUSTERS} select * from fc")
+oracle("features_warehouses", ["warehouses"], f"with {_F_WAREHOUSES} select * from fw")
+oracle("features_jobs", ["jobs", "service_principals"], f"with {_F_JOBS} select * from fj")
+oracle("features_pipelines", ["pipelines"], f"with {_F_PIPELINES} select * from fp")
+oracle("features_catalogs", ["catalogs"], f"with {_F_CATALOGS} select * from fcat")
+oracle("features_scim", ["scim_groups", "service_principals"], f"""
+with {_F_SCIM}
+select coalesce(fs.workspace_id, fsp.workspace_id) as workspace_id, fs.scim_count, fs.idp_synced, fsp.sp_count
+from fs full join fsp on fs.workspace_id = fsp.workspace_id""")
+oracle("features_settings", ["settings"], f"with {_F_SETTINGS} select * from fset")
+oracle("features_counts", ["object_counts"], f"with {_F_COUNTS} select * from fcnt")
+
+_INV_VIEWS = ["workspaces", "clusters", "warehouses", "jobs", "pipelines", "catalogs",
+              "scim_groups", "service_principals", "settings", "object_counts"]
+
+_F_ALL = f"""
+{_F_CLUSTERS}, {_F_WAREHOUSES}, {_F_JOBS}, {_F_PIPELINES}, {_F_CATALOGS}, {_F_SCIM}, {_F_SETTINGS}, {_F_COUNTS},
+base as (
+  select workspace_id, host,
+         case when host is null or host = '' then 'unknown'
+              when regexp_matches(lower(host), '\\.azuredatabricks\\.net') then 'azure'
+              when regexp_matches(lower(host), '\\.gcp\\.databricks\\.com') then 'gcp'
+              when regexp_matches(lower(host), '\\.databricks\\.com') then 'aws'
+              else 'unknown' end as cloud,
+         metastore_name, metastore_owner, delta_sharing_scope,
+         coalesce(metastore_name <> '', false) as has_metastore
+  from workspaces),
+wf as (
+  select base.*,
+         {", ".join(f"coalesce(fc.{c}, 0) as {c}" for c in (
+            "cluster_count running_clusters photon_clusters autoscale_clusters total_workers max_workers "
+            "node_type_count running_no_autoterm autoterm_clusters tagged_clusters versioned_clusters "
+            "recent_runtime_clusters gpu_clusters spot_clusters standard_mode_clusters dedicated_mode_clusters "
+            "none_mode_clusters efficient_aws efficient_azure efficient_gcp").split())},
+         fc.node_type_sample,
+         {", ".join(f"coalesce(fw.{c}, 0) as {c}" for c in (
+            "warehouse_count pro_or_serverless_wh multi_or_serverless_wh multi_cluster_wh photon_wh "
+            "autostop_wh running_wh").split())},
+         {", ".join(f"coalesce(fj.{c}, 0) as {c}" for c in (
+            "job_count git_jobs retry_jobs job_cluster_jobs dab_jobs iac_jobs sp_owned_jobs").split())},
+         {", ".join(f"coalesce(fp.{c}, 0) as {c}" for c in (
+            "pipeline_count failed_pipelines connect_pipelines autoscale_pipelines").split())},
+         coalesce(fcat.catalog_count, 0) as catalog_count,
+         coalesce(fcat.has_open_catalog, false) as has_open_catalog,
+         coalesce(fs.scim_count, 0) as scim_count, coalesce(fs.idp_synced, 0) as idp_synced,
+         coalesce(fsp.sp_count, 0) as sp_count,
+         coalesce(fset.has_settings, false) as has_settings, coalesce(fset.dbfs_off, false) as dbfs_off,
+         coalesce(fset.ipl_on, false) as ipl_on,
+         fset.setting_dbfs_browser, fset.setting_ip_access_lists, fset.setting_results_download,
+         fset.setting_export_notebook, fset.setting_token_lifetime_days,
+         {", ".join(f"coalesce(fcnt.{k}_count, 0) as {k}_count" for k in _KINDS)}
+  from base
+  left join fc using (workspace_id) left join fw using (workspace_id) left join fj using (workspace_id)
+  left join fp using (workspace_id) left join fcat using (workspace_id) left join fs using (workspace_id)
+  left join fsp using (workspace_id) left join fset using (workspace_id) left join fcnt using (workspace_id))"""
+
+oracle("workspace_features", _INV_VIEWS, f"with {_F_ALL} select * from wf")

@@ -166,3 +166,75 @@ def _permission_changes(spark, sf):
 @register("audit_summary_14d")
 def _audit_summary_14(spark, sf):
     return audit.audit_summary(Fixtures(spark, sf).audit, _asof("audit"), 14)
+
+
+# --- workspace features -------------------------------------------------------------------
+
+from fleetgrade.operators import features  # noqa: E402
+
+INVENTORY = ("workspaces", "clusters", "warehouses", "jobs", "pipelines", "catalogs",
+             "scim_groups", "service_principals", "settings", "object_counts")
+
+
+def inventory(spark, sf) -> dict[str, DataFrame]:
+    fx = Fixtures(spark, sf)
+    return {name: fx.table(name) for name in INVENTORY}
+
+
+@register("cloud_of_host")
+def _cloud_of_host(spark, sf):
+    w = Fixtures(spark, sf).workspaces
+    return w.select("workspace_id", "host", features.cloud_of_host(F.col("host")).alias("cloud"))
+
+
+@register("best_warehouse")
+def _best_warehouse(spark, sf):
+    return features.best_warehouse(Fixtures(spark, sf).warehouses)
+
+
+@register("features_clusters")
+def _features_clusters(spark, sf):
+    return features.features_clusters(Fixtures(spark, sf).clusters)
+
+
+@register("features_warehouses")
+def _features_warehouses(spark, sf):
+    return features.features_warehouses(Fixtures(spark, sf).warehouses)
+
+
+@register("features_jobs")
+def _features_jobs(spark, sf):
+    fx = Fixtures(spark, sf)
+    return features.features_jobs(fx.jobs, fx.service_principals)
+
+
+@register("features_pipelines")
+def _features_pipelines(spark, sf):
+    return features.features_pipelines(Fixtures(spark, sf).pipelines)
+
+
+@register("features_catalogs")
+def _features_catalogs(spark, sf):
+    return features.features_catalogs(Fixtures(spark, sf).catalogs)
+
+
+@register("features_scim")
+def _features_scim(spark, sf):
+    fx = Fixtures(spark, sf)
+    return features.features_scim(fx.scim_groups).join(
+        features.features_service_principals(fx.service_principals), on="workspace_id", how="full")
+
+
+@register("features_settings")
+def _features_settings(spark, sf):
+    return features.features_settings(Fixtures(spark, sf).settings)
+
+
+@register("features_counts")
+def _features_counts(spark, sf):
+    return features.features_counts(Fixtures(spark, sf).object_counts)
+
+
+@register("workspace_features")
+def _workspace_features(spark, sf):
+    return features.workspace_features(inventory(spark, sf))
