@@ -38,11 +38,11 @@ def query_stats(history: DataFrame, as_of: dt.date, days: int = 30,
     return counts.join(pcts, on=WS, how="left")
 
 
-def query_failure_rate(stats: DataFrame) -> DataFrame:
+def query_failure_rate(stats: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Failed / total x 100, 2 decimals; 0 when there is no query."""
     raw = ratio_pct(F.col("failed"), F.col("total_queries"))
     return stats.select(
-        WS, "total_queries", "failed",
+        WS, "total_queries", "failed", *(keep or []),
         F.coalesce(raw, F.lit(0.0)).alias("failure_rate_raw"),
         F.coalesce(round_half_even(raw, 2), F.lit(0.0)).alias("failure_rate_pct"),
     )

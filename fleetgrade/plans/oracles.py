@@ -457,3 +457,6 @@ wf as (
   left join fsp using (workspace_id) left join fset using (workspace_id) left join fcnt using (workspace_id))"""
 
 oracle("workspace_features", _INV_VIEWS, f"with {_F_ALL} select * from wf")
+
+# Scoring oracles live in their own module; importing it registers them.
+from fleetgrade.plans import oracles_scoring  # noqa: E402,F401

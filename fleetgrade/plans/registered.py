@@ -238,3 +238,58 @@ def _features_counts(spark, sf):
 @register("workspace_features")
 def _workspace_features(spark, sf):
     return features.workspace_features(inventory(spark, sf))
+
+
+# --- scoring and roll-ups -------------------------------------------------------------------
+
+from fleetgrade.operators import deep  # noqa: E402
+from fleetgrade.plans import scoring  # noqa: E402
+from fleetgrade.plans.catalog import PILLARS, rules as _catalog_rules  # noqa: E402
+
+DEEP = ("usage", "cluster_timeline", "job_runs", "query_history", "audit")
+
+
+def deep_tables(spark, sf) -> dict[str, DataFrame]:
+    fx = Fixtures(spark, sf)
+    return {name: fx.table(name) for name in DEEP}
+
+
+def scored(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """(assessment input row per workspace, long scores table)."""
+    feats = features.workspace_features(inventory(spark, sf), CFG.recent_runtime_regex)
+    dm = deep.deep_metrics(deep_tables(spark, sf), CFG)
+    inp = deep.assessment_input(feats, dm)
+    return inp, scoring.score_rules(inp)
+
+
+@register("deep_metrics")
+def _deep_metrics(spark, sf):
+    out = deep.deep_metrics(deep_tables(spark, sf), CFG)
+    return out.withColumn("p95_duration_ms", F.round("p95_duration_ms", 2)).drop(
+        "running_hours_raw", "idle_hours_raw")
+
+
+def _pillar_rules(prefix: str):
+    ids = [r[1] for r in _catalog_rules() if r[1].startswith(prefix + "-")]
+
+    def q(spark, sf):
+        feats = features.workspace_features(inventory(spark, sf), CFG.recent_runtime_regex)
+        inp = deep.assessment_input(feats, deep.deep_metrics(deep_tables(spark, sf), CFG))
+        return scoring.score_rules(inp, rule_ids=ids).select("workspace_id", "rule_id", "score", "verified")
+    return q
+
+
+for _p in PILLARS:
+    REGISTRY[f"rules_{_p[0]}"] = _pillar_rules(_p[0])
+
+
+@register("pillar_scores")
+def _pillar_scores(spark, sf):
+    _, sc = scored(spark, sf)
+    return scoring.pillar_scores(sc)
+
+
+@register("assessment")
+def _assessment(spark, sf):
+    inp, sc = scored(spark, sf)
+    return scoring.assessment(sc, inp)
