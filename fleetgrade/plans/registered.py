@@ -244,7 +244,7 @@ def _workspace_features(spark, sf):
 
 from fleetgrade.operators import deep  # noqa: E402
 from fleetgrade.plans import scoring  # noqa: E402
-from fleetgrade.plans.catalog import PILLARS, rules as _catalog_rules  # noqa: E402
+from fleetgrade.plans.catalog import PILLARS  # noqa: E402
 
 DEEP = ("usage", "cluster_timeline", "job_runs", "query_history", "audit")
 
@@ -254,12 +254,10 @@ def deep_tables(spark, sf) -> dict[str, DataFrame]:
     return {name: fx.table(name) for name in DEEP}
 
 
-def scored(spark, sf) -> tuple[DataFrame, DataFrame]:
-    """(assessment input row per workspace, long scores table)."""
-    feats = features.workspace_features(inventory(spark, sf), CFG.recent_runtime_regex)
-    dm = deep.deep_metrics(deep_tables(spark, sf), CFG)
-    inp = deep.assessment_input(feats, dm)
-    return inp, scoring.score_rules(inp)
+def assessed(spark, sf):
+    """The materialised assessment of the fixture fleet (inputs and scores checkpointed)."""
+    from fleetgrade.plans.assess import assess, assess_once
+    return assess_once(spark, sf, lambda: assess(inventory(spark, sf), deep_tables(spark, sf), CFG))
 
 
 @register("deep_metrics")
@@ -270,12 +268,10 @@ def _deep_metrics(spark, sf):
 
 
 def _pillar_rules(prefix: str):
-    ids = [r[1] for r in _catalog_rules() if r[1].startswith(prefix + "-")]
-
     def q(spark, sf):
-        feats = features.workspace_features(inventory(spark, sf), CFG.recent_runtime_regex)
-        inp = deep.assessment_input(feats, deep.deep_metrics(deep_tables(spark, sf), CFG))
-        return scoring.score_rules(inp, rule_ids=ids).select("workspace_id", "rule_id", "score", "verified")
+        sc = assessed(spark, sf).scores
+        return (sc.where(F.col("rule_id").startswith(prefix + "-"))
+                .select("workspace_id", "rule_id", "score", "verified"))
     return q
 
 
@@ -285,11 +281,161 @@ for _p in PILLARS:
 
 @register("pillar_scores")
 def _pillar_scores(spark, sf):
-    _, sc = scored(spark, sf)
-    return scoring.pillar_scores(sc)
+    return assessed(spark, sf).pillar_scores
 
 
 @register("assessment")
 def _assessment(spark, sf):
-    inp, sc = scored(spark, sf)
-    return scoring.assessment(sc, inp)
+    return assessed(spark, sf).assessment
+
+
+# --- report tables -------------------------------------------------------------------------------
+
+from fleetgrade.plans import remediation, reports  # noqa: E402
+
+
+def _scores(spark, sf):
+    return assessed(spark, sf).scores
+
+
+def _inputs(spark, sf):
+    return assessed(spark, sf).inputs
+
+
+@register("maturity")
+def _maturity(spark, sf):
+    return assessed(spark, sf).assessment.select("workspace_id", "maturity")
+
+
+@register("pillar_summary")
+def _pillar_summary(spark, sf):
+    a = assessed(spark, sf)
+    return reports.pillar_summary(spark, a.pillar_scores, a.assessment)
+
+
+@register("verified_summary")
+def _verified_summary(spark, sf):
+    return reports.verified_summary(spark, assessed(spark, sf).pillar_scores)
+
+
+@register("pillar_stats")
+def _pillar_stats(spark, sf):
+    a = assessed(spark, sf)
+    return reports.pillar_stats(spark, a.scores, a.pillar_scores)
+
+
+@register("recommendations")
+def _recommendations(spark, sf):
+    return reports.recommendations(_scores(spark, sf)).drop("finding_notes")
+
+
+@register("critical_findings")
+def _critical_findings(spark, sf):
+    return reports.critical_findings(_scores(spark, sf)).drop("finding_notes")
+
+
+@register("roadmap")
+def _roadmap(spark, sf):
+    r = reports.roadmap(_scores(spark, sf))
+    # Zero-score actions embed the note text; compare the rest.
+    return r.withColumn("action", F.when(F.col("score") == 0, F.lit(None).cast("string")).otherwise(F.col("action")))
+
+
+@register("unverified_rules")
+def _unverified_rules(spark, sf):
+    return reports.unverified_rules(_scores(spark, sf)).drop("finding_notes")
+
+
+@register("top_findings")
+def _top_findings(spark, sf):
+    return reports.top_findings(_scores(spark, sf)).drop("finding", "quick_fix")
+
+
+@register("pillar_highlights")
+def _pillar_highlights(spark, sf):
+    return reports.pillar_highlights(_scores(spark, sf)).drop("text")
+
+
+@register("inventory_summary")
+def _inventory_summary(spark, sf):
+    return reports.inventory_summary(_inputs(spark, sf))
+
+
+@register("inventory_health")
+def _inventory_health(spark, sf):
+    return reports.inventory_health(_inputs(spark, sf))
+
+
+@register("setting_advice")
+def _setting_advice(spark, sf):
+    return reports.setting_advice(_inputs(spark, sf)).drop("advice")
+
+
+@register("current_state")
+def _current_state(spark, sf):
+    return reports.current_state(_inputs(spark, sf)).drop("finding")
+
+
+@register("next_steps")
+def _next_steps(spark, sf):
+    return reports.next_steps(_inputs(spark, sf))
+
+
+@register("score_sheet")
+def _score_sheet(spark, sf):
+    return reports.score_sheet(spark, _scores(spark, sf), _inputs(spark, sf)).drop("Finding/Notes")
+
+
+@register("issue_counts")
+def _issue_counts(spark, sf):
+    return reports.issue_counts(_scores(spark, sf))
+
+
+@register("rule_status")
+def _rule_status(spark, sf):
+    return reports.rule_status(_scores(spark, sf))
+
+
+@register("evidence_map")
+def _evidence_map(spark, sf):
+    return reports.evidence_map(_scores(spark, sf)).drop("finding_notes")
+
+
+@register("score_bands")
+def _score_bands(spark, sf):
+    a = assessed(spark, sf)
+    return reports.score_bands(reports.pillar_summary(spark, a.pillar_scores, a.assessment))
+
+
+@register("remediation_match")
+def _remediation_match(spark, sf):
+    # Static rule -> topic map, applied to every workspace's scores.
+    m = remediation.remediation_match(spark)
+    return _scores(spark, sf).select("workspace_id", "rule_id").join(F.broadcast(m), on="rule_id", how="left")
+
+
+@register("remediation_plan")
+def _remediation_plan(spark, sf):
+    return remediation.remediation_plan(_scores(spark, sf), remediation.remediation_match(spark))
+
+
+@register("remediation_docs")
+def _remediation_docs(spark, sf):
+    plan = remediation.remediation_plan(_scores(spark, sf), remediation.remediation_match(spark))
+    return remediation.remediation_docs(plan, _inputs(spark, sf), remediation.remediation_kb(spark))
+
+
+def call_log(spark, sf) -> DataFrame:
+    """The call log in product form (``command`` as an array of words)."""
+    c = Fixtures(spark, sf).call_log
+    return c.withColumn("command", F.split("command_text", " ")).drop("command_text")
+
+
+@register("call_summary")
+def _call_summary(spark, sf):
+    return reports.call_summary(call_log(spark, sf))
+
+
+@register("call_entries")
+def _call_entries(spark, sf):
+    return reports.call_entries(call_log(spark, sf))

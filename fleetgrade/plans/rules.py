@@ -70,6 +70,20 @@ def compile_rule(rule_id: str) -> tuple[Column, Column, Column]:
     return score.cast("int"), ver, note
 
 
+def compile_branches(rule_id: str) -> tuple[Column, list[int], list[bool], list[Column]]:
+    """(index of the first matching branch, scores, verified flags, notes) for one rule.
+
+    Conditions are evaluated once into a branch index; score, flag and note are
+    then picked by index, so each condition appears once in generated code.
+    """
+    bs = branches_of(rule_id)
+    *conds, _last = bs
+    idx = F.lit(len(bs) - 1)
+    for i in range(len(conds) - 1, -1, -1):
+        idx = F.when(conds[i][0], F.lit(i)).otherwise(idx)
+    return idx, [b[1] for b in bs], [b[2] for b in bs], [_note(b[3]) for b in bs]
+
+
 def _note(n: Column | str) -> Column:
     return F.lit(n) if isinstance(n, str) else n
 

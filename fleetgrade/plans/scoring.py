@@ -10,12 +10,13 @@ overall figures come from a single aggregate.
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgrade.plans.catalog import PILLARS, rules as catalog_rules
-from fleetgrade.plans.rules import compile_rule
+from fleetgrade.plans.rules import compile_branches
 
 WS = "workspace_id"
 
@@ -38,29 +39,45 @@ UNVERIFIABLE_PHRASES = (
 MATURITY_LEVELS = ((1.75, "Optimized"), (1.25, "Established"), (0.5, "Developing"))
 
 
+def _pick(values: list, idx: Column) -> Column:
+    """``values[idx]`` for a short literal list."""
+    if all(v == values[0] for v in values):
+        return F.lit(values[0])
+    return F.element_at(F.array(*[F.lit(v) for v in values]), idx + 1)
+
+
+def _score_group(inputs: DataFrame, group: list[tuple]) -> DataFrame:
+    idx_cols, structs = [], []
+    for ord_, rid, name, pillar, principle, _domains in group:
+        idx, scores, flags, notes = compile_branches(rid)
+        b = f"b_{rid.replace('-', '_')}"
+        idx_cols.append(idx.alias(b))
+        note = notes[0] if len(notes) == 1 else F.element_at(F.array(*notes), F.col(b) + 1)
+        structs.append(F.struct(
+            F.lit(ord_).alias("ord"), F.lit(rid).alias("rule_id"), F.lit(name).alias("name"),
+            F.lit(pillar).alias("pillar"), F.lit(principle).alias("principle"),
+            _pick(scores, F.col(b)).cast("int").alias("score"), _pick(flags, F.col(b)).alias("verified"),
+            note.alias("finding_notes")))
+    wide = inputs.select("*", *idx_cols)
+    return wide.select(WS, F.explode(F.array(*structs)).alias("r")).select(WS, "r.*")
+
+
 def score_rules(inputs: DataFrame, as_of: dt.date | None = None,
                 rule_ids: list[str] | None = None) -> DataFrame:
     """Long ``scores`` table: one row per (workspace, rule).
 
-    The rule expressions are first projected as separate columns (code
-    generation splits them per column, keeping every method under the JVM
-    size limit), then an array of small structs over those columns is
-    exploded.
+    Rules are evaluated one pillar at a time: each pillar's expressions are
+    projected as separate columns (generated code stays small; one class with
+    all 420 expressions takes seconds to compile) and an array of small structs
+    over them is exploded. The pillar results are unioned; ``inputs`` is one
+    row per workspace, ideally already materialised (see ``plans.assess``).
     """
-    cols, structs = [], []
-    for ord_, rid, name, pillar, principle, _domains in catalog_rules():
-        if rule_ids is not None and rid not in rule_ids:
-            continue
-        score, verified, notes = compile_rule(rid)
-        k = rid.replace("-", "_")
-        cols += [score.alias(f"s_{k}"), verified.alias(f"v_{k}"), notes.alias(f"n_{k}")]
-        structs.append(F.struct(
-            F.lit(ord_).alias("ord"), F.lit(rid).alias("rule_id"), F.lit(name).alias("name"),
-            F.lit(pillar).alias("pillar"), F.lit(principle).alias("principle"),
-            F.col(f"s_{k}").alias("score"), F.col(f"v_{k}").alias("verified"),
-            F.col(f"n_{k}").alias("finding_notes")))
-    wide = inputs.select(WS, *cols)
-    out = wide.select(WS, F.explode(F.array(*structs)).alias("r")).select(WS, "r.*")
+    groups: dict[str, list[tuple]] = {}
+    for r in catalog_rules():
+        if rule_ids is None or r[1] in rule_ids:
+            groups.setdefault(r[3], []).append(r)
+    parts = [_score_group(inputs, g) for g in groups.values()]
+    out = reduce(lambda a, b: a.unionByName(b), parts)
     if as_of is not None:
         out = out.withColumn("as_of", F.lit(as_of))
     return out

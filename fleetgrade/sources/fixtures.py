@@ -165,6 +165,17 @@ cross join (select 'policy' as kind, 5 as mult, 31 as modulus union all select '
             union all select 'token', 4, 9 union all select 'external_location', 11, 60
             union all select 'storage_credential', 13, 61 union all select 'workspace_object', 17, 97) k
 where s_suppkey < 9""",
+    # Call log of the collection step (FIXTURES section 3): one call per event.
+    "call_log": """
+select user_id % 10 as workspace_id,
+       event_id as seq,
+       concat('collector_', event_type) as collector,
+       concat('databricks api get /api/2.0/', event_type) as command_text,
+       props as output,
+       value as duration_seconds,
+       event_type <> 'error' as success,
+       case when event_type = 'error' then 'call failed' end as error
+from events""",
 }
 
 _RAW_REF = re.compile(r"\bfrom\s+(\w+)", re.IGNORECASE)
