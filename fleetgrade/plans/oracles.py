@@ -459,4 +459,5 @@ wf as (
 oracle("workspace_features", _INV_VIEWS, f"with {_F_ALL} select * from wf")
 
 # Scoring oracles live in their own module; importing it registers them.
-from fleetgrade.plans import oracles_scoring  # noqa: E402,F401
+from fleetgrade.plans import oracles_scoring  # noqa: E402,F401,I001
+from fleetgrade.plans import oracles_reports  # noqa: E402,F401

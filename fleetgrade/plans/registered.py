@@ -321,7 +321,8 @@ def _verified_summary(spark, sf):
 @register("pillar_stats")
 def _pillar_stats(spark, sf):
     a = assessed(spark, sf)
-    return reports.pillar_stats(spark, a.scores, a.pillar_scores)
+    # The TOTAL row averages seven means; compare at 9 decimals (summation order).
+    return reports.pillar_stats(spark, a.scores, a.pillar_scores).withColumn("avg_score", F.round("avg_score", 9))
 
 
 @register("recommendations")
@@ -433,7 +434,8 @@ def call_log(spark, sf) -> DataFrame:
 
 @register("call_summary")
 def _call_summary(spark, sf):
-    return reports.call_summary(call_log(spark, sf))
+    # Float sums depend on summation order; compare at 6 decimals.
+    return reports.call_summary(call_log(spark, sf)).withColumn("total_seconds", F.round("total_seconds", 6))
 
 
 @register("call_entries")
