@@ -461,3 +461,35 @@ oracle("workspace_features", _INV_VIEWS, f"with {_F_ALL} select * from wf")
 # Scoring oracles live in their own module; importing it registers them.
 from fleetgrade.plans import oracles_scoring  # noqa: E402,F401,I001
 from fleetgrade.plans import oracles_reports  # noqa: E402,F401
+
+# Ingest round trips: the normalized payloads must give the features of the source views.
+for _k, _views, _body in (
+    ("ingest_clusters", ["clusters"], f"with {_F_CLUSTERS} select * from fc"),
+    ("ingest_warehouses", ["warehouses"], f"with {_F_WAREHOUSES} select * from fw"),
+    ("ingest_jobs", ["jobs", "service_principals"], f"with {_F_JOBS} select * from fj"),
+    ("ingest_pipelines", ["pipelines"], f"with {_F_PIPELINES} select * from fp"),
+    ("ingest_catalogs", ["catalogs"], f"with {_F_CATALOGS} select * from fcat"),
+    ("ingest_settings", ["settings"], f"with {_F_SETTINGS} select * from fset"),
+    ("ingest_counts", ["object_counts"], f"with {_F_COUNTS} select * from fcnt where workspace_id in "
+                                         "(select workspace_id from object_counts where n > 0)"),
+    ("ingest_workspace_features", _INV_VIEWS, f"with {_F_ALL} select * from wf"),
+):
+    oracle(_k, _views, _body)
+
+oracle("ingest_scim", ["scim_groups", "service_principals"], f"""
+with {_F_SCIM}
+select coalesce(fs.workspace_id, fsp.workspace_id) as workspace_id, fs.idp_synced, fs.scim_count, fsp.sp_count
+from fs full join fsp on fs.workspace_id = fsp.workspace_id""")
+
+oracle("ingest_workspace_objects", ["object_counts"], """
+with obj as (
+  select oc.workspace_id, r.i,
+         '/Users/u/' || case when r.i % 5 = 0 then 'Untitled Notebook ' else 'nb_' end || cast(r.i as varchar) as path,
+         case when r.i % 7 = 0 then 'UNKNOWN' when r.i % 3 = 0 then 'NOTEBOOK' when r.i % 3 = 1 then 'DIRECTORY'
+              else 'FILE' end as object_type
+  from object_counts oc, range(1, cast(oc.n as bigint) + 1) r(i)
+  where oc.kind = 'workspace_object' and oc.n > 0),
+t as (select workspace_id, object_type, count(*) as objects from obj group by workspace_id, object_type),
+u as (select workspace_id, count(*) filter (where contains(path, 'Untitled')) as untitled, count(*) as object_count
+      from obj group by workspace_id)
+select t.workspace_id, t.object_type, t.objects, u.untitled, u.object_count from t join u using (workspace_id)""")
