@@ -328,3 +328,11 @@ select workspace_id, row_number() over (partition by workspace_id order by seq)
             when coalesce(output, '') = '' then '(no output)' else output end as output,
        duration_seconds
 from call_log""")
+
+# Cache round trips give the assessment unchanged.
+o.ORACLES["rescore_from_cache"] = o.ORACLES["assessment"]
+o.ORACLES["rescore_from_notes"] = o.ORACLES["assessment"]
+o.oracle("call_log_flat", ["call_log"], """
+select workspace_id, seq, collector, command_text as command, substr(output, 1, 2000) as output,
+       duration_seconds as duration, success, error
+from call_log""")

@@ -502,3 +502,41 @@ def _ingest_workspace_objects(spark, sf):
 def _ingest_workspace_features(spark, sf):
     p = land(spark, sf)
     return features.workspace_features(inv.inventory_tables(p, Fixtures(spark, sf).workspaces))
+
+
+# --- sinks and cache round trips ------------------------------------------------------------------
+
+from fleetgrade.sources import store  # noqa: E402
+
+
+def _snapshot_root(spark) -> str:
+    from fleetgrade.session import ensure_checkpoint_dir
+    import uuid
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/fleetgrade/snapshots-{uuid.uuid4().hex}"
+
+
+@register("rescore_from_cache")
+def _rescore_from_cache(spark, sf):
+    """S6 + S7: write the assessment inputs as a dated snapshot, read that date back, re-score."""
+    a = assessed(spark, sf)
+    root = _snapshot_root(spark)
+    store.write_snapshot({"inputs": a.inputs}, root, CFG.as_of)
+    back = store.read_snapshot(spark, root, "inputs", CFG.as_of)
+    return scoring.assessment(scoring.score_rules(back), back)
+
+
+@register("rescore_from_notes")
+def _rescore_from_notes(spark, sf):
+    """S7 with a foreign score cache: the verified flag is re-derived from the note text."""
+    a = assessed(spark, sf)
+    root = _snapshot_root(spark)
+    store.write_snapshot({"scores": a.scores.drop("verified", "as_of")}, root, CFG.as_of)
+    back = scoring.reflag_verified(store.read_snapshot(spark, root, "scores", CFG.as_of))
+    return scoring.assessment(back, a.inputs)
+
+
+@register("call_log_flat")
+def _call_log_flat(spark, sf):
+    """S8 + S9: flattened call log with SQL-call output cut to 2000 characters."""
+    flat = store.flatten_calls(call_log(spark, sf))
+    return flat.withColumn("output", F.substring("output", 1, store.SQL_OUTPUT_CUT))
