@@ -104,31 +104,61 @@ SCHEMAS = {
 }
 
 
+def _raw(schema: T.DataType) -> T.DataType:
+    """The page schema with every list of objects read as raw JSON strings.
+
+    A list that mixes objects with other members would make the whole page a
+    bad record under a typed schema; read raw, the members survive, non-objects
+    still count toward totals, and only objects are parsed as items.
+    """
+    if not isinstance(schema, T.StructType):
+        return schema
+    return T.StructType([
+        T.StructField(f.name, T.ArrayType(T.StringType())
+                      if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)
+                      else f.dataType) for f in schema.fields])
+
+
+def _element(kind: str, key: str) -> T.StructType:
+    return SCHEMAS[kind][key].dataType.elementType
+
+
 def pages(payloads: DataFrame, kind: str) -> DataFrame:
     """Parsed pages of one endpoint: ``workspace_id, page, ok, doc``.
 
     ``ok`` is false for a body that is not a JSON object of the expected shape
-    (the collector's "call failed"), true otherwise.
+    (the collector's "call failed"), true otherwise. Lists of objects in ``doc``
+    hold raw JSON members (see ``_raw``).
     """
     path = ENDPOINTS[kind]
     p = payloads.where(F.col("endpoint") == path)
-    parsed = F.from_json(F.col("body"), SCHEMAS[kind], {"mode": "PERMISSIVE"})
+    parsed = F.from_json(F.col("body"), _raw(SCHEMAS[kind]), {"mode": "PERMISSIVE"})
     looks_like_object = F.col("body").rlike(r"^\s*\{") & F.col("body").rlike(r"\}\s*$")
     return p.select(WS, "page", parsed.alias("doc"), looks_like_object.alias("_obj")).select(
         WS, "page", (F.col("doc").isNotNull() & F.col("_obj")).alias("ok"), "doc")
 
 
-def _items(kind: str, payloads: DataFrame, list_expr: Column) -> DataFrame:
-    """Explode the item list, dropping members that are not objects."""
-    pg = pages(payloads, kind).where("ok")
-    return (pg.select(WS, "page", F.explode(F.filter(F.coalesce(list_expr, F.array()), lambda x: x.isNotNull()))
-                      .alias("it")))
-
-
 def _nonempty(arr: Column) -> Column:
     return F.when(F.size(F.coalesce(arr, F.array())) > 0, arr)
 
 
+def _list(keys: list[str]) -> Column:
+    """First non-empty list among ``keys`` (raw members), else empty."""
+    return F.coalesce(*[_nonempty(F.col(f"doc.{k}")) for k in keys], F.array())
+
+
+def _objects(lst: Column) -> Column:
+    return F.filter(lst, lambda x: F.ltrim(x).startswith("{"))
+
+
+def _items(kind: str, payloads: DataFrame, keys: str | list[str]) -> DataFrame:
+    """Explode the item list as parsed objects, dropping members that are not objects."""
+    keys = [keys] if isinstance(keys, str) else keys
+    pg = pages(payloads, kind).where("ok")
+    raw = pg.select(WS, "page", F.explode(_objects(_list(keys))).alias("_raw"))
+    return raw.select(WS, "page", F.from_json("_raw", _element(kind, keys[0])).alias("it"))
+
+
 # --- N1 / N2 -------------------------------------------------------------------------------------------
 
 def identity(payloads: DataFrame) -> DataFrame:
@@ -157,7 +187,7 @@ def metastore(payloads: DataFrame) -> DataFrame:
 
 def catalogs(payloads: DataFrame) -> DataFrame:
     """Isolation mode top-level or in properties; owner or owner_id."""
-    it = _items("catalogs", payloads, F.col("doc.catalogs"))
+    it = _items("catalogs", payloads, "catalogs")
     return it.select(
         WS, F.col("it.name").alias("catalog_name"),
         F.coalesce(F.col("it.isolation_mode"), F.col("it.properties")["isolation_mode"]).alias("isolation_mode"),
@@ -170,16 +200,15 @@ def list_count(payloads: DataFrame, kind: str, list_path: str | list[str], name:
     With several candidate keys the first non-empty list of a page counts.
     """
     paths = [list_path] if isinstance(list_path, str) else list_path
-    lst = F.coalesce(*[_nonempty(F.col(f"doc.{p}")) for p in paths], F.array())
     pg = pages(payloads, kind).where("ok")
-    return pg.groupBy(WS).agg(F.sum(F.size(lst)).cast("bigint").alias(name))
+    return pg.groupBy(WS).agg(F.sum(F.size(_list(paths))).cast("bigint").alias(name))
 
 
 # --- N7-N10 --------------------------------------------------------------------------------------------
 
 def clusters(payloads: DataFrame) -> DataFrame:
     """Product (nested) cluster rows; availability fields pulled up from ``aws_attributes``."""
-    it = _items("clusters", payloads, F.col("doc.clusters"))
+    it = _items("clusters", payloads, "clusters")
     return it.select(
         WS, *[F.col(f"it.{c}").alias(c) for c in (
             "cluster_id", "cluster_name", "state", "autoscale", "num_workers", "node_type_id",
@@ -191,7 +220,7 @@ def clusters(payloads: DataFrame) -> DataFrame:
 
 def warehouses(payloads: DataFrame) -> DataFrame:
     """N8."""
-    it = _items("warehouses", payloads, F.col("doc.warehouses"))
+    it = _items("warehouses", payloads, "warehouses")
     return it.select(WS, F.col("it.id").alias("warehouse_id"), *[F.col(f"it.{c}").alias(c) for c in (
         "name", "size", "state", "warehouse_type", "enable_serverless_compute", "auto_stop_mins",
         "max_num_clusters", "min_num_clusters", "cluster_size", "enable_photon")])
@@ -199,7 +228,7 @@ def warehouses(payloads: DataFrame) -> DataFrame:
 
 def instance_pools(payloads: DataFrame) -> DataFrame:
     """N10."""
-    it = _items("pools", payloads, F.col("doc.instance_pools"))
+    it = _items("pools", payloads, "instance_pools")
     return it.select(WS, F.coalesce(F.col("it.instance_pool_name"), F.col("it.name")).alias("name"),
                      F.col("it.node_type_id").alias("node_type_id"))
 
@@ -214,16 +243,16 @@ def settings(payloads: DataFrame) -> DataFrame:
 
 def ip_access_lists(payloads: DataFrame) -> DataFrame:
     """N12."""
-    it = _items("ip_access_lists", payloads, F.col("doc.ip_access_lists"))
+    it = _items("ip_access_lists", payloads, "ip_access_lists")
     return it.select(WS, "it.label", "it.list_type", "it.enabled")
 
 
 def tokens(payloads: DataFrame, first: int = 10) -> DataFrame:
     """Token count and the first ``first`` ids (``token_infos`` else ``tokens``)."""
     d = pages(payloads, "tokens").where("ok")
-    lst = F.coalesce(_nonempty(F.col("doc.token_infos")), F.col("doc.tokens"), F.array())
-    per_page = d.select(WS, "page", lst.alias("l"))
-    ids = F.transform(F.col("l"), lambda t: F.coalesce(t["token_id"], t["id"]))
+    per_page = d.select(WS, "page", _list(["token_infos", "tokens"]).alias("l"))
+    ids = F.transform(_objects(F.col("l")), lambda t: F.coalesce(F.get_json_object(t, "$.token_id"),
+                                                               F.get_json_object(t, "$.id")))
     # Pages are full except the last, so the first ids sit on the first page.
     return per_page.groupBy(WS).agg(
         F.sum(F.size("l")).cast("bigint").alias("token_count"),
@@ -238,10 +267,15 @@ def _scim(payloads: DataFrame, kind: str, cap: int | None) -> DataFrame:
     return d.select(WS, "page", F.col("doc.totalResults").alias("total"), res.alias("res"))
 
 
+def _scim_rows(payloads: DataFrame, kind: str, cap: int | None) -> DataFrame:
+    d = _scim(payloads, kind, cap)
+    return d.select(WS, F.explode(_objects(F.col("res"))).alias("_raw")).select(
+        WS, F.from_json("_raw", _element(kind, "Resources")).alias("r"))
+
+
 def service_principals(payloads: DataFrame, list_cap: bool = False) -> DataFrame:
     """N14 rows: display name, application id, active (default true); optional cap of 50 (Q10)."""
-    d = _scim(payloads, "service_principals", 50 if list_cap else None)
-    return d.select(WS, F.explode("res").alias("r")).select(
+    return _scim_rows(payloads, "service_principals", 50 if list_cap else None).select(
         WS, F.coalesce(F.col("r.displayName"), F.lit("")).alias("display_name"),
         F.col("r.applicationId").alias("application_id"),
         F.coalesce(F.col("r.active"), F.lit(True)).alias("active"))
@@ -249,8 +283,7 @@ def service_principals(payloads: DataFrame, list_cap: bool = False) -> DataFrame
 
 def scim_groups(payloads: DataFrame, list_cap: bool = False) -> DataFrame:
     """N15 rows: display name and external id; optional cap of 100 (Q10)."""
-    d = _scim(payloads, "scim_groups", 100 if list_cap else None)
-    return d.select(WS, F.explode("res").alias("r")).select(
+    return _scim_rows(payloads, "scim_groups", 100 if list_cap else None).select(
         WS, F.col("r.displayName").alias("display_name"), F.col("r.externalId").alias("external_id"))
 
 
@@ -265,7 +298,7 @@ def scim_counts(payloads: DataFrame, kind: str, name: str) -> DataFrame:
 
 def jobs(payloads: DataFrame) -> DataFrame:
     """Name from settings, then job_name, then name; fields from settings else top level."""
-    it = _items("jobs", payloads, F.col("doc.jobs"))
+    it = _items("jobs", payloads, "jobs")
     s = "it.settings"
     git = F.coalesce(F.col(f"{s}.git_source"), F.col("it.git_source"))
     existing = F.coalesce(F.col(f"{s}.existing_cluster_id"), F.col("it.existing_cluster_id"))
@@ -281,25 +314,25 @@ def jobs(payloads: DataFrame) -> DataFrame:
 
 def pipelines(payloads: DataFrame) -> DataFrame:
     """``statuses`` else ``pipelines`` (an empty list counts as missing)."""
-    it = _items("pipelines", payloads, F.coalesce(_nonempty(F.col("doc.statuses")), F.col("doc.pipelines")))
+    it = _items("pipelines", payloads, ["statuses", "pipelines"])
     return it.select(WS, "it.pipeline_id", "it.name", "it.state", "it.creator_user_name")
 
 
 def serving_endpoints(payloads: DataFrame) -> DataFrame:
     """N18."""
-    it = _items("endpoints", payloads, F.col("doc.endpoints"))
+    it = _items("endpoints", payloads, "endpoints")
     return it.select(WS, F.col("it.name").alias("name"), F.col("it.state")["ready"].alias("state"))
 
 
 def init_scripts(payloads: DataFrame) -> DataFrame:
     """N20."""
-    it = _items("init_scripts", payloads, F.col("doc.scripts"))
+    it = _items("init_scripts", payloads, "scripts")
     return it.select(WS, "it.name", "it.enabled", "it.script_id")
 
 
 def workspace_objects(payloads: DataFrame) -> DataFrame:
     """N23 rows: path, type (default UNKNOWN), language."""
-    it = _items("workspace_objects", payloads, F.col("doc.objects"))
+    it = _items("workspace_objects", payloads, "objects")
     return it.select(WS, F.coalesce(F.col("it.path"), F.lit("")).alias("path"),
                      F.coalesce(F.col("it.object_type"), F.lit("UNKNOWN")).alias("object_type"),
                      F.col("it.language").alias("language"))
