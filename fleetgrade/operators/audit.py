@@ -26,28 +26,43 @@ def _window(audit: DataFrame, as_of: dt.date, days: int) -> DataFrame:
     return recent(audit, "event_date", as_of, days)
 
 
-def audit_by_action(audit: DataFrame, as_of: dt.date, days: int = 30, k: int = 30) -> DataFrame:
+def action_counts(audit: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+    """Events and failed responses per (workspace, action): one scan, one shuffle.
+
+    D11, D11a, D12 and D13 all derive from this table; action names per
+    workspace are a bounded vocabulary, so the second level is tiny.
+    """
+    status = pick(audit, "response_status_code", "response.status_code")
+    return _window(audit, as_of, days).groupBy(WS, "action_name").agg(
+        F.count(F.lit(1)).alias("event_count"),
+        count_if(status >= 400).alias("error_count"))
+
+
+def audit_by_action(audit: DataFrame, as_of: dt.date, days: int = 30, k: int = 30,
+                    counts: DataFrame | None = None) -> DataFrame:
     """Events per action, top ``k``."""
-    agg = _window(audit, as_of, days).groupBy(WS, "action_name").agg(
-        F.count(F.lit(1)).alias("event_count"))
-    return top_k(agg, [WS], [F.desc("event_count"), F.asc("action_name")], k)
+    c = counts if counts is not None else action_counts(audit, as_of, days)
+    return top_k(c.drop("error_count"), [WS], [F.desc("event_count"), F.asc("action_name")], k)
 
 
-def audit_total(audit: DataFrame, as_of: dt.date, days: int = 30, k: int = 30) -> DataFrame:
+def audit_total(audit: DataFrame, as_of: dt.date, days: int = 30, k: int = 30,
+                counts: DataFrame | None = None) -> DataFrame:
     """Sum of the top-``k`` action rows (Q1)."""
-    return audit_by_action(audit, as_of, days, k).groupBy(WS).agg(
+    return audit_by_action(audit, as_of, days, k, counts).groupBy(WS).agg(
         F.sum("event_count").cast("bigint").alias("total_events_30d"))
 
 
-def audit_summary(audit: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
-    """D12 + D13 (+ all events) in one aggregate over one scan."""
-    status = pick(audit, "response_status_code", "response.status_code")
-    a = _window(audit, as_of, days)
+def audit_summary(audit: DataFrame, as_of: dt.date, days: int = 30,
+                  counts: DataFrame | None = None) -> DataFrame:
+    """D12 + D13 (+ all events) from the per-action counts."""
+    c = counts if counts is not None else action_counts(audit, as_of, days)
     act = F.col("action_name")
-    return a.groupBy(WS).agg(
-        F.count(F.lit(1)).alias("events_all"),
-        count_if(act.isin(*LOGIN_ACTIONS) & (status >= 400)).alias("failed_logins"),
-        count_if(act.isin(*PERMISSION_ACTIONS)).alias("permission_changes"),
+    return c.groupBy(WS).agg(
+        F.sum("event_count").cast("bigint").alias("events_all"),
+        F.coalesce(F.sum(F.when(act.isin(*LOGIN_ACTIONS), F.col("error_count"))), F.lit(0))
+        .cast("bigint").alias("failed_logins"),
+        F.coalesce(F.sum(F.when(act.isin(*PERMISSION_ACTIONS), F.col("event_count"))), F.lit(0))
+        .cast("bigint").alias("permission_changes"),
     )
 
 

@@ -18,12 +18,35 @@ def _window(usage: DataFrame, as_of: dt.date, days: int) -> DataFrame:
     return recent(usage, "usage_date", as_of, days)
 
 
-def spend_by_sku(usage: DataFrame, as_of: dt.date, days: int = 30, k: int = 20) -> DataFrame:
+def usage_rollup(usage: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+    """Usage summed per (ws, SKU), (ws, date) and (ws, cluster) in ONE aggregate.
+
+    ``GROUPING SETS`` expands each row three ways before the map-side partial
+    aggregation, so the window is scanned once and shuffled once for D1-D3;
+    ``level`` tells the three result sets apart.
+    """
+    cid = pick(usage, "usage_cluster_id", "usage_metadata.cluster_id")
+    u = _window(usage, as_of, days).select(WS, "sku_name", "usage_date", cid.alias("cluster_id"), "usage_quantity")
+    agg = u.groupingSets([[WS, "sku_name"], [WS, "usage_date"], [WS, "cluster_id"]],
+                         WS, "sku_name", "usage_date", "cluster_id").agg(
+        F.sum("usage_quantity").cast("double").alias("dbus"),
+        F.grouping("sku_name").alias("_gs"), F.grouping("usage_date").alias("_gd"))
+    level = F.when(F.col("_gs") == 0, F.lit("sku")).when(F.col("_gd") == 0, F.lit("date")).otherwise(F.lit("cluster"))
+    return agg.select(WS, "sku_name", "usage_date", "cluster_id", "dbus", level.alias("level"))
+
+
+def spend_by_sku(usage: DataFrame, as_of: dt.date, days: int = 30, k: int = 20,
+                 rollup: DataFrame | None = None) -> DataFrame:
     """D1 per workspace: usage and distinct workspaces per SKU, top ``k`` by usage."""
-    agg = _window(usage, as_of, days).groupBy(WS, "sku_name").agg(
-        F.sum("usage_quantity").cast("double").alias("total_dbus"),
-        F.count_distinct(WS).alias("workspace_count"),
-    )
+    if rollup is not None:
+        # Per-workspace grain: the distinct workspace count of a group is 1.
+        agg = rollup.where(F.col("level") == "sku").select(
+            WS, "sku_name", F.col("dbus").alias("total_dbus"), F.lit(1).cast("bigint").alias("workspace_count"))
+    else:
+        agg = _window(usage, as_of, days).groupBy(WS, "sku_name").agg(
+            F.sum("usage_quantity").cast("double").alias("total_dbus"),
+            F.count_distinct(WS).alias("workspace_count"),
+        )
     return top_k(agg, [WS], [F.desc("total_dbus"), F.asc("sku_name")], k)
 
 
@@ -40,29 +63,33 @@ def spend_by_sku_fleet(usage: DataFrame, as_of: dt.date, days: int = 30, k: int
     return agg.orderBy(F.desc("total_dbus"), F.asc("sku_name")).limit(k)
 
 
-def total_dbus(usage: DataFrame, as_of: dt.date, days: int = 30, k: int = 20) -> DataFrame:
-    """Sum of the top-``k`` SKU rows (quirk Q1) and of all SKUs."""
-    top = spend_by_sku(usage, as_of, days, k).groupBy(WS).agg(
-        F.sum("total_dbus").alias("total_dbus_30d"))
-    allr = _window(usage, as_of, days).groupBy(WS).agg(
-        F.sum("usage_quantity").cast("double").alias("total_dbus_all"))
-    return top.join(allr, on=WS, how="inner")
+def total_dbus(usage: DataFrame, as_of: dt.date, days: int = 30, k: int = 20,
+               rollup: DataFrame | None = None) -> DataFrame:
+    """Sum of the top-``k`` SKU rows (quirk Q1) and of all SKUs, from one SKU table."""
+    top = spend_by_sku(usage, as_of, days, 10**9, rollup)
+    return top.groupBy(WS).agg(
+        F.sum(F.when(F.col("rank") <= k, F.col("total_dbus"))).alias("total_dbus_30d"),
+        F.sum("total_dbus").alias("total_dbus_all"))
 
 
-def daily_spend(usage: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+def daily_spend(usage: DataFrame, as_of: dt.date, days: int = 30,
+                rollup: DataFrame | None = None) -> DataFrame:
     """Usage per date."""
+    if rollup is not None:
+        return rollup.where(F.col("level") == "date").select(WS, "usage_date", F.col("dbus").alias("daily_dbus"))
     return _window(usage, as_of, days).groupBy(WS, "usage_date").agg(
         F.sum("usage_quantity").cast("double").alias("daily_dbus"))
 
 
-def spend_trend(usage: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
+def spend_trend(usage: DataFrame, as_of: dt.date, days: int = 30,
+                rollup: DataFrame | None = None) -> DataFrame:
     """(mean of last 7 daily rows - mean of first 7) / first x 100.
 
     Rows, not calendar days (quirk Q2). NULL with fewer than 7 rows or a zero
     first week. A workspace has at most ``days + 1`` daily rows, so the window
     partition is bounded by the look-back, not by data volume.
     """
-    d = daily_spend(usage, as_of, days)
+    d = daily_spend(usage, as_of, days, rollup)
     w = Window.partitionBy(WS)
     d = (d.withColumn("_asc", F.row_number().over(w.orderBy(F.asc("usage_date"))))
           .withColumn("_desc", F.row_number().over(w.orderBy(F.desc("usage_date")))))
@@ -78,8 +105,13 @@ def spend_trend(usage: DataFrame, as_of: dt.date, days: int = 30) -> DataFrame:
                       raw.alias("trend_pct_raw"), round_half_even(raw, 1).alias("trend_pct_change"))
 
 
-def top_cost_clusters(usage: DataFrame, as_of: dt.date, days: int = 30, k: int = 10) -> DataFrame:
+def top_cost_clusters(usage: DataFrame, as_of: dt.date, days: int = 30, k: int = 10,
+                      rollup: DataFrame | None = None) -> DataFrame:
     """D3: usage per non-null cluster, top ``k``."""
+    if rollup is not None:
+        agg = rollup.where((F.col("level") == "cluster") & F.col("cluster_id").isNotNull()).select(
+            WS, "cluster_id", F.col("dbus").alias("total_dbus"))
+        return top_k(agg, [WS], [F.desc("total_dbus"), F.asc("cluster_id")], k)
     cid = pick(usage, "usage_cluster_id", "usage_metadata.cluster_id")
     u = _window(usage, as_of, days).select(WS, cid.alias("cluster_id"), "usage_quantity")
     agg = u.where(F.col("cluster_id").isNotNull()).groupBy(WS, "cluster_id").agg(

@@ -29,15 +29,18 @@ def cluster_hours(timeline: DataFrame, as_of: dt.date, days: int = 30) -> DataFr
     )
 
 
-def cluster_uptime(timeline: DataFrame, as_of: dt.date, days: int = 30, k: int = 20) -> DataFrame:
+def cluster_uptime(timeline: DataFrame, as_of: dt.date, days: int = 30, k: int = 20,
+                   hours_by_cluster: DataFrame | None = None) -> DataFrame:
     """Groups with RUNNING hours > 0, top ``k`` by RUNNING hours (Q3: id and name)."""
-    agg = cluster_hours(timeline, as_of, days).where(F.col("running_hours") > 0)
+    h = hours_by_cluster if hours_by_cluster is not None else cluster_hours(timeline, as_of, days)
+    agg = h.where(F.col("running_hours") > 0)
     return top_k(agg, [WS], [F.desc("running_hours"), F.asc("cluster_id"), F.asc("cluster_name")], k)
 
 
-def running_hours_total(timeline: DataFrame, as_of: dt.date, days: int = 30, k: int = 20) -> DataFrame:
+def running_hours_total(timeline: DataFrame, as_of: dt.date, days: int = 30, k: int = 20,
+                        hours_by_cluster: DataFrame | None = None) -> DataFrame:
     """Sum of the top-``k`` uptime rows, 1 decimal (Q1), plus count and max for rules."""
-    up = cluster_uptime(timeline, as_of, days, k)
+    up = cluster_uptime(timeline, as_of, days, k, hours_by_cluster)
     # Sum integer milliseconds, then convert: exact and independent of row order.
     s = hours(F.sum("running_ms"))
     return up.groupBy(WS).agg(
@@ -49,7 +52,8 @@ def running_hours_total(timeline: DataFrame, as_of: dt.date, days: int = 30, k:
 
 
 def idle_clusters(timeline: DataFrame, job_runs: DataFrame, as_of: dt.date,
-                  days: int = 30, k: int = 10, runs_as_of: dt.date | None = None) -> DataFrame:
+                  days: int = 30, k: int = 10, runs_as_of: dt.date | None = None,
+                  hours_by_cluster: DataFrame | None = None) -> DataFrame:
     """Clusters with no job run in the window; RUNNING hours > 1; top ``k``.
 
     The reference's LEFT JOIN ... IS NULL is written as a left anti join on
@@ -57,10 +61,9 @@ def idle_clusters(timeline: DataFrame, job_runs: DataFrame, as_of: dt.date,
     job runs to distinct cluster ids before the join, so the join moves
     (workspace, cluster) keys, not events.
     """
-    t = recent(timeline, "change_time", as_of, days)
-    per_cluster = t.groupBy(WS, "cluster_id", "cluster_name").agg(
-        F.sum(_running_ms()).alias("running_ms"),
-        hours(F.sum(_running_ms())).alias("running_hours"))
+    # Same (workspace, cluster, name) aggregate as D4, so a fused plan reuses it.
+    h = hours_by_cluster if hours_by_cluster is not None else cluster_hours(timeline, as_of, days)
+    per_cluster = h.select(WS, "cluster_id", "cluster_name", "running_ms", "running_hours")
     r = recent(job_runs, "period_start_time", runs_as_of or as_of, days)
     used = r.where(F.col("cluster_id").isNotNull()).select(WS, "cluster_id").distinct()
     idle = per_cluster.join(used, on=[WS, "cluster_id"], how="left_anti").where(F.col("running_hours") > 1)
@@ -68,9 +71,9 @@ def idle_clusters(timeline: DataFrame, job_runs: DataFrame, as_of: dt.date,
 
 
 def idle_hours_total(timeline: DataFrame, job_runs: DataFrame, as_of: dt.date,
-                     days: int = 30, k: int = 10) -> DataFrame:
+                     days: int = 30, k: int = 10, hours_by_cluster: DataFrame | None = None) -> DataFrame:
     """Sum of the top-``k`` idle rows, 1 decimal (Q1)."""
-    idle = idle_clusters(timeline, job_runs, as_of, days, k)
+    idle = idle_clusters(timeline, job_runs, as_of, days, k, hours_by_cluster=hours_by_cluster)
     s = hours(F.sum("running_ms"))
     return idle.groupBy(WS).agg(
         s.alias("idle_hours_raw"),

@@ -15,51 +15,71 @@ from fleetgrade.config import AssessConfig
 from fleetgrade.functions.columns import count_if
 from fleetgrade.functions.fold import fold_by_key
 from fleetgrade.operators import audit, billing, compute, jobs, queries
+from fleetgrade.session import cut_lineage
 
 WS = "workspace_id"
 
 DEEP_SOURCES = ("usage", "cluster_timeline", "job_runs", "query_history", "audit")
 
 
-def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig) -> DataFrame:
-    """One row per workspace seen in any operational source."""
+def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: bool = False) -> DataFrame:
+    """One row per workspace seen in any operational source.
+
+    Each source is reduced once to a fine-grained aggregate that all of its
+    metrics derive from. Catalyst optimises every consumer of a shared
+    aggregate separately (pushing filters below it, pruning its columns), so
+    without ``materialize`` each consumer rescans the source. With
+    ``materialize`` the shared aggregates are written once to the checkpoint
+    folder: every operational table is scanned exactly once, and the lineage
+    below them is cut.
+    """
     d = cfg.lookback_days
     parts = []
+
+    def share(df: DataFrame, name: str) -> DataFrame:
+        return cut_lineage(df, name) if materialize else df
+
     usage = tables.get("usage")
     if usage is not None:
         a = cfg.as_of_for("usage")
-        parts.append(billing.total_dbus(usage, a, d))
-        parts.append(billing.spend_trend(usage, a, d).select(WS, "trend_pct_change"))
-        parts.append(billing.top_cost_clusters(usage, a, d).where(F.col("rank") == 1)
+        ru = share(billing.usage_rollup(usage, a, d), "usage_rollup")  # one scan + one shuffle for D1-D3
+        parts.append(billing.total_dbus(usage, a, d, rollup=ru))
+        parts.append(billing.spend_trend(usage, a, d, rollup=ru).select(WS, "trend_pct_change"))
+        parts.append(billing.top_cost_clusters(usage, a, d, k=1, rollup=ru)
                      .select(WS, F.col("total_dbus").alias("top_cluster_dbus")))
     tl = tables.get("cluster_timeline")
     if tl is not None:
         a = cfg.as_of_for("cluster_timeline")
-        parts.append(compute.running_hours_total(tl, a, d))
+        ch = share(compute.cluster_hours(tl, a, d), "cluster_hours")  # shared by D4 and D5
+        parts.append(compute.running_hours_total(tl, a, d, hours_by_cluster=ch))
         if tables.get("job_runs") is not None:
-            parts.append(compute.idle_hours_total(tl, tables["job_runs"], a, d))
+            parts.append(compute.idle_hours_total(tl, tables["job_runs"], a, d, hours_by_cluster=ch))
     qh = tables.get("query_history")
     if qh is not None:
         a = cfg.as_of_for("query_history")
-        st = queries.query_stats(qh, a, d, cfg.slow_query_ms)
+        wc = share(queries.warehouse_counts(qh, a, d, cfg.slow_query_ms), "warehouse_counts")  # D6-D8
+        st = queries.query_stats(qh, a, d, cfg.slow_query_ms, counts=wc,
+                                 cut=(lambda df: share(df, "duration_counts")) if materialize else None)
         parts.append(queries.query_failure_rate(st, keep=["slow_query_count", "p95_duration_ms"])
                      .withColumnRenamed("failed", "failed_queries")
                      .drop("failure_rate_raw"))
-        parts.append(queries.warehouse_utilization(qh, a, d).groupBy(WS).agg(
+        parts.append(queries.warehouse_utilization(qh, a, d, counts=wc).groupBy(WS).agg(
             F.count(F.lit(1)).alias("wh_rows"), F.max("query_count").alias("wh_top_count")))
     jr = tables.get("job_runs")
     if jr is not None:
         a = cfg.as_of_for("job_runs")
-        parts.append(jobs.job_success_rate(jobs.job_run_stats(jr, a, d))
+        jc = share(jobs.job_counts(jr, a, d), "job_counts")  # shared by D9 and D10
+        parts.append(jobs.job_success_rate(jobs.job_run_stats(jr, a, d, counts=jc))
                      .select(WS, "total_runs", F.col("failed").alias("failed_runs"), "success_rate_pct"))
-        parts.append(jobs.top_failing_jobs(jr, a, d).groupBy(WS).agg(
+        parts.append(jobs.top_failing_jobs(jr, a, d, counts=jc).groupBy(WS).agg(
             F.count(F.lit(1)).alias("failing_jobs"),
             count_if(F.col("failures") >= 5).alias("chronic_jobs")))
     au = tables.get("audit")
     if au is not None:
         a = cfg.as_of_for("audit")
-        parts.append(audit.audit_total(au, a, d))
-        parts.append(audit.audit_summary(au, a, d).select(WS, "failed_logins", "permission_changes"))
+        ac = share(audit.action_counts(au, a, d), "action_counts")  # shared by D11-D13
+        parts.append(audit.audit_total(au, a, d, counts=ac))
+        parts.append(audit.audit_summary(au, a, d, counts=ac).select(WS, "failed_logins", "permission_changes"))
     if not parts:
         raise ValueError("no operational source given")
     wide = fold_by_key(parts, WS)

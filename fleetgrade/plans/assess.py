@@ -36,7 +36,7 @@ class Assessment:
 def assess(inventory: dict[str, DataFrame], operational: dict[str, DataFrame] | None,
            cfg: AssessConfig, materialize: bool = True) -> Assessment:
     feats = features.workspace_features(inventory, cfg.recent_runtime_regex)
-    dm = deep.deep_metrics(operational, cfg) if operational else None
+    dm = deep.deep_metrics(operational, cfg, materialize=materialize) if operational else None
     inputs = deep.assessment_input(feats, dm)
     if materialize:
         inputs = cut_lineage(inputs, "assessment_inputs")

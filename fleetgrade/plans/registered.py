@@ -262,7 +262,7 @@ def assessed(spark, sf):
 
 @register("deep_metrics")
 def _deep_metrics(spark, sf):
-    out = deep.deep_metrics(deep_tables(spark, sf), CFG)
+    out = deep.deep_metrics(deep_tables(spark, sf), CFG, materialize=True)
     return out.withColumn("p95_duration_ms", F.round("p95_duration_ms", 2)).drop(
         "running_hours_raw", "idle_hours_raw")
 

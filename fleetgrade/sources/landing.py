@@ -133,26 +133,30 @@ def _object_kind_items(kind: str, i: Column) -> Column:
     return F.struct(name.alias("name"))
 
 
-def _object_lists(fx: Fixtures) -> DataFrame:
+def _object_lists(fx: Fixtures, page_size: int = 100) -> DataFrame:
+    """All count-only lists in one pass: items of every kind are rendered to JSON,
+    paged by hash within (workspace, kind), and each page's body is assembled as
+    text, so the twelve endpoints share one shuffle."""
     from fleetgrade.sources.inventory import COUNT_LISTS
     oc = fx.object_counts.where(F.col("n") > 0)
-    parts = []
+    kind_col = F.col("kind")
+    endpoint = F.lit(None).cast("string")
+    key = F.lit(None).cast("string")
+    item = F.lit(None).cast("string")
+    i = F.col("i")
     for kind, pk, keys in COUNT_LISTS:
-        key = keys if isinstance(keys, str) else None
-        rows = oc.where(F.col("kind") == kind).select(
-            WS, F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
-        if key is None:  # alternate keys: first for even workspaces, second for odd
-            for parity, k in ((0, keys[0]), (1, keys[1])):
-                part = rows.where(F.col(WS) % 2 == parity)
-                parts.append(paged(part.withColumn("_id", F.concat_ws("-", F.col(WS), F.col("i"))), "_id",
-                                   _object_kind_items(kind, F.col("i")), k, ENDPOINTS[pk]))
-        else:
-            parts.append(paged(rows.withColumn("_id", F.concat_ws("-", F.col(WS), F.col("i"))), "_id",
-                               _object_kind_items(kind, F.col("i")), key, ENDPOINTS[pk]))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        k = F.lit(keys) if isinstance(keys, str) else F.when(F.col(WS) % 2 == 0, F.lit(keys[0])).otherwise(F.lit(keys[1]))
+        it = _object_kind_items(kind, i)
+        js = F.to_json(it) if kind != "group" else F.to_json(F.array(it)).substr(F.lit(2), F.length(F.to_json(F.array(it))) - 2)
+        endpoint = F.when(kind_col == kind, F.lit(ENDPOINTS[pk])).otherwise(endpoint)
+        key = F.when(kind_col == kind, k).otherwise(key)
+        item = F.when(kind_col == kind, js).otherwise(item)
+    rows = oc.select(WS, "kind", "n", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))).alias("i"))
+    rows = rows.select(WS, endpoint.alias("endpoint"), key.alias("list_key"), item.alias("item"),
+                       F.pmod(F.xxhash64(F.col("i")), F.ceil(F.col("n") / page_size)).cast("int").alias("page"))
+    pages_ = rows.groupBy(WS, "endpoint", "list_key", "page").agg(F.collect_list("item").alias("items"))
+    body = F.concat(F.lit('{"'), F.col("list_key"), F.lit('":['), F.array_join("items", ","), F.lit("]}"))
+    return pages_.select(WS, "endpoint", "page", body.alias("body"))
 
 
 LANDERS = {
