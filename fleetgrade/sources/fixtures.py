@@ -185,11 +185,20 @@ def _raw_tables(sql: str) -> list[str]:
     return sorted({t for t in _RAW_REF.findall(sql) if t != "select"})
 
 
+# Analysed fixture plans per (application, directory, view): building a view
+# reads parquet footers and analyses SQL, which is worth doing once. Only the
+# lazy plan is kept; no data is cached.
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Return fixture ``name`` read from the parquet tables under ``sf_dir``."""
-    sql = FIXTURE_SQL[name]
-    register_raw(spark, sf_dir, _raw_tables(sql))
-    return spark.sql(sql)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PLANS:
+        sql = FIXTURE_SQL[name]
+        register_raw(spark, sf_dir, _raw_tables(sql))
+        _PLANS[key] = spark.sql(sql)
+    return _PLANS[key]
 
 
 class Fixtures:
