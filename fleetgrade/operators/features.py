@@ -65,7 +65,32 @@ def workspace_base(workspaces: DataFrame) -> DataFrame:
     )
 
 
-def features_clusters(clusters: DataFrame, recent_regex: str = r"^1[4-9]\.") -> DataFrame:
+# Every feature is declared once as (name, per-row expression, aggregate). The
+# per-table queries aggregate one table; ``workspace_features`` stacks the
+# per-row projections of all tables and aggregates them in ONE groupBy, so the
+# whole inventory costs a single shuffle (plus the principal-name join).
+Spec = list[tuple[str, Column, str]]
+
+_AGG = {
+    "sum": lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("bigint"),
+    "any": lambda c: F.coalesce(F.bool_or(c), F.lit(False)),
+    "distinct": lambda c: F.count_distinct(c),
+    "max": F.max,
+    "min": F.min,
+}
+
+
+def _flag(cond: Column) -> Column:
+    """Per-row 0/1 for a conditional count (NULL condition counts as 0)."""
+    return F.when(cond, F.lit(1)).otherwise(F.lit(0))
+
+
+def _aggregate(table: DataFrame, spec: Spec) -> DataFrame:
+    rows = table.select(WS, *[e.alias(n) for n, e, _a in spec])
+    return rows.groupBy(WS).agg(*[_AGG[a](F.col(n)).alias(n) for n, _e, a in spec])
+
+
+def clusters_spec(clusters: DataFrame, recent_regex: str = r"^1[4-9]\.") -> Spec:
     """F1-F14."""
     state = F.col("state")
     auto_max = pick(clusters, "autoscale_max_workers", "autoscale.max_workers")
@@ -75,48 +100,56 @@ def features_clusters(clusters: DataFrame, recent_regex: str = r"^1[4-9]\.") ->
     tags = (F.col("custom_tag_count") if "custom_tag_count" in clusters.columns
             else F.size(F.coalesce(F.col("custom_tags"), F.create_map())))
     node = F.lower(F.coalesce(F.col("node_type_id"), F.lit("")))
+    has_node = _nonempty(F.col("node_type_id"))
     version = F.col("spark_version")
     mode = F.upper(F.coalesce(F.col("data_security_mode"), F.lit("")))
     avail = F.upper(F.coalesce(F.col("availability"), F.lit("")))
     first_od = F.col("first_on_demand")
-    return clusters.groupBy(WS).agg(
-        F.count(F.lit(1)).alias("cluster_count"),
-        count_if(state == "RUNNING").alias("running_clusters"),
-        count_if(F.col("runtime_engine") == "PHOTON").alias("photon_clusters"),
-        count_if(has_autoscale).alias("autoscale_clusters"),
-        F.coalesce(F.sum(F.coalesce(nw, F.lit(0))), F.lit(0)).cast("bigint").alias("total_workers"),
-        F.coalesce(F.max(F.coalesce(F.nullif(auto_max, F.lit(0)), F.nullif(nw, F.lit(0)), F.lit(0))),
-                   F.lit(0)).cast("bigint").alias("max_workers"),
-        F.count_distinct(F.when(_nonempty(F.col("node_type_id")), F.col("node_type_id"))).alias("node_type_count"),
-        F.min(F.when(_nonempty(F.col("node_type_id")), F.col("node_type_id"))).alias("node_type_sample"),
-        count_if((state == "RUNNING") & (autoterm.isNull() | (autoterm == 0))).alias("running_no_autoterm"),
-        count_if(autoterm > 0).alias("autoterm_clusters"),
-        count_if(tags > 0).alias("tagged_clusters"),
-        count_if(_nonempty(version)).alias("versioned_clusters"),
-        count_if(_nonempty(version) & version.rlike(recent_regex)).alias("recent_runtime_clusters"),
-        count_if(node.contains("gpu")).alias("gpu_clusters"),
-        count_if(avail.isin(*SPOT_AVAILABILITY) | (first_od.isNotNull() & (first_od == 0))).alias("spot_clusters"),
-        count_if(mode.isin(*STANDARD_MODES)).alias("standard_mode_clusters"),
-        count_if(mode.isin(*DEDICATED_MODES)).alias("dedicated_mode_clusters"),
-        count_if(~mode.isin(*STANDARD_MODES, *DEDICATED_MODES)).alias("none_mode_clusters"),
-        *[count_if(_nonempty(F.col("node_type_id")) & _contains_any(node, pats)).alias(f"efficient_{cloud}")
+    return [
+        ("cluster_count", F.lit(1), "sum"),
+        ("running_clusters", _flag(state == "RUNNING"), "sum"),
+        ("photon_clusters", _flag(F.col("runtime_engine") == "PHOTON"), "sum"),
+        ("autoscale_clusters", _flag(has_autoscale), "sum"),
+        ("total_workers", F.coalesce(nw, F.lit(0)), "sum"),
+        ("max_workers", F.coalesce(F.nullif(auto_max, F.lit(0)), F.nullif(nw, F.lit(0)), F.lit(0)), "max"),
+        ("node_type_count", F.when(has_node, F.col("node_type_id")), "distinct"),
+        ("node_type_sample", F.when(has_node, F.col("node_type_id")), "min"),
+        ("running_no_autoterm", _flag((state == "RUNNING") & (autoterm.isNull() | (autoterm == 0))), "sum"),
+        ("autoterm_clusters", _flag(autoterm > 0), "sum"),
+        ("tagged_clusters", _flag(tags > 0), "sum"),
+        ("versioned_clusters", _flag(_nonempty(version)), "sum"),
+        ("recent_runtime_clusters", _flag(_nonempty(version) & version.rlike(recent_regex)), "sum"),
+        ("gpu_clusters", _flag(node.contains("gpu")), "sum"),
+        ("spot_clusters", _flag(avail.isin(*SPOT_AVAILABILITY) | (first_od.isNotNull() & (first_od == 0))), "sum"),
+        ("standard_mode_clusters", _flag(mode.isin(*STANDARD_MODES)), "sum"),
+        ("dedicated_mode_clusters", _flag(mode.isin(*DEDICATED_MODES)), "sum"),
+        ("none_mode_clusters", _flag(~mode.isin(*STANDARD_MODES, *DEDICATED_MODES)), "sum"),
+        *[(f"efficient_{cloud}", _flag(has_node & _contains_any(node, pats)), "sum")
           for cloud, pats in EFFICIENT_NODE_PATTERNS.items()],
-    )
+    ]
 
 
-def features_warehouses(warehouses: DataFrame) -> DataFrame:
+def features_clusters(clusters: DataFrame, recent_regex: str = r"^1[4-9]\.") -> DataFrame:
+    return _aggregate(clusters, clusters_spec(clusters, recent_regex))
+
+
+def warehouses_spec(warehouses: DataFrame) -> Spec:
     """F15-F17."""
     serverless = F.col("enable_serverless_compute") == F.lit(True)
     multi = F.coalesce(F.col("max_num_clusters"), F.lit(0)) > 1
-    return warehouses.groupBy(WS).agg(
-        F.count(F.lit(1)).alias("warehouse_count"),
-        count_if((F.col("warehouse_type") == "PRO") | serverless).alias("pro_or_serverless_wh"),
-        count_if(multi | serverless).alias("multi_or_serverless_wh"),
-        count_if(multi).alias("multi_cluster_wh"),
-        count_if(F.col("enable_photon") == F.lit(True)).alias("photon_wh"),
-        count_if(F.coalesce(F.col("auto_stop_mins"), F.lit(0)) > 0).alias("autostop_wh"),
-        count_if(F.col("state") == "RUNNING").alias("running_wh"),
-    )
+    return [
+        ("warehouse_count", F.lit(1), "sum"),
+        ("pro_or_serverless_wh", _flag((F.col("warehouse_type") == "PRO") | serverless), "sum"),
+        ("multi_or_serverless_wh", _flag(multi | serverless), "sum"),
+        ("multi_cluster_wh", _flag(multi), "sum"),
+        ("photon_wh", _flag(F.col("enable_photon") == F.lit(True)), "sum"),
+        ("autostop_wh", _flag(F.coalesce(F.col("auto_stop_mins"), F.lit(0)) > 0), "sum"),
+        ("running_wh", _flag(F.col("state") == "RUNNING"), "sum"),
+    ]
+
+
+def features_warehouses(warehouses: DataFrame) -> DataFrame:
+    return _aggregate(warehouses, warehouses_spec(warehouses))
 
 
 def sp_owned_jobs(jobs: DataFrame, service_principals: DataFrame) -> DataFrame:
@@ -126,115 +159,142 @@ def sp_owned_jobs(jobs: DataFrame, service_principals: DataFrame) -> DataFrame:
     return owned.groupBy(WS).agg(F.count(F.lit(1)).alias("sp_owned_jobs"))
 
 
-def features_jobs(jobs: DataFrame, service_principals: DataFrame | None = None) -> DataFrame:
-    """F18-F21."""
+def jobs_spec(jobs: DataFrame) -> Spec:
+    """F18-F20."""
     name = F.coalesce(F.col("name"), F.lit(""))
     # Quirk Q8: the rule reads ``existing_cluster_id``, which the inventory never
     # carries, so only ``has_job_clusters`` decides unless the column is present.
     job_cluster = F.col("has_job_clusters") == F.lit(True)
     if "existing_cluster_id" in jobs.columns:
         job_cluster = job_cluster & ~_nonempty(F.col("existing_cluster_id"))
-    agg = jobs.groupBy(WS).agg(
-        F.count(F.lit(1)).alias("job_count"),
-        count_if(F.col("has_git_source") == F.lit(True)).alias("git_jobs"),
-        count_if(F.coalesce(F.col("max_retries"), F.lit(0)) > 0).alias("retry_jobs"),
-        count_if(job_cluster).alias("job_cluster_jobs"),
-        count_if(name.contains("[DAB]") | name.contains("[dev ")).alias("dab_jobs"),
-        count_if(name.contains("[DAB]") | F.lower(name).contains("dabs")).alias("iac_jobs"),
-    )
+    return [
+        ("job_count", F.lit(1), "sum"),
+        ("git_jobs", _flag(F.col("has_git_source") == F.lit(True)), "sum"),
+        ("retry_jobs", _flag(F.coalesce(F.col("max_retries"), F.lit(0)) > 0), "sum"),
+        ("job_cluster_jobs", _flag(job_cluster), "sum"),
+        ("dab_jobs", _flag(name.contains("[DAB]") | name.contains("[dev ")), "sum"),
+        ("iac_jobs", _flag(name.contains("[DAB]") | F.lower(name).contains("dabs")), "sum"),
+    ]
+
+
+def features_jobs(jobs: DataFrame, service_principals: DataFrame | None = None) -> DataFrame:
+    """F18-F21."""
+    agg = _aggregate(jobs, jobs_spec(jobs))
     if service_principals is None:
         return agg.withColumn("sp_owned_jobs", F.lit(0).cast("bigint"))
     return (agg.join(sp_owned_jobs(jobs, service_principals), on=WS, how="left")
             .withColumn("sp_owned_jobs", F.coalesce(F.col("sp_owned_jobs"), F.lit(0)).cast("bigint")))
 
 
-def features_pipelines(pipelines: DataFrame) -> DataFrame:
+def pipelines_spec(pipelines: DataFrame) -> Spec:
     """F22 (``autoscale_pipelines`` stays 0 unless the column exists: quirk Q8)."""
     lname = F.lower(F.coalesce(F.col("name"), F.lit("")))
-    auto = (count_if(F.col("autoscale").isNotNull()) if "autoscale" in pipelines.columns
-            else F.lit(0).cast("bigint"))
-    return pipelines.groupBy(WS).agg(
-        F.count(F.lit(1)).alias("pipeline_count"),
-        count_if(F.col("state") == "FAILED").alias("failed_pipelines"),
-        count_if(lname.contains("connect") | lname.contains("gateway")).alias("connect_pipelines"),
-        auto.alias("autoscale_pipelines"),
-    )
+    auto = _flag(F.col("autoscale").isNotNull()) if "autoscale" in pipelines.columns else F.lit(0)
+    return [
+        ("pipeline_count", F.lit(1), "sum"),
+        ("failed_pipelines", _flag(F.col("state") == "FAILED"), "sum"),
+        ("connect_pipelines", _flag(lname.contains("connect") | lname.contains("gateway")), "sum"),
+        ("autoscale_pipelines", auto, "sum"),
+    ]
 
 
-def features_catalogs(catalogs: DataFrame) -> DataFrame:
+def features_pipelines(pipelines: DataFrame) -> DataFrame:
+    return _aggregate(pipelines, pipelines_spec(pipelines))
+
+
+def catalogs_spec(catalogs: DataFrame) -> Spec:
     """F23."""
-    return catalogs.groupBy(WS).agg(
-        F.count(F.lit(1)).alias("catalog_count"),
-        F.coalesce(F.bool_or(F.col("isolation_mode") == "OPEN"), F.lit(False)).alias("has_open_catalog"),
-    )
+    return [("catalog_count", F.lit(1), "sum"),
+            ("has_open_catalog", F.col("isolation_mode") == "OPEN", "any")]
 
 
-def features_scim(scim_groups: DataFrame) -> DataFrame:
+def features_catalogs(catalogs: DataFrame) -> DataFrame:
+    return _aggregate(catalogs, catalogs_spec(catalogs))
+
+
+def scim_spec(scim_groups: DataFrame) -> Spec:
     """F24."""
-    return scim_groups.groupBy(WS).agg(
-        F.count(F.lit(1)).alias("scim_count"),
-        count_if(_nonempty(F.col("external_id"))).alias("idp_synced"),
-    )
+    return [("scim_count", F.lit(1), "sum"),
+            ("idp_synced", _flag(_nonempty(F.col("external_id"))), "sum")]
+
+
+def features_scim(scim_groups: DataFrame) -> DataFrame:
+    return _aggregate(scim_groups, scim_spec(scim_groups))
+
+
+def sp_spec(service_principals: DataFrame) -> Spec:
+    return [("sp_count", F.lit(1), "sum")]
 
 
 def features_service_principals(service_principals: DataFrame) -> DataFrame:
-    return service_principals.groupBy(WS).agg(F.count(F.lit(1)).alias("sp_count"))
+    return _aggregate(service_principals, sp_spec(service_principals))
 
 
-def features_settings(settings: DataFrame) -> DataFrame:
+def settings_spec(settings: DataFrame) -> Spec:
     """settings pivoted to flags (string compare on the lower-cased value)."""
     key, val = F.col("setting"), F.lower(F.col("value").cast("string"))
-    return settings.groupBy(WS).agg(
-        (F.count(F.lit(1)) > 0).alias("has_settings"),
-        F.coalesce(F.bool_or((key == "enableDbfsFileBrowser") & (val == "false")), F.lit(False)).alias("dbfs_off"),
-        F.coalesce(F.bool_or((key == "enableIpAccessLists") & (val == "true")), F.lit(False)).alias("ipl_on"),
-        F.max(F.when(key == "enableDbfsFileBrowser", F.col("value"))).alias("setting_dbfs_browser"),
-        F.max(F.when(key == "enableIpAccessLists", F.col("value"))).alias("setting_ip_access_lists"),
-        F.max(F.when(key == "enableResultsDownloading", F.col("value"))).alias("setting_results_download"),
-        F.max(F.when(key == "enableExportNotebook", F.col("value"))).alias("setting_export_notebook"),
-        F.max(F.when(key == "maxTokenLifetimeDays", F.col("value"))).alias("setting_token_lifetime_days"),
-    )
+    return [
+        ("has_settings", F.lit(True), "any"),
+        ("dbfs_off", (key == "enableDbfsFileBrowser") & (val == "false"), "any"),
+        ("ipl_on", (key == "enableIpAccessLists") & (val == "true"), "any"),
+        ("setting_dbfs_browser", F.when(key == "enableDbfsFileBrowser", F.col("value")), "max"),
+        ("setting_ip_access_lists", F.when(key == "enableIpAccessLists", F.col("value")), "max"),
+        ("setting_results_download", F.when(key == "enableResultsDownloading", F.col("value")), "max"),
+        ("setting_export_notebook", F.when(key == "enableExportNotebook", F.col("value")), "max"),
+        ("setting_token_lifetime_days", F.when(key == "maxTokenLifetimeDays", F.col("value")), "max"),
+    ]
+
+
+def features_settings(settings: DataFrame) -> DataFrame:
+    return _aggregate(settings, settings_spec(settings))
+
+
+def counts_spec(object_counts: DataFrame) -> Spec:
+    """small object lists kept as counts, one column per fixed kind."""
+    return [(f"{k}_count", F.when(F.col("kind") == k, F.col("n")), "sum") for k in OBJECT_KINDS]
 
 
 def features_counts(object_counts: DataFrame) -> DataFrame:
-    """small object lists kept as counts, pivoted with a fixed value list."""
-    piv = object_counts.groupBy(WS).pivot("kind", list(OBJECT_KINDS)).agg(F.sum("n"))
-    return piv.select(WS, *[F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias(f"{k}_count")
-                            for k in OBJECT_KINDS])
+    return _aggregate(object_counts, counts_spec(object_counts))
 
 
 def workspace_features(tables: dict[str, DataFrame], recent_regex: str = r"^1[4-9]\.") -> DataFrame:
-    """One wide row per workspace of ``tables['workspaces']``.
+    """One wide row per workspace of ``tables['workspaces']``, from ONE aggregate.
 
-    Per-table aggregates are stacked with ``unionByName`` and folded by one
-    ``groupBy(workspace_id)``; absent counts become 0 and absent flags false.
+    Each table is projected to its per-row feature columns, the projections are
+    stacked with ``unionByName`` and a single ``groupBy(workspace_id)`` computes
+    every feature (partial aggregation map-side). Absent counts become 0 and
+    absent flags false.
     """
-    parts = [
-        workspace_base(tables["workspaces"]).withColumn("_known", F.lit(True)),
-        features_clusters(tables["clusters"], recent_regex),
-        features_warehouses(tables["warehouses"]),
-        features_jobs(tables["jobs"], tables.get("service_principals")),
-        features_pipelines(tables["pipelines"]),
-        features_catalogs(tables["catalogs"]),
-        features_scim(tables["scim_groups"]),
-        features_service_principals(tables["service_principals"]),
-        features_settings(tables["settings"]),
-        features_counts(tables["object_counts"]),
+    base = workspace_base(tables["workspaces"])
+    specs: list[tuple[DataFrame, Spec]] = [
+        (base, [(c, F.col(c), "max") for c in base.columns if c != WS] + [("_known", F.lit(True), "any")]),
+        (tables["clusters"], clusters_spec(tables["clusters"], recent_regex)),
+        (tables["warehouses"], warehouses_spec(tables["warehouses"])),
+        (tables["jobs"], jobs_spec(tables["jobs"])),
+        (tables["pipelines"], pipelines_spec(tables["pipelines"])),
+        (tables["catalogs"], catalogs_spec(tables["catalogs"])),
+        (tables["scim_groups"], scim_spec(tables["scim_groups"])),
+        (tables["service_principals"], sp_spec(tables["service_principals"])),
+        (tables["settings"], settings_spec(tables["settings"])),
+        (tables["object_counts"], counts_spec(tables["object_counts"])),
     ]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    cols = [c for c in stacked.columns if c != WS]
-    dtypes = dict(stacked.dtypes)
-    folded = stacked.groupBy(WS).agg(*[F.max(c).alias(c) for c in cols]).where(F.col("_known"))
+    owned = sp_owned_jobs(tables["jobs"], tables["service_principals"])
+    specs.append((owned, [("sp_owned_jobs", F.col("sp_owned_jobs"), "max")]))
+    rows = [t.select(WS, *[e.alias(n) for n, e, _a in sp]) for t, sp in specs]
+    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
+    aggs = [_AGG[a](F.col(n)).alias(n) for _t, sp in specs for n, _e, a in sp]
+    folded = stacked.groupBy(WS).agg(*aggs).where(F.col("_known"))
+    dtypes = dict(folded.dtypes)
     out = []
-    for c in cols:
-        if c == "_known":
-            continue
-        if dtypes[c] in ("bigint", "int"):
-            out.append(F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c))
-        elif dtypes[c] == "boolean" and c != "has_metastore":
-            out.append(F.coalesce(F.col(c), F.lit(False)).alias(c))
-        else:
-            out.append(F.col(c))
+    for _t, sp in specs:
+        for n, _e, _a in sp:
+            if n == "_known":
+                continue
+            if dtypes[n] in ("bigint", "int"):
+                out.append(F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n))
+            else:
+                out.append(F.col(n))
     return folded.select(WS, *out)
 
 
