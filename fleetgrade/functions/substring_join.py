@@ -47,14 +47,19 @@ def contains_matches(left: DataFrame, keys: list[str], id_cols: list[str], text_
     norm = F.lower if lower else (lambda c: c)
     pats = (right.select(*keys, *carry, norm(F.col(pattern_col)).alias("_p"))
             .where(F.col("_p").isNotNull() & (F.length("_p") > 0)))
-    lens = pats.select(*keys, F.length("_p").alias("_len")).distinct()
     ident = [c for c in id_cols if c not in keys]
-    cand = (left.select(*keys, *ident, norm(F.col(text_col)).alias("_t")).where(F.col("_t").isNotNull())
-            .join(lens, on=keys, how="inner")
-            .where(F.length("_t") >= F.col("_len")))
+    texts = left.select(*keys, *ident, norm(F.col(text_col)).alias("_t")).where(F.col("_t").isNotNull())
+    if keys:
+        lens = pats.select(*keys, F.length("_p").alias("_len")).distinct()
+        cand = texts.join(lens, on=keys, how="inner").where(F.length("_t") >= F.col("_len"))
+    else:
+        # No group key: cut substrings of every length (bounded by the text
+        # length squared) instead of pairing texts with pattern lengths.
+        cand = texts.select(*ident, "_t", F.explode(F.sequence(F.lit(1), F.length("_t"))).alias("_len"))
     subs = cand.select(
         *keys, *ident,
         F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("_len") + 1),
                                                lambda i: F.substring(F.col("_t"), i, F.col("_len"))))).alias("_s"))
     joined = subs.join(pats, on=[*[subs[k] == pats[k] for k in keys], subs["_s"] == pats["_p"]], how="inner")
     return joined.select(*[subs[k] for k in keys], *ident, *carry).distinct()
+

@@ -204,11 +204,10 @@ def remediation_match(spark: SparkSession) -> DataFrame:
     Static (140 rules x 25 topics) and computed with the exact substring
     equi-join, so no rule/pattern pairs are enumerated.
     """
-    cat = rule_catalog(spark).select("rule_id", "name", F.lit(1).alias("_k"))
+    cat = rule_catalog(spark).select("rule_id", "name")
     pats = (remediation_kb(spark)
-            .select("topic_ord", "topic", F.posexplode("applies_to").alias("pattern_ord", "pattern"))
-            .withColumn("_k", F.lit(1)))
-    hits = contains_matches(cat, ["_k"], ["rule_id"], "name", pats, "pattern", ["topic_ord", "topic"])
+            .select("topic_ord", "topic", F.posexplode("applies_to").alias("pattern_ord", "pattern")))
+    hits = contains_matches(cat, [], ["rule_id"], "name", pats, "pattern", ["topic_ord", "topic"])
     best = hits.groupBy("rule_id").agg(F.min(F.struct("topic_ord", "topic")).alias("t"))
     return (cat.join(best, on="rule_id", how="left")
             .select("rule_id", F.col("t.topic_ord").alias("topic_ord"), F.col("t.topic").alias("topic")))

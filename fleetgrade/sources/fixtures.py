@@ -178,6 +178,42 @@ select user_id % 10 as workspace_id,
 from events""",
 }
 
+# Spark-side texts of the two views that FIXTURES.md writes as a cross join with
+# a constant list: the same rows, generated per supplier row by ``inline`` over
+# a literal array, so no plan contains a cartesian product.
+SPARK_SQL: dict[str, str] = {
+    "settings": """
+select s_suppkey as workspace_id, k.setting as setting,
+       case k.setting when 'enableDbfsFileBrowser' then case when s_suppkey % 2 = 0 then 'false' else 'true' end
+                      when 'enableIpAccessLists' then case when s_suppkey % 3 = 0 then 'true' else 'false' end
+                      when 'maxTokenLifetimeDays' then cast((s_suppkey % 4 + 1) * 30 as string)
+                      else 'true' end as value
+from supplier
+lateral view inline(array(named_struct('setting', 'enableDbfsFileBrowser'),
+                          named_struct('setting', 'enableResultsDownloading'),
+                          named_struct('setting', 'enableExportNotebook'),
+                          named_struct('setting', 'maxTokenLifetimeDays'),
+                          named_struct('setting', 'enableIpAccessLists'))) k
+where s_suppkey < 8""",
+    "object_counts": """
+select s_suppkey as workspace_id, k.kind as kind,
+       (s_suppkey * k.mult) % k.modulus as n
+from supplier
+lateral view inline(array(named_struct('kind', 'policy', 'mult', 5, 'modulus', 31),
+                          named_struct('kind', 'pool', 'mult', 3, 'modulus', 7),
+                          named_struct('kind', 'endpoint', 'mult', 1, 'modulus', 4),
+                          named_struct('kind', 'repo', 'mult', 2, 'modulus', 5),
+                          named_struct('kind', 'init_script', 'mult', 1, 'modulus', 3),
+                          named_struct('kind', 'group', 'mult', 7, 'modulus', 11),
+                          named_struct('kind', 'scope', 'mult', 1, 'modulus', 2),
+                          named_struct('kind', 'ip_access_list', 'mult', 1, 'modulus', 3),
+                          named_struct('kind', 'token', 'mult', 4, 'modulus', 9),
+                          named_struct('kind', 'external_location', 'mult', 11, 'modulus', 60),
+                          named_struct('kind', 'storage_credential', 'mult', 13, 'modulus', 61),
+                          named_struct('kind', 'workspace_object', 'mult', 17, 'modulus', 97))) k
+where s_suppkey < 9""",
+}
+
 _RAW_REF = re.compile(r"\bfrom\s+(\w+)", re.IGNORECASE)
 
 
@@ -195,7 +231,7 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Return fixture ``name`` read from the parquet tables under ``sf_dir``."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _PLANS:
-        sql = FIXTURE_SQL[name]
+        sql = SPARK_SQL.get(name, FIXTURE_SQL[name])
         register_raw(spark, sf_dir, _raw_tables(sql))
         _PLANS[key] = spark.sql(sql)
     return _PLANS[key]

@@ -137,3 +137,14 @@ def test_fleet_equals_single(spark, key):
     a = sorted(map(tuple, full.select(*sorted(full.columns)).collect()))
     b = sorted(map(tuple, single.select(*sorted(single.columns)).collect()))
     assert a == b
+
+
+def test_missing_source_makes_it_unavailable(spark):
+    from fleetgrade.operators import deep
+    from fleetgrade.sources.availability import operational_tables
+    fx = Fixtures(spark, SF001)
+    fx.audit.createOrReplaceTempView("fg_audit_present")
+    tables = operational_tables(spark, {"audit": "fg_audit_present", "usage": "fg_no_such_table"})
+    assert set(tables) == {"audit"}
+    dm = deep.deep_metrics(tables, FIXTURE_CONFIG).collect()
+    assert dm and all(r["audit_available"] and not r["billing_available"] for r in dm)
