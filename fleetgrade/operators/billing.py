@@ -65,11 +65,19 @@ def spend_by_sku_fleet(usage: DataFrame, as_of: dt.date, days: int = 30, k: int
 
 def total_dbus(usage: DataFrame, as_of: dt.date, days: int = 30, k: int = 20,
                rollup: DataFrame | None = None) -> DataFrame:
-    """Sum of the top-``k`` SKU rows (quirk Q1) and of all SKUs, from one SKU table."""
-    top = spend_by_sku(usage, as_of, days, 10**9, rollup)
-    return top.groupBy(WS).agg(
-        F.sum(F.when(F.col("rank") <= k, F.col("total_dbus"))).alias("total_dbus_30d"),
-        F.sum("total_dbus").alias("total_dbus_all"))
+    """Sum of the top-``k`` SKU rows (quirk Q1) and of all SKUs.
+
+    The top-k sum goes through the bounded per-workspace top-k; the all-SKU
+    total is a plain partial aggregate of the same SKU table.
+    """
+    if rollup is not None:
+        skus = rollup.where(F.col("level") == "sku").select(WS, F.col("dbus").alias("total_dbus"))
+    else:
+        skus = _window(usage, as_of, days).groupBy(WS, "sku_name").agg(
+            F.sum("usage_quantity").cast("double").alias("total_dbus"))
+    top = spend_by_sku(usage, as_of, days, k, rollup).groupBy(WS).agg(F.sum("total_dbus").alias("total_dbus_30d"))
+    allr = skus.groupBy(WS).agg(F.sum("total_dbus").alias("total_dbus_all"))
+    return top.join(allr, on=WS, how="inner")
 
 
 def daily_spend(usage: DataFrame, as_of: dt.date, days: int = 30,
