@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetgrade.functions.columns import count_if, pick
+from fleetgrade.functions.columns import pick
 from fleetgrade.functions.substring_join import contains_any
 
 WS = "workspace_id"

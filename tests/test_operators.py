@@ -148,3 +148,24 @@ def test_missing_source_makes_it_unavailable(spark):
     assert set(tables) == {"audit"}
     dm = deep.deep_metrics(tables, FIXTURE_CONFIG).collect()
     assert dm and all(r["audit_available"] and not r["billing_available"] for r in dm)
+
+
+def test_nested_audit_response(spark):
+    from fleetgrade.operators import audit
+    rows = [(1, dt.date(2024, 1, 10), "login", (401,)), (1, dt.date(2024, 1, 10), "login", (200,)),
+            (1, dt.date(2024, 1, 11), "changeClusterAcl", (200,)), (2, dt.date(2024, 1, 11), "tokenLogin", (500,))]
+    df = spark.createDataFrame(rows, "workspace_id int, event_date date, action_name string, "
+                                     "response struct<status_code: int>")
+    got = {r["workspace_id"]: (r["events_all"], r["failed_logins"], r["permission_changes"])
+           for r in audit.audit_summary(df, dt.date(2024, 1, 31)).collect()}
+    assert got == {1: (3, 1, 1), 2: (1, 1, 0)}
+
+
+def test_scim_list_cap(spark):
+    import json
+    from fleetgrade.sources import inventory as inv
+    body = json.dumps({"totalResults": 150, "Resources": [{"displayName": f"g{i}", "externalId": "e"} for i in range(150)]})
+    p = spark.createDataFrame([(1, inv.ENDPOINTS["scim_groups"], 0, body)], inv.PAYLOAD_SCHEMA)
+    assert inv.scim_groups(p).count() == 150
+    assert inv.scim_groups(p, list_cap=True).count() == 100
+    assert inv.scim_counts(p, "scim_groups", "n").collect()[0]["n"] == 150
