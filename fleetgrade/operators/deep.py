@@ -91,26 +91,43 @@ def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: b
               "total_events_30d", "failed_logins", "permission_changes"):
         if c not in wide.columns:
             wide = wide.withColumn(c, F.lit(None).cast("double"))
+    present = table_sources(tables)
     return wide.select(
         "*",
         F.col("total_dbus_30d").isNotNull().alias("billing_available"),
         F.coalesce(F.col("uptime_rows") > 0, F.lit(False)).alias("compute_available"),
-        F.coalesce(F.col("total_queries") > 0, F.lit(False)).alias("query_available"),
-        F.coalesce(F.col("total_runs") > 0, F.lit(False)).alias("jobs_available"),
+        F.lit(present["query_available"]).alias("query_available"),
+        F.lit(present["jobs_available"]).alias("jobs_available"),
         F.col("total_events_30d").isNotNull().alias("audit_available"),
     )
 
 
-def assessment_input(features: DataFrame, deep: DataFrame | None) -> DataFrame:
-    """Features of every known workspace with its deep metrics (absent -> unavailable)."""
+FLAGS = ("billing_available", "compute_available", "query_available", "jobs_available", "audit_available")
+
+
+def table_sources(tables: dict[str, DataFrame] | None) -> dict[str, bool]:
+    """Availability decided by the table alone (quirk Q7).
+
+    The reference reads query and job-run totals from a one-row COUNT whose value
+    arrives as a string, so "0" is truthy: a readable table makes the source
+    available even for a workspace with no rows, which then takes the
+    verified "no history" branch. Billing, compute and audit need rows.
+    """
+    tables = tables or {}
+    return {"query_available": "query_history" in tables, "jobs_available": "job_runs" in tables}
+
+
+def assessment_input(features: DataFrame, deep: DataFrame | None,
+                     tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Features of every known workspace with its deep metrics.
+
+    A workspace without deep rows is unavailable for row-based sources and
+    follows ``table_sources`` for the others.
+    """
+    by_table = table_sources(tables if tables is not None else ({} if deep is None else None))
     if deep is None:
-        out = features
-        for flag in ("billing_available", "compute_available", "query_available",
-                     "jobs_available", "audit_available"):
-            out = out.withColumn(flag, F.lit(False))
-        return out
+        return features.select("*", *[F.lit(by_table.get(f, False)).alias(f) for f in FLAGS])
     joined = features.join(deep, on=WS, how="left")
-    for flag in ("billing_available", "compute_available", "query_available",
-                 "jobs_available", "audit_available"):
-        joined = joined.withColumn(flag, F.coalesce(F.col(flag), F.lit(False)))
-    return joined
+    return joined.select(
+        *[c for c in joined.columns if c not in FLAGS],
+        *[F.coalesce(F.col(f), F.lit(by_table.get(f, False))).alias(f) for f in FLAGS])

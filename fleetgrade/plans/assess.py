@@ -37,7 +37,7 @@ def assess(inventory: dict[str, DataFrame], operational: dict[str, DataFrame] |
            cfg: AssessConfig, materialize: bool = True) -> Assessment:
     feats = features.workspace_features(inventory, cfg.recent_runtime_regex)
     dm = deep.deep_metrics(operational, cfg, materialize=materialize) if operational else None
-    inputs = deep.assessment_input(feats, dm)
+    inputs = deep.assessment_input(feats, dm, operational)
     if materialize:
         inputs = cut_lineage(inputs, "assessment_inputs")
     scores = scoring.score_rules(inputs, as_of=cfg.as_of)

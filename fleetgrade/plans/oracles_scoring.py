@@ -115,8 +115,8 @@ dm as (
          cast(a_act.total_events_30d as bigint) as total_events_30d, a_sum.failed_logins, a_sum.permission_changes,
          b_tot.total_dbus_30d is not null as billing_available,
          coalesce(c_tot.uptime_rows > 0, false) as compute_available,
-         coalesce(q_st.total_queries > 0, false) as query_available,
-         coalesce(j_st.total_runs > 0, false) as jobs_available,
+         true as query_available,
+         true as jobs_available,
          a_act.total_events_30d is not null as audit_available
   from dm_keys k
   left join b_tot using (workspace_id) left join b_trend using (workspace_id) left join b_cl using (workspace_id)
@@ -134,8 +134,8 @@ inp as (
                              jobs_available, audit_available),
          coalesce(dm.billing_available, false) as billing_available,
          coalesce(dm.compute_available, false) as compute_available,
-         coalesce(dm.query_available, false) as query_available,
-         coalesce(dm.jobs_available, false) as jobs_available,
+         coalesce(dm.query_available, true) as query_available,
+         coalesce(dm.jobs_available, true) as jobs_available,
          coalesce(dm.audit_available, false) as audit_available
   from wf left join dm using (workspace_id))"""
 

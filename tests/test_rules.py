@@ -131,6 +131,11 @@ def test_catalog_complete():
     ("cost-023", dict(billing_available=True, total_dbus_30d=100.0, top_cluster_dbus=31.0), (1, True)),
     ("cost-023", dict(billing_available=True, total_dbus_30d=100.0, top_cluster_dbus=30.0), (2, True)),
     ("perf-014", {}, (1, True)),
+    # Q7: readable table, no rows for the workspace -> verified "no history" branches
+    ("perf-026", dict(query_available=True), (1, True)),
+    ("perf-028", dict(query_available=True), (1, True)),
+    ("rel-020", dict(jobs_available=True), (1, True)),
+    ("rel-021", dict(jobs_available=True), (2, True)),
 ])
 def test_branch(spark, rid, overrides, expected):
     assert score(spark, rid, **overrides) == expected
