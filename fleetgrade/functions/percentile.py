@@ -35,20 +35,24 @@ def _bucket(df: DataFrame, value: str, bits: int) -> Column:
     return F.floor(F.col(value).cast("double") / F.lit(float(2 ** bits))).cast("long")
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str, bucket_bits: int = 16) -> DataFrame:
+    """Step 1: multiplicity ``_c`` of each non-NULL value per group, with its bucket ``_b``."""
+    return (df.where(F.col(value).isNotNull())
+            .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
+            .withColumn("_b", _bucket(df, value, bucket_bits)))
+
+
 def exact_percentiles(df: DataFrame, keys: list[str], value: str,
-                      probs: dict[str, float], bucket_bits: int = 16, cut=None) -> DataFrame:
+                      probs: dict[str, float], bucket_bits: int = 16,
+                      counts: DataFrame | None = None) -> DataFrame:
     """One row per group with one DOUBLE column per entry of ``probs``.
 
     Groups whose values are all NULL produce no row (join back with a left join).
-    ``cut`` (e.g. ``session.cut_lineage``) materialises the value-count table,
-    which both the bucket totals and the in-bucket ranking read.
+    ``counts`` is an already computed (ideally materialised) ``value_counts``
+    table, which both the bucket totals and the in-bucket ranking read.
     """
     names = list(probs)
-    vc = (df.where(F.col(value).isNotNull())
-          .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-          .withColumn("_b", _bucket(df, value, bucket_bits)))
-    if cut is not None:
-        vc = cut(vc)
+    vc = counts if counts is not None else value_counts(df, keys, value, bucket_bits)
 
     wk = Window.partitionBy(*keys)
     bc = (vc.groupBy(*keys, "_b").agg(F.sum("_c").alias("_bc"))

@@ -8,6 +8,8 @@ at all makes the source unavailable everywhere.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +18,20 @@ from fleetgrade.functions.columns import count_if
 from fleetgrade.functions.fold import fold_by_key
 from fleetgrade.operators import audit, billing, compute, jobs, queries
 from fleetgrade.session import cut_lineage
+from fleetgrade.sources.window import recent
 
 WS = "workspace_id"
 
 DEEP_SOURCES = ("usage", "cluster_timeline", "job_runs", "query_history", "audit")
 
 
+def duration_counts(history: DataFrame, as_of, days: int) -> DataFrame:
+    """Distinct query durations per workspace with multiplicities (percentile input)."""
+    from fleetgrade.functions.percentile import value_counts
+    q = recent(history, "start_time", as_of, days).select(WS, "duration")
+    return value_counts(q, [WS], "duration")
+
+
 def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: bool = False) -> DataFrame:
     """One row per workspace seen in any operational source.
 
@@ -34,50 +44,59 @@ def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: b
     below them is cut.
     """
     d = cfg.lookback_days
-    parts = []
+    usage, tl = tables.get("usage"), tables.get("cluster_timeline")
+    qh, jr, au = tables.get("query_history"), tables.get("job_runs"), tables.get("audit")
 
-    def share(df: DataFrame, name: str) -> DataFrame:
-        return cut_lineage(df, name) if materialize else df
-
-    usage = tables.get("usage")
+    # Phase 1: one fine-grained aggregate per source (each scans its source once).
+    shared: dict[str, DataFrame] = {}
     if usage is not None:
-        a = cfg.as_of_for("usage")
-        ru = share(billing.usage_rollup(usage, a, d), "usage_rollup")  # one scan + one shuffle for D1-D3
+        shared["usage_rollup"] = billing.usage_rollup(usage, cfg.as_of_for("usage"), d)
+    if tl is not None:
+        shared["cluster_hours"] = compute.cluster_hours(tl, cfg.as_of_for("cluster_timeline"), d)
+    if qh is not None:
+        a = cfg.as_of_for("query_history")
+        shared["warehouse_counts"] = queries.warehouse_counts(qh, a, d, cfg.slow_query_ms)
+        shared["duration_counts"] = duration_counts(qh, a, d)
+    if jr is not None:
+        shared["job_counts"] = jobs.job_counts(jr, cfg.as_of_for("job_runs"), d)
+    if au is not None:
+        shared["action_counts"] = audit.action_counts(au, cfg.as_of_for("audit"), d)
+    if materialize and shared:
+        # Independent jobs: write them concurrently so small stages overlap.
+        with ThreadPoolExecutor(max_workers=len(shared)) as pool:
+            done = {k: pool.submit(cut_lineage, v, k) for k, v in shared.items()}
+            shared = {k: f.result() for k, f in done.items()}
+
+    # Phase 2: every metric derives from the shared aggregates.
+    parts = []
+    if usage is not None:
+        a, ru = cfg.as_of_for("usage"), shared["usage_rollup"]
         parts.append(billing.total_dbus(usage, a, d, rollup=ru))
         parts.append(billing.spend_trend(usage, a, d, rollup=ru).select(WS, "trend_pct_change"))
         parts.append(billing.top_cost_clusters(usage, a, d, k=1, rollup=ru)
                      .select(WS, F.col("total_dbus").alias("top_cluster_dbus")))
-    tl = tables.get("cluster_timeline")
     if tl is not None:
-        a = cfg.as_of_for("cluster_timeline")
-        ch = share(compute.cluster_hours(tl, a, d), "cluster_hours")  # shared by D4 and D5
+        a, ch = cfg.as_of_for("cluster_timeline"), shared["cluster_hours"]
         parts.append(compute.running_hours_total(tl, a, d, hours_by_cluster=ch))
-        if tables.get("job_runs") is not None:
-            parts.append(compute.idle_hours_total(tl, tables["job_runs"], a, d, hours_by_cluster=ch))
-    qh = tables.get("query_history")
+        if jr is not None:
+            parts.append(compute.idle_hours_total(tl, jr, a, d, hours_by_cluster=ch))
     if qh is not None:
-        a = cfg.as_of_for("query_history")
-        wc = share(queries.warehouse_counts(qh, a, d, cfg.slow_query_ms), "warehouse_counts")  # D6-D8
-        st = queries.query_stats(qh, a, d, cfg.slow_query_ms, counts=wc,
-                                 cut=(lambda df: share(df, "duration_counts")) if materialize else None)
+        a, wc = cfg.as_of_for("query_history"), shared["warehouse_counts"]
+        st = queries.query_stats(qh, a, d, cfg.slow_query_ms, counts=wc, value_counts=shared["duration_counts"])
         parts.append(queries.query_failure_rate(st, keep=["slow_query_count", "p95_duration_ms"])
                      .withColumnRenamed("failed", "failed_queries")
                      .drop("failure_rate_raw"))
         parts.append(queries.warehouse_utilization(qh, a, d, counts=wc).groupBy(WS).agg(
             F.count(F.lit(1)).alias("wh_rows"), F.max("query_count").alias("wh_top_count")))
-    jr = tables.get("job_runs")
     if jr is not None:
-        a = cfg.as_of_for("job_runs")
-        jc = share(jobs.job_counts(jr, a, d), "job_counts")  # shared by D9 and D10
+        a, jc = cfg.as_of_for("job_runs"), shared["job_counts"]
         parts.append(jobs.job_success_rate(jobs.job_run_stats(jr, a, d, counts=jc))
                      .select(WS, "total_runs", F.col("failed").alias("failed_runs"), "success_rate_pct"))
         parts.append(jobs.top_failing_jobs(jr, a, d, counts=jc).groupBy(WS).agg(
             F.count(F.lit(1)).alias("failing_jobs"),
             count_if(F.col("failures") >= 5).alias("chronic_jobs")))
-    au = tables.get("audit")
     if au is not None:
-        a = cfg.as_of_for("audit")
-        ac = share(audit.action_counts(au, a, d), "action_counts")  # shared by D11-D13
+        a, ac = cfg.as_of_for("audit"), shared["action_counts"]
         parts.append(audit.audit_total(au, a, d, counts=ac))
         parts.append(audit.audit_summary(au, a, d, counts=ac).select(WS, "failed_logins", "permission_changes"))
     if not parts:

@@ -42,7 +42,7 @@ def warehouse_counts(history: DataFrame, as_of: dt.date, days: int = 30,
 
 def query_stats(history: DataFrame, as_of: dt.date, days: int = 30,
                 slow_ms: int = 300_000, percentile: str = "exact",
-                counts: DataFrame | None = None, cut=None) -> DataFrame:
+                counts: DataFrame | None = None, value_counts: DataFrame | None = None) -> DataFrame:
     """D6 + D7: counts by status, mean and p95/p99 duration, slow-query count."""
     c = counts if counts is not None else warehouse_counts(history, as_of, days, slow_ms)
     stats = c.groupBy(WS).agg(
@@ -55,7 +55,7 @@ def query_stats(history: DataFrame, as_of: dt.date, days: int = 30,
     )
     q = recent(history, "start_time", as_of, days).select(WS, "duration")
     if percentile == "exact":
-        pcts = exact_percentiles(q, [WS], "duration", PROBS, cut=cut)
+        pcts = exact_percentiles(q, [WS], "duration", PROBS, counts=value_counts)
     else:
         pcts = approx_percentiles(q, [WS], "duration", PROBS)
     return stats.join(pcts, on=WS, how="left")

@@ -446,38 +446,38 @@ def _call_entries(spark, sf):
 # --- ingest: landed API payloads -> inventory tables -> features -----------------------------------
 
 from fleetgrade.sources import inventory as inv  # noqa: E402
-from fleetgrade.sources.landing import land  # noqa: E402
+from fleetgrade.sources.landing import landed  # noqa: E402
 
 
 @register("ingest_clusters")
 def _ingest_clusters(spark, sf):
-    return features.features_clusters(inv.clusters(land(spark, sf, ["clusters"])))
+    return features.features_clusters(inv.clusters(landed(spark, sf)))
 
 
 @register("ingest_warehouses")
 def _ingest_warehouses(spark, sf):
-    return features.features_warehouses(inv.warehouses(land(spark, sf, ["warehouses"])))
+    return features.features_warehouses(inv.warehouses(landed(spark, sf)))
 
 
 @register("ingest_jobs")
 def _ingest_jobs(spark, sf):
-    p = land(spark, sf, ["jobs", "scim"])
+    p = landed(spark, sf)
     return features.features_jobs(inv.jobs(p), inv.service_principals(p))
 
 
 @register("ingest_pipelines")
 def _ingest_pipelines(spark, sf):
-    return features.features_pipelines(inv.pipelines(land(spark, sf, ["pipelines"])))
+    return features.features_pipelines(inv.pipelines(landed(spark, sf)))
 
 
 @register("ingest_catalogs")
 def _ingest_catalogs(spark, sf):
-    return features.features_catalogs(inv.catalogs(land(spark, sf, ["catalogs"])))
+    return features.features_catalogs(inv.catalogs(landed(spark, sf)))
 
 
 @register("ingest_scim")
 def _ingest_scim(spark, sf):
-    p = land(spark, sf, ["scim"])
+    p = landed(spark, sf)
     groups = features.features_scim(inv.scim_groups(p)).drop("scim_count").join(
         inv.scim_counts(p, "scim_groups", "scim_count"), on="workspace_id", how="full")
     return groups.join(inv.scim_counts(p, "service_principals", "sp_count"), on="workspace_id", how="full")
@@ -485,22 +485,22 @@ def _ingest_scim(spark, sf):
 
 @register("ingest_settings")
 def _ingest_settings(spark, sf):
-    return features.features_settings(inv.settings(land(spark, sf, ["settings"])))
+    return features.features_settings(inv.settings(landed(spark, sf)))
 
 
 @register("ingest_counts")
 def _ingest_counts(spark, sf):
-    return features.features_counts(inv.object_counts(land(spark, sf, ["object_lists"])))
+    return features.features_counts(inv.object_counts(landed(spark, sf)))
 
 
 @register("ingest_workspace_objects")
 def _ingest_workspace_objects(spark, sf):
-    return inv.workspace_object_summary(inv.workspace_objects(land(spark, sf, ["object_lists"])))
+    return inv.workspace_object_summary(inv.workspace_objects(landed(spark, sf)))
 
 
 @register("ingest_workspace_features")
 def _ingest_workspace_features(spark, sf):
-    p = land(spark, sf)
+    p = landed(spark, sf)
     return features.workspace_features(inv.inventory_tables(p, Fixtures(spark, sf).workspaces))
 
 

@@ -170,7 +170,7 @@ where s_suppkey < 9""",
 select user_id % 10 as workspace_id,
        event_id as seq,
        concat('collector_', event_type) as collector,
-       concat('databricks api get /api/2.0/', event_type) as command_text,
+       concat('api get /api/2.0/', event_type) as command_text,
        props as output,
        value as duration_seconds,
        event_type <> 'error' as success,
