@@ -103,7 +103,7 @@ select * from r where rank <= 10""")
 _UPTIME = f"""
 up as (
   select workspace_id, cluster_id, cluster_name,
-         sum(case when state = 'RUNNING' then duration_ms else 0 end) as running_ms,
+         cast(sum(case when state = 'RUNNING' then duration_ms else 0 end) as bigint) as running_ms,
          cast(sum(case when state = 'RUNNING' then duration_ms else 0 end) as double) / 3600000.0 as running_hours,
          cast(sum(duration_ms) as double) / 3600000.0 as total_hours,
          count(distinct cast(change_time as date)) as active_days
@@ -130,7 +130,7 @@ from top where rank <= 20 group by workspace_id""")
 _IDLE = f"""
 idle as (
   select c.workspace_id, c.cluster_id, c.cluster_name,
-         sum(case when c.state = 'RUNNING' then c.duration_ms else 0 end) as running_ms,
+         cast(sum(case when c.state = 'RUNNING' then c.duration_ms else 0 end) as bigint) as running_ms,
          cast(sum(case when c.state = 'RUNNING' then c.duration_ms else 0 end) as double) / 3600000.0 as running_hours
   from cluster_timeline c
   left join job_runs j

@@ -32,7 +32,7 @@ _ALL_IDS = [r[1] for r in catalog_rules()]
 BASE = f"""with {o._F_ALL}, {osc._scored(_ALL_IDS)}, {_CAT}, {_PD},
 scx as (select sc.*, cat.name, cat.principle from sc join cat using (rule_id, ord)),
 ps as (
-  select workspace_id, pillar, count(*) as rules, sum(cast(verified as integer)) as verified_rules,
+  select workspace_id, pillar, count(*) as rules, cast(sum(cast(verified as integer)) as bigint) as verified_rules,
          avg(cast(score as double)) as pillar_score,
          avg(case when verified then cast(score as double) end) as pillar_verified_score,
          cast(sum(cast(verified as integer)) as double) / cast(count(*) as double) * 100.0 as pillar_coverage

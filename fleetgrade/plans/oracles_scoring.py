@@ -347,7 +347,7 @@ _ALL_IDS = [r[1] for r in catalog_rules()]
 _SC_ALL = f"with {o._F_ALL}, {_scored(_ALL_IDS)}"
 
 o.oracle("pillar_scores", _VIEWS, f"""{_SC_ALL}
-select workspace_id, pillar, count(*) as rules, sum(cast(verified as integer)) as verified_rules,
+select workspace_id, pillar, count(*) as rules, cast(sum(cast(verified as integer)) as bigint) as verified_rules,
        avg(cast(score as double)) as pillar_score,
        avg(case when verified then cast(score as double) end) as pillar_verified_score,
        cast(sum(cast(verified as integer)) as double) / cast(count(*) as double) * 100.0 as pillar_coverage
@@ -355,7 +355,7 @@ from sc group by workspace_id, pillar""")
 
 o.oracle("assessment", _VIEWS, f"""{_SC_ALL},
 agg as (
-  select workspace_id, count(*) as rules, sum(cast(verified as integer)) as verified_rules,
+  select workspace_id, count(*) as rules, cast(sum(cast(verified as integer)) as bigint) as verified_rules,
          avg(cast(score as double)) as m, coalesce(avg(case when verified then cast(score as double) end), 0.0) as vm
   from sc group by workspace_id)
 select agg.workspace_id, rules, verified_rules, round_even(m, 2) as overall_score, round_even(vm, 2) as verified_score,

@@ -77,3 +77,23 @@ def test_stream_rescoring_matches_batch(spark):
     exp = assess(inventory(spark, SF001), deep_tables(spark, SF001), FIXTURE_CONFIG, materialize=False).scores
     exp = exp.select("workspace_id", "rule_id", "score", "verified")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, exp.collect()))
+
+
+def test_score_sheet_csv_and_call_log_append(spark):
+    import os
+
+    from fleetgrade.plans.registered import assessed, call_log
+    from fleetgrade.plans import reports
+    from fleetgrade.sources import store
+    base = tempfile.mkdtemp(prefix="fg-sink-")
+    a = assessed(spark, SF001)
+    sheet = reports.score_sheet(spark, a.scores, a.inputs)
+    store.write_score_sheet(sheet, f"{base}/sheet")
+    parts = sorted(d for d in os.listdir(f"{base}/sheet") if d.startswith("workspace_id="))
+    assert len(parts) == a.inputs.count()
+    back = spark.read.option("header", True).csv(f"{base}/sheet")
+    assert back.count() == sheet.count()
+    calls = call_log(spark, SF001)
+    store.append_calls(calls, f"{base}/calls", sql_calls=True)
+    store.append_calls(calls, f"{base}/calls", sql_calls=True)
+    assert spark.read.parquet(f"{base}/calls").count() == 2 * calls.count()
