@@ -111,7 +111,8 @@ def clusters_spec(clusters: DataFrame, recent_regex: str = r"^1[4-9]\.") -> Spec
         ("photon_clusters", _flag(F.col("runtime_engine") == "PHOTON"), "sum"),
         ("autoscale_clusters", _flag(has_autoscale), "sum"),
         ("total_workers", F.coalesce(nw, F.lit(0)), "sum"),
-        ("max_workers", F.coalesce(F.nullif(auto_max, F.lit(0)), F.nullif(nw, F.lit(0)), F.lit(0)), "max"),
+        ("max_workers", F.coalesce(F.nullif(auto_max, F.lit(0)), F.nullif(nw, F.lit(0)), F.lit(0)).cast("bigint"),
+         "max"),
         ("node_type_count", F.when(has_node, F.col("node_type_id")), "distinct"),
         ("node_type_sample", F.when(has_node, F.col("node_type_id")), "min"),
         ("running_no_autoterm", _flag((state == "RUNNING") & (autoterm.isNull() | (autoterm == 0))), "sum"),

@@ -474,7 +474,8 @@ for _k, _views, _body in (
                                          "(select workspace_id from object_counts where n > 0)"),
     ("ingest_workspace_features", _INV_VIEWS, f"with {_F_ALL} select * from wf"),
 ):
-    oracle(_k, _views, _body)
+    # Landed payloads carry workspace_id as BIGINT.
+    oracle(_k, _views, _body.replace(" select * from ", " select * replace (cast(workspace_id as bigint) as workspace_id) from "))
 
 oracle("ingest_scim", ["scim_groups", "service_principals"], f"""
 with {_F_SCIM}
