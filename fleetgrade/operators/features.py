@@ -61,7 +61,10 @@ def workspace_base(workspaces: DataFrame) -> DataFrame:
     return workspaces.select(
         WS, "host", cloud_of_host(F.col("host")).alias("cloud"),
         "metastore_name", "metastore_owner", "delta_sharing_scope",
-        _nonempty(F.col("metastore_name")).alias("has_metastore"),
+        # The summary counts as present when the call returned any field (name,
+        # owner or sharing scope), even without a name.
+        (_nonempty(F.col("metastore_name")) | F.col("metastore_owner").isNotNull()
+         | F.col("delta_sharing_scope").isNotNull()).alias("has_metastore"),
     )
 
 

@@ -425,7 +425,8 @@ base as (
               when regexp_matches(lower(host), '\\.databricks\\.com') then 'aws'
               else 'unknown' end as cloud,
          metastore_name, metastore_owner, delta_sharing_scope,
-         coalesce(metastore_name <> '', false) as has_metastore
+         (coalesce(metastore_name, '') <> '' or metastore_owner is not null or delta_sharing_scope is not null)
+           as has_metastore
   from workspaces),
 wf as (
   select base.*,

@@ -52,12 +52,21 @@ def rows_of(cols, rows):
     return [cols[i] for i in order], sorted(tuple(_norm(r[i]) for i in order) for r in rows)
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE"}
+
+
 def compare(spark, sf_dir: str, key: str, query, sql: str, con=None):
-    """Return (ok, message)."""
+    """Return (ok, message): same columns and types, same rows in any order."""
     df = query(spark, sf_dir)
+    s_types = {n: SPARK_TO_DUCK.get(t, t) for n, t in df.dtypes}
     s_cols, s_rows = rows_of(df.columns, [tuple(r) for r in df.collect()])
     con = con or duck(sf_dir)
     res = con.execute(sql)
+    d_types = {c[0]: str(c[1]) for c in res.description}
+    wrong = {n: (t, d_types.get(n)) for n, t in s_types.items() if d_types.get(n) not in (None, t)}
+    if wrong:
+        return False, f"{key}: column types differ {wrong}"
     d_cols = [c[0] for c in res.description]
     d_cols, d_rows = rows_of(d_cols, res.fetchall())
     if s_cols != d_cols:
