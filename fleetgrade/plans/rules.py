@@ -49,6 +49,8 @@ def register_rule(rule_id: str, branches: Callable[[], list[Branch]]) -> None:
     """Plug-in surface: add or replace a rule's branches."""
     RULES[rule_id] = branches
     ALIASES.pop(rule_id, None)
+    from fleetgrade.plans.scoring import clear_compiled
+    clear_compiled()
 
 
 def branches_of(rule_id: str) -> list[Branch]:

@@ -46,7 +46,22 @@ def _pick(values: list, idx: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), idx + 1)
 
 
-def _score_group(inputs: DataFrame, group: list[tuple]) -> DataFrame:
+# Compiled rule expressions per (application, rule ids). They are unresolved
+# Column expressions, independent of the input DataFrame, and building them
+# costs thousands of JVM calls, so they are built once and reused.
+_COMPILED: dict[tuple, tuple[list, list]] = {}
+
+
+def clear_compiled() -> None:
+    _COMPILED.clear()
+
+
+def _compiled_group(group: list[tuple]) -> tuple[list, list]:
+    from pyspark.sql import SparkSession
+    active = SparkSession.getActiveSession()
+    key = (active.sparkContext.applicationId if active else None, tuple(r[1] for r in group))
+    if key in _COMPILED:
+        return _COMPILED[key]
     idx_cols, structs = [], []
     for ord_, rid, name, pillar, principle, _domains in group:
         idx, scores, flags, notes = compile_branches(rid)
@@ -58,6 +73,12 @@ def _score_group(inputs: DataFrame, group: list[tuple]) -> DataFrame:
             F.lit(pillar).alias("pillar"), F.lit(principle).alias("principle"),
             _pick(scores, F.col(b)).cast("int").alias("score"), _pick(flags, F.col(b)).alias("verified"),
             note.alias("finding_notes")))
+    _COMPILED[key] = (idx_cols, structs)
+    return _COMPILED[key]
+
+
+def _score_group(inputs: DataFrame, group: list[tuple]) -> DataFrame:
+    idx_cols, structs = _compiled_group(group)
     wide = inputs.select("*", *idx_cols)
     return wide.select(WS, F.explode(F.array(*structs)).alias("r")).select(WS, "r.*")
 
