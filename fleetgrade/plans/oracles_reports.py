@@ -336,3 +336,8 @@ o.oracle("call_log_flat", ["call_log"], """
 select workspace_id, seq, collector, command_text as command, substr(output, 1, 2000) as output,
        duration_seconds as duration, success, error
 from call_log""")
+o.oracle("collector_runs", ["call_log"], """
+select workspace_id, collector, count(*) as calls, round(coalesce(sum(duration_seconds), 0.0), 6) as seconds,
+       count(*) filter (where not success) as failed_calls,
+       arg_max(error, case when error is not null then seq end) as error
+from call_log group by workspace_id, collector""")

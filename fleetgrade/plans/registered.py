@@ -540,3 +540,9 @@ def _call_log_flat(spark, sf):
     """S8 + S9: flattened call log with SQL-call output cut to 2000 characters."""
     flat = store.flatten_calls(call_log(spark, sf))
     return flat.withColumn("output", F.substring("output", 1, store.SQL_OUTPUT_CUT))
+
+
+@register("collector_runs")
+def _collector_runs(spark, sf):
+    # Float sums depend on summation order; compare at 6 decimals.
+    return reports.collector_runs(call_log(spark, sf)).withColumn("seconds", F.round("seconds", 6))

@@ -464,3 +464,12 @@ def call_entries(call_log: DataFrame, order_col: str = "seq") -> DataFrame:
         F.when(F.length(out) > OUTPUT_CUT, F.concat(F.substring(out, 1, OUTPUT_CUT), F.lit("\n\n... [truncated]")))
         .when(out == "", "(no output)").otherwise(out).alias("output"),
         "duration_seconds")
+
+
+def collector_runs(call_log: DataFrame) -> DataFrame:
+    """Run summary per (workspace, collector): calls, seconds, failed calls, last error text."""
+    return call_log.groupBy(WS, "collector").agg(
+        F.count(F.lit(1)).alias("calls"),
+        F.coalesce(F.sum("duration_seconds"), F.lit(0.0)).alias("seconds"),
+        F.count_if(~F.col("success")).alias("failed_calls"),
+        F.max_by("error", F.when(F.col("error").isNotNull(), F.col("seq"))).alias("error"))
