@@ -337,6 +337,7 @@ sc as (select workspace_id, ord, rule_id, pillar, cast(left(code, 1) as integer)
 
 
 _VIEWS = _DEEP_VIEWS + o._INV_VIEWS
+_AS_OF = o.CFG.as_of.isoformat()
 
 for _p in PILLARS:
     _ids = [r[1] for r in catalog_rules() if r[1].startswith(_p[0] + "-")]
@@ -358,7 +359,7 @@ agg as (
   select workspace_id, count(*) as rules, cast(sum(cast(verified as integer)) as bigint) as verified_rules,
          avg(cast(score as double)) as m, coalesce(avg(case when verified then cast(score as double) end), 0.0) as vm
   from sc group by workspace_id)
-select agg.workspace_id, rules, verified_rules, round_even(m, 2) as overall_score, round_even(vm, 2) as verified_score,
+select agg.workspace_id, DATE '{_AS_OF}' as as_of, rules, verified_rules, round_even(m, 2) as overall_score, round_even(vm, 2) as verified_score,
        round_even(cast(verified_rules as double) / cast(rules as double) * 100.0, 1) as coverage_pct,
        case when vm >= 1.75 then 'Optimized' when vm >= 1.25 then 'Established' when vm >= 0.5 then 'Developing'
             else 'Beginning' end as maturity,

@@ -522,7 +522,7 @@ def _rescore_from_cache(spark, sf):
     root = _snapshot_root(spark)
     store.write_snapshot({"inputs": a.inputs}, root, CFG.as_of)
     back = store.read_snapshot(spark, root, "inputs", CFG.as_of)
-    return scoring.assessment(scoring.score_rules(back), back)
+    return scoring.assessment(scoring.score_rules(back, as_of=CFG.as_of), back)
 
 
 @register("rescore_from_notes")
@@ -530,8 +530,9 @@ def _rescore_from_notes(spark, sf):
     """S7 with a foreign score cache: the verified flag is re-derived from the note text."""
     a = assessed(spark, sf)
     root = _snapshot_root(spark)
-    store.write_snapshot({"scores": a.scores.drop("verified", "as_of")}, root, CFG.as_of)
-    back = scoring.reflag_verified(store.read_snapshot(spark, root, "scores", CFG.as_of))
+    store.write_snapshot({"scores": a.scores.drop("verified")}, root, CFG.as_of)
+    back = scoring.reflag_verified(store.read_snapshot(spark, root, "scores", CFG.as_of)
+                                   .withColumn("as_of", F.lit(CFG.as_of)))
     return scoring.assessment(back, a.inputs)
 
 

@@ -144,11 +144,15 @@ def pillar_scores(scores: DataFrame) -> DataFrame:
 
 
 def assessment(scores: DataFrame, base: DataFrame | None = None) -> DataFrame:
-    """One row per workspace."""
+    """One row per workspace (with ``as_of`` when the scores carry it)."""
     r = rollups(scores).where(F.col("pillar").isNull())
     vmean = F.coalesce(F.col("verified_mean"), F.lit(0.0))
+    cols = [WS]
+    if "as_of" in scores.columns:
+        r = r.join(scores.groupBy(WS).agg(F.max("as_of").alias("as_of")), on=WS, how="left")
+        cols.append("as_of")
     out = r.select(
-        WS, "rules", "verified_rules",
+        *cols, "rules", "verified_rules",
         F.bround(F.col("score_mean"), 2).alias("overall_score"),
         F.bround(vmean, 2).alias("verified_score"),
         F.bround(F.col("verified_rules").cast("double") / F.col("rules").cast("double") * 100.0, 1)
