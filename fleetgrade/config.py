@@ -25,6 +25,9 @@ class AssessConfig:
     slow_query_ms: int = 300_000
     # Cap the per-workspace detail lists the way the collector does (quirk Q10).
     list_cap: bool = False
+    # "exact" (distributed, same result as PERCENTILE) or "approx" (sketch,
+    # bounded memory, for fleets where p95/p99 need not be exact).
+    percentile: str = "exact"
 
     def as_of_for(self, source: str) -> dt.date:
         return self.source_as_of.get(source, self.as_of)

@@ -56,7 +56,8 @@ def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: b
     if qh is not None:
         a = cfg.as_of_for("query_history")
         shared["warehouse_counts"] = queries.warehouse_counts(qh, a, d, cfg.slow_query_ms)
-        shared["duration_counts"] = duration_counts(qh, a, d)
+        if cfg.percentile == "exact":
+            shared["duration_counts"] = duration_counts(qh, a, d)
     if jr is not None:
         shared["job_counts"] = jobs.job_counts(jr, cfg.as_of_for("job_runs"), d)
     if au is not None:
@@ -82,7 +83,8 @@ def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: b
             parts.append(compute.idle_hours_total(tl, jr, a, d, hours_by_cluster=ch))
     if qh is not None:
         a, wc = cfg.as_of_for("query_history"), shared["warehouse_counts"]
-        st = queries.query_stats(qh, a, d, cfg.slow_query_ms, counts=wc, value_counts=shared["duration_counts"])
+        st = queries.query_stats(qh, a, d, cfg.slow_query_ms, percentile=cfg.percentile, counts=wc,
+                                 value_counts=shared.get("duration_counts"))
         parts.append(queries.query_failure_rate(st, keep=["slow_query_count", "p95_duration_ms"])
                      .withColumnRenamed("failed", "failed_queries")
                      .drop("failure_rate_raw"))

@@ -169,3 +169,20 @@ def test_scim_list_cap(spark):
     assert inv.scim_groups(p).count() == 150
     assert inv.scim_groups(p, list_cap=True).count() == 100
     assert inv.scim_counts(p, "scim_groups", "n").collect()[0]["n"] == 150
+
+
+def test_approx_percentile_option(spark):
+    """The sketch option returns, per workspace, a value between the exact p90 and p99."""
+    import dataclasses
+    from fleetgrade.operators import deep
+    from fleetgrade.plans.registered import deep_tables
+    cfg = dataclasses.replace(FIXTURE_CONFIG, percentile="approx")
+    approx = {r["workspace_id"]: r["p95_duration_ms"] for r in
+              deep.deep_metrics(deep_tables(spark, SF001), cfg).collect()}
+    q = recent(Fixtures(spark, SF001).query_history, "start_time", FIXTURE_CONFIG.as_of_for("query_history"), 30)
+    bounds = {r["workspace_id"]: (r["p90"], r["p99"]) for r in
+              exact_percentiles(q, ["workspace_id"], "duration", {"p90": 0.90, "p99": 0.99}).collect()}
+    assert set(approx) == set(bounds)
+    for k, v in approx.items():
+        lo, hi = bounds[k]
+        assert lo - 1e-6 <= v <= hi + 1e-6
