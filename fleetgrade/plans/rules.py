@@ -21,10 +21,35 @@ RULES: dict[str, Callable[[], list[Branch]]] = {}
 ALIASES: dict[str, str] = {}
 
 
+# Column expressions are immutable and reused by many rules; each one costs JVM
+# calls to build, so shared ones are built once per Spark application.
+_SHARED: dict[tuple, Column] = {}
+
+
+def _app() -> str | None:
+    from pyspark.sql import SparkSession
+    active = SparkSession.getActiveSession()
+    return active.sparkContext.applicationId if active else None
+
+
+def shared(fn):
+    """Memoise a Column-building helper per application and arguments."""
+    def wrapper(*args):
+        key = (_app(), fn.__name__, args)
+        if key not in _SHARED:
+            _SHARED[key] = fn(*args)
+        return _SHARED[key]
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
+@shared
 def C(name: str) -> Column:  # noqa: N802 - short column accessor for rule tables
     return F.col(name)
 
 
+@shared
 def N(name: str) -> Column:  # noqa: N802
     """Numeric feature with NULL read as 0 (the reference's ``or 0``)."""
     return F.coalesce(F.col(name), F.lit(0))
@@ -94,26 +119,32 @@ def _note(n: Column | str) -> Column:
 # Shared predicates
 # ---------------------------------------------------------------------------
 
+@shared
 def metastore() -> Column:
     return F.coalesce(C("has_metastore"), F.lit(False))
 
 
+@shared
 def ms_name() -> Column:
     return C("metastore_name").isNotNull() & (C("metastore_name") != "")
 
 
+@shared
 def cats() -> Column:
     return N("catalog_count")
 
 
+@shared
 def uc_with_catalogs() -> Column:
     return ms_name() & (cats() > 0)
 
 
+@shared
 def cloud_known() -> Column:
     return C("cloud").isin("aws", "azure", "gcp")
 
 
+@shared
 def cloud_upper() -> Column:
     return F.upper(F.coalesce(C("cloud"), F.lit("unknown")))
 
