@@ -97,3 +97,26 @@ def test_score_sheet_csv_and_call_log_append(spark):
     store.append_calls(calls, f"{base}/calls", sql_calls=True)
     store.append_calls(calls, f"{base}/calls", sql_calls=True)
     assert spark.read.parquet(f"{base}/calls").count() == 2 * calls.count()
+
+
+def test_readme_usage_flow(spark):
+    """The README's fleet flow: tables by name, landed payloads, assess, snapshot, plan."""
+    from fleetgrade.plans import remediation
+    from fleetgrade.plans.registered import deep_tables
+    from fleetgrade.sources import store
+    from fleetgrade.sources.availability import operational_tables
+    for name, df in deep_tables(spark, SF001).items():
+        df.createOrReplaceTempView(f"fg_sys_{name}")
+    ops = operational_tables(spark, {k: f"fg_sys_{k}" for k in
+                                     ("usage", "cluster_timeline", "job_runs", "query_history", "audit")})
+    base = tempfile.mkdtemp(prefix="fg-usage-")
+    land(spark, SF001).write.parquet(f"{base}/payloads")
+    payloads = spark.read.parquet(f"{base}/payloads")
+    workspaces = Fixtures(spark, SF001).workspaces.select("workspace_id", "host")
+    a = assess(inv.inventory_tables(payloads, workspaces), ops, FIXTURE_CONFIG)
+    store.write_snapshot({"inputs": a.inputs, "scores": a.scores, "assessment": a.assessment},
+                         f"{base}/snap", FIXTURE_CONFIG.as_of)
+    back = store.read_snapshot(spark, f"{base}/snap", "assessment", FIXTURE_CONFIG.as_of)
+    assert back.count() == 10
+    plan = remediation.remediation_plan(a.scores, remediation.remediation_match(spark))
+    assert plan.count() > 0
