@@ -14,9 +14,10 @@ _DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Exact percentile and rule tables produce many small aggregates; let AQE
-    # turn joins against per-workspace tables into broadcasts only when the
-    # runtime size proves small.
+    # Broadcast only what is measured to be small: no static (estimate-based)
+    # broadcast; AQE converts a join to a broadcast when the materialised side
+    # is under the threshold. Explicit hints are used only on static dimensions.
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.autoBroadcastJoinThreshold": "32MB",
     "spark.sql.files.maxPartitionBytes": "128MB",
     "spark.sql.parquet.filterPushdown": "true",
