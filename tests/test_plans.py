@@ -37,3 +37,17 @@ def test_topk_limits_groups_before_the_shuffle(spark):
 def test_percentile_never_uses_a_single_group_buffer(spark):
     plan = plan_of(QUERIES["query_stats"](spark, SF001))
     assert "percentile(" not in plan.lower().replace("percentile_approx", "")
+
+
+@pytest.mark.parametrize("key,column", [
+    ("daily_spend", "l_shipdate"), ("cluster_uptime", "l_shipdate"), ("job_run_stats", "o_orderdate"),
+    ("warehouse_utilization", "ts"), ("audit_by_action", "ts"),
+])
+def test_window_filter_reaches_the_scan(spark, key, column):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = plan_of(QUERIES[key](spark, SF001))
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
+    assert scans and all(f"GreaterThanOrEqual({column}" in line and f"LessThan({column}" in line for line in scans)
