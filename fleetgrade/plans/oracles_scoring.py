@@ -243,7 +243,7 @@ RULE_SQL: dict[str, str] = {
     "rel-018": "when true then '1U' else '1U'",
     "rel-019": "when sp_count > 0 and sp_owned_jobs > 0 then '2' when sp_count > 0 then '1' "
                "when job_count > 0 then '0' else '1'",
-    "rel-020": "when not jobs_available then '1U' when total_runs = 0 then '1' when success_rate_pct < 90 then '0' "
+    "rel-020": "when not jobs_available then '1U' when coalesce(total_runs, 0) = 0 then '1' when success_rate_pct < 90 then '0' "
                "when success_rate_pct < 98 then '1' else '2'",
     "rel-021": "when not jobs_available then '1U' when coalesce(failing_jobs, 0) = 0 then '2' "
                "when chronic_jobs >= 3 then '0' else '1'",
@@ -275,12 +275,12 @@ RULE_SQL: dict[str, str] = {
                 "when 'gcp' then efficient_gcp else 0 end) > 0 then '2' else '0'",
     "perf-025": "when cluster_count = 0 then '1' when standard_mode_clusters > 0 and none_mode_clusters = 0 then '2' "
                 "when standard_mode_clusters > 0 then '1' when none_mode_clusters > 0 then '0' else '1'",
-    "perf-026": "when not query_available then '1U' when total_queries = 0 then '1' "
+    "perf-026": "when not query_available then '1U' when coalesce(total_queries, 0) = 0 then '1' "
                 "when failure_rate_pct > 10 then '0' when failure_rate_pct > 2 then '1' else '2'",
-    "perf-027": "when not query_available then '1U' when total_queries = 0 then '1' "
+    "perf-027": "when not query_available then '1U' when coalesce(total_queries, 0) = 0 then '1' "
                 "when cast(slow_query_count as double) / cast(total_queries as double) * 100 > 5 then '0' "
                 "when cast(slow_query_count as double) / cast(total_queries as double) * 100 > 1 then '1' else '2'",
-    "perf-028": "when not query_available then '1U' when coalesce(wh_rows, 0) = 0 or total_queries = 0 then '1' "
+    "perf-028": "when not query_available then '1U' when coalesce(wh_rows, 0) = 0 or coalesce(total_queries, 0) = 0 then '1' "
                 "when wh_rows = 1 and cast(wh_top_count as double) / cast(total_queries as double) * 100 > 90 then '1' "
                 "when cast(wh_top_count as double) / cast(total_queries as double) * 100 > 80 then '1' else '2'",
     "cost-001": "gov-012",
