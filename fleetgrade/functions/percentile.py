@@ -86,19 +86,25 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str,
             .where((F.col("rank") >= F.col("_cbeg")) & (F.col("rank") < F.col("_cend")))
             .select(*keys, "pid", "side", "pos", "rank", "_v"))
 
-    per_prob = (hits.groupBy(*keys, "pid")
-                .agg(F.max("pos").alias("pos"),
-                     F.max(F.when(F.col("side") == "lo", F.col("rank"))).alias("lo"),
-                     F.max(F.when(F.col("side") == "hi", F.col("rank"))).alias("hi"),
-                     F.max(F.when(F.col("side") == "lo", F.col("_v"))).alias("lo_v"),
-                     F.max(F.when(F.col("side") == "hi", F.col("_v"))).alias("hi_v")))
-    # Same interpolation as Spark's PERCENTILE.
-    val = F.when((F.col("hi") == F.col("lo")) | (F.col("hi_v") == F.col("lo_v")), F.col("lo_v")).otherwise(
-        (F.col("hi").cast("double") - F.col("pos")) * F.col("lo_v")
-        + (F.col("pos") - F.col("lo").cast("double")) * F.col("hi_v"))
-    per_prob = per_prob.select(*keys, "pid", val.alias("_p"))
-    return per_prob.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("pid") == i, F.col("_p"))).alias(name) for i, name in enumerate(names)])
+    # One aggregate per group: the floor/ceil values of every probability, then
+    # the same interpolation as Spark's PERCENTILE.
+    def pick(i: int, side: str, col: str) -> Column:
+        return F.max(F.when((F.col("pid") == i) & (F.col("side") == side), F.col(col)))
+
+    aggs = []
+    for i in range(len(names)):
+        aggs += [pick(i, "lo", "pos").alias(f"_pos{i}"), pick(i, "lo", "rank").alias(f"_lo{i}"),
+                 pick(i, "hi", "rank").alias(f"_hi{i}"), pick(i, "lo", "_v").alias(f"_lov{i}"),
+                 pick(i, "hi", "_v").alias(f"_hiv{i}")]
+    per_group = hits.groupBy(*keys).agg(*aggs)
+
+    def interpolate(i: int) -> Column:
+        pos, lo, hi = F.col(f"_pos{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        lo_v, hi_v = F.col(f"_lov{i}"), F.col(f"_hiv{i}")
+        return F.when((hi == lo) | (hi_v == lo_v), lo_v).otherwise(
+            (hi.cast("double") - pos) * lo_v + (pos - lo.cast("double")) * hi_v)
+
+    return per_group.select(*keys, *[interpolate(i).alias(name) for i, name in enumerate(names)])
 
 
 def approx_percentiles(df: DataFrame, keys: list[str], value: str,
