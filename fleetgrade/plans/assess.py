@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from fleetgrade.config import AssessConfig
 from fleetgrade.operators import deep, features
 from fleetgrade.plans import scoring
-from fleetgrade.session import cut_lineage
+from fleetgrade.session import app_id, cut_lineage
 
 
 @dataclass
@@ -52,7 +52,7 @@ _RUNS: dict[tuple[str, str], Assessment] = {}
 
 
 def assess_once(spark: SparkSession, key: str, build) -> Assessment:
-    k = (spark.sparkContext.applicationId, key)
+    k = (app_id(spark), key)
     if k not in _RUNS:
         _RUNS[k] = build()
     return _RUNS[k]

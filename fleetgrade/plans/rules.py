@@ -28,8 +28,10 @@ _SHARED: dict[tuple, Column] = {}
 
 def _app() -> str | None:
     from pyspark.sql import SparkSession
+
+    from fleetgrade.session import app_id
     active = SparkSession.getActiveSession()
-    return active.sparkContext.applicationId if active else None
+    return app_id(active) if active else None
 
 
 def shared(fn):

@@ -58,8 +58,9 @@ def clear_compiled() -> None:
 
 def _compiled_group(group: list[tuple]) -> tuple[list, list]:
     from pyspark.sql import SparkSession
+    from fleetgrade.session import app_id
     active = SparkSession.getActiveSession()
-    key = (active.sparkContext.applicationId if active else None, tuple(r[1] for r in group))
+    key = (app_id(active) if active else None, tuple(r[1] for r in group))
     if key in _COMPILED:
         return _COMPILED[key]
     idx_cols, structs = [], []

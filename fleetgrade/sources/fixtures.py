@@ -13,6 +13,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetgrade.session import app_id
 from fleetgrade.sources.testdata import register_raw
 
 FIXTURE_SQL: dict[str, str] = {
@@ -229,7 +230,7 @@ _PLANS: dict[tuple[str, str, str], DataFrame] = {}
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Return fixture ``name`` read from the parquet tables under ``sf_dir``."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (app_id(spark), sf_dir, name)
     if key not in _PLANS:
         sql = SPARK_SQL.get(name, FIXTURE_SQL[name])
         register_raw(spark, sf_dir, _raw_tables(sql))

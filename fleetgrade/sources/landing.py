@@ -172,8 +172,8 @@ _LANDED: dict[tuple[str, str], DataFrame] = {}
 def landed(spark, sf_dir: str) -> DataFrame:
     """All payload pages of ``sf_dir`` as a written table (what the collector
     leaves behind), landed once per application in the checkpoint folder."""
-    from fleetgrade.session import cut_lineage
-    key = (spark.sparkContext.applicationId, sf_dir)
+    from fleetgrade.session import app_id, cut_lineage
+    key = (app_id(spark), sf_dir)
     if key not in _LANDED:
         _LANDED[key] = cut_lineage(land(spark, sf_dir), "payloads")
     return _LANDED[key]
