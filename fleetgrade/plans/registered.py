@@ -4,6 +4,11 @@ Each reads the fixture views over the whole test tables and applies the product
 operator with the fixture calendar. Presentation-only steps (casts, rounding of
 floating results whose last bits depend on summation order) happen here, not in
 the operators.
+
+Like a production run, the scoring keys share one materialised assessment per
+Spark application and input directory (``assessed``: inputs and scores written
+once to the checkpoint folder), and the ingest keys share one landed payload
+table (``landed``); the first key that needs them pays for building them.
 """
 
 from __future__ import annotations
