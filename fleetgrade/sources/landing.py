@@ -175,7 +175,8 @@ def landed(spark, sf_dir: str) -> DataFrame:
     from fleetgrade.session import app_id, cut_lineage
     key = (app_id(spark), sf_dir)
     if key not in _LANDED:
-        _LANDED[key] = cut_lineage(land(spark, sf_dir), "payloads")
+        # Partitioned by endpoint: each normalizer reads only its own pages.
+        _LANDED[key] = cut_lineage(land(spark, sf_dir), "payloads", partition_by=["endpoint"])
     return _LANDED[key]
 
 
