@@ -51,7 +51,3 @@ def ratio_pct(num: Column, den: Column) -> Column:
 def round_half_even(c: Column, digits: int) -> Column:
     """Python ``round`` semantics for reported numbers."""
     return F.bround(c, digits)
-
-
-def coalesce0(c: Column) -> Column:
-    return F.coalesce(c, F.lit(0))

@@ -120,3 +120,20 @@ def test_readme_usage_flow(spark):
     assert back.count() == 10
     plan = remediation.remediation_plan(a.scores, remediation.remediation_match(spark))
     assert plan.count() > 0
+
+
+def test_small_list_normalizers(spark):
+    p = payloads(spark, [
+        (1, inv.ENDPOINTS["endpoints"], 0, json.dumps({"endpoints": [{"name": "e1", "state": {"ready": "READY"}}, 7]})),
+        (1, inv.ENDPOINTS["init_scripts"], 0, json.dumps({"scripts": [{"name": "s", "enabled": False, "script_id": "i"}]})),
+        (1, inv.ENDPOINTS["pools"], 0, json.dumps({"instance_pools": [{"name": "p", "node_type_id": "n"}]})),
+        (1, inv.ENDPOINTS["ip_access_lists"], 0, json.dumps({"ip_access_lists": [{"label": "l", "list_type": "ALLOW",
+                                                                                 "enabled": True}]})),
+        (1, inv.ENDPOINTS["groups"], 0, json.dumps({"groups": ["a", "b"]})),
+    ])
+    assert [(r["name"], r["state"]) for r in inv.serving_endpoints(p).collect()] == [("e1", "READY")]
+    assert inv.list_count(p, "endpoints", "endpoints", "n").collect()[0]["n"] == 2
+    assert [(r["name"], r["enabled"]) for r in inv.init_scripts(p).collect()] == [("s", False)]
+    assert [r["name"] for r in inv.instance_pools(p).collect()] == ["p"]
+    assert [r["list_type"] for r in inv.ip_access_lists(p).collect()] == ["ALLOW"]
+    assert inv.list_count(p, "groups", ["group_names", "groups"], "n").collect()[0]["n"] == 2
