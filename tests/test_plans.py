@@ -51,3 +51,17 @@ def test_window_filter_reaches_the_scan(spark, key, column):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     scans = [line for line in plan.splitlines() if "FileScan parquet" in line]
     assert scans and all(f"GreaterThanOrEqual({column}" in line and f"LessThan({column}" in line for line in scans)
+
+
+def test_materialised_assessment_has_cut_lineage(spark):
+    """Roll-ups and reports read the written tables, not the operational sources."""
+    from fleetgrade.plans.registered import assessed
+    from fleetgrade.session import ensure_checkpoint_dir
+    a = assessed(spark, SF001)
+    base = ensure_checkpoint_dir(spark).replace("file:", "")
+    for df in (a.scores, a.inputs, a.assessment):
+        plan = plan_of(df)
+        locations = [line for line in plan.splitlines() if "FileScan parquet" in line]
+        assert locations
+        assert all("/fleetgrade/" in line and base.rstrip("/").split("/")[-1] in line for line in locations)
+        assert "lineitem" not in plan and "events.parquet" not in plan
