@@ -104,14 +104,9 @@ def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: b
     if not parts:
         raise ValueError("no operational source given")
     wide = fold_by_key(parts, WS)
-    for c in ("total_dbus_30d", "total_dbus_all", "trend_pct_change", "top_cluster_dbus",
-              "running_hours_raw", "total_running_hours_30d", "uptime_rows", "max_running_hours",
-              "idle_hours_raw", "idle_hours_30d", "idle_rows", "total_queries", "failure_rate_pct",
-              "failed_queries", "slow_query_count", "p95_duration_ms", "wh_rows", "wh_top_count",
-              "total_runs", "failed_runs", "success_rate_pct", "failing_jobs", "chronic_jobs",
-              "total_events_30d", "failed_logins", "permission_changes"):
-        if c not in wide.columns:
-            wide = wide.withColumn(c, F.lit(None).cast("double"))
+    missing = [c for c in DEEP_COLUMNS if c not in wide.columns]
+    if missing:
+        wide = wide.select("*", *[F.lit(None).cast(DEEP_TYPES[c]).alias(c) for c in missing])
     present = table_sources(tables)
     return wide.select(
         "*",
@@ -123,6 +118,18 @@ def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: b
     )
 
 
+# Every per-workspace deep metric column (NULL when its source is absent).
+DEEP_COLUMNS = ("total_dbus_30d", "total_dbus_all", "trend_pct_change", "top_cluster_dbus",
+                "running_hours_raw", "total_running_hours_30d", "uptime_rows", "max_running_hours",
+                "idle_hours_raw", "idle_hours_30d", "idle_rows", "total_queries", "failure_rate_pct",
+                "failed_queries", "slow_query_count", "p95_duration_ms", "wh_rows", "wh_top_count",
+                "total_runs", "failed_runs", "success_rate_pct", "failing_jobs", "chronic_jobs",
+                "total_events_30d", "failed_logins", "permission_changes")
+_COUNTS = {"uptime_rows", "idle_rows", "total_queries", "failed_queries", "slow_query_count", "wh_rows",
+           "wh_top_count", "total_runs", "failed_runs", "failing_jobs", "chronic_jobs", "total_events_30d",
+           "failed_logins", "permission_changes"}
+DEEP_TYPES = {c: ("bigint" if c in _COUNTS else "double") for c in DEEP_COLUMNS}
+
 FLAGS = ("billing_available", "compute_available", "query_available", "jobs_available", "audit_available")
 
 
@@ -147,7 +154,9 @@ def assessment_input(features: DataFrame, deep: DataFrame | None,
     """
     by_table = table_sources(tables if tables is not None else ({} if deep is None else None))
     if deep is None:
-        return features.select("*", *[F.lit(by_table.get(f, False)).alias(f) for f in FLAGS])
+        # No deep scan: metric columns exist but are NULL, every source unavailable.
+        return features.select("*", *[F.lit(None).cast(DEEP_TYPES[c]).alias(c) for c in DEEP_COLUMNS],
+                               *[F.lit(by_table.get(f, False)).alias(f) for f in FLAGS])
     joined = features.join(deep, on=WS, how="left")
     return joined.select(
         *[c for c in joined.columns if c not in FLAGS],

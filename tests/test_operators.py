@@ -186,3 +186,14 @@ def test_approx_percentile_option(spark):
     for k, v in approx.items():
         lo, hi = bounds[k]
         assert lo - 1e-6 <= v <= hi + 1e-6
+
+
+def test_scoring_with_missing_sources(spark):
+    """No deep scan, or a missing source: every rule still scores (deep rules unverified)."""
+    from fleetgrade.plans.assess import assess
+    from fleetgrade.plans.registered import deep_tables, inventory
+    for ops in (None, {"audit": deep_tables(spark, SF001)["audit"]}):
+        sc = assess(inventory(spark, SF001), ops, FIXTURE_CONFIG, materialize=False).scores
+        rows = sc.where(F.col("rule_id").isin("ops-024", "cost-022", "perf-026")).collect()
+        assert rows and all(r["score"] == 1 and not r["verified"] for r in rows)
+        assert sc.count() == 140 * 10
