@@ -3,11 +3,12 @@
 import pytest
 
 import __spark_entry__ as entry
+from fleetgrade.plans.registered import REGISTRY
 from tests.compare import compare, duck
 from tests.conftest import SF01
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = REGISTRY
+ORACLES = {k: v for k, v in entry.oracle_sql().items() if k in REGISTRY}
 
 
 @pytest.fixture(scope="module")
