@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from fleetgrade.llm import quality, sentencepiece_bpe, url_filters, vector_topk
+from fleetgrade.llm import licenses, quality, sentencepiece_bpe, toxicity, url_filters, vector_topk
 
 QUERIES = {
     "op1_vector_topk": vector_topk.op1_vector_topk,
+    "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": sentencepiece_bpe.op4_sentencepiece,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op10_licenses": licenses.op10_licenses,
 }
 ORACLES = {
     "op1_vector_topk": vector_topk.ORACLE,
