@@ -268,6 +268,17 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
+def one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """``docs`` with the least doc_id of each group of linked documents; rows without doc_id stay."""
+    comp = cut_lineage(jaccard_components(docs.select("doc_id", "text"), k, num, den), "groups")
+    gone = comp.where("doc_id <> component_id").select("doc_id").distinct()
+    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
+    twice = comp.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    if not twice.isEmpty():
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out.select(*docs.columns)
+
+
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     from fleetgrade.llm.common import table
 

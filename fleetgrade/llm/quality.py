@@ -109,6 +109,12 @@ def judge(docs: DataFrame, thresholds=THRESHOLDS, keep: tuple[str, ...] = ("doc_
                     (~base & (F.size("fired") == 0)).alias("kept"), F.array_join("fired", ",").alias("fired")))
 
 
+def keep_documents(docs: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
+    """The rows of ``docs`` that no rule rejects, with their own columns."""
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    return judge(rows, thresholds, ("_row",)).where("kept").select("_row.*")
+
+
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     from fleetgrade.llm.common import table
 

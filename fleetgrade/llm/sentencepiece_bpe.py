@@ -61,6 +61,7 @@ class Bpe:
         self.score = {p: s for p, s, t in model["pieces"] if t == 1}
         self.pair_ok: dict[tuple[str, str], bool] = {}
         self.memo: dict[str, tuple[int, str, str]] = {}
+        self.memo_ids: dict[str, list[int]] = {}
         # Pieces that merging can produce; others never appear in an encoding.
         self.usable = {p for p in self.normal if len(p) == 1 or self.merge(p) == [p]}
         self.shorter: dict[str, str | None] = {}
@@ -184,9 +185,18 @@ class Bpe:
             yield from self.segments(line)
 
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        return [i for seg in self._segments(text) for i in self.ids_of(seg)]
+        ids: list[int] = []
+        memo = self.memo_ids
+        for seg in self._segments(text) if text else ():
+            got = memo.get(seg)
+            if got is None:
+                if len(memo) >= MEMO_SEGMENTS:
+                    memo.clear()
+                got = self.ids_of(seg)
+                if len(seg) <= 64:
+                    memo[seg] = got
+            ids += got
+        return ids
 
     def surface(self, ids: list[int]) -> str:
         """Text of ids, word marks as spaces, runs of byte pieces as UTF-8."""
@@ -249,14 +259,21 @@ def coder(model: dict) -> Bpe:
 
 
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, ids`` for every row: the operator's own output."""
+    """``doc_id, n_tokens, ids`` for every row: the operator's own output."""
+    import numpy as np
+    import pandas as pd
+
     model = read_model(model_path)
 
-    @F.udf("array<int>", useArrow=False)
-    def ids(text):
-        return coder(model).encode(text)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = coder(model)
+        for b in batches:
+            for at in range(0, len(b), 500):  # ids take more room than texts
+                part = b.iloc[at: at + 500]
+                ids = [np.array(c.encode(t), np.int32) for t in part["text"]]
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_tokens": [len(i) for i in ids], "ids": ids})
 
-    return docs.select("doc_id", ids("text").alias("ids"))
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
@@ -280,7 +297,7 @@ def token_digests(docs: DataFrame, model_path: str) -> DataFrame:
         c = coder(model)
         for b in batches:
             got = [c.digest(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [g[0] for g in got],
+            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "n_tokens": [g[0] for g in got],
                                 "ids_sha256": [g[1] for g in got], "decoded_sha256": [g[2] for g in got]})
 
     return docs.select("doc_id", "text").mapInPandas(
