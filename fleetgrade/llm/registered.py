@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from fleetgrade.llm import jaccard_join, licenses, mixing, pii, quality, sentencepiece_bpe, toxicity, url_filters, vector_topk
+from fleetgrade.llm import class_lm, jaccard_join, licenses, mixing, pii, quality, sentencepiece_bpe, toxicity, url_filters, vector_topk
 
 QUERIES = {
     "op1_vector_topk": vector_topk.op1_vector_topk,
     "op2_pii": pii.op2_pii,
     "op3_toxicity": toxicity.op3_toxicity,
     "op4_sentencepiece": sentencepiece_bpe.op4_sentencepiece,
+    "op5_class_lm": class_lm.op5_class_lm,
     "op6_url_filters": url_filters.op6_url_filters,
     "op7_quality_rules": quality.op7_quality_rules,
     "op8_mixing": mixing.op8_mixing,
