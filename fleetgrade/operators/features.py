@@ -97,7 +97,9 @@ def clusters_spec(clusters: DataFrame, recent_regex: str = r"^1[4-9]\.") -> Spec
     """F1-F14."""
     state = F.col("state")
     auto_max = pick(clusters, "autoscale_max_workers", "autoscale.max_workers")
-    has_autoscale = auto_max.isNotNull() if "autoscale" not in clusters.columns else F.col("autoscale").isNotNull()
+    # An empty autoscale object does not autoscale.
+    parts = clusters.schema["autoscale"].dataType.names if "autoscale" in clusters.columns else []
+    has_autoscale = (F.coalesce(*(F.col(f"autoscale.{x}").cast("string") for x in parts)) if parts else auto_max).isNotNull()
     nw = F.col("num_workers")
     autoterm = F.col("auto_termination_minutes")
     tags = (F.col("custom_tag_count") if "custom_tag_count" in clusters.columns

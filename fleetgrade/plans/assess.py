@@ -1,7 +1,7 @@
 """End-to-end assessment: features + deep metrics -> inputs -> scores -> roll-ups.
 
-The per-workspace input row and the long scores table are materialised once with
-``checkpoint()`` into the shared checkpoint folder (``spark.checkpoint.dir``):
+The per-workspace input row and the long scores table are written once as
+parquet into the shared checkpoint folder (``spark.checkpoint.dir``):
 every roll-up and report reads those two small tables instead of re-running
 the scans, and a lost executor only recomputes from the checkpoint, not from
 the operational tables.
@@ -46,13 +46,15 @@ def assess(inventory: dict[str, DataFrame], operational: dict[str, DataFrame] |
     return Assessment(inputs, scores)
 
 
-# Materialised assessments per (application, input directory), so the report
-# tables of one run read the same checkpointed scores.
-_RUNS: dict[tuple[str, str], Assessment] = {}
+# Materialised assessments per (application, input directory, configuration, input
+# version), so the report tables of one run read the same written scores and new
+# inputs or settings get a run of their own.
+_RUNS: dict[tuple, Assessment] = {}
 
 
-def assess_once(spark: SparkSession, key: str, build) -> Assessment:
-    k = (app_id(spark), key)
+def assess_once(spark: SparkSession, key: str, build, cfg: AssessConfig | None = None,
+                version: str | None = None) -> Assessment:
+    k = (app_id(spark), key, repr(cfg), version)
     if k not in _RUNS:
         _RUNS[k] = build()
     return _RUNS[k]

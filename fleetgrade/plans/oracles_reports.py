@@ -333,7 +333,8 @@ from call_log""")
 o.ORACLES["rescore_from_cache"] = o.ORACLES["assessment"]
 o.ORACLES["rescore_from_notes"] = o.ORACLES["assessment"]
 o.oracle("call_log_flat", ["call_log"], """
-select workspace_id, seq, collector, command_text as command, substr(output, 1, 2000) as output,
+select workspace_id, seq, collector, command_text as command,
+       case when contains(command_text, '/api/2.0/sql/statements') then substr(output, 1, 2000) else output end as output,
        duration_seconds as duration, success, error
 from call_log""")
 o.oracle("collector_runs", ["call_log"], """

@@ -262,7 +262,7 @@ def deep_tables(spark, sf) -> dict[str, DataFrame]:
 def assessed(spark, sf):
     """The materialised assessment of the fixture fleet (inputs and scores checkpointed)."""
     from fleetgrade.plans.assess import assess, assess_once
-    return assess_once(spark, sf, lambda: assess(inventory(spark, sf), deep_tables(spark, sf), CFG))
+    return assess_once(spark, sf, lambda: assess(inventory(spark, sf), deep_tables(spark, sf), CFG), CFG)
 
 
 @register("deep_metrics")
@@ -543,9 +543,8 @@ def _rescore_from_notes(spark, sf):
 
 @register("call_log_flat")
 def _call_log_flat(spark, sf):
-    """S8 + S9: flattened call log with SQL-call output cut to 2000 characters."""
-    flat = store.flatten_calls(call_log(spark, sf))
-    return flat.withColumn("output", F.substring("output", 1, store.SQL_OUTPUT_CUT))
+    """S8 + S9: flattened call log; only the output of SQL calls is cut to 2000 characters."""
+    return store.cut_sql_output(store.flatten_calls(call_log(spark, sf)))
 
 
 @register("collector_runs")

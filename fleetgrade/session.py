@@ -57,8 +57,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; set a local one only if unset.
 
     On a cluster the setting names a shared folder that survives executor loss.
-    A private temporary folder is chosen only when nothing is configured, which
-    is the case in tests and local benches.
+    A private temporary folder is chosen only when nothing is configured and the
+    master is local, which is the case in tests and benches; a cluster without the
+    setting raises, since each executor would write to its own disk.
     """
     try:
         sc = spark.sparkContext
@@ -71,6 +72,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir and sc is not None:
         conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        master = sc.master if sc is not None else spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="fleetgrade-ckpt-")
         spark.conf.set("spark.checkpoint.dir", conf_dir)
     if sc is not None:

@@ -18,7 +18,7 @@ from fleetgrade.sources.testdata import register_raw
 
 FIXTURE_SQL: dict[str, str] = {
     "usage": """
-select l_partkey % 10 as workspace_id,
+select l_partkey % (select count(*) from supplier) as workspace_id,
        cast(l_shipdate as date) as usage_date,
        concat(l_returnflag, '_', l_linestatus) as sku_name,
        l_quantity as usage_quantity,
@@ -26,7 +26,7 @@ select l_partkey % 10 as workspace_id,
             else concat('c', cast(l_partkey % 50 as string)) end as usage_cluster_id
 from lineitem""",
     "cluster_timeline": """
-select l_partkey % 10 as workspace_id,
+select l_partkey % (select count(*) from supplier) as workspace_id,
        concat('c', cast(l_partkey % 50 as string)) as cluster_id,
        concat('cluster_', cast(l_partkey % 50 as string)) as cluster_name,
        case l_returnflag when 'A' then 'RUNNING' when 'N' then 'TERMINATED' else 'PENDING' end as state,
@@ -34,7 +34,7 @@ select l_partkey % 10 as workspace_id,
        l_shipdate as change_time
 from lineitem""",
     "job_runs": """
-select o_custkey % 10 as workspace_id,
+select o_custkey % (select count(*) from supplier) as workspace_id,
        o_custkey % 60 as job_id,
        concat('c', cast(o_custkey % 40 as string)) as cluster_id,
        o_orderdate as period_start_time,
@@ -45,7 +45,7 @@ select o_custkey % 10 as workspace_id,
             else 'SUCCESS' end as result_state
 from orders""",
     "query_history": """
-select user_id % 10 as workspace_id,
+select user_id % (select count(*) from supplier) as workspace_id,
        event_id as statement_id,
        ts as start_time,
        case event_type when 'error' then 'FAILED' when 'signup' then 'CANCELED' else 'FINISHED' end as status,
@@ -54,7 +54,7 @@ select user_id % 10 as workspace_id,
             else concat('wh', cast(user_id % 10 as string), '_', cast((event_id % 7) % 3 as string)) end as warehouse_id
 from events""",
     "audit": """
-select user_id % 10 as workspace_id,
+select user_id % (select count(*) from supplier) as workspace_id,
        cast(ts as date) as event_date,
        ts as event_time,
        case event_type when 'click' then 'login' when 'view' then 'changePermissions'
@@ -73,16 +73,15 @@ select s_suppkey as workspace_id,
        case when s_suppkey = 9 then null else concat('ms_', cast(s_nationkey as string)) end as metastore_name,
        case s_suppkey % 3 when 0 then 'account users' when 1 then 'platform-admins' else null end as metastore_owner,
        case s_suppkey % 3 when 0 then 'INTERNAL_AND_EXTERNAL' when 1 then 'INTERNAL' else null end as delta_sharing_scope
-from supplier
-where s_suppkey < 10""",
+from supplier""",
     "catalogs": """
-select n_nationkey % 9 as workspace_id,
+select n_nationkey % (select count(*) - 1 from supplier) as workspace_id,
        n_name as catalog_name,
        case when n_nationkey % 2 = 0 then 'OPEN' else 'ISOLATED' end as isolation_mode,
        concat('owner_', cast(n_regionkey as string)) as owner
 from nation""",
     "clusters": """
-select p_partkey % 9 as workspace_id,
+select p_partkey % (select count(*) - 1 from supplier) as workspace_id,
        concat('k', cast(p_partkey as string)) as cluster_id,
        p_name as cluster_name,
        case when p_partkey % 9 <> 4 and p_size % 10 = 0 then 'RUNNING' else 'TERMINATED' end as state,
@@ -101,7 +100,7 @@ select p_partkey % 9 as workspace_id,
        case when p_partkey % 9 = 6 and p_size = 1 then 0 else 1 end as first_on_demand
 from part""",
     "warehouses": """
-select c_custkey % 9 as workspace_id,
+select c_custkey % (select count(*) - 1 from supplier) as workspace_id,
        concat('wh', cast(c_custkey as string)) as warehouse_id,
        c_name as name,
        case when c_nationkey % 3 = 0 then 'RUNNING' else 'STOPPED' end as state,
@@ -110,10 +109,9 @@ select c_custkey % 9 as workspace_id,
        case when c_custkey % 9 in (4, 5) then c_nationkey % 4 else 1 end as max_num_clusters,
        case when c_custkey % 9 = 7 then 0 else c_nationkey end as auto_stop_mins,
        case when c_custkey % 9 in (0, 6) and c_nationkey > 12 then true else false end as enable_photon
-from customer
-where c_custkey % 9 <> 8""",
+from customer""",
     "jobs": """
-select o_orderkey % 9 as workspace_id,
+select o_orderkey % (select count(*) - 1 from supplier) as workspace_id,
        o_orderkey as job_id,
        concat(case when o_orderkey % 9 in (0, 1) and o_orderpriority like '1%' then '[DAB] '
                    when o_orderkey % 9 = 2 and o_orderpriority like '2%' then '[dev x] '
@@ -126,24 +124,21 @@ select o_orderkey % 9 as workspace_id,
             else concat('user', cast(o_custkey as string), '@example.com') end as creator_user_name
 from orders""",
     "pipelines": """
-select p_partkey % 7 as workspace_id,
+select p_partkey % (select count(*) - 1 from supplier) as workspace_id,
        concat('p', cast(p_partkey as string)) as pipeline_id,
        case when p_partkey % 7 = 2 and p_size = 50 then concat('lakeflow-connect-', p_name) else p_name end as name,
        case when p_partkey % 7 in (0, 1) and p_size = 49 then 'FAILED' else 'IDLE' end as state
-from part
-where p_size > 45""",
+from part""",
     "service_principals": """
-select c_custkey % 4 as workspace_id,
+select c_custkey % (select count(*) - 1 from supplier) as workspace_id,
        concat('sp-', cast(c_custkey % 4 as string)) as display_name,
        concat('app', cast(c_custkey as string)) as application_id
-from customer
-where c_custkey < 9""",
+from customer""",
     "scim_groups": """
-select c_custkey % 6 as workspace_id,
+select c_custkey % (select count(*) - 1 from supplier) as workspace_id,
        concat('grp', cast(c_custkey as string)) as display_name,
        case when c_custkey % 6 in (0, 1) or c_custkey = 2 then concat('ext', cast(c_custkey as string)) end as external_id
-from customer
-where c_custkey < 60""",
+from customer""",
     "settings": """
 select s_suppkey as workspace_id, k.setting as setting,
        case k.setting when 'enableDbfsFileBrowser' then case when s_suppkey % 2 = 0 then 'false' else 'true' end
@@ -153,8 +148,7 @@ select s_suppkey as workspace_id, k.setting as setting,
 from supplier
 cross join (select 'enableDbfsFileBrowser' as setting union all select 'enableResultsDownloading'
             union all select 'enableExportNotebook' union all select 'maxTokenLifetimeDays'
-            union all select 'enableIpAccessLists') k
-where s_suppkey < 8""",
+            union all select 'enableIpAccessLists') k""",
     "object_counts": """
 select s_suppkey as workspace_id, k.kind as kind,
        (s_suppkey * k.mult) % k.modulus as n
@@ -164,11 +158,10 @@ cross join (select 'policy' as kind, 5 as mult, 31 as modulus union all select '
             union all select 'init_script', 1, 3 union all select 'group', 7, 11
             union all select 'scope', 1, 2 union all select 'ip_access_list', 1, 3
             union all select 'token', 4, 9 union all select 'external_location', 11, 60
-            union all select 'storage_credential', 13, 61 union all select 'workspace_object', 17, 97) k
-where s_suppkey < 9""",
+            union all select 'storage_credential', 13, 61 union all select 'workspace_object', 17, 97) k""",
     # Call log of the collection step (FIXTURES section 3): one call per event.
     "call_log": """
-select user_id % 10 as workspace_id,
+select user_id % (select count(*) from supplier) as workspace_id,
        event_id as seq,
        concat('collector_', event_type) as collector,
        concat('api get /api/2.0/', event_type) as command_text,
@@ -194,8 +187,7 @@ lateral view inline(array(named_struct('setting', 'enableDbfsFileBrowser'),
                           named_struct('setting', 'enableResultsDownloading'),
                           named_struct('setting', 'enableExportNotebook'),
                           named_struct('setting', 'maxTokenLifetimeDays'),
-                          named_struct('setting', 'enableIpAccessLists'))) k
-where s_suppkey < 8""",
+                          named_struct('setting', 'enableIpAccessLists'))) k""",
     "object_counts": """
 select s_suppkey as workspace_id, k.kind as kind,
        (s_suppkey * k.mult) % k.modulus as n
@@ -211,8 +203,7 @@ lateral view inline(array(named_struct('kind', 'policy', 'mult', 5, 'modulus', 3
                           named_struct('kind', 'token', 'mult', 4, 'modulus', 9),
                           named_struct('kind', 'external_location', 'mult', 11, 'modulus', 60),
                           named_struct('kind', 'storage_credential', 'mult', 13, 'modulus', 61),
-                          named_struct('kind', 'workspace_object', 'mult', 17, 'modulus', 97))) k
-where s_suppkey < 9""",
+                          named_struct('kind', 'workspace_object', 'mult', 17, 'modulus', 97))) k""",
 }
 
 _RAW_REF = re.compile(r"\bfrom\s+(\w+)", re.IGNORECASE)

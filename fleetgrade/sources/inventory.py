@@ -10,7 +10,7 @@ toward totals but yield no row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,8 +62,8 @@ NAMED = _arr(("name", S))
 
 SCHEMAS = {
     "current_user": _st(("userName", S), ("display_name", S), ("user_name", S),
-                        ("groups", T.ArrayType(S)), ("group_names", T.ArrayType(S)),
-                        ("roles", T.ArrayType(S)), ("role_names", T.ArrayType(S))),
+                        # Lists or single values: kept as JSON text and read by ``identity``.
+                        ("groups", S), ("group_names", S), ("roles", S), ("role_names", S)),
     "metastore": _st(("name", S), ("owner", S), ("delta_sharing_scope", S)),
     "catalogs": _st(("catalogs", _arr(("name", S), ("isolation_mode", S), ("owner", S), ("owner_id", S),
                                       ("properties", T.MapType(S, S))))),
@@ -131,13 +131,21 @@ def pages(payloads: DataFrame, kind: str) -> DataFrame:
     hold raw JSON members (see ``_raw``).
     """
     path = ENDPOINTS[kind]
-    p = payloads.where(F.col("endpoint") == path)
+    # Calls are logged with their query string (``?count=100``); the path alone names the kind.
+    p = payloads.where(F.col("endpoint").startswith(path) & (F.substring_index("endpoint", "?", 1) == path))
     parsed = F.from_json(F.col("body"), _raw(SCHEMAS[kind]), {"mode": "PERMISSIVE"})
     looks_like_object = F.col("body").rlike(r"^\s*\{") & F.col("body").rlike(r"\}\s*$")
     return p.select(WS, "page", parsed.alias("doc"), looks_like_object.alias("_obj")).select(
         WS, "page", (F.col("doc").isNotNull() & F.col("_obj")).alias("ok"), "doc")
 
 
+def unknown_endpoints(payloads: DataFrame) -> DataFrame:
+    """Landed endpoints that no table reads, with their pages, so that nothing vanishes in silence."""
+    path = F.substring_index("endpoint", "?", 1)
+    return (payloads.where(~path.isin(sorted(set(ENDPOINTS.values())))).groupBy(path.alias("endpoint"))
+            .agg(F.count("*").alias("pages"), F.count_distinct(WS).alias("workspaces")))
+
+
 def _nonempty(arr: Column) -> Column:
     return F.when(F.size(F.coalesce(arr, F.array())) > 0, arr)
 
@@ -164,10 +172,15 @@ def _items(kind: str, payloads: DataFrame, keys: str | list[str]) -> DataFrame:
 def identity(payloads: DataFrame) -> DataFrame:
     """User name and groups/roles with alternate keys; scalars become one-element lists."""
     d = pages(payloads, "current_user").where("ok")
-    return d.select(
-        WS, F.coalesce(F.col("doc.userName"), F.col("doc.display_name"), F.col("doc.user_name")).alias("user"),
-        F.coalesce(_nonempty(F.col("doc.groups")), F.col("doc.group_names"), F.array()).alias("groups"),
-        F.coalesce(_nonempty(F.col("doc.roles")), F.col("doc.role_names"), F.array()).alias("roles"))
+    named = [F.when(F.col(f"doc.{k}") != "", F.col(f"doc.{k}")) for k in ("userName", "display_name", "user_name")]
+
+    def listed(key: str) -> Column:
+        text = F.ltrim(F.col(f"doc.{key}"))
+        return F.when(text.startswith("["), _nonempty(F.from_json(text, T.ArrayType(S)))).when(text != "", F.array(text))
+
+    none = F.array().cast("array<string>")
+    return d.select(WS, F.coalesce(*named).alias("user"), F.coalesce(listed("groups"), listed("group_names"), none).alias("groups"),
+                    F.coalesce(listed("roles"), listed("role_names"), none).alias("roles"))
 
 
 def auth_user(cli_output: DataFrame, text_col: str = "output") -> DataFrame:
@@ -253,24 +266,29 @@ def tokens(payloads: DataFrame, first: int = 10) -> DataFrame:
     per_page = d.select(WS, "page", _list(["token_infos", "tokens"]).alias("l"))
     ids = F.transform(_objects(F.col("l")), lambda t: F.coalesce(F.get_json_object(t, "$.token_id"),
                                                                F.get_json_object(t, "$.id")))
-    # Pages are full except the last, so the first ids sit on the first page.
-    return per_page.groupBy(WS).agg(
-        F.sum(F.size("l")).cast("bigint").alias("token_count"),
-        F.slice(F.min_by(ids, F.col("page")), 1, first).alias("token_ids"))
+    # Pages may hold few tokens: the first ids are taken over all pages, in page order.
+    rows = per_page.select(WS, "page", F.posexplode(F.slice(ids, 1, first)).alias("pos", "id"))
+    rank = F.row_number().over(Window.partitionBy(WS).orderBy("page", "pos"))
+    firsts = (rows.withColumn("rank", rank).where(F.col("rank") <= first).groupBy(WS)
+              .agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("token_ids")))
+    counts = per_page.groupBy(WS).agg(F.sum(F.size("l")).cast("bigint").alias("token_count"))
+    return counts.join(firsts, WS, "left").select(
+        WS, "token_count", F.coalesce("token_ids", F.array().cast("array<string>")).alias("token_ids"))
 
 
-def _scim(payloads: DataFrame, kind: str, cap: int | None) -> DataFrame:
+def _scim(payloads: DataFrame, kind: str) -> DataFrame:
     d = pages(payloads, kind).where("ok")
     res = F.coalesce(F.col("doc.Resources"), F.array())
-    if cap is not None:
-        res = F.slice(res, 1, cap)
     return d.select(WS, "page", F.col("doc.totalResults").alias("total"), res.alias("res"))
 
 
 def _scim_rows(payloads: DataFrame, kind: str, cap: int | None) -> DataFrame:
-    d = _scim(payloads, kind, cap)
-    return d.select(WS, F.explode(_objects(F.col("res"))).alias("_raw")).select(
-        WS, F.from_json("_raw", _element(kind, "Resources")).alias("r"))
+    """Listed objects; with ``cap`` the first ones of each workspace, in page order."""
+    rows = _scim(payloads, kind).select(WS, "page", F.posexplode(_objects(F.col("res"))).alias("pos", "_raw"))
+    if cap is not None:
+        rank = F.row_number().over(Window.partitionBy(WS).orderBy("page", "pos"))
+        rows = rows.withColumn("rank", rank).where(F.col("rank") <= cap)
+    return rows.select(WS, F.from_json("_raw", _element(kind, "Resources")).alias("r"))
 
 
 def service_principals(payloads: DataFrame, list_cap: bool = False) -> DataFrame:
@@ -289,7 +307,7 @@ def scim_groups(payloads: DataFrame, list_cap: bool = False) -> DataFrame:
 
 def scim_counts(payloads: DataFrame, kind: str, name: str) -> DataFrame:
     """N14/N15 counts: ``totalResults`` when present, else the listed members."""
-    d = _scim(payloads, kind, None)
+    d = _scim(payloads, kind)
     return d.groupBy(WS).agg(
         F.coalesce(F.max("total"), F.sum(F.size("res"))).cast("bigint").alias(name))
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 WS = "workspace_id"
 SQL_OUTPUT_CUT = 2000
+SQL_CALL = "/api/2.0/sql/statements"
 
 
 def write_score_sheet(sheet: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -46,6 +47,12 @@ def append_calls(calls: DataFrame, path: str, sql_calls: bool = False) -> None:
     out.write.mode("append").parquet(path)
 
 
+def cut_sql_output(flat: DataFrame) -> DataFrame:
+    """Flattened calls with the output of SQL statement calls cut; command output stays whole."""
+    is_sql = F.coalesce(F.col("command").contains(SQL_CALL), F.lit(False))
+    return flat.withColumn("output", F.when(is_sql, F.substring("output", 1, SQL_OUTPUT_CUT)).otherwise(F.col("output")))
+
+
 def flatten_calls(calls: DataFrame) -> DataFrame:
     """Command words joined by spaces and the report's column names."""
     return calls.select(

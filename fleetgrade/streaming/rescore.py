@@ -3,7 +3,8 @@
 The reference has no streaming semantics: an assessment is a point-in-time
 snapshot. This module only schedules the same batch operators with Structured
 Streaming: a file stream over the landed payload table feeds ``foreachBatch``,
-which scores the workspaces present in the micro-batch and writes their scores
+which scores the workspaces that the micro-batch touches, from all their landed
+pages, and writes their scores
 under ``epoch=<id>`` with overwrite, so a replayed epoch (after a failure)
 replaces its own output instead of duplicating it.
 """
@@ -16,19 +17,25 @@ from pyspark.sql.streaming import StreamingQuery
 
 from fleetgrade.config import AssessConfig
 from fleetgrade.plans.assess import assess
+from fleetgrade.session import cut_lineage
 from fleetgrade.sources.inventory import PAYLOAD_SCHEMA, inventory_tables
 
 WS = "workspace_id"
 
 
-def score_batch(payloads: DataFrame, workspaces: DataFrame, operational: dict[str, DataFrame] | None,
-                cfg: AssessConfig) -> DataFrame:
-    """Scores of the workspaces that have payloads in ``payloads``."""
-    present = payloads.select(WS).distinct()
+def score_batch(changed: DataFrame, landed: DataFrame, workspaces: DataFrame,
+                operational: dict[str, DataFrame] | None, cfg: AssessConfig) -> DataFrame:
+    """Scores of the workspaces that have payloads in ``changed``, from all their ``landed`` pages.
+
+    Inputs are written once per call, so every rule reads that table and the operational
+    sources are not scanned again per pillar.
+    """
+    present = cut_lineage(changed.select(WS).distinct(), "changed")
+    payloads = landed.join(present, on=WS, how="left_semi")
     ws = workspaces.join(present, on=WS, how="left_semi")
     ops = ({k: v.join(present, on=WS, how="left_semi") for k, v in operational.items()}
            if operational else None)
-    return assess(inventory_tables(payloads, ws), ops, cfg, materialize=False).scores
+    return assess(inventory_tables(payloads, ws), ops, cfg).scores
 
 
 def start_rescoring(spark: SparkSession, payload_dir: str, workspaces: DataFrame,
@@ -38,7 +45,9 @@ def start_rescoring(spark: SparkSession, payload_dir: str, workspaces: DataFrame
     stream = spark.readStream.schema(PAYLOAD_SCHEMA).parquet(payload_dir)
 
     def run(batch: DataFrame, epoch_id: int) -> None:
-        scores = score_batch(batch, workspaces, operational, cfg)
+        # The batch only tells which workspaces changed; their pages may have landed over several batches.
+        landed = spark.read.schema(PAYLOAD_SCHEMA).parquet(payload_dir)
+        scores = score_batch(batch, landed, workspaces, operational, cfg)
         (scores.withColumn("epoch", F.lit(epoch_id))
          .write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/epoch={epoch_id}"))
 
