@@ -38,6 +38,7 @@ from fleetgrade.session import cut_lineage
 CLASSES, BUCKETS, SWEEPS = 64, 32, 4
 BLOCK_TOKENS = 3_000_000
 FOLD, ADD, SMOOTH = 10, 0.1, 0.5
+_MOST = (1 << 24) - 1
 END = b""   # the end of a text, and what stands before its first word
 _RAW = ("kind int, block long, idx long, word binary, vec binary, doc_id long, held_out boolean, toks binary")
 
@@ -61,9 +62,15 @@ def _blocks(docs: DataFrame) -> DataFrame:
                 keys.append(ids * np.int64(2 * BUCKETS) + bucket[prev])
                 keys.append(ids[:-1] * np.int64(2 * BUCKETS) + BUCKETS + bucket[ids[1:]])
         key, n = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
-        packed = (((key % (2 * BUCKETS)) << 48) | n).astype(np.int64)
+        # A context's number and its count in 32 bits; a larger count stands as several.
+        while n.max(initial=0) > _MOST:
+            over = n > _MOST
+            key, n = np.concatenate([key, key[over]]), np.concatenate([np.minimum(n, _MOST), n[over] - _MOST])
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[order]
+        packed = ((key % (2 * BUCKETS)) << 24 | n).astype(np.uint32)
         at = np.searchsorted(key // (2 * BUCKETS), np.arange(len(index) + 1))
-        raw, at = packed.tobytes(), (at * 8).tolist()
+        raw, at = packed.tobytes(), (at * 4).tolist()
         words = list(index)
         for lo in range(0, len(words), 20_000):
             part = words[lo: lo + 20_000]
@@ -117,9 +124,9 @@ def _word_table(rows: DataFrame) -> DataFrame:
             new = np.array([True] + [x != y for x, y in zip(names[1:], names[:-1], strict=True)])
             group = np.cumsum(new) - 1
             words = [w for w, x in zip(names, new, strict=True) if x]
-            packed = np.frombuffer(b"".join(b["vec"]), np.int64)
-            owner = np.repeat(group, [len(v) // 8 for v in b["vec"]])
-            sums = np.bincount(owner * wide + (packed >> 48), weights=(packed & ((1 << 48) - 1)).astype(np.float64),
+            packed = np.frombuffer(b"".join(b["vec"]), np.uint32)
+            owner = np.repeat(group, [len(v) // 4 for v in b["vec"]])
+            sums = np.bincount(owner * wide + (packed >> 24), weights=(packed & _MOST).astype(np.float64),
                                minlength=len(words) * wide).astype(np.int64).reshape(len(words), wide)
             if last is not None:
                 if words[0] == last:

@@ -73,8 +73,8 @@ def _targets(cells: DataFrame, dim: str, given: dict[str, float] | None) -> Data
         have = have.select(dim).join(rows, dim)
     else:
         have = have.withColumn("n", F.pow("n", F.lit(ALPHA[name])))
-    total = have.agg(F.sum("n").alias("all")).withColumn("k", F.lit(1))
-    return have.withColumn("k", F.lit(1)).join(F.broadcast(total), "k").select(dim, (F.col("n") / F.col("all")).alias("target"))
+    total = have.agg(F.sum("n")).first()[0] or 1.0
+    return have.select(dim, (F.col("n") / F.lit(total)).alias("target"))
 
 
 def fit(cells: DataFrame, targets: dict[str, dict[str, float] | None] | None = None) -> DataFrame:
