@@ -104,6 +104,8 @@ def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: b
     if not parts:
         raise ValueError("no operational source given")
     wide = fold_by_key(parts, WS)
+    if jr is not None:  # no runs in the window: a rate of 0, as for a count of 0
+        wide = wide.withColumn("success_rate_pct", F.coalesce("success_rate_pct", F.lit(0.0)))
     missing = [c for c in DEEP_COLUMNS if c not in wide.columns]
     if missing:
         wide = wide.select("*", *[F.lit(None).cast(DEEP_TYPES[c]).alias(c) for c in missing])

@@ -96,4 +96,5 @@ def cut_lineage(df: DataFrame, name: str = "table", partition_by: list[str] | No
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
-    return spark.read.parquet(path)
+    # The schema is given, since an empty partitioned table has no file to read it from.
+    return spark.read.schema(df.schema).parquet(path)
