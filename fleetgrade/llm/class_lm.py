@@ -82,7 +82,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             part = rows[lo: lo + 1_000]
             yield pd.DataFrame({"kind": 1, "block": number, "idx": range(lo, lo + len(part)), "word": None, "vec": None,
                                 "doc_id": pd.array([r[0] for r in part], "Int64"), "held_out": [r[1] for r in part],
-                                "toks": [r[2].astype(np.int32).tobytes() for r in part]}, columns=columns)
+                                "toks": [zlib.compress(r[2].astype(np.int32).tobytes(), 1) for r in part]}, columns=columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() * 1_000_000
@@ -200,6 +200,9 @@ def cluster(words: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
+    """Counts, base score, model score and perplexity for every row of ``docs``."""
+    import zlib
+
     import numpy as np
     import pandas as pd
 
@@ -228,7 +231,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         emit = np.log10(n + ADD) - emit_den[cls]
         out = []
         for doc_id, held, toks in zip(rows["doc_id"].astype("Int64"), rows["held_out"], rows["toks"], strict=True):
-            ids = np.frombuffer(toks, np.int32)
+            ids = np.frombuffer(zlib.decompress(toks), np.int32)
             seq = np.concatenate([[cls[0]], cls[ids]]).astype(np.uint8)
             out.append((doc_id, held, len(ids), int((n[ids] > 0).sum()), float(base[ids].sum()), float(emit[ids].sum()), seq.tobytes()))
         got = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emission", "seq"])
