@@ -121,13 +121,19 @@ select workspace_id, pillar, ord, rule_id, name,
        row_number() over (partition by workspace_id order by pillar, ord) as seq,
        count(*) over (partition by workspace_id) as unverified_count
 from scx where not verified""")
+# Rules whose zero a setting alone would mend; gov-007 counts only with an owner that is too broad.
+_QUICK = ("gov-001", "gov-002", "gov-003", "gov-005", "gov-008", "gov-009", "gov-010", "gov-015", "int-004", "int-011",
+          "sec-011", "sec-012", "sec-013", "rel-013", "rel-019", "perf-001", "perf-022", "cost-008", "cost-010", "cost-011")
 rep("top_findings", f"""
 select * from (
   select workspace_id, ord, rule_id, pillar, score,
          row_number() over (partition by workspace_id order by score, pillar, ord) as rank,
          case when score = 0 then 'CRITICAL' when score <= 1 then 'HIGH' else 'MEDIUM' end as risk,
+         case when score = 0 and (rule_id in ({', '.join(map(q, _QUICK))})
+                                  or rule_id = 'gov-007' and regexp_matches(lower(metastore_owner), 'account[ _]users'))
+              then 'Yes' else 'No' end as quick_fix,
          {_disp('pillar')} as display_name
-  from scx) where rank <= 10""")
+  from scx left join (select workspace_id, metastore_owner from wf) using (workspace_id)) where rank <= 10""")
 rep("pillar_highlights", """,
 r as (select *, row_number() over (partition by workspace_id, pillar, score order by ord) as pos from scx)
 select workspace_id, pillar, 'strength' as kind, pos, ord from r where score = 2 and pos <= 5
@@ -176,10 +182,13 @@ _SET = [(1, "enableDbfsFileBrowser", "false", "setting_dbfs_browser"),
         (3, "enableExportNotebook", "false", "setting_export_notebook"),
         (4, "enableIpAccessLists", "true", "setting_ip_access_lists"),
         (5, "maxTokenLifetimeDays", "30", "setting_token_lifetime_days")]
+_ADVICE = ("Set to false: the DBFS browser allows data exfiltration.", "Consider false for production workspaces.",
+           "Consider false to protect code.", "Keep enabled.", "Lower to 30 days or less.")
 rep("setting_advice", "\n union all ".join(
     f"select workspace_id, {i} as line, {q(k)} as setting, {c} as value, {q(e)} as expected, "
-    f"lower(coalesce({c}, '')) = {q(e)} as is_recommended from wf where has_settings"
-    for i, k, e, c in _SET))
+    f"lower(coalesce({c}, '')) = {q(e)} as is_recommended, case when lower(coalesce({c}, '')) = {q(e)} "
+    f"then 'Good: current value is recommended.' else {q(adv)} end as advice from wf where has_settings"
+    for (i, k, e, c), adv in zip(_SET, _ADVICE, strict=True)))
 
 _G, _I, _O, _S, _R, _P, _C = (q(p[1]) for p in PILLARS)
 _TD = "try_cast(setting_token_lifetime_days as integer)"

@@ -354,7 +354,7 @@ def _unverified_rules(spark, sf):
 
 @register("top_findings")
 def _top_findings(spark, sf):
-    return reports.top_findings(_scores(spark, sf)).drop("finding", "quick_fix")
+    return reports.top_findings(_scores(spark, sf)).drop("finding")
 
 
 @register("pillar_highlights")
@@ -374,7 +374,7 @@ def _inventory_health(spark, sf):
 
 @register("setting_advice")
 def _setting_advice(spark, sf):
-    return reports.setting_advice(_inputs(spark, sf)).drop("advice")
+    return reports.setting_advice(_inputs(spark, sf))
 
 
 @register("current_state")

@@ -129,22 +129,15 @@ def unverified_rules(scores: DataFrame) -> DataFrame:
                     F.count(F.lit(1)).over(Window.partitionBy(WS)).alias("unverified_count"))
 
 
-# Note keywords that make a zero score a quick fix.
-QUICK_FIX_WORDS = ("disable", "owner", "configure", "enable", "reduce", "define")
-
-
 def top_findings(scores: DataFrame, k: int = 10) -> DataFrame:
-    """Lowest ``k`` by (score, pillar name) with risk level and quick-fix flag."""
+    """Lowest ``k`` by (score, pillar name) with risk level and the quick-fix flag of the zero's branch."""
     w = Window.partitionBy(WS).orderBy("score", "pillar", "ord")
-    notes = F.lower(F.coalesce(F.col("finding_notes"), F.lit("")))
-    quick = (F.col("score") == 0) & F.exists(F.array(*[F.lit(x) for x in QUICK_FIX_WORDS]),
-                                             lambda kw: F.instr(notes, kw) > 0)
     r = scores.select(
         WS, "ord", "rule_id", "pillar", "score",
         F.row_number().over(w).cast("bigint").alias("rank"),
         F.substring(F.concat_ws(" - ", "name", "finding_notes"), 1, 75).alias("finding"),
         F.when(F.col("score") == 0, "CRITICAL").when(F.col("score") <= 1, "HIGH").otherwise("MEDIUM").alias("risk"),
-        F.when(quick, "Yes").otherwise("No").alias("quick_fix"))
+        F.when((F.col("score") == 0) & F.col("quick_fix"), "Yes").otherwise("No").alias("quick_fix"))
     return r.where(F.col("rank") <= k).withColumn("display_name", display_name(F.col("pillar")))
 
 

@@ -16,7 +16,9 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-Branch = tuple[Column | None, int, bool, Column | str]
+# A fifth member QUICK marks a zero that a setting alone would mend.
+Branch = tuple[Column | None, int, bool, Column | str] | tuple[Column | None, int, bool, Column | str, bool]
+QUICK = True
 RULES: dict[str, Callable[[], list[Branch]]] = {}
 ALIASES: dict[str, str] = {}
 
@@ -83,26 +85,14 @@ def register_rule(rule_id: str, branches: Callable[[], list[Branch]]) -> None:
 def branches_of(rule_id: str) -> list[Branch]:
     src = ALIASES.get(rule_id, rule_id)
     if src not in RULES:
-        return [(None, 0, True, "No scoring function defined.")]
+        return [(None, 0, True, "No scoring function defined.", QUICK)]
     return RULES[src]()
 
 
-def compile_rule(rule_id: str) -> tuple[Column, Column, Column]:
-    """(score INT, verified BOOLEAN, notes STRING) for one rule."""
-    bs = branches_of(rule_id)
-    *conds, (_, d_score, d_ver, d_note) = bs
-    score, ver, note = F.lit(d_score), F.lit(d_ver), _note(d_note)
-    for cond, s, v, n in reversed(conds):
-        score = F.when(cond, F.lit(s)).otherwise(score)
-        ver = F.when(cond, F.lit(v)).otherwise(ver)
-        note = F.when(cond, _note(n)).otherwise(note)
-    return score.cast("int"), ver, note
-
+def compile_branches(rule_id: str) -> tuple[Column, list[int], list[bool], list[Column], list[bool]]:
+    """(index of the first matching branch, scores, verified flags, notes, quick-fix flags) for one rule.
 
-def compile_branches(rule_id: str) -> tuple[Column, list[int], list[bool], list[Column]]:
-    """(index of the first matching branch, scores, verified flags, notes) for one rule.
-
-    Conditions are evaluated once into a branch index; score, flag and note are
+    Conditions are evaluated once into a branch index; score, flags and note are
     then picked by index, so each condition appears once in generated code.
     """
     bs = branches_of(rule_id)
@@ -110,7 +100,7 @@ def compile_branches(rule_id: str) -> tuple[Column, list[int], list[bool], list[
     idx = F.lit(len(bs) - 1)
     for i in range(len(conds) - 1, -1, -1):
         idx = F.when(conds[i][0], F.lit(i)).otherwise(idx)
-    return idx, [b[1] for b in bs], [b[2] for b in bs], [_note(b[3]) for b in bs]
+    return idx, [b[1] for b in bs], [b[2] for b in bs], [_note(b[3]) for b in bs], [QUICK in b[4:] for b in bs]
 
 
 def _note(n: Column | str) -> Column:
@@ -181,20 +171,20 @@ def _():
         (metastore() & (cats() > 100), 1, True, txt("Metastore with %d catalogs: catalog sprawl, formalize governance.", cats())),
         (metastore() & (cats() > 0), 2, True, txt("Metastore with %d catalogs: governance process in place.", cats())),
         (metastore(), 1, True, "Metastore present without catalogs; define a governance process."),
-        (None, 0, True, "No metastore; adopt a central catalog and governance process."),
+        (None, 0, True, "No metastore; adopt a central catalog and governance process.", QUICK),
     ]
 
 
 @rule("gov-002")
 def _():
     return [(metastore(), 2, True, txt("One metastore (%s) holds the metadata.", C("metastore_name"))),
-            (None, 0, True, "No metastore; metadata is not managed centrally.")]
+            (None, 0, True, "No metastore; metadata is not managed centrally.", QUICK)]
 
 
 @rule("gov-003")
 def _():
     return [(ms_name(), 1, True, "Lineage available through the metastore; check it is used."),
-            (None, 0, True, "No metastore, so no lineage.")]
+            (None, 0, True, "No metastore, so no lineage.", QUICK)]
 
 
 @rule("gov-004")
@@ -208,7 +198,7 @@ def _():
 def _():
     return [(cats() > 100, 1, True, txt("%d catalogs make discovery hard; curate them.", cats())),
             (cats() > 0, 2, True, "Catalogs support data discovery."),
-            (None, 0, True, "No catalogs; discovery not set up.")]
+            (None, 0, True, "No catalogs; discovery not set up.", QUICK)]
 
 
 @rule("gov-006")
@@ -222,7 +212,7 @@ def _():
     owner = F.lower(F.coalesce(C("metastore_owner"), F.lit("")))
     return [
         (owner.contains("account users") | owner.contains("account_users"), 0, True,
-         txt("Metastore owned by '%s', which is too broad.", C("metastore_owner"))),
+         txt("Metastore owned by '%s', which is too broad.", C("metastore_owner")), QUICK),
         (owner != "", 2, True, txt("Access control centralized; metastore owner %s.", C("metastore_owner"))),
         (F.coalesce(C("has_open_catalog"), F.lit(False)), 1, True, "Catalogs in OPEN isolation; isolate production catalogs."),
         (ms_name(), 1, True, "Metastore present; confirm central access control."),
@@ -237,20 +227,20 @@ def _():
     return [(F.coalesce(C("has_settings"), F.lit(False)) | F.lit(True), 1, True,
              "Workspace configuration readable; audit logging partly confirmed."),
             (ms_name(), 1, True, "Metastore present; confirm audit logging through system tables."),
-            (None, 0, True, "Audit logging not configured.")]
+            (None, 0, True, "Audit logging not configured.", QUICK)]
 
 
 @rule("gov-009")
 def _():
     return [(F.coalesce(C("has_settings"), F.lit(False)), 1, True,
              "Settings readable; set up systematic audit monitoring."),
-            (None, 0, True, "No audit events seen.")]
+            (None, 0, True, "No audit events seen.", QUICK)]
 
 
 @rule("gov-010")
 def _():
     return [(N("pipeline_count") > 0, 1, True, txt("%d pipelines; check quality expectations exist.", N("pipeline_count"))),
-            (None, 0, True, "No data quality standards seen.")]
+            (None, 0, True, "No data quality standards seen.", QUICK)]
 
 
 @rule("gov-011")
@@ -289,7 +279,7 @@ def _():
 @rule("gov-015")
 def _():
     return [(uc_with_catalogs(), 1, True, "Catalog in use; grant BROWSE for discovery."),
-            (None, 0, True, "No catalog; BROWSE privilege not applicable.")]
+            (None, 0, True, "No catalog; BROWSE privilege not applicable.", QUICK)]
 
 
 # ---------------------------------------------------------------------------
@@ -320,7 +310,7 @@ def _():
     return [((N("pipeline_count") > 0) & (N("failed_pipelines") > 0), 1, True,
              txt("%d pipelines, %d failed.", N("pipeline_count"), N("failed_pipelines"))),
             (N("pipeline_count") > 0, 2, True, txt("%d declarative pipelines.", N("pipeline_count"))),
-            (None, 0, True, "No declarative pipelines.")]
+            (None, 0, True, "No declarative pipelines.", QUICK)]
 
 
 @rule("int-005")
@@ -366,7 +356,7 @@ def _():
 def _():
     return [(N("policy_count") > 20, 1, True, txt("%d cluster policies: too many to act as templates.", N("policy_count"))),
             (N("policy_count") > 0, 2, True, txt("%d cluster policies as compute templates.", N("policy_count"))),
-            (None, 0, True, "No cluster policies.")]
+            (None, 0, True, "No cluster policies.", QUICK)]
 
 
 RULES["int-012"] = literal(1, False, "AI assistance usage is not verifiable from the inventory.")
@@ -588,13 +578,13 @@ def _():
 def _():
     net = by_cloud(NETWORK_LABELS, "customer-managed network with private links")
     return [(F.coalesce(C("ipl_on"), F.lit(False)), 1, True, txt("IP lists on (%s); check %s.", cloud_upper(), net)),
-            (None, 0, True, txt("No network controls (%s); configure %s.", cloud_upper(), net))]
+            (None, 0, True, txt("No network controls (%s); configure %s.", cloud_upper(), net), QUICK)]
 
 
 @rule("sec-012")
 def _():
     return [(F.coalesce(C("dbfs_off"), F.lit(False)), 2, True, "DBFS browser disabled."),
-            (F.coalesce(C("has_settings"), F.lit(False)), 0, True, "DBFS browser enabled; disable it."),
+            (F.coalesce(C("has_settings"), F.lit(False)), 0, True, "DBFS browser enabled; disable it.", QUICK),
             (None, 1, False, "DBFS root access is not verifiable.")]
 
 
@@ -602,7 +592,7 @@ def _():
 def _():
     n = N("failed_logins")
     return [(~C("audit_available"), 1, False, "Requires --deep scan: audit events not available."),
-            (n > 50, 0, True, txt("%d failed logins in the window.", n)),
+            (n > 50, 0, True, txt("%d failed logins in the window.", n), QUICK),
             (n > 10, 1, True, txt("%d failed logins in the window.", n)),
             (None, 2, True, txt("%d failed logins in the window.", n))]
 
@@ -685,7 +675,7 @@ def _():
 def _():
     return [(N("multi_or_serverless_wh") > 0, 2, True, txt("%d warehouses scale out.", N("multi_or_serverless_wh"))),
             (N("warehouse_count") > 0, 1, True, "Warehouses without scaling."),
-            (None, 0, True, "No warehouses.")]
+            (None, 0, True, "No warehouses.", QUICK)]
 
 
 RULES["rel-014"] = literal(1, False, "Backups are not verifiable from the inventory.")
@@ -712,7 +702,7 @@ def _():
     return [((N("sp_count") > 0) & (N("sp_owned_jobs") > 0), 2, True,
              txt("%d of %d jobs owned by service principals.", N("sp_owned_jobs"), N("job_count"))),
             (N("sp_count") > 0, 1, True, "Service principals exist but own no job."),
-            (N("job_count") > 0, 0, True, "Jobs owned by individual users."),
+            (N("job_count") > 0, 0, True, "Jobs owned by individual users.", QUICK),
             (None, 1, True, "No jobs.")]
 
 
@@ -743,7 +733,7 @@ def _():
 def _():
     return [(N("autoscale_clusters") > 0, 2, True, txt("%d autoscaling clusters.", N("autoscale_clusters"))),
             (N("cluster_count") > 0, 1, True, "Clusters without autoscaling."),
-            (None, 0, True, "No clusters.")]
+            (None, 0, True, "No clusters.", QUICK)]
 
 
 same_as("perf-002", "int-010")
@@ -821,7 +811,7 @@ def _():
 @rule("perf-022")
 def _():
     return [(uc_with_catalogs(), 1, True, "Catalog tables can use predictive optimization."),
-            (None, 0, True, "Predictive optimization not available.")]
+            (None, 0, True, "Predictive optimization not available.", QUICK)]
 
 
 @rule("perf-023")
@@ -930,7 +920,7 @@ def _():
 def _():
     return [(N("autoscale_clusters") > 0, 2, True, txt("%d autoscaling clusters.", N("autoscale_clusters"))),
             (N("cluster_count") > 0, 1, True, "Clusters with fixed size."),
-            (None, 0, True, "No clusters.")]
+            (None, 0, True, "No clusters.", QUICK)]
 
 
 same_as("cost-009", "rel-002")
@@ -941,7 +931,7 @@ def _():
     t = N("autoscale_clusters") + N("multi_cluster_wh")
     return [(t > 0, 2, True, txt("%d clusters and %d warehouses scale automatically.", N("autoscale_clusters"), N("multi_cluster_wh"))),
             ((N("warehouse_count") > 0) | (N("cluster_count") > 0), 1, True, "Compute without autoscaling."),
-            (None, 0, True, "No compute.")]
+            (None, 0, True, "No compute.", QUICK)]
 
 
 @rule("cost-011")
@@ -949,7 +939,7 @@ def _():
     t = N("autoterm_clusters") + N("autostop_wh")
     return [(t > 0, 2, True, txt("%d clusters and %d warehouses stop automatically.", N("autoterm_clusters"), N("autostop_wh"))),
             ((N("warehouse_count") > 0) | (N("cluster_count") > 0), 1, True, "Compute without auto-termination."),
-            (None, 0, True, "No compute.")]
+            (None, 0, True, "No compute.", QUICK)]
 
 
 same_as("cost-012", "ops-008")

@@ -65,7 +65,7 @@ def _compiled_group(group: list[tuple]) -> tuple[list, list]:
         return _COMPILED[key]
     idx_cols, structs = [], []
     for ord_, rid, name, pillar, principle, _domains in group:
-        idx, scores, flags, notes = compile_branches(rid)
+        idx, scores, flags, notes, quick = compile_branches(rid)
         b = f"b_{rid.replace('-', '_')}"
         idx_cols.append(idx.alias(b))
         note = notes[0] if len(notes) == 1 else F.element_at(F.array(*notes), F.col(b) + 1)
@@ -73,7 +73,7 @@ def _compiled_group(group: list[tuple]) -> tuple[list, list]:
             F.lit(ord_).alias("ord"), F.lit(rid).alias("rule_id"), F.lit(name).alias("name"),
             F.lit(pillar).alias("pillar"), F.lit(principle).alias("principle"),
             _pick(scores, F.col(b)).cast("int").alias("score"), _pick(flags, F.col(b)).alias("verified"),
-            note.alias("finding_notes")))
+            note.alias("finding_notes"), _pick(quick, F.col(b)).alias("quick_fix")))
     _COMPILED[key] = (idx_cols, structs)
     return _COMPILED[key]
 
