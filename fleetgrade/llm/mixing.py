@@ -100,7 +100,11 @@ def fit(cells: DataFrame, targets: dict[str, dict[str, float] | None] | None = N
 
 def calibrate(docs: DataFrame, targets: dict | None = None) -> DataFrame:
     """Rows of ``docs`` as ``_row``, with their cell, ``_tokens``, ``_prob`` and ``_kept``."""
-    rows = with_cells(docs)
+    return calibrated(with_cells(docs), targets)
+
+
+def calibrated(rows: DataFrame, targets: dict | None = None) -> DataFrame:
+    """``rows`` of ``with_cells`` with their ``_prob`` and ``_kept``."""
     cells = cut_lineage(rows.groupBy(*DIMS).agg(F.sum("_tokens").alias("tokens")), "cells")
     raked = fit(cells, targets)
     weight = F.when(F.col("tokens") > 0, F.col("share") / F.col("tokens"))
@@ -121,6 +125,8 @@ def op8_mixing(spark, sf_dir: str) -> DataFrame:
     from fleetgrade.llm.common import table
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
-    return calibrate(docs).select(F.col("_row.doc_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"),
+    # No text is needed after the cells are known: one pass over the texts, written without them.
+    rows = cut_lineage(with_cells(docs).withColumn("_row", F.struct("_row.doc_id")), "mixing-rows")
+    return calibrated(rows).select(F.col("_row.doc_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_lang").alias("lang"),
                                   F.col("_topic").alias("topic"), F.col("_tokens").alias("n_tokens"),
                                   F.round("_prob", 9).alias("prob"), F.col("_kept").alias("kept"))
