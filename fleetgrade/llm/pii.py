@@ -46,7 +46,7 @@ _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 TOKEN = r"(?<!\S)\S*?[0-9@]\S*+"
 WINDOW = 48
 ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, ACCEPT = 3, 3, 0.7, 0.8
-BROADCAST_SPANS = 200_000
+BROADCAST_SPANS = 200_000   # extra spans (three numbers each, and a key) that may be broadcast; more are joined by shuffle
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
 
@@ -175,7 +175,8 @@ def discovered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _merge(rows: DataFrame, extra: DataFrame) -> DataFrame:
-    if extra.count() <= BROADCAST_SPANS:
+    # One key may hold many spans, so the spans are counted and not the keys.
+    if (extra.agg(F.sum(F.size("extra"))).first()[0] or 0) <= BROADCAST_SPANS:
         extra = F.broadcast(extra)
     return rows.join(extra, "key", "left")
 
