@@ -10,8 +10,12 @@ Targets come as {name: share} per dimension; without one, a dimension's target i
 share in the data to the power ``ALPHA`` (below 1 flattens hot sources), brought to sum 1.
 Names without documents get no tokens and their share goes to the others in proportion.
 
-Probabilities are ``min(1, rate * weight)`` with ``rate`` set so that the heaviest cell is
-kept whole: relative weights hold exactly in expectation, and no row is repeated.
+Probabilities are ``min(1, rate * weight)``; no row is repeated. ``rate`` keeps the heaviest
+cell with at least ``MAIN_CELL`` of all tokens whole, so the relative weights of such cells hold
+exactly in expectation. Smaller cells of more weight are kept whole and change no other cell's
+probability. Where less than ``KEPT_SHARE`` of all tokens would be kept, ``rate`` solves
+``sum(tokens * min(1, rate * weight)) = KEPT_SHARE * sum(tokens)`` instead; a caller's
+``kept_share`` is met the same way, whatever the cells are.
 
 Scale: one pass counts cells with map-side aggregation, so a hot source is one row per
 task and cell. The cell table (sources x languages x topics) is written once per sweep;
@@ -35,6 +39,7 @@ from fleetgrade.session import cut_lineage
 
 ALPHA = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 MAX_SWEEPS, TOLERANCE = 12, 1e-4
+MAIN_CELL, KEPT_SHARE = 0.01, 0.3
 DIMS = ("_source", "_lang", "_topic")
 _U = 1 << 40
 BROADCAST_CELLS = 100_000   # cells (three short names and a number) that may be broadcast
@@ -98,27 +103,45 @@ def fit(cells: DataFrame, targets: dict[str, dict[str, float] | None] | None = N
     return now.select(*DIMS, "tokens", "share")
 
 
-def calibrate(docs: DataFrame, targets: dict | None = None) -> DataFrame:
+def rate_of(raked: DataFrame, kept_share: float | None = None) -> float:
+    """The rate of ``min(1, rate * share / tokens)`` over the cells of ``fit``."""
+    cells = raked.where("tokens > 0 and share > 0")
+    total = raked.agg(F.sum("tokens")).first()[0] or 0
+    goal, rate = (KEPT_SHARE if kept_share is None else kept_share) * total, 0.0
+    if kept_share is None:
+        top = cells.where(F.col("tokens") >= F.lit(MAIN_CELL * total)).agg(F.max(F.col("share") / F.col("tokens"))).first()[0]
+        rate = 1.0 / top if top else 0.0
+    # The kept tokens are concave in the rate, so each step ends at or below the goal and only adds whole cells.
+    while True:
+        whole = F.col("share") * F.lit(rate) >= F.col("tokens")
+        full, free = cells.agg(F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("share")))).first()
+        more = (goal - (full or 0)) / free if free else 0.0
+        if more <= rate * (1 + 1e-12):
+            return rate
+        rate = more
+
+
+def calibrate(docs: DataFrame, targets: dict | None = None, kept_share: float | None = None) -> DataFrame:
     """Rows of ``docs`` as ``_row``, with their cell, ``_tokens``, ``_prob`` and ``_kept``."""
-    return calibrated(with_cells(docs), targets)
+    return calibrated(with_cells(docs), targets, kept_share)
 
 
-def calibrated(rows: DataFrame, targets: dict | None = None) -> DataFrame:
+def calibrated(rows: DataFrame, targets: dict | None = None, kept_share: float | None = None) -> DataFrame:
     """``rows`` of ``with_cells`` with their ``_prob`` and ``_kept``."""
     cells = cut_lineage(rows.groupBy(*DIMS).agg(F.sum("_tokens").alias("tokens")), "cells")
     raked = fit(cells, targets)
     weight = F.when(F.col("tokens") > 0, F.col("share") / F.col("tokens"))
-    top = raked.agg(F.max(weight)).first()[0] or 1.0
-    probs = raked.select(*DIMS, F.coalesce(weight / F.lit(top), F.lit(1.0)).alias("_prob"))
+    rate = rate_of(raked, kept_share)
+    probs = raked.select(*DIMS, F.coalesce(F.least(weight * F.lit(rate), F.lit(1.0)), F.lit(1.0)).alias("_prob"))
     turn = F.pmod("_turn", F.lit(_U)) / F.lit(float(_U))
     if raked.count() <= BROADCAST_CELLS:
         probs = F.broadcast(probs)
     return (rows.join(probs, list(DIMS)).withColumn("_kept", turn < F.col("_prob")))
 
 
-def sample(docs: DataFrame, targets: dict | None = None) -> DataFrame:
+def sample(docs: DataFrame, targets: dict | None = None, kept_share: float | None = None) -> DataFrame:
     """The kept rows of ``docs``, with its own columns."""
-    return calibrate(docs, targets).where("_kept").select("_row.*")
+    return calibrate(docs, targets, kept_share).where("_kept").select("_row.*")
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

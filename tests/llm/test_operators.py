@@ -203,6 +203,24 @@ def test_mixing_meets_targets(spark):
     assert abs(kept / total - 1) < 0.05
 
 
+def test_mixing_one_document_source(spark):
+    def share(extra):
+        rows = [(i, "hot" if i % 3 == 0 else f"s{i % 7}", ("en", "de")[i % 5 == 0], "word " * (90 + i % 21)) for i in range(6000)]
+        docs = spark.createDataFrame(rows + extra, "doc_id long, source string, lang string, text string")
+        got = mixing.calibrate(docs).collect()
+        main = [r for r in got if r._source not in ("stray", "") and not r._source.startswith("t")]
+        return (sum(r._tokens * r._prob for r in main) / sum(r._tokens for r in main),
+                sum(r._tokens * r._prob for r in got) / sum(r._tokens for r in got), [r._prob for r in got if r not in main])
+
+    alone, _, _ = share([])
+    beside, _, rare = share([(9000, "stray", "en", "word " * 100), (9001, None, None, "word " * 100)])
+    print("kept share", alone, beside)
+    assert abs(beside - alone) < 0.02 and rare == [1.0, 1.0]
+    _, tail, _ = share([(9000 + i, f"t{i}", "en", "word " * 100) for i in range(200)])
+    print("kept share with 200 sources of one document", tail)
+    assert tail >= 0.3 - 1e-9
+
+
 def test_odd_rows_and_empty_tables(spark, odd):
     import corpus_pipeline
 
