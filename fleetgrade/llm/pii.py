@@ -2,16 +2,21 @@
 
 Base: four regular expressions find emails, IP addresses, card numbers and phone numbers
 with their places (code points). They are the seeds. Around every seed, and around every
-other token that holds a digit or an at sign (the candidates), the neighbouring words
-give lexical patterns: the word before, the word after, and both. Patterns and instances
+other token that holds a digit or an at sign and every run of digits with the separators of
+phone and card numbers between them (the candidates), the neighbouring words give lexical patterns: the word before, the word after, and both. Patterns and instances
 (distinct values) form a graph that is scored in turns:
 
-* a pattern's confidence for a kind is the sum of its instances' scores over the number
-  of its instances (plus one); it must be met by ``MIN_SUPPORT`` known instances;
-* a candidate's score is one minus the product of its patterns' doubts.
+* a pattern's confidence for a kind is the sum of its instances' weights over the number
+  of its instances (plus one); it must be met by ``MIN_SUPPORT`` known instances. Known ones
+  weigh 1, candidates what the last turn made likely: their score, or the confidence of their
+  best pattern. So values not seen before are not full misses, yet patterns of confidence below
+  ``MIN_START`` have no say;
+* a candidate's score is one minus the product of the doubts of its patterns that reach
+  ``MIN_CONFIDENCE``.
 
 After ``ROUNDS`` turns, a candidate whose score reaches ``ACCEPT`` becomes a span of that
-kind wherever one of the accepted patterns stands around it. Base spans always stay.
+kind wherever one of the accepted patterns stands around it. Base spans always stay. A run and
+a token in it may both become spans; masking replaces them as one.
 
 All of it is DataFrame functions. Texts are read once; spans, contexts and no texts go to
 the graph. Edges are made distinct before they are joined, so copies and hot contexts
@@ -44,8 +49,9 @@ PATTERNS = {
 }
 _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 TOKEN = r"(?<!\S)\S*?[0-9@]\S*+"
+RUN = r"(?<![A-Za-z0-9@+._/-])\(?[0-9]++(?:[\x20().-]++[0-9]++(?![A-Za-z@_/]))++"
 WINDOW = 48
-ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE, ACCEPT = 3, 3, 0.7, 0.8
+ROUNDS, MIN_SUPPORT, MIN_START, MIN_CONFIDENCE, ACCEPT = 3, 3, 1 / 3, 0.7, 0.8
 BROADCAST_SPANS = 200_000   # extra spans (three numbers each, and a key) that may be broadcast; more are joined by shuffle
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
@@ -95,7 +101,7 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Tokens with a digit or at sign outside the base spans, without outer punctuation."""
+    """Tokens with a digit or at sign and spaced numbers outside the base spans, without outer punctuation."""
     def trim(s: Column) -> Column:
         head = F.length(F.regexp_extract(s["value"], r"^([\"'(<\[]*+)", 1))
         tail = F.length(F.regexp_extract(s["value"], r"([\"')>\].,;:!?]*)$", 1))
@@ -106,6 +112,11 @@ def candidates(text: Column, base: Column) -> Column:
     own = F.transform(located(text, TOKEN, -1), trim)
     own = F.filter(own, lambda s: (s["value"].rlike("@") | (F.length(F.regexp_replace(s["value"], "[^0-9]", "")) >= 3))
                    & (F.length(s["value"]) >= 5))
+    digits = lambda s: F.length(F.regexp_replace(s["value"], "[^0-9]", ""))
+    # As many digits as phones and cards have; an unclosed bracket is outer punctuation, runs without a space are tokens.
+    runs = F.filter(F.transform(located(text, RUN, -1), lambda s: F.when(s["value"].rlike(r"^\([^)]*$"), trim(s)).otherwise(s)),
+                    lambda s: s["value"].contains(" ") & digits(s).between(9, 19))
+    own = F.concat(own, runs)
     return F.filter(own, lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
 
 
@@ -138,20 +149,24 @@ def bootstrap(near: DataFrame) -> DataFrame:
                      F.when((F.col("l") != "") & (F.col("r") != ""), F.concat(F.lit("B:"), "l", F.lit(" "), "r")))
     met = near.withColumn("pattern", F.explode(shapes)).where("pattern is not null").withColumn("value", F.lower("value"))
     edges = cut_lineage(met.select("pattern", "value", "kind").distinct(), "pii-edges")
-    seeds = edges.where("kind >= 0").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
+    seeds = edges.where("kind >= 0").select("value", "kind").distinct().withColumns({"score": F.lit(1.0), "weight": F.lit(1.0)})
     size = edges.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
     links = edges.select("pattern", "value").distinct()
     loose = edges.where("kind = -1").select("pattern", "value").distinct()
     known = seeds
     for _ in range(ROUNDS):
         pats = (links.join(known, "value").groupBy("pattern", "kind")
-                .agg(F.sum("score").alias("s"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("support"))
+                .agg(F.sum("weight").alias("s"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("support"))
                 .where(F.col("support") >= MIN_SUPPORT).join(size, "pattern")
-                .select("pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("conf")).where(F.col("conf") >= MIN_CONFIDENCE))
+                .select("pattern", "kind", (F.col("s") / (F.col("n") + 1)).alias("conf")).where(F.col("conf") >= MIN_START))
         pats = cut_lineage(pats, "pii-patterns")
+        doubt = F.when(F.col("conf") >= MIN_CONFIDENCE, F.log1p(-F.col("conf"))).otherwise(0.0)
         new = (loose.join(pats, "pattern").groupBy("value", "kind")
-               .agg((1 - F.exp(F.sum(F.log1p(-F.col("conf"))))).alias("score")).join(seeds.select("value", "kind"), ["value", "kind"], "left_anti"))
+               .agg((1 - F.exp(F.sum(doubt))).alias("score"), F.max("conf").alias("top"))
+               .select("value", "kind", "score", F.greatest("score", "top").alias("weight"))
+               .join(seeds.select("value", "kind"), ["value", "kind"], "left_anti"))
         known = cut_lineage(seeds.unionByName(new), "pii-known")
+    pats = pats.where(F.col("conf") >= MIN_CONFIDENCE)
     best = (known.where(F.col("score") >= ACCEPT).groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("b"))
             .select("value", (-F.col("b.col2")).alias("as")))
     return (met.where("kind = -1").select("key", "start", "stop", "value", "pattern").join(best, "value")

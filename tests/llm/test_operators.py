@@ -80,6 +80,23 @@ def test_pii_base_and_discovery(spark, odd):
     assert pii.mask(odd).columns == odd.columns
 
 
+def test_pii_unseen_values_and_spaced_phones(spark):
+    own = ["z" + a + b for a in "abcdefghij" for b in "abcdefghij"]
+    rows = [(i, f"w{i} contact id user{i}@ex.com {z}" if i < 60 else f"w{i} contact id ab-{i}999 {z}") for i, z in enumerate(own)]
+    rows += [(100 + i, f"q{i} ring desk {'+49 30 555' if i < 30 else '(030) 555'}-12{i:02d}, y{i}") for i in range(50)]
+    rows += [(200 + i, f"v{i} paid bill {f'(030) 555-34{i:02d}' if i else '+49 30 555-3400'} x{i}") for i in range(40)]
+    rows += [(300, "1 " * 500 + "1a"), (301, "see (030 555 1234) 2 pages")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.mask(docs).collect()}
+    print("unseen masked", sum(got[i] == f"w{i} contact id <email> {own[i]}" for i in range(60, 100)), "of 40; spaced phones masked",
+          sum(got[100 + i] == f"q{i} ring desk <phone>, y{i}" for i in range(30, 50)), "of 20")
+    for i in range(100):
+        assert got[i] == f"w{i} contact id <email> {own[i]}"
+    for i in range(50):
+        assert got[100 + i] == f"q{i} ring desk <phone>, y{i}"
+    assert all(got[i] == t for i, t in rows if 200 < i)  # one known value does not make a context
+
+
 def test_toxicity_held_out(spark):
     rows = toxicity.op3_toxicity(spark, SF01).join(common.table(spark, SF01, "labels"), "doc_id").where("held_out").collect()
     clean = [r for r in rows if not r.toxic]
