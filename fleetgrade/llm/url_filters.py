@@ -8,7 +8,7 @@ A page takes the longest rule that fits.
 
 Two kinds of rules share the index. Path rules (host and path prefix; they fit the host
 and its subdomains) carry their own text; method rules are patterns for tracking links
-and the like, tried only where no path rule fits. Where none fits, a url with a host is
+and the like, tried only where no path rule fits; they alone see the query. Where none fits, a url with a host is
 allowed and one without is blocked.
 
 Scale: tokens are counted with map-side aggregation, a url meets only rules whose rarest
@@ -101,7 +101,8 @@ def judge(pages: DataFrame, path_rules=PATH_RULES, method_rules=METHOD_RULES) ->
     index = rule_index(rules, tokens.select("token"))
     if len(path_rules) + len(method_rules) <= BROADCAST_RULES:
         index = F.broadcast(index)
-    fits = F.expr("(case when by_path then target else lower(target) end) rlike pattern")
+    # Host and path hold no question mark, so path rules end before the first one.
+    fits = F.expr("(case when by_path then substring_index(target, '?', 1) else lower(target) end) rlike pattern")
     best = (tokens.join(index, "token").where(fits)
             .groupBy("target").agg(F.max(F.struct("by_path", "rank", "rule", "action")).alias("best")))
     verdict = F.coalesce(F.col("best.action"), F.when(F.col("host") == "", "block").otherwise("allow"))

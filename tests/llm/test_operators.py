@@ -153,6 +153,14 @@ def test_url_odd(spark):
                    (5, "b.com", "/de/q", "com/de/", "block"), (6, "c.net", "/", None, "block"), (6, "c.net", "/", None, "block")]
 
 
+def test_url_query_beside_host(spark):
+    rows = [(1, "http://shop.net?u=x.com/de/"), (2, "http://shop.net?u=x.org/"), (3, "http://shop.net?u=/x.org/&utm_source=1"),
+            (4, "http://a.com/de/?u=x.org/"), (5, "http://shop.net#x.com/de/")]
+    got = sorted((r.page_id, r.rule, r.verdict, r.pattern_rule) for r in url_filters.judge(spark.createDataFrame(rows, "page_id long, url string")).collect())
+    assert got == [(1, None, "allow", None), (2, None, "allow", None), (3, None, "block", "tracking"), (4, "com/de/", "block", None),
+                   (5, None, "allow", None)]
+
+
 def _groups(rows, k, num):
     sets = {}
     for i, text in rows:
