@@ -226,7 +226,7 @@ def _runs(blocks: DataFrame, numbers: DataFrame, width: str) -> DataFrame:
         number = np.concatenate([[0], words["id"].to_numpy(np.int64)])
         often = np.concatenate([[False], words["f"].to_numpy(np.int64) > SPLIT])
         ranks = rank[ids]
-        trie = HatTrie()
+        trie = HatTrie(BURST)
 
         def rows(first, rest, count):
             return pd.DataFrame({"lang": lang} | prefix_rows(first, rest, count, number, often, width), columns=["lang", "p1", "p2", "p3", "run"])
@@ -382,14 +382,16 @@ words as (select lang, list_filter(string_split_regex(piece, '[ \x09]+'), lambda
 grams as (
   select lang, m, unnest(list_transform(range(1, len(w) - m + 2), lambda i: w[i:i + m - 1])) as g
   from words, range(1, 5) s(m) where len(w) >= m),
-f as (select lang, m, g, count(*) as a from grams group by lang, m, g),
+f as materialized (select lang, m, g, array_to_string(g, ' ') as p, count(*) as a from grams group by lang, m, g),
 n as (select lang, sum(a)::bigint as n from f where m = 1 group by lang),
-candidate as (select * from f where m >= 2 and a >= 30),
+candidate as materialized (select * from f where m >= 2 and a >= 30),
+cut as materialized (
+  select lang, g, a, k, array_to_string(g[1:k], ' ') as first, array_to_string(g[k + 1:m], ' ') as rest
+  from (select *, unnest(range(1, m)) as k from candidate)),
 cuts as (
-  select c.lang, c.m, c.g, c.a, k, l.a as l, r.a as r, cast((2000000::hugeint * c.a) // (l.a + r.a) as bigint) as score
-  from candidate c join range(1, 4) s(k) on k < c.m
-  join f l on l.lang = c.lang and l.g = c.g[1:k] join f r on r.lang = c.lang and r.g = c.g[k + 1:c.m]),
-lowest as (select lang, m, g, a, l, r, score from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
+  select c.lang, c.g, c.a, k, l.a as l, r.a as r, cast((2000000::hugeint * c.a) // (l.a + r.a) as bigint) as score
+  from cut c join f l on l.lang = c.lang and l.p = c.first join f r on r.lang = c.lang and r.p = c.rest),
+lowest as (select lang, g, a, l, r, score from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
 around as (
   select lang, p, max(a) as most from (
     select lang, a, unnest(list_concat(list_transform(range(1, m), lambda i: g[i:i + 1]),

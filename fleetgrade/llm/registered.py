@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from fleetgrade.llm import (class_lm, jaccard_join, licenses, mixing, nn_descent, pii, quality, resampling, sentencepiece_bpe,
-                            toxicity, url_filters, vector_topk)
+from fleetgrade.llm import (class_lm, collocations, jaccard_join, licenses, mixing, nn_descent, pii, quality, resampling,
+                            sentencepiece_bpe, toxicity, url_filters, vector_topk)
 
 QUERIES = {
     "op1_vector_topk": vector_topk.op1_vector_topk,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_licenses": licenses.op10_licenses,
+    "op11_collocations": collocations.op11_collocations,
     "op12_resampling": resampling.op12_resampling,
     "op13_nn_descent": nn_descent.op13_nn_descent,
 }
@@ -23,5 +24,6 @@ ORACLES = {
     "op1_vector_topk": vector_topk.ORACLE,
     "op6_url_filters": url_filters.ORACLE,
     "op7_quality_rules": quality.ORACLE,
+    "op11_collocations": collocations.ORACLE,
     "op12_resampling": resampling.ORACLE,
 }
