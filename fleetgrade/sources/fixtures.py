@@ -18,25 +18,25 @@ from fleetgrade.sources.testdata import register_raw
 
 FIXTURE_SQL: dict[str, str] = {
     "usage": """
-select l_partkey % (select count(*) from supplier) as workspace_id,
+select case when l_orderkey % 3 = 1 then 3 else l_partkey % (select count(*) from supplier) end as workspace_id,
        cast(l_shipdate as date) as usage_date,
-       concat(l_returnflag, '_', l_linestatus) as sku_name,
+       concat(l_returnflag, '_', l_linestatus, '_', cast(l_orderkey % 11 as string)) as sku_name,
        l_quantity as usage_quantity,
        case when l_linenumber = 7 then null
-            else concat('c', cast(l_partkey % 50 as string)) end as usage_cluster_id
+            else concat('c', cast(l_orderkey % 53 as string)) end as usage_cluster_id
 from lineitem""",
     "cluster_timeline": """
-select l_partkey % (select count(*) from supplier) as workspace_id,
-       concat('c', cast(l_partkey % 50 as string)) as cluster_id,
-       concat('cluster_', cast(l_partkey % 50 as string)) as cluster_name,
+select case when l_orderkey % 3 = 1 then 3 else l_partkey % (select count(*) from supplier) end as workspace_id,
+       concat('c', cast(l_orderkey % 53 as string)) as cluster_id,
+       concat('cluster_', cast(l_orderkey % 53 as string)) as cluster_name,
        case l_returnflag when 'A' then 'RUNNING' when 'N' then 'TERMINATED' else 'PENDING' end as state,
        cast(floor(l_extendedprice * 100) as bigint) as duration_ms,
        l_shipdate as change_time
 from lineitem""",
     "job_runs": """
-select o_custkey % (select count(*) from supplier) as workspace_id,
-       o_custkey % 60 as job_id,
-       concat('c', cast(o_custkey % 40 as string)) as cluster_id,
+select case when o_orderkey % 2 = 1 then 3 else o_custkey % (select count(*) from supplier) end as workspace_id,
+       case when o_orderkey % 3 = 0 then 5 else o_orderkey % 61 end as job_id,
+       concat('c', cast(o_orderkey % 31 as string)) as cluster_id,
        o_orderdate as period_start_time,
        case when o_orderstatus = 'F' and o_orderpriority like '1%' then 'FAILED'
             when o_orderstatus = 'F' and o_orderpriority like '2%' then 'TIMEDOUT'
@@ -45,21 +45,21 @@ select o_custkey % (select count(*) from supplier) as workspace_id,
             else 'SUCCESS' end as result_state
 from orders""",
     "query_history": """
-select user_id % (select count(*) from supplier) as workspace_id,
+select case when event_id % 3 = 1 then 3 else user_id % (select count(*) from supplier) end as workspace_id,
        event_id as statement_id,
        ts as start_time,
        case event_type when 'error' then 'FAILED' when 'signup' then 'CANCELED' else 'FINISHED' end as status,
        cast(floor(value * 3000) as bigint) as duration,
-       case when user_id % 10 = 9 then null
-            else concat('wh', cast(user_id % 10 as string), '_', cast((event_id % 7) % 3 as string)) end as warehouse_id
+       case when event_id % 10 = 9 then null
+            else concat('wh', cast(event_id % 17 as string), '_', cast((event_id % 7) % 3 as string)) end as warehouse_id
 from events""",
     "audit": """
-select user_id % (select count(*) from supplier) as workspace_id,
+select case when event_id % 3 = 1 then 3 else user_id % (select count(*) from supplier) end as workspace_id,
        cast(ts as date) as event_date,
        ts as event_time,
        case event_type when 'click' then 'login' when 'view' then 'changePermissions'
                        when 'purchase' then 'tokenLogin' when 'signup' then 'grantPermission'
-                       else 'commandSubmit' end as action_name,
+                       else concat('commandSubmit', cast(event_id % 41 as string)) end as action_name,
        case when cast(regexp_extract(props, '[0-9]+', 0) as int) < 80 then 200
             when cast(regexp_extract(props, '[0-9]+', 0) as int) < 90 then 401
             else 403 end as response_status_code
@@ -161,11 +161,12 @@ cross join (select 'policy' as kind, 5 as mult, 31 as modulus union all select '
             union all select 'storage_credential', 13, 61 union all select 'workspace_object', 17, 97) k""",
     # Call log of the collection step (FIXTURES section 3): one call per event.
     "call_log": """
-select user_id % (select count(*) from supplier) as workspace_id,
+select case when event_id % 3 = 1 then 3 else user_id % (select count(*) from supplier) end as workspace_id,
        event_id as seq,
        concat('collector_', event_type) as collector,
-       concat('api get /api/2.0/', event_type) as command_text,
-       props as output,
+       case when event_id % 5 = 2 then 'api post /api/2.0/sql/statements --json {}'
+            else concat('api get /api/2.0/', event_type) end as command_text,
+       case when event_id % 7 = 3 then repeat(props, 300) else props end as output,
        value as duration_seconds,
        event_type <> 'error' as success,
        case when event_type = 'error' then 'call failed' end as error
