@@ -264,6 +264,15 @@ def features_counts(object_counts: DataFrame) -> DataFrame:
     return _aggregate(object_counts, counts_spec(object_counts))
 
 
+# Feature counts that also hold list members which are no objects (``unlisted`` rows).
+LISTED_KINDS = ("cluster", "warehouse", "job", "pipeline", "catalog", "scim", "sp")
+
+
+def unlisted_spec(unlisted: DataFrame) -> Spec:
+    """Members counted beyond the rows of a list, added to that list's count."""
+    return [(f"{k}_count", F.when(F.col("kind") == k, F.col("n")), "sum") for k in LISTED_KINDS]
+
+
 def workspace_features(tables: dict[str, DataFrame], recent_regex: str = r"^1[4-9]\.") -> DataFrame:
     """One wide row per workspace of ``tables['workspaces']``, from ONE aggregate.
 
@@ -285,22 +294,24 @@ def workspace_features(tables: dict[str, DataFrame], recent_regex: str = r"^1[4-
         (tables["settings"], settings_spec(tables["settings"])),
         (tables["object_counts"], counts_spec(tables["object_counts"])),
     ]
+    if "unlisted" in tables:
+        specs.append((tables["unlisted"], unlisted_spec(tables["unlisted"])))
     owned = sp_owned_jobs(tables["jobs"], tables["service_principals"])
     specs.append((owned, [("sp_owned_jobs", F.col("sp_owned_jobs"), "max")]))
     rows = [t.select(WS, *[e.alias(n) for n, e, _a in sp]) for t, sp in specs]
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), rows)
-    aggs = [_AGG[a](F.col(n)).alias(n) for _t, sp in specs for n, _e, a in sp]
-    folded = stacked.groupBy(WS).agg(*aggs).where(F.col("_known"))
+    # A count may come from two tables (rows of a list, members beyond them): one sum.
+    aggs = {n: _AGG[a](F.col(n)).alias(n) for _t, sp in specs for n, _e, a in sp}
+    folded = stacked.groupBy(WS).agg(*aggs.values()).where(F.col("_known"))
     dtypes = dict(folded.dtypes)
     out = []
-    for _t, sp in specs:
-        for n, _e, _a in sp:
-            if n == "_known":
-                continue
-            if dtypes[n] in ("bigint", "int"):
-                out.append(F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n))
-            else:
-                out.append(F.col(n))
+    for n in aggs:
+        if n == "_known":
+            continue
+        if dtypes[n] in ("bigint", "int"):
+            out.append(F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n))
+        else:
+            out.append(F.col(n))
     return folded.select(WS, *out)
 
 

@@ -551,3 +551,7 @@ def _call_log_flat(spark, sf):
 def _collector_runs(spark, sf):
     # Float sums depend on summation order; compare at 6 decimals.
     return reports.collector_runs(call_log(spark, sf)).withColumn("seconds", F.round("seconds", 6))
+
+
+# Queries over landed runs, caches and committed calls register themselves.
+from fleetgrade.plans import registered_runs  # noqa: E402,F401

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fleetgrade.functions.numbering import numbered_within
 from fleetgrade.plans.catalog import PILLARS, pillar_dim
 from fleetgrade.plans.scoring import maturity
 
@@ -439,7 +440,7 @@ def call_summary(call_log: DataFrame) -> DataFrame:
     """Number of calls and total seconds (numeric durations only)."""
     return call_log.groupBy(WS).agg(
         F.count(F.lit(1)).alias("calls"),
-        F.coalesce(F.sum(F.col("duration_seconds").cast("string").try_cast("double")), F.lit(0.0))
+        F.coalesce(F.sum(F.col("duration_seconds").try_cast("double")), F.lit(0.0))
         .alias("total_seconds"))
 
 
@@ -447,12 +448,15 @@ OUTPUT_CUT = 2000
 
 
 def call_entries(call_log: DataFrame, order_col: str = "seq") -> DataFrame:
-    """Numbered entries with the command text and the output cut at 2000 chars."""
-    w = Window.partitionBy(WS).orderBy(order_col)
+    """Numbered entries with the command text and the output cut at 2000 chars.
+
+    Entries are numbered by range partitions of (workspace, order) and offsets, so a
+    workspace with most of the calls stays spread over tasks.
+    """
     cmd = F.concat_ws(" ", F.col("command"))
     out = F.coalesce(F.col("output"), F.lit(""))
-    return call_log.select(
-        WS, F.row_number().over(w).cast("bigint").alias("entry"),
+    return numbered_within(call_log, WS, [order_col], "entry").select(
+        WS, (F.col("entry") + 1).alias("entry"),
         F.when((cmd == "") | F.col("command").isNull(), "(unknown command)").otherwise(cmd).alias("command"),
         F.when(F.length(out) > OUTPUT_CUT, F.concat(F.substring(out, 1, OUTPUT_CUT), F.lit("\n\n... [truncated]")))
         .when(out == "", "(no output)").otherwise(out).alias("output"),

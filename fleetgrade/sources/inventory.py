@@ -386,6 +386,31 @@ def object_counts(payloads: DataFrame) -> DataFrame:
     return out
 
 
+# Lists whose count takes every member: (feature count, payload kind, list keys).
+MEMBER_LISTS = (("cluster", "clusters", ["clusters"]), ("warehouse", "warehouses", ["warehouses"]), ("job", "jobs", ["jobs"]),
+                ("pipeline", "pipelines", ["statuses", "pipelines"]), ("catalog", "catalogs", ["catalogs"]),
+                ("scim", "scim_groups", ["Resources"]), ("sp", "service_principals", ["Resources"]))
+
+
+def unlisted_members(payloads: DataFrame) -> DataFrame:
+    """Long ``(workspace_id, kind, n)``: members counted beyond the objects that become rows.
+
+    Members that are no objects count (F1), and a SCIM answer's ``totalResults`` counts in
+    place of the members listed (F24), so ``n`` is what a list's count adds to its rows.
+    """
+    parts = []
+    for kind, pk, keys in MEMBER_LISTS:
+        pg = pages(payloads, pk).where("ok").select(
+            WS, F.size(_list(keys)).alias("all"), F.size(_objects(_list(keys))).alias("rows"),
+            (F.col("doc.totalResults") if keys == ["Resources"] else F.lit(None).cast("long")).alias("total"))
+        n = F.coalesce(F.max("total"), F.sum("all")) - F.sum("rows")
+        parts.append(pg.groupBy(WS).agg(n.cast("bigint").alias("n")).select(WS, F.lit(kind).alias("kind"), "n"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.where("n <> 0")
+
+
 def inventory_tables(payloads: DataFrame, workspaces: DataFrame) -> dict[str, DataFrame]:
     """All normalized inventory tables, keyed like the feature operators expect."""
     ms = metastore(payloads)
@@ -395,4 +420,5 @@ def inventory_tables(payloads: DataFrame, workspaces: DataFrame) -> dict[str, Da
         "jobs": jobs(payloads), "pipelines": pipelines(payloads), "catalogs": catalogs(payloads),
         "scim_groups": scim_groups(payloads), "service_principals": service_principals(payloads),
         "settings": settings(payloads), "object_counts": object_counts(payloads),
+        "unlisted": unlisted_members(payloads),
     }

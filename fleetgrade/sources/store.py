@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +41,61 @@ def read_snapshot(spark: SparkSession, root: str, name: str, as_of: dt.date | No
 
 
 def append_calls(calls: DataFrame, path: str, sql_calls: bool = False) -> None:
-    """Append call-log rows; SQL call output is cut to 2000 characters."""
+    """Plain append of call-log rows (a repeated append repeats them; see ``commit_calls``);
+    SQL call output is cut to 2000 characters."""
     out = calls
     if sql_calls:
         out = out.withColumn("output", F.substring("output", 1, SQL_OUTPUT_CUT))
     out.write.mode("append").parquet(path)
 
 
+def commit_calls(calls: DataFrame, root: str, run: str, attempt: str | None = None) -> int:
+    """Append one run's calls so that each (run, collector) counts once; rows committed.
+
+    The rows go to a folder of this attempt, which no reader looks at by itself. After the
+    write, one manifest row per collector names the attempt; only then do its rows exist for
+    readers. A retried run, or two runs racing, may write rows and manifest entries again:
+    the earliest entry of (run, collector) holds, the others are never read. Collectors of the
+    run that are committed already are not written again, so a run that failed between
+    collectors goes on where it stopped.
+    """
+    import uuid
+
+    spark, attempt = calls.sparkSession, attempt or uuid.uuid4().hex
+    done = manifest(spark, root).where(F.col("run") == run).select("collector")
+    todo = calls.join(done, calls["collector"].eqNullSafe(done["collector"]), "left_anti")
+    data = f"{root.rstrip('/')}/data/run={run}/attempt={attempt}"
+    cut_sql_output(todo.withColumn("command", F.concat_ws(" ", F.col("command"))) if dict(todo.dtypes)["command"].startswith("array")
+                   else todo).write.mode("error").parquet(data)
+    entries = (spark.read.schema(todo.select("collector").schema).parquet(data).groupBy("collector").agg(F.count(F.lit(1)).alias("calls"))
+               .select(F.lit(run).alias("run"), "collector", F.lit(attempt).alias("attempt"), "calls", F.current_timestamp().alias("committed_at")))
+    entries.write.mode("append").parquet(f"{root.rstrip('/')}/manifest")
+    return int(manifest(spark, root).where((F.col("run") == run) & (F.col("attempt") == attempt)).agg(F.sum("calls")).first()[0] or 0)
+
+
+_MANIFEST = "run string, collector string, attempt string, calls long, committed_at timestamp"
+
+
+def manifest(spark: SparkSession, root: str) -> DataFrame:
+    """The attempt that holds for every committed (run, collector)."""
+    path = f"{root.rstrip('/')}/manifest"
+    try:
+        rows = spark.read.schema(_MANIFEST).parquet(path)
+    except AnalysisException:      # nothing committed yet
+        rows = spark.createDataFrame([], _MANIFEST)
+    first = F.struct("committed_at", "attempt")
+    return rows.groupBy("run", "collector").agg(F.min_by(F.struct("attempt", "calls", "committed_at"), first).alias("m")).select(
+        "run", "collector", "m.*")
+
+
+def read_calls(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Committed calls, each once: the data of the attempts that the manifest names."""
+    held = manifest(spark, root).select(F.col("run").alias("_run"), F.col("collector").alias("_collector"), F.col("attempt").alias("_attempt"))
+    rows = spark.read.schema(f"{schema}, run string, attempt string").parquet(f"{root.rstrip('/')}/data")
+    return rows.join(held, (F.col("run") == F.col("_run")) & (F.col("attempt") == F.col("_attempt"))
+                     & F.col("collector").eqNullSafe(F.col("_collector")), "left_semi").drop("attempt")
+
+
 def cut_sql_output(flat: DataFrame) -> DataFrame:
     """Flattened calls with the output of SQL statement calls cut; command output stays whole."""
     is_sql = F.coalesce(F.col("command").contains(SQL_CALL), F.lit(False))
