@@ -11,11 +11,12 @@ into one container per next word, and whole subtrees are spilled as sorted runs
 holds more than ``HELD`` strings, the largest ones first. One insertion per position is
 enough, because a shorter phrase's count is the sum over its subtree.
 
-Runs are cut at prefixes: one word, two where the first word occurs more than ``SPLIT`` times
-in the corpus, three where the second does as well (pairs under such a prefix send their own
-sums). So all runs of a prefix meet in one place, no place holds more than ``SPLIT`` strings
-or one vocabulary, and a frequent word or pair spreads over its continuations. Sorted runs of
-a prefix are merged in partitions by prefix; strings with fewer than ``LEAST`` occurrences go.
+Runs are cut at prefixes: one word; where it occurs more than ``SPLIT`` times in the corpus,
+as many parts of its continuations as its count has multiples of ``SPLIT``; where the second
+word is as frequent, too, parts of the pair's continuations (such pairs send their own sums).
+So all runs of a prefix or part meet in one place, a place holds about ``SPLIT`` strings, and a
+frequent word or pair spreads over many. Sorted runs are merged in partitions by prefix;
+strings with fewer than ``LEAST`` occurrences go.
 
 Scores. Parts of candidates are candidates or single words themselves, so both counts of a
 cut come by equi-joins on word numbers; the containment rule is one aggregate of the longest
@@ -119,28 +120,45 @@ def windows(ranks, starts: int):
     return a[fine], (b[fine] << 2 * _BITS) | (c[fine] << _BITS) | d[fine]
 
 
-def prefix_rows(first, rest, count, numbers, often, width):
-    """A sorted run cut at its prefixes: ``p1, p2, p3, run`` columns."""
+def _dealt(numbers, parts):
+    """A part ``1 .. parts`` for each word number, the same in every block."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        mixed = (numbers.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    return (mixed % parts.astype(np.uint64)).astype(np.int64) + 1
+
+
+def prefix_rows(first, rest, count, numbers, freq, split, width):
+    """A sorted run cut at its prefixes: ``p1, p2, p3, run`` columns.
+
+    ``p2`` is 0 for a whole first word, a negative part of its continuations where it is frequent,
+    or the second word's number where that is frequent as well; ``p3`` is then a part of the pair's
+    continuations, 0 for the pair itself.
+    """
     import numpy as np
 
     a, b, c, d = first, rest >> 2 * _BITS, (rest >> _BITS) & _LOW, rest & _LOW
-    p2 = np.where(often[a], b, 0)
-    p3 = np.where(often[a] & often[b], c, 0)
+    fa, fb = freq[a], freq[b]
+    both = (fa > split) & (fb > split)
+    parts = -(-np.minimum(fa, fb) // split)
+    p2 = np.where(fa > split, np.where(both, numbers[b], -_dealt(numbers[b], -(-fa // split))), 0)
+    p3 = np.where(both & (parts > 1) & (c > 0), _dealt(numbers[c], np.maximum(parts, 1)), 0)
     deep = np.flatnonzero(p3 > 0)
     if len(deep):  # pairs whose strings are spread by their third word
         da, db = a[deep], b[deep]
         at = np.flatnonzero(np.concatenate([[True], (da[1:] != da[:-1]) | (db[1:] != db[:-1])]))
         zero = np.zeros(len(at), np.int64)
         a, b, c, d, p2, p3, count = (np.concatenate(p) for p in (
-            (a, da[at]), (b, db[at]), (c, zero), (d, zero), (p2, db[at]), (p3, zero), (count, np.add.reduceat(count[deep], at))))
+            (a, da[at]), (b, db[at]), (c, zero), (d, zero), (p2, numbers[db[at]]), (p3, zero), (count, np.add.reduceat(count[deep], at))))
+    if p2.any():
         order = np.lexsort((d, c, b, p3, p2, a))
         a, b, c, d, p2, p3, count = (x[order] for x in (a, b, c, d, p2, p3, count))
     raw = np.stack([numbers[b], numbers[c], numbers[d], count], axis=1).astype(width).tobytes()
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (p2[1:] != p2[:-1]) | (p3[1:] != p3[:-1])]) if len(a) else np.empty(0, bool)
     at = np.flatnonzero(new)
     ends = (np.append(at, len(a)) * 4 * np.dtype(width).itemsize).tolist()
-    return {"p1": numbers[a[at]], "p2": numbers[p2[at]], "p3": numbers[p3[at]],
-            "run": [raw[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]}
+    return {"p1": numbers[a[at]], "p2": p2[at], "p3": p3[at], "run": [raw[lo:hi] for lo, hi in zip(ends[:-1], ends[1:])]}
 
 
 def summed(group, b, c, d, count):
@@ -224,12 +242,12 @@ def _runs(blocks: DataFrame, numbers: DataFrame, width: str) -> DataFrame:
         rank = np.zeros(int(max(ids.max(initial=0), words["idx"].max() if len(words) else 0)) + 1, np.int64)
         rank[words["idx"].to_numpy(np.int64)] = np.arange(1, len(words) + 1)
         number = np.concatenate([[0], words["id"].to_numpy(np.int64)])
-        often = np.concatenate([[False], words["f"].to_numpy(np.int64) > SPLIT])
+        freq = np.concatenate([[0], words["f"].to_numpy(np.int64)])
         ranks = rank[ids]
         trie = HatTrie(BURST)
 
         def rows(first, rest, count):
-            return pd.DataFrame({"lang": lang} | prefix_rows(first, rest, count, number, often, width), columns=["lang", "p1", "p2", "p3", "run"])
+            return pd.DataFrame({"lang": lang} | prefix_rows(first, rest, count, number, freq, SPLIT, width), columns=["lang", "p1", "p2", "p3", "run"])
 
         step = 200_000
         for at in range(0, own, step):
