@@ -1,25 +1,27 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 8, native).
 
-Documents are counted into cells (source, language, topic) with their words as tokens.
-Cell weights are raked to target token shares per source, per language and per topic in
-turn until every marginal is within ``TOLERANCE`` or ``MAX_SWEEPS`` sweeps are done. A
-document is then kept with its cell's calibrated probability, decided by a hash of its id
-and text, so equal runs keep equal rows.
+Documents are counted into cells (source, language, topic) with their words as tokens. One
+token budget, ``kept_share`` of all tokens, is stated; it sets everything else. Each name of a
+dimension has a goal, its target share of the budget; a name with fewer tokens than that gives
+all it has and its rest goes to the others in proportion to their targets, so the goals of a
+dimension sum to the budget. Cells are then raked to the goals per language, topic and source
+in turn, and no cell ever rises above its own tokens (a probability above 1). There is no
+threshold on the size of a cell: a cell's tokens enter goals and caps continuously, and a rare
+name can take no more from the others than its own tokens.
+
+Raking ends when every marginal is within ``TOLERANCE`` of its goal, or when a sweep no longer
+moves ``STALLED`` of the budget: the caps of the cells then leave no table with these marginals.
+That is reported by a warning (``strict`` raises), and ``marginals`` gives the reached tokens of
+every name beside its goal. A document is kept with its cell's calibrated probability, decided by
+a hash of its id and text, so equal runs keep equal rows; no row is repeated.
 
 Targets come as {name: share} per dimension; without one, a dimension's target is its
 share in the data to the power ``ALPHA`` (below 1 flattens hot sources), brought to sum 1.
 Names without documents get no tokens and their share goes to the others in proportion.
 
-Probabilities are ``min(1, rate * weight)``; no row is repeated. ``rate`` keeps the heaviest
-cell with at least ``MAIN_CELL`` of all tokens whole, so the relative weights of such cells hold
-exactly in expectation. Smaller cells of more weight are kept whole and change no other cell's
-probability. Where less than ``KEPT_SHARE`` of all tokens would be kept, ``rate`` solves
-``sum(tokens * min(1, rate * weight)) = KEPT_SHARE * sum(tokens)`` instead; a caller's
-``kept_share`` is met the same way, whatever the cells are.
-
 Scale: one pass counts cells with map-side aggregation, so a hot source is one row per
 task and cell. The cell table (sources x languages x topics) is written once per sweep;
-only the largest error of a sweep reaches the driver. Documents meet their cell through a
+only a sweep's largest error and total change reach the driver. Documents meet their cell through a
 broadcast of at most ``BROADCAST_CELLS`` counted cells; beyond that through a join by cell,
 whose hot cells adaptive execution splits.
 
@@ -31,6 +33,8 @@ pass through; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,9 +42,9 @@ from fleetgrade.llm.common import SPACE, text_of
 from fleetgrade.session import cut_lineage
 
 ALPHA = {"source": 0.5, "lang": 0.7, "topic": 1.0}
-MAX_SWEEPS, TOLERANCE = 12, 1e-4
-MAIN_CELL, KEPT_SHARE = 0.01, 0.3
-DIMS = ("_source", "_lang", "_topic")
+KEPT_SHARE = 0.5                      # of all tokens: the budget without a caller's own
+TOLERANCE, STALLED = 1e-3, 1e-5
+DIMS = ("_lang", "_topic", "_source")
 _U = 1 << 40
 BROADCAST_CELLS = 100_000   # cells (three short names and a number) that may be broadcast
 
@@ -71,54 +75,82 @@ def with_cells(docs: DataFrame) -> DataFrame:
 
 
 def _targets(cells: DataFrame, dim: str, given: dict[str, float] | None) -> DataFrame:
+    """``dim, n, target``: tokens and target share of every name with tokens."""
     spark, name = cells.sparkSession, dim[1:]
     have = cells.where("tokens > 0").groupBy(dim).agg(F.sum("tokens").cast("double").alias("n"))
     if given is not None:
-        rows = spark.createDataFrame([(str(k), float(v)) for k, v in given.items()] or [("", 0.0)], f"{dim} string, n double")
-        have = have.select(dim).join(rows, dim)
+        rows = spark.createDataFrame([(str(k), float(v)) for k, v in given.items()] or [("", 0.0)], f"{dim} string, target double")
+        have = have.join(rows, dim)
     else:
-        have = have.withColumn("n", F.pow("n", F.lit(ALPHA[name])))
-    total = have.agg(F.sum("n")).first()[0] or 1.0
-    return have.select(dim, (F.col("n") / F.lit(total)).alias("target"))
+        have = have.withColumn("target", F.pow("n", F.lit(ALPHA[name])))
+    total = have.agg(F.sum("target")).first()[0] or 1.0
+    return have.select(dim, "n", (F.col("target") / F.lit(total)).alias("target"))
+
+
+def level(rows: DataFrame, size: str, weight: str, budget: float) -> float:
+    """The rate with ``sum(min(size, rate * weight)) = budget`` (or all sizes, if they sum to less)."""
+    rate, rows = 0.0, rows.where((F.col(size) > 0) & (F.col(weight) > 0))
+    # The sum is concave in the rate, so each step ends at or below the budget and only fills whole rows.
+    while True:
+        whole = F.col(weight) * F.lit(rate) >= F.col(size)
+        full, free = rows.agg(F.sum(F.when(whole, F.col(size))), F.sum(F.when(~whole, F.col(weight)))).first()
+        more = (budget - (full or 0)) / free if free else 0.0
+        if more <= rate * (1 + 1e-12):
+            return rate if free else max(rate, rows.agg(F.max(F.col(size) / F.col(weight))).first()[0] or 0.0)
+        rate = more
 
 
-def fit(cells: DataFrame, targets: dict[str, dict[str, float] | None] | None = None) -> DataFrame:
-    """``cells`` (_source, _lang, _topic, tokens) with the raked ``share`` of all tokens."""
+def fit(cells: DataFrame, targets: dict[str, dict[str, float] | None] | None = None, kept_share: float | None = None,
+        strict: bool = False) -> DataFrame:
+    """``cells`` (_source, _lang, _topic, tokens) with their raked ``kept`` tokens, at most ``tokens``."""
     targets = targets or {}
-    goal = {d: cut_lineage(_targets(cells, d, targets.get(d[1:])), "goal") for d in DIMS}
-    all_tokens = cells.agg(F.sum("tokens")).first()[0] or 0
-    now = cells.withColumn("share", F.col("tokens") / F.lit(max(1, all_tokens)).cast("double"))
-    for _ in range(MAX_SWEEPS):
-        worst = F.lit(0.0)
+    total = cells.agg(F.sum("tokens")).first()[0] or 0
+    budget = (KEPT_SHARE if kept_share is None else kept_share) * total
+    now = cells.withColumn("kept", F.col("tokens") * F.lit(budget / max(1, total)))
+    if not total:
+        return now
+    goal, room = {}, []
+    for d in DIMS:
+        names = cut_lineage(_targets(cells, d, targets.get(d[1:])), "goal")
+        rate = level(names, "n", "target", budget)
+        goal[d] = cut_lineage(names.select(d, F.least("n", F.col("target") * F.lit(rate)).alias("goal")), "goal")
+        room.append(goal[d].agg(F.sum("goal")).first()[0] or 0.0)
+    # Names with a target may hold less than the budget: the least room of a dimension is what all can meet.
+    scale = {d: min(room) / r if r else 0.0 for d, r in zip(DIMS, room)}
+    while True:
+        worst, before = F.lit(0.0), F.col("kept").alias("before")
+        now = now.select(*DIMS, "tokens", "kept", before)
         for d in DIMS:
-            have = now.groupBy(d).agg(F.sum("share").alias("have"))
+            have = now.groupBy(d).agg(F.sum("kept").alias("have"))
             factor = have.join(goal[d], d, "left").select(
-                d, F.when(F.col("have") > 0, F.coalesce("target", F.lit(0.0)) / F.col("have")).otherwise(0.0).alias("f"))
-            now = now.join(factor, d).withColumn("share", F.col("share") * F.col("f")).withColumnRenamed("f", f"f{d}")
-            worst = F.greatest(worst, F.when(F.col("share") > 0, F.abs(F.col(f"f{d}") - 1)).otherwise(0.0))
-        now = cut_lineage(now.withColumn("worst", worst).select(*DIMS, "tokens", "share", "worst"), "rake")
-        if (now.agg(F.max("worst")).first()[0] or 0.0) <= TOLERANCE:
+                d, F.when(F.col("have") > 0, F.coalesce("goal", F.lit(0.0)) * F.lit(scale[d]) / F.col("have")).otherwise(0.0).alias("f"))
+            raised = F.col("kept") * F.col("f")
+            now = (now.join(factor, d).withColumn("kept", F.when(raised >= F.col("tokens") * F.lit(1 - 1e-9), F.col("tokens").cast("double"))
+                                                  .otherwise(raised)).withColumnRenamed("f", f"f{d}"))
+            worst = F.greatest(worst, F.when(F.col("kept") > 0, F.abs(F.col(f"f{d}") - 1)).otherwise(0.0))
+        now = cut_lineage(now.select(*DIMS, "tokens", "kept", worst.alias("worst"), F.abs(F.col("kept") - F.col("before")).alias("moved")), "rake")
+        error, moved = now.agg(F.max("worst"), F.sum("moved")).first()
+        if (error or 0.0) <= TOLERANCE:
             break
-        now = now.drop("worst")
-    return now.select(*DIMS, "tokens", "share")
-
-
-def rate_of(raked: DataFrame, kept_share: float | None = None) -> float:
-    """The rate of ``min(1, rate * share / tokens)`` over the cells of ``fit``."""
-    cells = raked.where("tokens > 0 and share > 0")
-    total = raked.agg(F.sum("tokens")).first()[0] or 0
-    goal, rate = (KEPT_SHARE if kept_share is None else kept_share) * total, 0.0
-    if kept_share is None:
-        top = cells.where(F.col("tokens") >= F.lit(MAIN_CELL * total)).agg(F.max(F.col("share") / F.col("tokens"))).first()[0]
-        rate = 1.0 / top if top else 0.0
-    # The kept tokens are concave in the rate, so each step ends at or below the goal and only adds whole cells.
-    while True:
-        whole = F.col("share") * F.lit(rate) >= F.col("tokens")
-        full, free = cells.agg(F.sum(F.when(whole, F.col("tokens"))), F.sum(F.when(~whole, F.col("share")))).first()
-        more = (goal - (full or 0)) / free if free else 0.0
-        if more <= rate * (1 + 1e-12):
-            return rate
-        rate = more
+        if (moved or 0.0) <= STALLED * budget:
+            message = f"mixing: the cells' tokens allow no table with these marginals; largest relative error {error:.3g}, see marginals()"
+            if strict:
+                raise ValueError(message)
+            warnings.warn(message, stacklevel=2)
+            break
+    return now.select(*DIMS, "tokens", "kept")
+
+
+def marginals(raked: DataFrame, targets: dict | None = None) -> DataFrame:
+    """``dimension, name, tokens, target, reached``: target and reached shares of the kept tokens."""
+    out = None
+    total = raked.agg(F.sum("kept")).first()[0] or 1.0
+    for d in DIMS:
+        reached = raked.groupBy(d).agg(F.sum("tokens").alias("tokens"), (F.sum("kept") / F.lit(total)).alias("reached"))
+        rows = reached.join(_targets(raked, d, (targets or {}).get(d[1:])).drop("n"), d, "left").select(
+            F.lit(d[1:]).alias("dimension"), F.col(d).alias("name"), "tokens", F.coalesce("target", F.lit(0.0)).alias("target"), "reached")
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 def calibrate(docs: DataFrame, targets: dict | None = None, kept_share: float | None = None) -> DataFrame:
@@ -129,10 +161,8 @@ def calibrate(docs: DataFrame, targets: dict | None = None, kept_share: float |
 def calibrated(rows: DataFrame, targets: dict | None = None, kept_share: float | None = None) -> DataFrame:
     """``rows`` of ``with_cells`` with their ``_prob`` and ``_kept``."""
     cells = cut_lineage(rows.groupBy(*DIMS).agg(F.sum("_tokens").alias("tokens")), "cells")
-    raked = fit(cells, targets)
-    weight = F.when(F.col("tokens") > 0, F.col("share") / F.col("tokens"))
-    rate = rate_of(raked, kept_share)
-    probs = raked.select(*DIMS, F.coalesce(F.least(weight * F.lit(rate), F.lit(1.0)), F.lit(1.0)).alias("_prob"))
+    raked = fit(cells, targets, kept_share)
+    probs = raked.select(*DIMS, F.coalesce(F.when(F.col("tokens") > 0, F.col("kept") / F.col("tokens")), F.lit(1.0)).alias("_prob"))
     turn = F.pmod("_turn", F.lit(_U)) / F.lit(float(_U))
     if raked.count() <= BROADCAST_CELLS:
         probs = F.broadcast(probs)
