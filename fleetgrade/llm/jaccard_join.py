@@ -34,6 +34,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetgrade.functions.numbering import numbered
 from fleetgrade.llm.common import word_bytes
 from fleetgrade.llm.components import components
 from fleetgrade.session import cut_lineage
@@ -269,14 +270,29 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int) -> DataFrame
 
 
 def one_per_group(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """``docs`` with the least doc_id of each group of linked documents; rows without doc_id stay."""
-    comp = cut_lineage(jaccard_components(docs.select("doc_id", "text"), k, num, den), "groups")
-    gone = comp.where("doc_id <> component_id").select("doc_id").distinct()
-    out = docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
-    twice = comp.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1")
+    """``docs`` with one row of each group of linked texts, the one with the least doc_id.
+
+    A row is a node of its own by doc_id and text: rows that share an id but not the text stand
+    for themselves, and of rows equal in both one stays. Rows without doc_id stay.
+    """
+    own = F.xxhash64("text").alias("_h")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), own)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("_id"), own).distinct()
+    if texts.groupBy("_id").count().where("count > 1").isEmpty():
+        rows = rows.withColumn("_node", F.col("_id"))
+    else:  # nodes get numbers in the order of the ids, so the least one still stays
+        numbers = numbered(texts, ["_id", "_h"], "_node")
+        rows = cut_lineage(rows.join(numbers, ["_id", "_h"], "left"), "keyed-rows")
+    nodes = rows.select(F.col("_node").alias("doc_id"), F.col("_row.text").alias("text"))
+    comp = cut_lineage(jaccard_components(nodes, k, num, den), "groups")
+    gone = comp.where("doc_id <> component_id").select(F.col("doc_id").alias("_node")).distinct()
+    out = rows.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "_node", "left_anti")
+    twice = comp.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_node"))
     if not twice.isEmpty():
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
-    return out.select(*docs.columns)
+        again = F.broadcast(twice) if twice.count() <= BROADCAST_IDS else twice
+        out = out.join(again, "_node", "left_anti").select("_row").unionByName(
+            out.join(again, "_node", "left_semi").groupBy("_node").agg(F.first("_row").alias("_row")).select("_row"))
+    return out.select("_row.*")
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
