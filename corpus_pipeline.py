@@ -6,12 +6,13 @@ the last return the columns of documents.
 
 1. quality: rows that a quality rule rejects go.
 2. near_duplicates: of each group of linked documents (five-word shingles, Jaccard 0.8 or
-   more) the one with the least doc_id stays.
+   more) the one with the least doc_id stays; rows of one doc_id with different texts are
+   documents of their own.
 3. pii: personal data is masked in the text.
 4. mixing: documents are sampled by probabilities raked to source, language and topic.
-5. encode: SentencePiece ids of every text.
+5. encode: SentencePiece ids of every text, and the text that they decode to.
 
-Nulls, empty and long texts, repeated rows, empty tables and extra columns are handled as
+Every stage reads whole texts of any length. Nulls, empty and long texts, repeated rows, empty tables and extra columns are handled as
 each operator's docstring says; extra columns pass through stages 1 to 4.
 """
 
@@ -40,7 +41,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.encode_documents(docs, sentencepiece_bpe.default_model())
+    model = sentencepiece_bpe.default_model()
+    return sentencepiece_bpe.decode_documents(sentencepiece_bpe.encode_documents(docs, model), model)
 
 
 STAGES = [

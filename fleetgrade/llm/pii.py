@@ -3,8 +3,9 @@
 Base: four regular expressions find emails, IP addresses, card numbers and phone numbers
 with their places (code points). They are the seeds. Around every seed, and around every
 other token that holds a digit or an at sign and every run of digits with the separators of
-phone and card numbers between them (the candidates), the neighbouring words give lexical patterns: the word before, the word after, and both. Patterns and instances
-(distinct values) form a graph that is scored in turns:
+phone and card numbers between them (the candidates), the neighbouring words, whole whatever
+their length and distance, give lexical patterns: the word before, the word after, and both.
+Patterns and instances (distinct values) form a graph that is scored in turns:
 
 * a pattern's confidence for a kind is the sum of its instances' weights over the number
   of its instances (plus one); it must be met by ``MIN_SUPPORT`` known instances. Known ones
@@ -14,8 +15,8 @@ phone and card numbers between them (the candidates), the neighbouring words giv
 * a candidate's score is one minus the product of the doubts of its patterns that reach
   ``MIN_CONFIDENCE``.
 
-After ``ROUNDS`` turns, a candidate whose score reaches ``ACCEPT`` becomes a span of that
-kind wherever one of the accepted patterns stands around it. Base spans always stay. A run and
+Turns go on until they accept the same values as an earlier turn did. Then a candidate whose
+score reaches ``ACCEPT`` becomes a span of that kind wherever one of the accepted patterns stands around it. Base spans always stay. A run and
 a token in it may both become spans; masking replaces them as one.
 
 All of it is DataFrame functions. Texts are read once; spans, contexts and no texts go to
@@ -51,7 +52,7 @@ _OCTET = r"0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{0,2})"
 TOKEN = r"(?<!\S)\S*?[0-9@]\S*+"
 RUN = r"(?<![A-Za-z0-9@+._/-])\(?[0-9]++(?:[\x20().-]++[0-9]++(?![A-Za-z@_/]))++"
 WINDOW = 48
-ROUNDS, MIN_SUPPORT, MIN_START, MIN_CONFIDENCE, ACCEPT = 3, 3, 1 / 3, 0.7, 0.8
+MIN_SUPPORT, MIN_START, MIN_CONFIDENCE, ACCEPT = 3, 1 / 3, 0.7, 0.8
 BROADCAST_SPANS = 200_000   # extra spans (three numbers each, and a key) that may be broadcast; more are joined by shuffle
 _SPAN = "array<struct<start:int,kind:int,stop:int,value:string>>"
 
@@ -121,11 +122,18 @@ def candidates(text: Column, base: Column) -> Column:
 
 
 def _with_contexts(text: Column, spans: Column) -> Column:
+    """Spans with their whole neighbouring words. ``WINDOW`` code points are looked at first; where
+    they end inside a word or hold blanks alone, the rest of the text is."""
     def around(s: Column) -> Column:
         at = F.greatest(F.lit(0), s["start"] - WINDOW)
         mask = lambda c: F.regexp_replace(F.lower(c), "[0-9]+", "0")
-        left = F.regexp_extract(F.substring(text, at + 1, s["start"] - at), r"(\S+)\s*$", 1)
-        right = F.regexp_extract(F.substring(text, s["stop"] + 1, F.lit(WINDOW)), r"^[.,;:!?)\"']*\s*(\S+)", 1)
+        before, after = F.substring(text, at + 1, s["start"] - at), F.substring(text, s["stop"] + 1, F.lit(WINDOW))
+        cut_before = (at > 0) & ~before.rlike(r"\s\S+\s*$")
+        cut_after = (F.length(after) == WINDOW) & after.rlike(r"^[.,;:!?)\"']*\s*\S*$")
+        left = F.when(cut_before, F.reverse(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), s["start"])), r"^\s*(\S+)", 1))
+                      ).otherwise(F.regexp_extract(before, r"(\S+)\s*$", 1))
+        rest = F.when(cut_after, F.substring(text, s["stop"] + 1, F.length(text))).otherwise(after)
+        right = F.regexp_extract(rest, r"^[.,;:!?)\"']*\s*(\S+)", 1)
         return F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop"), s["value"].alias("value"),
                         mask(left).alias("l"), mask(right).alias("r"))
 
@@ -153,8 +161,8 @@ def bootstrap(near: DataFrame) -> DataFrame:
     size = edges.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
     links = edges.select("pattern", "value").distinct()
     loose = edges.where("kind = -1").select("pattern", "value").distinct()
-    known = seeds
-    for _ in range(ROUNDS):
+    known, seen = seeds, set()
+    while True:
         pats = (links.join(known, "value").groupBy("pattern", "kind")
                 .agg(F.sum("weight").alias("s"), F.sum((F.col("score") >= ACCEPT).cast("int")).alias("support"))
                 .where(F.col("support") >= MIN_SUPPORT).join(size, "pattern")
@@ -166,6 +174,12 @@ def bootstrap(near: DataFrame) -> DataFrame:
                .select("value", "kind", "score", F.greatest("score", "top").alias("weight"))
                .join(seeds.select("value", "kind"), ["value", "kind"], "left_anti"))
         known = cut_lineage(seeds.unionByName(new), "pii-known")
+        # Turns end when they accept the same values as an earlier one did.
+        mark = tuple(known.where(F.col("score") >= ACCEPT).agg(
+            F.count("*"), F.sum(F.xxhash64("value", "kind").cast("decimal(38,0)"))).first())
+        if mark in seen:
+            break
+        seen.add(mark)
     pats = pats.where(F.col("conf") >= MIN_CONFIDENCE)
     best = (known.where(F.col("score") >= ACCEPT).groupBy("value").agg(F.max(F.struct("score", -F.col("kind"))).alias("b"))
             .select("value", (-F.col("b.col2")).alias("as")))

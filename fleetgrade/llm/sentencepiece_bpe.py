@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARK = "▁"
 MEMO_SEGMENTS = 500_000     # segments a worker remembers before it starts anew
@@ -246,12 +246,12 @@ class Bpe:
         return n, hashlib.sha256(",".join(ids).encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
 
-_WORKER: dict[int, Bpe] = {}
+_WORKER: dict[str, Bpe] = {}
 
 
 def coder(model: dict) -> Bpe:
-    """The worker's coder of this vocabulary, built once per Python worker."""
-    key = hash((len(model["pieces"]), model["prefix"], tuple(p for p, _, _ in model["pieces"][-64:])))
+    """The worker's coder of this model (by a digest of all of it), built once per Python worker."""
+    key = hashlib.sha256(repr(sorted(model.items())).encode()).hexdigest()
     if key not in _WORKER:
         _WORKER.clear()
         _WORKER[key] = Bpe(model)
@@ -277,14 +277,18 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, text`` from ``doc_id, ids``."""
+    """``encoded`` (with ``ids``) and the ``text`` its ids decode to."""
+    import pandas as pd
+
     model = read_model(model_path)
 
-    @F.udf("string", useArrow=False)
-    def back(ids):
-        return coder(model).decode(list(ids or []))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c = coder(model)
+        for b in batches:
+            texts = [None if ids is None else c.decode(list(ids)) for ids in b["ids"]]
+            yield b.assign(doc_id=b["doc_id"].astype("Int64"), text=texts)
 
-    return encoded.select("doc_id", back("ids").alias("text"))
+    return encoded.mapInPandas(run, T.StructType([*encoded.schema.fields, T.StructField("text", T.StringType())]))
 
 
 def token_digests(docs: DataFrame, model_path: str) -> DataFrame:

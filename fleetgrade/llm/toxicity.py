@@ -103,7 +103,12 @@ def fit(docs: DataFrame, labels: DataFrame, bits: int = BITS) -> tuple:
         at = np.flatnonzero(w)
         return pd.DataFrame({"at": np.append(at, -1), "w": np.append(w[at], b)})
 
-    fitted = (docs.select("doc_id", "text").join(known, "doc_id")
+    # Equal rows teach once; where ids hold many different texts, rows are sampled as well.
+    rows = docs.select("doc_id", "text").join(known, "doc_id").withColumn("_h", F.xxhash64("text"))
+    keys = rows.select("doc_id", "_h").distinct().count()
+    if keys > 2 * FIT_ROWS:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id", "_h"), F.lit(1_000_000)) < int(1_000_000 * FIT_ROWS / keys))
+    fitted = (rows.groupBy("doc_id", "_h").agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
               .withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)))
               .groupBy("shard").applyInPandas(shard, "at long, w double"))
     model = fitted.groupBy("at").agg((F.sum("w") / shards).alias("w")).toPandas().sort_values("at")
