@@ -1,42 +1,69 @@
-"""Exact "text contains any pattern" semi-join without pairing every row with every pattern.
+"""Exact "text contains any pattern" joins without pairing every row with every pattern.
 
 A theta join on ``contains`` pairs each text with each pattern of its group; in
 a workspace with many jobs and many principals that is every pair in the
-group. Instead, each text is cut into its substrings of exactly the lengths the
-group's patterns have, and those substrings are equi-joined with the patterns.
-Work per text is ``len(text) x distinct pattern lengths``, both bounded by name
-length limits, and the join is a plain hash/sort-merge equi-join that Spark can
-partition and skew-split.
+group. ``containing_texts`` indexes each pattern by its rarest gram instead: of the pattern's
+pieces of ``GRAM`` characters, the one that the fewest distinct texts of the group hold. A
+text's own pieces fetch the patterns listed under them by an equi-join, and only those
+candidates are verified. A pattern with a piece that no text holds is never fetched at all.
+Texts are made distinct first, so a creator of a million jobs is looked at once.
+
+``contains_matches`` (for the static rule names) cuts texts into substrings of the
+patterns' lengths and equi-joins those.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+GRAM = 3
+
+
+def _grams(text: str, size) -> Column:
+    """Distinct pieces of ``size`` characters of a text column."""
+    at = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(at, lambda i: F.substring(F.col(text), i, size))))
+
+
+def containing_texts(texts: DataFrame, keys: list[str], patterns: DataFrame) -> DataFrame:
+    """Rows of ``texts`` (keys, ``_t``, distinct) that contain some ``_p`` of ``patterns`` (keys, ``_p``)."""
+    pats = patterns.where(F.length("_p") > 0).distinct().withColumn("_size", F.least(F.length("_p"), F.lit(GRAM)))
+    # Patterns shorter than a gram are their own piece, so texts are cut to the sizes their group needs.
+    sizes = pats.select(*keys, "_size").distinct()
+    pieces = texts.where(F.length("_t") > 0).join(sizes, on=keys).select(*keys, "_t", F.explode(_grams("_t", F.col("_size"))).alias("_g"))
+    spread = pieces.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_df"))
+    of = pats.select(*keys, "_p", F.size(_grams("_p", F.col("_size"))).alias("_all"), F.explode(_grams("_p", F.col("_size"))).alias("_g"))
+    rarest = (of.join(spread, on=[*keys, "_g"]).groupBy(*keys, "_p", "_all")
+              .agg(F.min(F.struct("_df", "_g")).alias("_r"), F.count(F.lit(1)).alias("_held"))
+              .where(F.col("_held") == F.col("_all")).select(*keys, "_p", F.col("_r._g").alias("_g")))
+    return (pieces.join(rarest, on=[*keys, "_g"]).where(F.col("_t").contains(F.col("_p"))).select(*keys, "_t").distinct())
+
+
+def count_containing(left: DataFrame, keys: list[str], text_col: str, right: DataFrame, pattern_col: str,
+                     name: str, lower: bool = True) -> DataFrame:
+    """Per group the number of ``left`` rows whose text contains some pattern of the group's ``right`` rows.
+
+    Rows are counted per distinct text before anything is compared and never joined again.
+    Empty patterns are ignored (quirk Q9).
+    """
+    norm = F.lower if lower else (lambda c: c)
+    texts = left.where(F.col(text_col).isNotNull()).groupBy(*keys, norm(F.col(text_col)).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
+    pats = right.select(*keys, norm(F.col(pattern_col)).alias("_p"))
+    return (texts.join(containing_texts(texts.drop("_n"), keys, pats), on=[*keys, "_t"], how="left_semi")
+            .groupBy(*keys).agg(F.sum("_n").cast("bigint").alias(name)))
+
+
 def contains_any(left: DataFrame, keys: list[str], id_cols: list[str], text_col: str,
                  right: DataFrame, pattern_col: str, lower: bool = True) -> DataFrame:
     """Rows of ``left`` whose ``text_col`` contains some ``pattern_col`` of ``right``
-    with equal ``keys`` (a left semi join). ``keys + id_cols`` must identify a
-    ``left`` row. Empty patterns are ignored (quirk Q9).
+    with equal ``keys`` (a left semi join). Empty patterns are ignored (quirk Q9).
     """
     norm = F.lower if lower else (lambda c: c)
-    pats = (right.select(*keys, norm(F.col(pattern_col)).alias("_p"))
-            .where(F.col("_p").isNotNull() & (F.length("_p") > 0)).distinct())
-    lens = pats.select(*keys, F.length("_p").alias("_len")).distinct()
-    ident = [c for c in id_cols if c not in keys]
-    cand = (left.select(*keys, *ident, norm(F.col(text_col)).alias("_t")).where(F.col("_t").isNotNull())
-            .join(lens, on=keys, how="inner")
-            .where(F.length("_t") >= F.col("_len")))
-    subs = cand.select(
-        *keys, *ident,
-        F.explode(F.transform(F.sequence(F.lit(1), F.length("_t") - F.col("_len") + 1),
-                              lambda i: F.substring(F.col("_t"), i, F.col("_len")))).alias("_s"))
-    hits = (subs.join(pats, on=[*[subs[k] == pats[k] for k in keys], subs["_s"] == pats["_p"]],
-                      how="left_semi")
-            .select(*keys, *ident).distinct())
-    return left.join(hits, on=[*keys, *ident], how="left_semi")
+    texts = left.select(*keys, norm(F.col(text_col)).alias("_t")).where(F.col("_t").isNotNull()).distinct()
+    hits = containing_texts(texts, keys, right.select(*keys, norm(F.col(pattern_col)).alias("_p")))
+    return left.withColumn("_t", norm(F.col(text_col))).join(hits, on=[*keys, "_t"], how="left_semi").select(*left.columns)
 
 
 def contains_matches(left: DataFrame, keys: list[str], id_cols: list[str], text_col: str,

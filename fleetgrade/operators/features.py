@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetgrade.functions.columns import pick
-from fleetgrade.functions.substring_join import contains_any
+from fleetgrade.functions.substring_join import count_containing
 
 WS = "workspace_id"
 
@@ -160,9 +160,7 @@ def features_warehouses(warehouses: DataFrame) -> DataFrame:
 
 def sp_owned_jobs(jobs: DataFrame, service_principals: DataFrame) -> DataFrame:
     """jobs whose creator contains a principal's display name (case-insensitive)."""
-    owned = contains_any(jobs, [WS], ["job_id"], "creator_user_name",
-                         service_principals, "display_name")
-    return owned.groupBy(WS).agg(F.count(F.lit(1)).alias("sp_owned_jobs"))
+    return count_containing(jobs, [WS], "creator_user_name", service_principals, "display_name", "sp_owned_jobs")
 
 
 def jobs_spec(jobs: DataFrame) -> Spec:
