@@ -47,9 +47,10 @@ def audit_by_action(audit: DataFrame, as_of: dt.date, days: int = 30, k: int = 3
 
 def audit_total(audit: DataFrame, as_of: dt.date, days: int = 30, k: int = 30,
                 counts: DataFrame | None = None) -> DataFrame:
-    """Sum of the top-``k`` action rows (Q1)."""
-    return audit_by_action(audit, as_of, days, k, counts).groupBy(WS).agg(
-        F.sum("event_count").cast("bigint").alias("total_events_30d"))
+    """Sum of the top-``k`` action rows (Q1), and ``total_events_all`` of every action."""
+    c = counts if counts is not None else action_counts(audit, as_of, days)
+    top = audit_by_action(audit, as_of, days, k, c).groupBy(WS).agg(F.sum("event_count").cast("bigint").alias("total_events_30d"))
+    return top.join(c.groupBy(WS).agg(F.sum("event_count").cast("bigint").alias("total_events_all")), WS)
 
 
 def audit_summary(audit: DataFrame, as_of: dt.date, days: int = 30,

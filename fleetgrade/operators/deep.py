@@ -123,14 +123,16 @@ def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: b
 # Every per-workspace deep metric column (NULL when its source is absent).
 DEEP_COLUMNS = ("total_dbus_30d", "total_dbus_all", "trend_pct_change", "top_cluster_dbus",
                 "running_hours_raw", "total_running_hours_30d", "uptime_rows", "max_running_hours",
-                "idle_hours_raw", "idle_hours_30d", "idle_rows", "total_queries", "failure_rate_pct",
+                "always_on_rows", "always_on_names", "running_hours_all",
+                "idle_hours_raw", "idle_hours_30d", "idle_rows", "idle_names", "idle_hours_all", "total_queries", "failure_rate_pct",
                 "failed_queries", "slow_query_count", "p95_duration_ms", "wh_rows", "wh_top_count",
                 "total_runs", "failed_runs", "success_rate_pct", "failing_jobs", "chronic_jobs",
-                "total_events_30d", "failed_logins", "permission_changes")
-_COUNTS = {"uptime_rows", "idle_rows", "total_queries", "failed_queries", "slow_query_count", "wh_rows",
+                "total_events_30d", "total_events_all", "failed_logins", "permission_changes")
+_TEXTS = {"always_on_names", "idle_names"}
+_COUNTS = {"uptime_rows", "always_on_rows", "total_events_all", "idle_rows", "total_queries", "failed_queries", "slow_query_count", "wh_rows",
            "wh_top_count", "total_runs", "failed_runs", "failing_jobs", "chronic_jobs", "total_events_30d",
            "failed_logins", "permission_changes"}
-DEEP_TYPES = {c: ("bigint" if c in _COUNTS else "double") for c in DEEP_COLUMNS}
+DEEP_TYPES = {c: ("bigint" if c in _COUNTS else "string" if c in _TEXTS else "double") for c in DEEP_COLUMNS}
 
 FLAGS = ("billing_available", "compute_available", "query_available", "jobs_available", "audit_available")
 

@@ -124,8 +124,14 @@ select workspace_id,
        cast(sum(running_ms) as double) / 3600000.0 as running_hours_raw,
        round_even(cast(sum(running_ms) as double) / 3600000.0, 1) as total_running_hours_30d,
        count(*) as uptime_rows,
-       max(running_hours) as max_running_hours
-from top where rank <= 20 group by workspace_id""")
+       max(running_hours) as max_running_hours,
+       count(*) filter (running_hours > 500) as always_on_rows,
+       coalesce(array_to_string((list(left(coalesce(cluster_name, cluster_id, '?'), 25) order by rank) filter (running_hours > 500))[1:3], ', '), '')
+         as always_on_names,
+       any_value(running_hours_all) as running_hours_all
+from top join (select workspace_id, round_even(cast(sum(running_ms) as double) / 3600000.0, 1) as running_hours_all from top group by workspace_id)
+     using (workspace_id)
+where rank <= 20 group by workspace_id""")
 
 _IDLE = f"""
 idle as (
@@ -153,8 +159,11 @@ with {_IDLE}
 select workspace_id,
        cast(sum(running_ms) as double) / 3600000.0 as idle_hours_raw,
        round_even(cast(sum(running_ms) as double) / 3600000.0, 1) as idle_hours_30d,
-       count(*) as idle_rows
-from top where rank <= 10 group by workspace_id""")
+       count(*) as idle_rows, array_to_string(list(left(coalesce(cluster_name, cluster_id, '?'), 30) order by rank)[1:3], ', ') as idle_names,
+       any_value(idle_hours_all) as idle_hours_all
+from top join (select workspace_id, round_even(cast(sum(running_ms) as double) / 3600000.0, 1) as idle_hours_all from top group by workspace_id)
+     using (workspace_id)
+where rank <= 10 group by workspace_id""")
 
 # ---- query history -------------------------------------------------------------------------
 
@@ -239,8 +248,9 @@ r as (select *, row_number() over (partition by workspace_id order by event_coun
 oracle("audit_by_action", ["audit"], f"with {_ACTIONS} select * from r where rank <= 30")
 oracle("audit_total", ["audit"], f"""
 with {_ACTIONS}
-select workspace_id, cast(sum(event_count) as bigint) as total_events_30d from r where rank <= 30
-group by workspace_id""")
+select workspace_id, cast(sum(event_count) filter (rank <= 30) as bigint) as total_events_30d,
+       cast(sum(event_count) as bigint) as total_events_all
+from r group by workspace_id""")
 
 oracle("failed_logins", ["audit"], f"""
 select workspace_id,

@@ -43,8 +43,12 @@ c_top as (
   from c_up where rms > 0),
 c_tot as (
   select workspace_id, round_even(cast(sum(rms) as double) / 3600000.0, 1) as total_running_hours_30d,
-         count(*) as uptime_rows, max(cast(rms as double) / 3600000.0) as max_running_hours
+         count(*) as uptime_rows, max(cast(rms as double) / 3600000.0) as max_running_hours,
+         count(*) filter (cast(rms as double) / 3600000.0 > 500) as always_on_rows,
+         coalesce(array_to_string(list(left(coalesce(cluster_name, cluster_id, '?'), 25) order by rn)
+                                  filter (cast(rms as double) / 3600000.0 > 500)[1:3], ', '), '') as always_on_names
   from c_top where rn <= 20 group by workspace_id),
+c_all as (select workspace_id, round_even(cast(sum(rms) as double) / 3600000.0, 1) as running_hours_all from c_top group by workspace_id),
 c_idle as (
   select workspace_id, cluster_id, cluster_name, rms,
          row_number() over (partition by workspace_id order by rms desc, cluster_id, cluster_name) as rn
@@ -53,8 +57,10 @@ c_idle as (
     and not exists (select 1 from job_runs j where j.workspace_id = u.workspace_id
                     and j.cluster_id = u.cluster_id and {o.JR})),
 c_idle_tot as (
-  select workspace_id, round_even(cast(sum(rms) as double) / 3600000.0, 1) as idle_hours_30d, count(*) as idle_rows
-  from c_idle where rn <= 10 group by workspace_id),
+  select workspace_id, round_even(cast(sum(rms) filter (rn <= 10) as double) / 3600000.0, 1) as idle_hours_30d,
+         count(*) filter (rn <= 10) as idle_rows, round_even(cast(sum(rms) as double) / 3600000.0, 1) as idle_hours_all,
+         array_to_string(list(left(coalesce(cluster_name, cluster_id, '?'), 30) order by rn)[1:3], ', ') as idle_names
+  from c_idle group by workspace_id),
 q_st as (
   select workspace_id, count(*) as total_queries,
          count(*) filter (where status = 'FAILED') as failed_queries,
@@ -81,10 +87,10 @@ j_fail as (
     having count(*) filter (where result_state in ('FAILED', 'TIMEDOUT', 'INTERNAL_ERROR')) > 0)
   where rn <= 10 group by workspace_id),
 a_act as (
-  select workspace_id, sum(n) as total_events_30d from (
+  select workspace_id, sum(n) filter (rn <= 30) as total_events_30d, sum(n) as total_events_all from (
     select workspace_id, action_name, count(*) as n,
            row_number() over (partition by workspace_id order by count(*) desc, action_name) as rn
-    from audit where {o.AU} group by workspace_id, action_name) where rn <= 30 group by workspace_id),
+    from audit where {o.AU} group by workspace_id, action_name) group by workspace_id),
 a_sum as (
   select workspace_id,
          count(*) filter (where action_name in ('login', 'tokenLogin', 'aadTokenLogin')
@@ -103,7 +109,8 @@ dm as (
            as trend_pct_change,
          b_cl.top_cluster_dbus,
          c_tot.total_running_hours_30d, c_tot.uptime_rows, c_tot.max_running_hours,
-         c_idle_tot.idle_hours_30d, c_idle_tot.idle_rows,
+         c_tot.always_on_rows, c_tot.always_on_names, c_all.running_hours_all,
+         c_idle_tot.idle_hours_30d, c_idle_tot.idle_rows, c_idle_tot.idle_names, c_idle_tot.idle_hours_all,
          q_st.total_queries, q_st.failed_queries, q_st.slow_query_count, q_st.p95_duration_ms,
          coalesce(round_even(cast(q_st.failed_queries as double) / cast(q_st.total_queries as double) * 100.0, 2), 0.0)
            as failure_rate_pct,
@@ -112,7 +119,8 @@ dm as (
          coalesce(round_even(cast(j_st.total_runs - j_st.failed_runs as double) / cast(j_st.total_runs as double) * 100.0, 2), 0.0)
            as success_rate_pct,
          j_fail.failing_jobs, j_fail.chronic_jobs,
-         cast(a_act.total_events_30d as bigint) as total_events_30d, a_sum.failed_logins, a_sum.permission_changes,
+         cast(a_act.total_events_30d as bigint) as total_events_30d,
+         cast(a_act.total_events_all as bigint) as total_events_all, a_sum.failed_logins, a_sum.permission_changes,
          b_tot.total_dbus_30d is not null as billing_available,
          coalesce(c_tot.uptime_rows > 0, false) as compute_available,
          true as query_available,
@@ -120,7 +128,7 @@ dm as (
          a_act.total_events_30d is not null as audit_available
   from dm_keys k
   left join b_tot using (workspace_id) left join b_trend using (workspace_id) left join b_cl using (workspace_id)
-  left join c_tot using (workspace_id) left join c_idle_tot using (workspace_id)
+  left join c_tot using (workspace_id) left join c_all using (workspace_id) left join c_idle_tot using (workspace_id)
   left join q_st using (workspace_id) left join q_wh using (workspace_id)
   left join j_st using (workspace_id) left join j_fail using (workspace_id)
   left join a_act using (workspace_id) left join a_sum using (workspace_id))"""
@@ -365,3 +373,49 @@ select agg.workspace_id, DATE '{_AS_OF}' as as_of, rules, verified_rules, round_
             else 'Beginning' end as maturity,
        wf.host, wf.cloud
 from agg left join wf using (workspace_id)""")
+
+
+# Notes of the deep rules with the evidence they name, in the order of the rule's branches.
+_AVG_UP = "round_even(cast(total_running_hours_30d as double) / cast(uptime_rows as double), 0)"
+_SLOW = ("printf('%d slow queries of %d, P95 %.1f s.', coalesce(slow_query_count, 0), total_queries, "
+         "round_even(round_even(coalesce(p95_duration_ms, 0.0), 2) / 1000, 1))")
+_TOP_WH = "round_even(cast(wh_top_count as double) / cast(total_queries as double) * 100, 1)"
+_TOP_CL = "round_even(top_cluster_dbus / total_dbus_30d * 100, 1)"
+_DBU = "round_even(coalesce(total_dbus_30d, 0.0), 0)"
+_FAIL = "printf('Query failure rate %.2f%% of %d queries.', failure_rate_pct, total_queries)"
+_RUNS = "printf('Job success rate %.2f%% over %d runs.', success_rate_pct, total_runs)"
+_CHRONIC = "printf('%d jobs with 5 or more failures.', chronic_jobs)"
+_no = lambda what: f"'Requires --deep scan: {what} not available.'"
+DEEP_NOTES = {
+    "ops-024": f"when not compute_available then {_no('cluster timeline')} when coalesce(uptime_rows, 0) = 0 then 'No cluster lifecycle rows.' "
+               "when max_running_hours > 500 then printf('%d clusters run around the clock, first %s; move their work to jobs or serverless.', "
+               "always_on_rows, always_on_names) "
+               f"when cast(total_running_hours_30d as double) / cast(uptime_rows as double) > 200 then printf('Mean uptime %.0f h over %d clusters.', {_AVG_UP}, uptime_rows) "
+               f"else printf('%d active clusters, mean uptime %.0f h.', uptime_rows, {_AVG_UP})",
+    "sec-013": f"when not audit_available then {_no('audit events')} else printf('%d failed logins in the window.', failed_logins)",
+    "sec-014": f"when not audit_available then {_no('audit events')} else printf('%d permission changes in the window.', permission_changes)",
+    "rel-020": f"when not jobs_available then {_no('job runs')} when coalesce(total_runs, 0) = 0 then 'No job runs in the window.' else {_RUNS}",
+    "rel-021": f"when not jobs_available then {_no('job runs')} when coalesce(failing_jobs, 0) = 0 then 'No recurring job failures.' "
+               f"when chronic_jobs > 0 then {_CHRONIC} else printf('%d jobs failed, none chronically.', failing_jobs)",
+    "perf-026": f"when not query_available then {_no('query history')} when coalesce(total_queries, 0) = 0 then 'No queries in the window.' else {_FAIL}",
+    "perf-027": f"when not query_available then {_no('query history')} when coalesce(total_queries, 0) = 0 then 'No queries in the window.' else {_SLOW}",
+    "perf-028": f"when not query_available then {_no('query history')} when coalesce(wh_rows, 0) = 0 or coalesce(total_queries, 0) = 0 then 'No warehouse utilization rows.' "
+                f"when wh_rows = 1 and cast(wh_top_count as double) / total_queries * 100 > 90 then printf('One warehouse has %.1f%% of the queries and no other has any.', {_TOP_WH}) "
+                f"when cast(wh_top_count as double) / total_queries * 100 > 80 then printf('One of %d warehouses has %.1f%% of the queries.', wh_rows, {_TOP_WH}) "
+                "else printf('Queries spread over %d warehouses.', wh_rows)",
+    "cost-021": f"when not compute_available then {_no('cluster timeline')} when coalesce(idle_rows, 0) = 0 then 'No idle clusters.' "
+                "when idle_hours_30d > 100 then printf('%d idle clusters with %.1f h in the window, first %s.', idle_rows, idle_hours_30d, idle_names) "
+                "else printf('%d clusters with some idle time, %.1f h together.', idle_rows, idle_hours_30d)",
+    "cost-022": f"when not billing_available then {_no('billing')} when trend_pct_change is null then printf('%.0f DBU, too little billing history for a trend.', {_DBU}) "
+                f"when trend_pct_change > 5 then printf('Spend up %.1f%% to %.0f DBU.', trend_pct_change, {_DBU}) "
+                f"else printf('Spend change %.1f%%, %.0f DBU.', trend_pct_change, {_DBU})",
+    "cost-023": f"when not billing_available then {_no('billing')} when top_cluster_dbus is null or total_dbus_30d = 0 then 'No per-cluster usage.' "
+                f"when top_cluster_dbus / total_dbus_30d * 100 > 50 then printf('One cluster takes %.1f%% of the usage.', {_TOP_CL}) "
+                f"when top_cluster_dbus / total_dbus_30d * 100 > 30 then printf('The top cluster takes %.1f%% of the usage.', {_TOP_CL}) "
+                f"else printf('Usage is spread, the top cluster takes %.1f%%.', {_TOP_CL})",
+}
+_deep_sql = "\nunion all\n".join(
+    f"select workspace_id, '{rid}' as rule_id, case {note} end as finding_notes from inp" for rid, note in DEEP_NOTES.items())
+o.oracle("deep_findings", _VIEWS, f"""with {o._F_ALL}, {_scored(list(DEEP_NOTES))},
+notes as ({_deep_sql})
+select sc.workspace_id, sc.rule_id, sc.score, sc.verified, notes.finding_notes from sc join notes using (workspace_id, rule_id)""")

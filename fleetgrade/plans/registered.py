@@ -284,6 +284,14 @@ for _p in PILLARS:
     REGISTRY[f"rules_{_p[0]}"] = _pillar_rules(_p[0])
 
 
+@register("deep_findings")
+def _deep_findings(spark, sf):
+    """The deep rules with the evidence in their notes: names, hours, shares and P95."""
+    from fleetgrade.plans.oracles_scoring import DEEP_NOTES
+    return assessed(spark, sf).scores.where(F.col("rule_id").isin(*DEEP_NOTES)).select(
+        "workspace_id", "rule_id", "score", "verified", "finding_notes")
+
+
 @register("pillar_scores")
 def _pillar_scores(spark, sf):
     return assessed(spark, sf).pillar_scores

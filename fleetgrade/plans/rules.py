@@ -498,9 +498,10 @@ def _():
     avg = F.try_divide(N("total_running_hours_30d").cast("double"), N("uptime_rows").cast("double"))
     return [(~C("compute_available"), 1, False, "Requires --deep scan: cluster timeline not available."),
             (N("uptime_rows") == 0, 1, True, "No cluster lifecycle rows."),
-            (N("max_running_hours") > 500, 0, True, "Clusters running around the clock; move work to jobs or serverless."),
+            (N("max_running_hours") > 500, 0, True,
+             txt("%d clusters run around the clock, first %s; move their work to jobs or serverless.", N("always_on_rows"), C("always_on_names"))),
             (avg > 200, 1, True, txt("Mean uptime %.0f h over %d clusters.", F.bround(avg, 0), N("uptime_rows"))),
-            (None, 2, True, txt("%d active clusters with reasonable uptime.", N("uptime_rows")))]
+            (None, 2, True, txt("%d active clusters, mean uptime %.0f h.", N("uptime_rows"), F.bround(avg, 0)))]
 
 
 # ---------------------------------------------------------------------------
@@ -711,9 +712,9 @@ def _():
     rate = N("success_rate_pct")
     return [(~C("jobs_available"), 1, False, "Requires --deep scan: job runs not available."),
             (N("total_runs") == 0, 1, True, "No job runs in the window."),
-            (rate < 90, 0, True, txt("Job success rate %s%%.", rate.cast("string"))),
-            (rate < 98, 1, True, txt("Job success rate %s%%.", rate.cast("string"))),
-            (None, 2, True, txt("Job success rate %s%%.", rate.cast("string")))]
+            (rate < 90, 0, True, txt("Job success rate %.2f%% over %d runs.", rate.cast("double"), N("total_runs"))),
+            (rate < 98, 1, True, txt("Job success rate %.2f%% over %d runs.", rate.cast("double"), N("total_runs"))),
+            (None, 2, True, txt("Job success rate %.2f%% over %d runs.", rate.cast("double"), N("total_runs")))]
 
 
 @rule("rel-021")
@@ -846,19 +847,20 @@ def _():
     rate = N("failure_rate_pct")
     return [(~C("query_available"), 1, False, "Requires --deep scan: query history not available."),
             (N("total_queries") == 0, 1, True, "No queries in the window."),
-            (rate > 10, 0, True, txt("Query failure rate %s%%.", rate.cast("string"))),
-            (rate > 2, 1, True, txt("Query failure rate %s%%.", rate.cast("string"))),
-            (None, 2, True, txt("Query failure rate %s%%.", rate.cast("string")))]
+            (rate > 10, 0, True, txt("Query failure rate %.2f%% of %d queries.", rate.cast("double"), N("total_queries"))),
+            (rate > 2, 1, True, txt("Query failure rate %.2f%% of %d queries.", rate.cast("double"), N("total_queries"))),
+            (None, 2, True, txt("Query failure rate %.2f%% of %d queries.", rate.cast("double"), N("total_queries")))]
 
 
 @rule("perf-027")
 def _():
     pct = F.try_divide(N("slow_query_count").cast("double"), N("total_queries").cast("double")) * 100
+    p95 = F.bround(F.bround(F.coalesce(C("p95_duration_ms"), F.lit(0.0)), 2) / 1000, 1)
     return [(~C("query_available"), 1, False, "Requires --deep scan: query history not available."),
             (N("total_queries") == 0, 1, True, "No queries in the window."),
-            (pct > 5, 0, True, txt("%d slow queries.", N("slow_query_count"))),
-            (pct > 1, 1, True, txt("%d slow queries.", N("slow_query_count"))),
-            (None, 2, True, txt("%d slow queries of %d.", N("slow_query_count"), N("total_queries")))]
+            (pct > 5, 0, True, txt("%d slow queries of %d, P95 %.1f s.", N("slow_query_count"), N("total_queries"), p95)),
+            (pct > 1, 1, True, txt("%d slow queries of %d, P95 %.1f s.", N("slow_query_count"), N("total_queries"), p95)),
+            (None, 2, True, txt("%d slow queries of %d, P95 %.1f s.", N("slow_query_count"), N("total_queries"), p95))]
 
 
 @rule("perf-028")
@@ -866,8 +868,8 @@ def _():
     top = F.try_divide(N("wh_top_count").cast("double"), N("total_queries").cast("double")) * 100
     return [(~C("query_available"), 1, False, "Requires --deep scan: query history not available."),
             ((N("wh_rows") == 0) | (N("total_queries") == 0), 1, True, "No warehouse utilization rows."),
-            ((N("wh_rows") == 1) & (top > 90), 1, True, "All queries on one warehouse."),
-            (top > 80, 1, True, "One warehouse carries most queries."),
+            ((N("wh_rows") == 1) & (top > 90), 1, True, txt("One warehouse has %.1f%% of the queries and no other has any.", F.bround(top, 1))),
+            (top > 80, 1, True, txt("One of %d warehouses has %.1f%% of the queries.", N("wh_rows"), F.bround(top, 1))),
             (None, 2, True, txt("Queries spread over %d warehouses.", N("wh_rows")))]
 
 
@@ -982,18 +984,19 @@ def _():
 def _():
     return [(~C("compute_available"), 1, False, "Requires --deep scan: cluster timeline not available."),
             (N("idle_rows") == 0, 2, True, "No idle clusters."),
-            (N("idle_hours_30d") > 100, 0, True, txt("%d idle clusters.", N("idle_rows"))),
-            (None, 1, True, txt("%d clusters with some idle time.", N("idle_rows")))]
+            (N("idle_hours_30d") > 100, 0, True,
+             txt("%d idle clusters with %.1f h in the window, first %s.", N("idle_rows"), C("idle_hours_30d"), C("idle_names"))),
+            (None, 1, True, txt("%d clusters with some idle time, %.1f h together.", N("idle_rows"), C("idle_hours_30d")))]
 
 
 @rule("cost-022")
 def _():
-    tr = C("trend_pct_change")
+    tr, dbu = C("trend_pct_change"), F.bround(N("total_dbus_30d").cast("double"), 0)
     return [(~C("billing_available"), 1, False, "Requires --deep scan: billing not available."),
-            (tr.isNull(), 1, True, "Too little billing history for a trend."),
-            (tr > 20, 0, True, txt("Spend up %s%%.", tr.cast("string"))),
-            (tr > 5, 1, True, txt("Spend up %s%%.", tr.cast("string"))),
-            (None, 2, True, txt("Spend change %s%%.", tr.cast("string")))]
+            (tr.isNull(), 1, True, txt("%.0f DBU, too little billing history for a trend.", dbu)),
+            (tr > 20, 0, True, txt("Spend up %.1f%% to %.0f DBU.", tr, dbu)),
+            (tr > 5, 1, True, txt("Spend up %.1f%% to %.0f DBU.", tr, dbu)),
+            (None, 2, True, txt("Spend change %.1f%%, %.0f DBU.", tr, dbu))]
 
 
 @rule("cost-023")
@@ -1002,9 +1005,9 @@ def _():
     pct = F.try_divide(N("top_cluster_dbus").cast("double"), total.cast("double")) * 100
     return [(~C("billing_available"), 1, False, "Requires --deep scan: billing not available."),
             (C("top_cluster_dbus").isNull() | (total == 0), 1, True, "No per-cluster usage."),
-            (pct > 50, 0, True, "One cluster takes most of the usage."),
-            (pct > 30, 1, True, "Top cluster takes a large share of usage."),
-            (None, 2, True, "Usage spread across clusters.")]
+            (pct > 50, 0, True, txt("One cluster takes %.1f%% of the usage.", F.bround(pct, 1))),
+            (pct > 30, 1, True, txt("The top cluster takes %.1f%% of the usage.", F.bround(pct, 1))),
+            (None, 2, True, txt("Usage is spread, the top cluster takes %.1f%%.", F.bround(pct, 1)))]
 
 
 def all_rule_ids() -> list[str]:

@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetgrade.operators.compute import ALWAYS_ON_HOURS
 from fleetgrade.operators.deep import DEEP_COLUMNS, DEEP_TYPES, FLAGS
 from fleetgrade.session import cut_lineage
 
@@ -182,9 +183,20 @@ def _deep_row(c: DataFrame) -> DataFrame:
     rows = lambda path: F.coalesce(F.col(f"{at}.{path}"), F.array().cast(_ROWS))
     most = lambda path, key: F.array_max(F.transform(rows(path), lambda r: _number(r[key])))
     some = lambda path: F.nullif(F.size(rows(path)), F.lit(0))
+    always = lambda r: F.coalesce(_number(r["running_hours"]) > ALWAYS_ON_HOURS, F.lit(False))
+
+    def first(path: str, width: int, fine) -> Column:
+        """The first three names, longest running first."""
+        order = lambda r: F.struct((-_number(r["running_hours"])).alias("h"), r["cluster_id"].alias("i"), r["cluster_name"].alias("n"))
+        ranked = F.slice(F.sort_array(F.transform(F.filter(rows(path), fine), order)), 1, 3)
+        return F.array_join(F.transform(ranked, lambda x: F.substring(F.coalesce(x["n"], x["i"], F.lit("?")), 1, width)), ", ")
+
     have = {n: _number(F.col(f"{at}.{p}"), DEEP_TYPES[n]) for n, p in _NUMBERS} | {
         "top_cluster_dbus": most("billing.top_cost_clusters", "total_dbus"),
         "uptime_rows": some("compute_history.cluster_uptime"), "max_running_hours": most("compute_history.cluster_uptime", "running_hours"),
+        "always_on_rows": F.size(F.filter(rows("compute_history.cluster_uptime"), always)),
+        "always_on_names": first("compute_history.cluster_uptime", 25, always),
+        "idle_names": first("compute_history.idle_clusters", 30, lambda r: F.lit(True)),
         "idle_rows": some("compute_history.idle_clusters"), "wh_rows": some("query_history.warehouse_utilization"),
         "wh_top_count": most("query_history.warehouse_utilization", "query_count"), "failing_jobs": some("job_runs.top_failing_jobs"),
         "chronic_jobs": F.when(some("job_runs.top_failing_jobs").isNotNull(), F.size(F.filter(
