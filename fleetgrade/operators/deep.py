@@ -32,7 +32,8 @@ def duration_counts(history: DataFrame, as_of, days: int) -> DataFrame:
     return value_counts(q, [WS], "duration")
 
 
-def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: bool = False) -> DataFrame:
+def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: bool = False,
+                 shared: dict[str, DataFrame] | None = None) -> DataFrame:
     """One row per workspace seen in any operational source.
 
     Each source is reduced once to a fine-grained aggregate that all of its
@@ -41,14 +42,17 @@ def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: b
     without ``materialize`` each consumer rescans the source. With
     ``materialize`` the shared aggregates are written once to the checkpoint
     folder: every operational table is scanned exactly once, and the lineage
-    below them is cut.
+    below them is cut. ``shared`` gives these aggregates where they are kept
+    already (``sources.rolling``); the sources are then not scanned for them.
     """
     d = cfg.lookback_days
     usage, tl = tables.get("usage"), tables.get("cluster_timeline")
     qh, jr, au = tables.get("query_history"), tables.get("job_runs"), tables.get("audit")
 
     # Phase 1: one fine-grained aggregate per source (each scans its source once).
-    shared: dict[str, DataFrame] = {}
+    if shared is not None:
+        return _from_shared(tables, shared, cfg)
+    shared = {}
     if usage is not None:
         shared["usage_rollup"] = billing.usage_rollup(usage, cfg.as_of_for("usage"), d)
     if tl is not None:
@@ -68,7 +72,14 @@ def deep_metrics(tables: dict[str, DataFrame], cfg: AssessConfig, materialize: b
             done = {k: pool.submit(cut_lineage, v, k) for k, v in shared.items()}
             shared = {k: f.result() for k, f in done.items()}
 
-    # Phase 2: every metric derives from the shared aggregates.
+    return _from_shared(tables, shared, cfg)
+
+
+def _from_shared(tables: dict[str, DataFrame], shared: dict[str, DataFrame], cfg: AssessConfig) -> DataFrame:
+    """Phase 2: every metric derives from the shared aggregates."""
+    d = cfg.lookback_days
+    usage, tl = tables.get("usage"), tables.get("cluster_timeline")
+    qh, jr, au = tables.get("query_history"), tables.get("job_runs"), tables.get("audit")
     parts = []
     if usage is not None:
         a, ru = cfg.as_of_for("usage"), shared["usage_rollup"]

@@ -345,6 +345,13 @@ sc as (select workspace_id, ord, rule_id, pillar, cast(left(code, 1) as integer)
 
 
 _VIEWS = _DEEP_VIEWS + o._INV_VIEWS
+
+
+def rule_codes(ids: list[str], body: str) -> str:
+    """SQL over the scores ``sc`` of some rules and the input rows ``inp``."""
+    return o.with_views(_VIEWS, f"with {o._F_ALL}, {_scored(ids)} {body}")
+
+
 _AS_OF = o.CFG.as_of.isoformat()
 
 for _p in PILLARS:

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 
 from fleetgrade.config import FIXTURE_CONFIG as CFG
 from fleetgrade.operators import audit, billing, compute, deep, features, jobs, queries
-from fleetgrade.plans import scoring
-from fleetgrade.plans.catalog import rule_catalog
-from fleetgrade.plans.oracles import ORACLES, oracle
+from fleetgrade.plans import incremental, rule_table, scoring
+from fleetgrade.plans.catalog import rule_catalog, rules as catalog_rules
+from fleetgrade.plans.oracles import ORACLES, oracle, oracles_scoring
 from fleetgrade.plans.registered import _snapshot_root, assessed, call_log, deep_tables, inventory, register
 from fleetgrade.session import cut_lineage
 from fleetgrade.sources import inventory as inv
-from fleetgrade.sources import json_cache, snapshots, store
+from fleetgrade.sources import json_cache, rolling, snapshots, store
 from fleetgrade.sources.fixtures import Fixtures
 from fleetgrade.sources.landing import landed
 
@@ -171,3 +171,83 @@ select cast(workspace_id as bigint) as workspace_id, seq, collector, command_tex
        case when contains(command_text, '/api/2.0/sql/statements') then substr(output, 1, 2000) else output end as output,
        duration_seconds as duration, success, error, case when seq % 2 = 1 then 'r1' else 'r2' end as run
 from call_log""")
+
+
+# --- S1: the window from daily partials -------------------------------------------------------------------
+
+@register("deep_metrics_rolling")
+def _deep_metrics_rolling(spark, sf):
+    """Deep metrics merged from daily partials: a first fill of the window, then the last day run again."""
+    root = f"{_snapshot_root(spark)}-days"
+    tables = deep_tables(spark, sf)
+    last = {name: CFG.as_of_for(name) for name in tables}
+    rolling.update(tables, root, last, CFG.lookback_days)
+    rolling.update(tables, root, last)
+    stand_ins, shared = rolling.merged(spark, root, CFG)
+    shared = {k: cut_lineage(v, k) for k, v in shared.items()}
+    out = deep.deep_metrics(stand_ins, CFG, shared=shared)
+    return out.withColumn("p95_duration_ms", F.round("p95_duration_ms", 2)).drop("running_hours_raw", "idle_hours_raw")
+
+
+ORACLES["deep_metrics_rolling"] = ORACLES["deep_metrics"]
+
+
+# --- S6: only changed workspaces are scored ---------------------------------------------------------------
+
+@register("rescore_incremental")
+def _rescore_incremental(spark, sf):
+    """A stored run in which some workspaces looked otherwise, brought up to the present inputs."""
+    a = assessed(spark, sf)
+    before = a.inputs.withColumn("cluster_count", F.when(F.col(WS) % 50 == 7, F.lit(999)).otherwise(F.col("cluster_count"))).where(F.col(WS) != 3)
+    before = incremental.with_digest(before)
+    root = _snapshot_root(spark)
+    store.write_snapshot({"inputs": before, "scores": scoring.score_rules(before.drop("digest", "version"))}, root, CFG.as_of)
+    stored = {n: store.read_snapshot(spark, root, n, CFG.as_of) for n in ("inputs", "scores")}
+    scores, _ = incremental.rescore(a.inputs, stored["inputs"], stored["scores"], CFG.as_of)
+    return scoring.assessment(cut_lineage(scores, "scores"), a.inputs)
+
+
+ORACLES["rescore_incremental"] = ORACLES["assessment"]
+
+
+# --- E10: rules from a table -------------------------------------------------------------------------------
+
+RULE_ROWS = (
+    ("cost-024", 1, "warehouse_count = 0 and cluster_count = 0", 1, False, "Nothing to compare: requires compute.", False),
+    ("cost-024", 2, "cluster_count > 4 * warehouse_count", 0, True, "{cluster_count} clusters beside {warehouse_count} warehouses.", True),
+    ("cost-024", 3, "cluster_count > warehouse_count", 1, True, "More clusters ({cluster_count}) than warehouses.", False),
+    ("cost-024", 4, None, 2, True, "Warehouses carry the load.", False),
+    ("ops-023", 1, "coalesce(running_no_autoterm, 0) > 2", 0, True, "{running_no_autoterm} running clusters never stop.", False),
+    ("ops-023", 2, None, 2, True, "Clusters stop by themselves.", False),
+)
+
+
+@register("rules_from_table")
+def _rules_from_table(spark, sf):
+    """One rule added and one replaced by a rule table, scored beside the built-in ones."""
+    columns = "rule_id string, seq int, condition string, score int, verified boolean, note string, quick_fix boolean"
+    table = spark.createDataFrame(list(RULE_ROWS), columns)
+    new = F.col("rule_id") == "cost-024"
+    table = table.select("*", F.when(new, "Balance clusters and warehouses").alias("name"), F.when(new, "Cost").alias("pillar"),
+                         F.when(new, "Right-sizing").alias("principle"), F.when(new, 141).alias("ord"))
+    scores = rule_table.score_with_table(assessed(spark, sf).inputs, table)
+    return scores.where(F.col("rule_id").isin("cost-024", "ops-023", "ops-001")).select(
+        WS, "ord", "rule_id", "pillar", "score", "verified", F.when(F.col("rule_id") != "ops-001", F.col("finding_notes")).alias("finding_notes"))
+
+
+ORACLES["rules_from_table"] = oracles_scoring.rule_codes(["ops-001"], f"""
+select workspace_id, ord, rule_id, pillar, score, verified, cast(null as varchar) as finding_notes from sc
+union all
+select workspace_id, 141, 'cost-024', 'Cost',
+       case when warehouse_count = 0 and cluster_count = 0 then 1 when cluster_count > 4 * warehouse_count then 0
+            when cluster_count > warehouse_count then 1 else 2 end,
+       not (warehouse_count = 0 and cluster_count = 0),
+       case when warehouse_count = 0 and cluster_count = 0 then 'Nothing to compare: requires compute.'
+            when cluster_count > 4 * warehouse_count then cluster_count || ' clusters beside ' || warehouse_count || ' warehouses.'
+            when cluster_count > warehouse_count then 'More clusters (' || cluster_count || ') than warehouses.'
+            else 'Warehouses carry the load.' end from inp
+union all
+select workspace_id, {next(r[0] for r in catalog_rules() if r[1] == "ops-023")}, 'ops-023', 'Operational Excellence',
+       case when running_no_autoterm > 2 then 0 else 2 end, true,
+       case when running_no_autoterm > 2 then running_no_autoterm || ' running clusters never stop.' else 'Clusters stop by themselves.' end
+from inp""")

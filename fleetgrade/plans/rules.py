@@ -499,7 +499,7 @@ def _():
     return [(~C("compute_available"), 1, False, "Requires --deep scan: cluster timeline not available."),
             (N("uptime_rows") == 0, 1, True, "No cluster lifecycle rows."),
             (N("max_running_hours") > 500, 0, True,
-             txt("%d clusters run around the clock, first %s; move their work to jobs or serverless.", N("always_on_rows"), C("always_on_names"))),
+             txt("%d clusters run around the clock, first %s; move their work to jobs or serverless.", N("always_on_rows"), F.coalesce(C("always_on_names"), F.lit("?")))),
             (avg > 200, 1, True, txt("Mean uptime %.0f h over %d clusters.", F.bround(avg, 0), N("uptime_rows"))),
             (None, 2, True, txt("%d active clusters, mean uptime %.0f h.", N("uptime_rows"), F.bround(avg, 0)))]
 
@@ -985,7 +985,7 @@ def _():
     return [(~C("compute_available"), 1, False, "Requires --deep scan: cluster timeline not available."),
             (N("idle_rows") == 0, 2, True, "No idle clusters."),
             (N("idle_hours_30d") > 100, 0, True,
-             txt("%d idle clusters with %.1f h in the window, first %s.", N("idle_rows"), C("idle_hours_30d"), C("idle_names"))),
+             txt("%d idle clusters with %.1f h in the window, first %s.", N("idle_rows"), C("idle_hours_30d"), F.coalesce(C("idle_names"), F.lit("?")))),
             (None, 1, True, txt("%d clusters with some idle time, %.1f h together.", N("idle_rows"), C("idle_hours_30d")))]
 
 

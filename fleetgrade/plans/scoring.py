@@ -35,6 +35,9 @@ UNVERIFIABLE_PHRASES = (
     "not detectable from api",
 )
 
+# Columns that only the notes read.
+EVIDENCE = {"always_on_rows": "bigint", "always_on_names": "string", "idle_names": "string", "p95_duration_ms": "double"}
+
 # Maturity cut-offs on the unrounded verified mean.
 MATURITY_LEVELS = ((1.75, "Optimized"), (1.25, "Established"), (0.5, "Developing"))
 
@@ -98,7 +101,12 @@ def score_rules(inputs: DataFrame, as_of: dt.date | None = None,
     for r in catalog_rules():
         if rule_ids is None or r[1] in rule_ids:
             groups.setdefault(r[3], []).append(r)
+    # Inputs stored before the evidence was carried score alike; their notes only lack it.
+    gaps = [F.lit(None).cast(t).alias(c) for c, t in EVIDENCE.items() if c not in inputs.columns]
+    inputs = inputs.select("*", *gaps) if gaps else inputs
     parts = [_score_group(inputs, g) for g in groups.values()]
+    if not parts:
+        return _score_group(inputs, [catalog_rules()[0]]).where("false")
     out = reduce(lambda a, b: a.unionByName(b), parts)
     if as_of is not None:
         out = out.withColumn("as_of", F.lit(as_of))
@@ -129,6 +137,7 @@ def rollups(scores: DataFrame) -> DataFrame:
         F.avg(s).alias("score_mean"),
         F.avg(F.when(v, s)).alias("verified_mean"),
         F.grouping_id().alias("_g"),
+        *([F.max("as_of").alias("as_of")] if "as_of" in scores.columns else []),
     )
     return agg.where(F.col("_g") < 3).drop("_g")
 
@@ -150,7 +159,6 @@ def assessment(scores: DataFrame, base: DataFrame | None = None) -> DataFrame:
     vmean = F.coalesce(F.col("verified_mean"), F.lit(0.0))
     cols = [WS]
     if "as_of" in scores.columns:
-        r = r.join(scores.groupBy(WS).agg(F.max("as_of").alias("as_of")), on=WS, how="left")
         cols.append("as_of")
     out = r.select(
         *cols, "rules", "verified_rules",
