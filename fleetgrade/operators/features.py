@@ -36,7 +36,7 @@ STANDARD_MODES = ("USER_ISOLATION", "STANDARD")
 DEDICATED_MODES = ("SINGLE_USER", "DEDICATED")
 OBJECT_KINDS = ("policy", "pool", "endpoint", "repo", "init_script", "group", "scope",
                 "ip_access_list", "token", "external_location", "storage_credential",
-                "workspace_object")
+                "workspace_object", "untitled_notebook", "disabled_init_script")
 
 
 def cloud_of_host(host: Column) -> Column:

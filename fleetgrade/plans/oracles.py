@@ -405,7 +405,7 @@ fset as (
   from settings group by workspace_id)"""
 
 _KINDS = ("policy", "pool", "endpoint", "repo", "init_script", "group", "scope", "ip_access_list",
-          "token", "external_location", "storage_credential", "workspace_object")
+          "token", "external_location", "storage_credential", "workspace_object", "untitled_notebook", "disabled_init_script")
 _F_COUNTS = "fcnt as (select workspace_id, " + ", ".join(
     f"cast(coalesce(sum(case when kind = '{k}' then n end), 0) as bigint) as {k}_count" for k in _KINDS
 ) + " from object_counts group by workspace_id)"

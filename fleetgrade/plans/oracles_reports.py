@@ -207,7 +207,9 @@ _CS = [
     (_I, 3, "repo_count > 0", "Git Integration", "'Implemented'"),
     (_O, 1, "job_count > 0", "Job Management", "'Implemented'"),
     (_O, 2, "pipeline_count > 0", "DLT Pipelines", "case when failed_pipelines > 0 then 'Gap' else 'Implemented' end"),
-    (_O, 3, "pool_count > 0", "Instance Pools", "'Implemented'"),
+    (_O, 3, "disabled_init_script_count > 0", "Global Init Scripts", "'Gap'"),
+    (_O, 4, "untitled_notebook_count > 0", "Workspace Hygiene", "'Gap'"),
+    (_O, 5, "pool_count > 0", "Instance Pools", "'Implemented'"),
     (_S, 1, "coalesce(setting_dbfs_browser, '') <> ''", "DBFS File Browser",
      "case when lower(setting_dbfs_browser) = 'true' then 'Critical Gap' else 'Implemented' end"),
     (_S, 2, "coalesce(setting_results_download, '') <> ''", "Results Downloading",
@@ -232,8 +234,30 @@ _CS = [
     (_C, 3, "warehouse_count > 0", "SQL Warehouses", "case when warehouse_count < 20 then 'Implemented' else 'Gap' end"),
     (_C, 4, "true", "Cluster Policies", "case when policy_count > 0 then 'Implemented' else 'Critical Gap' end"),
 ]
+# The finding of each area, by pillar and place.
+_FINDING = {
+    (_G, 1): "'Metastore ' || metastore_name", (_G, 2): "catalog_count || ' catalogs'",
+    (_G, 3): "external_location_count || ' external locations'", (_G, 4): "storage_credential_count || ' storage credentials'",
+    (_G, 5): "'Catalogs in OPEN isolation'", (_I, 1): "warehouse_count || ' warehouses'", (_I, 2): "policy_count || ' policies'",
+    (_I, 3): "repo_count || ' repositories'", (_O, 1): "job_count || ' jobs (' || git_jobs || ' from Git)'",
+    (_O, 2): "pipeline_count || ' pipelines, ' || failed_pipelines || ' failed'",
+    (_O, 3): "disabled_init_script_count || ' of ' || init_script_count || ' scripts disabled'",
+    (_O, 4): "untitled_notebook_count || ' untitled notebooks'", (_O, 5): "pool_count || ' pools'",
+    (_S, 1): "case when lower(setting_dbfs_browser) = 'true' then 'Enabled' else 'Disabled' end",
+    (_S, 2): "case when lower(setting_results_download) = 'true' then 'Enabled' else 'Disabled' end",
+    (_S, 3): "case when lower(setting_export_notebook) = 'true' then 'Enabled' else 'Disabled' end",
+    (_S, 4): "'Max ' || setting_token_lifetime_days || ' days'", (_S, 5): "ip_access_list_count || ' lists'",
+    (_S, 6): "token_count || ' tokens'", (_S, 7): "scope_count || ' scopes'", (_R, 1): "failed_pipelines || ' failed pipelines'",
+    (_R, 2): "cluster_count || ' clusters (' || photon_clusters || ' vectorized)'",
+    (_R, 3): "retry_jobs || ' of ' || job_count || ' jobs retry'", (_R, 4): "endpoint_count || ' endpoints'",
+    (_P, 1): "warehouse_count || ' warehouses (' || photon_wh || ' vectorized, ' || pro_or_serverless_wh || ' serverless)'",
+    (_P, 2): "cluster_count || ' clusters (' || autoscale_clusters || ' autoscaling, ' || photon_clusters || ' vectorized)'",
+    (_C, 1): "cluster_count || ' clusters, ' || running_clusters || ' running, ' || autoterm_clusters || ' with auto-termination'",
+    (_C, 2): "tagged_clusters || ' of ' || cluster_count || ' clusters tagged'",
+    (_C, 3): "warehouse_count || ' warehouses (' || autostop_wh || ' auto-stop)'", (_C, 4): "policy_count || ' policies'",
+}
 rep("current_state", "\n union all ".join(
-    f"select workspace_id, {p} as pillar, {s} as seq, {q(a)} as area, {st} as status from wf where {c}"
+    f"select workspace_id, {p} as pillar, {s} as seq, {q(a)} as area, {_FINDING[p, s]} as finding, {st} as status from wf where {c}"
     for p, s, c, a, st in _CS))
 
 rep("next_steps", f""",

@@ -387,7 +387,7 @@ def _setting_advice(spark, sf):
 
 @register("current_state")
 def _current_state(spark, sf):
-    return reports.current_state(_inputs(spark, sf)).drop("finding")
+    return reports.current_state(_inputs(spark, sf))
 
 
 @register("next_steps")

@@ -251,3 +251,44 @@ select workspace_id, {next(r[0] for r in catalog_rules() if r[1] == "ops-023")},
        case when running_no_autoterm > 2 then 0 else 2 end, true,
        case when running_no_autoterm > 2 then running_no_autoterm || ' running clusters never stop.' else 'Clusters stop by themselves.' end
 from inp""")
+
+
+# --- N7-N20: values in another form than the endpoint documents ----------------------------------------------
+
+def drifted(spark, sf) -> DataFrame:
+    """The fixture's pages with numbers and flags sent as text, and whole numbers with a fraction."""
+    body = F.regexp_replace("body", r'"(num_workers|auto_termination_minutes|auto_stop_mins|max_num_clusters|job_id|first_on_demand)":([0-9]+)', '"$1":"$2"')
+    body = F.regexp_replace(body, r'"(enable_photon|enable_serverless_compute|enabled)":(true|false)', '"$1":"$2"')
+    body = F.regexp_replace(body, r'"(max_retries|max_workers)":([0-9]+)', '"$1":$2.0')
+    return landed(spark, sf).withColumn("body", body)
+
+
+@register("ingest_drift")
+def _ingest_drift(spark, sf):
+    return features.workspace_features(inv.inventory_tables(drifted(spark, sf), Fixtures(spark, sf).workspaces))
+
+
+@register("ingest_rejects")
+def _ingest_rejects(spark, sf):
+    """Values no number can be read from, per workspace and field."""
+    bad = F.regexp_replace("body", r'"num_workers":([567])', '"num_workers":"about $1"')
+    rows = inv.rejected_fields(landed(spark, sf).withColumn("body", bad), "clusters", "clusters")
+    return rows.groupBy(WS, "kind", "field").agg(F.count(F.lit(1)).alias("values"), F.min("value").alias("first_value"))
+
+
+@register("catalog_facts")
+def _catalog_facts(spark, sf):
+    facts = inv.catalog_facts(landed(spark, sf))
+    return facts.select(WS, "catalogs", F.array_join("isolation_modes", ",").alias("isolation_modes"), F.array_join("owners", ",").alias("owners"))
+
+
+ORACLES["ingest_drift"] = ORACLES["ingest_workspace_features"]
+oracle("ingest_rejects", ["clusters"], """
+select cast(workspace_id as bigint) as workspace_id, 'clusters' as kind, 'num_workers' as field, count(*) as values,
+       min('"about ' || num_workers || '"') as first_value
+from clusters where num_workers in (5, 6, 7) group by workspace_id""")
+oracle("catalog_facts", ["catalogs"], """
+select cast(workspace_id as bigint) as workspace_id, count(*) as catalogs,
+       array_to_string(list_sort(list(distinct isolation_mode)), ',') as isolation_modes,
+       array_to_string(list_sort(list(distinct owner)), ',') as owners
+from catalogs group by workspace_id""")

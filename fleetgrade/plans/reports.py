@@ -287,7 +287,11 @@ def current_state(inputs: DataFrame) -> DataFrame:
         _finding(ops, 2, n("pipeline_count") > 0, "DLT Pipelines",
                  fmt("%d pipelines, %d failed", n("pipeline_count"), n("failed_pipelines")),
                  F.when(n("failed_pipelines") > 0, "Gap").otherwise("Implemented")),
-        _finding(ops, 3, n("pool_count") > 0, "Instance Pools", fmt("%d pools", n("pool_count")), s("Implemented")),
+        _finding(ops, 3, n("disabled_init_script_count") > 0, "Global Init Scripts",
+                 fmt("%d of %d scripts disabled", n("disabled_init_script_count"), n("init_script_count")), s("Gap")),
+        _finding(ops, 4, n("untitled_notebook_count") > 0, "Workspace Hygiene",
+                 fmt("%d untitled notebooks", n("untitled_notebook_count")), s("Gap")),
+        _finding(ops, 5, n("pool_count") > 0, "Instance Pools", fmt("%d pools", n("pool_count")), s("Implemented")),
         _finding(sec, 1, setting["enableDbfsFileBrowser"] != "", "DBFS File Browser",
                  F.when(setting["enableDbfsFileBrowser"] == "true", "Enabled").otherwise("Disabled"),
                  F.when(setting["enableDbfsFileBrowser"] == "true", "Critical Gap").otherwise("Implemented")),

@@ -150,7 +150,10 @@ cross join (select 'enableDbfsFileBrowser' as setting union all select 'enableRe
             union all select 'enableExportNotebook' union all select 'maxTokenLifetimeDays'
             union all select 'enableIpAccessLists') k""",
     "object_counts": """
-select s_suppkey as workspace_id, k.kind as kind,
+select workspace_id, d.kind as kind,
+       cast(case d.kind when 'untitled_notebook' then floor(n / 5) when 'disabled_init_script' then floor((n + 1) / 2) else n end as bigint) as n
+from (
+select s_suppkey as workspace_id, k.kind as base,
        (s_suppkey * k.mult) % k.modulus as n
 from supplier
 cross join (select 'policy' as kind, 5 as mult, 31 as modulus union all select 'pool', 3, 7
@@ -158,7 +161,14 @@ cross join (select 'policy' as kind, 5 as mult, 31 as modulus union all select '
             union all select 'init_script', 1, 3 union all select 'group', 7, 11
             union all select 'scope', 1, 2 union all select 'ip_access_list', 1, 3
             union all select 'token', 4, 9 union all select 'external_location', 11, 60
-            union all select 'storage_credential', 13, 61 union all select 'workspace_object', 17, 97) k""",
+            union all select 'storage_credential', 13, 61 union all select 'workspace_object', 17, 97) k) b
+cross join (select 'untitled_notebook' as kind, 'workspace_object' as base union all select 'disabled_init_script', 'init_script'
+            union all select 'policy', 'policy' union all select 'pool', 'pool' union all select 'endpoint', 'endpoint'
+            union all select 'repo', 'repo' union all select 'init_script', 'init_script' union all select 'group', 'group'
+            union all select 'scope', 'scope' union all select 'ip_access_list', 'ip_access_list' union all select 'token', 'token'
+            union all select 'external_location', 'external_location' union all select 'storage_credential', 'storage_credential'
+            union all select 'workspace_object', 'workspace_object') d
+where d.base = b.base""",
     # Call log of the collection step (FIXTURES section 3): one call per event.
     "call_log": """
 select case when event_id % 3 = 1 then 3 else user_id % (select count(*) from supplier) end as workspace_id,
@@ -190,8 +200,9 @@ lateral view inline(array(named_struct('setting', 'enableDbfsFileBrowser'),
                           named_struct('setting', 'maxTokenLifetimeDays'),
                           named_struct('setting', 'enableIpAccessLists'))) k""",
     "object_counts": """
-select s_suppkey as workspace_id, k.kind as kind,
-       (s_suppkey * k.mult) % k.modulus as n
+select workspace_id, d.kind as kind, d.n as n from (
+select s_suppkey as workspace_id, k.kind as base,
+       cast((s_suppkey * k.mult) % k.modulus as bigint) as n
 from supplier
 lateral view inline(array(named_struct('kind', 'policy', 'mult', 5, 'modulus', 31),
                           named_struct('kind', 'pool', 'mult', 3, 'modulus', 7),
@@ -204,7 +215,12 @@ lateral view inline(array(named_struct('kind', 'policy', 'mult', 5, 'modulus', 3
                           named_struct('kind', 'token', 'mult', 4, 'modulus', 9),
                           named_struct('kind', 'external_location', 'mult', 11, 'modulus', 60),
                           named_struct('kind', 'storage_credential', 'mult', 13, 'modulus', 61),
-                          named_struct('kind', 'workspace_object', 'mult', 17, 'modulus', 97))) k""",
+                          named_struct('kind', 'workspace_object', 'mult', 17, 'modulus', 97))) k) b
+lateral view inline(filter(array(named_struct('kind', base, 'n', n),
+                                 named_struct('kind', case base when 'workspace_object' then 'untitled_notebook'
+                                                                when 'init_script' then 'disabled_init_script' end,
+                                              'n', cast(case base when 'workspace_object' then floor(n / 5) else floor((n + 1) / 2) end as bigint))),
+                           x -> x.kind is not null)) d""",
 }
 
 _RAW_REF = re.compile(r"\bfrom\s+(\w+)", re.IGNORECASE)

@@ -87,9 +87,9 @@ SCHEMAS = {
     "tokens": _st(("token_infos", _arr(("token_id", S), ("id", S))), ("tokens", _arr(("token_id", S), ("id", S)))),
     "service_principals": _st(("totalResults", L), ("Resources", _arr(
         ("displayName", S), ("applicationId", S), ("active", B)))),
-    "scim_groups": _st(("totalResults", L), ("Resources", _arr(("displayName", S), ("externalId", S)))),
+    "scim_groups": _st(("totalResults", L), ("Resources", _arr(("displayName", S), ("externalId", S), ("id", S)))),
     "jobs": _st(("jobs", _arr(
-        ("job_id", L), ("creator_user_name", S), ("job_name", S), ("name", S), ("git_source", T.MapType(S, S)),
+        ("job_id", L), ("creator_user_name", S), ("job_name", S), ("name", S), ("job_type", S), ("git_source", T.MapType(S, S)),
         ("max_retries", I), ("existing_cluster_id", S),
         ("settings", _st(("name", S), ("job_type", S), ("git_source", T.MapType(S, S)), ("max_retries", I),
                          ("existing_cluster_id", S), ("job_clusters", T.ArrayType(T.MapType(S, S)))))))),
@@ -159,12 +159,51 @@ def _objects(lst: Column) -> Column:
     return F.filter(lst, lambda x: F.ltrim(x).startswith("{"))
 
 
-def _items(kind: str, payloads: DataFrame, keys: str | list[str]) -> DataFrame:
-    """Explode the item list as parsed objects, dropping members that are not objects."""
-    keys = [keys] if isinstance(keys, str) else keys
+def _typed(member: Column, kind: T.DataType, path: str = "$") -> Column:
+    """A field of a parsed member in its type, wherever its value can be read as one.
+
+    A number or flag sent as text, or a whole number sent with a fraction of 0, is read; a
+    value that is none of the type is NULL, and only that field.
+    """
+    if isinstance(kind, T.StructType):
+        whole = F.try_variant_get(member, path, "variant")
+        parts = F.struct(*[_typed(member, f.dataType, f"{path}.{f.name}").alias(f.name) for f in kind.fields])
+        return F.when(whole.isNotNull() & ~F.is_variant_null(whole), parts)
+    return F.try_variant_get(member, path, kind.simpleString())
+
+
+def _members(kind: str, payloads: DataFrame, keys: list[str]) -> DataFrame:
+    """Object members of a list as VARIANT, dropping members that are not objects."""
     pg = pages(payloads, kind).where("ok")
     raw = pg.select(WS, "page", F.explode(_objects(_list(keys))).alias("_raw"))
-    return raw.select(WS, "page", F.from_json("_raw", _element(kind, keys[0])).alias("it"))
+    return raw.select(WS, "page", F.try_parse_json("_raw").alias("_v")).where("_v is not null")
+
+
+def _items(kind: str, payloads: DataFrame, keys: str | list[str]) -> DataFrame:
+    """The item list as objects of the endpoint's fields, read field by field."""
+    keys = [keys] if isinstance(keys, str) else keys
+    return _members(kind, payloads, keys).select(WS, "page", _typed(F.col("_v"), _element(kind, keys[0])).alias("it"))
+
+
+def rejected_fields(payloads: DataFrame, kind: str, keys: str | list[str]) -> DataFrame:
+    """Values that are there but cannot be read in their field's type: ``workspace_id, kind, page, field, value``."""
+    keys = [keys] if isinstance(keys, str) else keys
+
+    def leaves(t: T.StructType, path: str):
+        for f in t.fields:
+            if isinstance(f.dataType, T.StructType):
+                yield from leaves(f.dataType, f"{path}.{f.name}")
+            else:
+                yield f"{path}.{f.name}", f.dataType
+
+    v = F.col("_v")
+    checks = []
+    for path, t in leaves(_element(kind, keys[0]), "$"):
+        there = F.try_variant_get(v, path, "variant")
+        bad = there.isNotNull() & ~F.is_variant_null(there) & F.try_variant_get(v, path, t.simpleString()).isNull()
+        checks.append(F.when(bad, F.struct(F.lit(path[2:]).alias("field"), F.to_json(there).alias("value"))))
+    return _members(kind, payloads, keys).select(WS, F.lit(kind).alias("kind"), "page", F.explode(F.array(*checks)).alias("r")).where(
+        "r is not null").select(WS, "kind", "page", "r.*")
 
 
 # --- N1 / N2 -------------------------------------------------------------------------------------------
@@ -207,6 +246,18 @@ def catalogs(payloads: DataFrame) -> DataFrame:
         F.coalesce(F.col("it.owner"), F.col("it.owner_id")).alias("owner"))
 
 
+def catalog_facts(payloads: DataFrame) -> DataFrame:
+    """N4 lists: distinct isolation modes and owners of a workspace's catalogs (small vocabularies), sorted."""
+    return catalogs(payloads).groupBy(WS).agg(
+        F.count(F.lit(1)).alias("catalogs"), F.sort_array(F.collect_set(F.nullif("isolation_mode", F.lit("")))).alias("isolation_modes"),
+        F.sort_array(F.collect_set(F.nullif("owner", F.lit("")))).alias("owners"))
+
+
+def list_names(payloads: DataFrame, kind: str, list_path: str, name_key: str = "name") -> DataFrame:
+    """N9 and its like: ``workspace_id, name`` of a named list's objects."""
+    return _members(kind, payloads, [list_path]).select(WS, F.try_variant_get("_v", f"$.{name_key}", "string").alias("name"))
+
+
 def list_count(payloads: DataFrame, kind: str, list_path: str | list[str], name: str) -> DataFrame:
     """N5, N6, N9, N19, N21, N22 and other count-only lists: members summed over pages.
 
@@ -228,7 +279,8 @@ def clusters(payloads: DataFrame) -> DataFrame:
             "driver_node_type_id", "runtime_engine", "spark_version", "auto_termination_minutes", "policy_id",
             "custom_tags", "cluster_source", "data_security_mode")],
         F.col("it.aws_attributes.first_on_demand").alias("first_on_demand"),
-        F.col("it.aws_attributes.availability").alias("availability"))
+        F.col("it.aws_attributes.availability").alias("availability"),
+        F.col("it.aws_attributes.spot_bid_price_percent").alias("spot_bid_price_percent"))
 
 
 def warehouses(payloads: DataFrame) -> DataFrame:
@@ -236,7 +288,7 @@ def warehouses(payloads: DataFrame) -> DataFrame:
     it = _items("warehouses", payloads, "warehouses")
     return it.select(WS, F.col("it.id").alias("warehouse_id"), *[F.col(f"it.{c}").alias(c) for c in (
         "name", "size", "state", "warehouse_type", "enable_serverless_compute", "auto_stop_mins",
-        "max_num_clusters", "min_num_clusters", "cluster_size", "enable_photon")])
+        "max_num_clusters", "min_num_clusters", "cluster_size", "enable_photon", "channel")])
 
 
 def instance_pools(payloads: DataFrame) -> DataFrame:
@@ -288,7 +340,7 @@ def _scim_rows(payloads: DataFrame, kind: str, cap: int | None) -> DataFrame:
     if cap is not None:
         rank = F.row_number().over(Window.partitionBy(WS).orderBy("page", "pos"))
         rows = rows.withColumn("rank", rank).where(F.col("rank") <= cap)
-    return rows.select(WS, F.from_json("_raw", _element(kind, "Resources")).alias("r"))
+    return rows.select(WS, _typed(F.try_parse_json("_raw"), _element(kind, "Resources")).alias("r"))
 
 
 def service_principals(payloads: DataFrame, list_cap: bool = False) -> DataFrame:
@@ -302,7 +354,7 @@ def service_principals(payloads: DataFrame, list_cap: bool = False) -> DataFrame
 def scim_groups(payloads: DataFrame, list_cap: bool = False) -> DataFrame:
     """N15 rows: display name and external id; optional cap of 100 (Q10)."""
     return _scim_rows(payloads, "scim_groups", 100 if list_cap else None).select(
-        WS, F.col("r.displayName").alias("display_name"), F.col("r.externalId").alias("external_id"))
+        WS, F.col("r.displayName").alias("display_name"), F.col("r.externalId").alias("external_id"), F.col("r.id").alias("id"))
 
 
 def scim_counts(payloads: DataFrame, kind: str, name: str) -> DataFrame:
@@ -327,7 +379,8 @@ def jobs(payloads: DataFrame) -> DataFrame:
         F.coalesce(F.nullif(F.col(f"{s}.max_retries"), F.lit(0)), F.col("it.max_retries")).alias("max_retries"),
         (F.size(F.coalesce(F.col(f"{s}.job_clusters"), F.array())) > 0).alias("has_job_clusters"),
         (F.coalesce(existing, F.lit("")) != "").alias("has_existing_cluster_id"),
-        F.coalesce(F.col("it.creator_user_name"), F.lit("")).alias("creator_user_name"))
+        F.coalesce(F.col("it.creator_user_name"), F.lit("")).alias("creator_user_name"),
+        F.coalesce(F.nullif(F.col(f"{s}.job_type"), F.lit("")), F.col("it.job_type")).alias("job_type"))
 
 
 def pipelines(payloads: DataFrame) -> DataFrame:
@@ -380,6 +433,12 @@ def object_counts(payloads: DataFrame) -> DataFrame:
     """Long ``(workspace_id, kind, n)`` counts of the small lists (feeds F26)."""
     parts = [list_count(payloads, pk, keys, "n").select(WS, F.lit(kind).alias("kind"), "n")
              for kind, pk, keys in COUNT_LISTS]
+    # Two counts of members by what they hold.
+    untitled = _members("workspace_objects", payloads, ["objects"]).where(
+        F.try_variant_get("_v", "$.path", "string").contains("Untitled"))
+    disabled = _members("init_scripts", payloads, ["scripts"]).where(~F.try_variant_get("_v", "$.enabled", "boolean"))
+    for kind, rows in (("untitled_notebook", untitled), ("disabled_init_script", disabled)):
+        parts.append(rows.groupBy(WS).agg(F.count(F.lit(1)).alias("n")).select(WS, F.lit(kind).alias("kind"), "n"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -70,8 +70,8 @@ COLLECTED = _st(
             ("job_id", L), ("name", S), ("has_git_source", B), ("max_retries", I), ("has_existing_cluster_id", B),
             ("has_job_clusters", B), ("creator_user_name", S))),
         ("pipeline_count", L), ("pipelines", _arr(("pipeline_id", S), ("name", S), ("state", S), ("creator_user_name", S))),
-        ("endpoint_count", L), ("repo_count", L), ("init_script_count", L), ("group_count", L), ("scope_count", L))),
-    ("WorkspaceCollector", _st(("object_count", L))),
+        ("endpoint_count", L), ("repo_count", L), ("init_script_count", L), ("init_scripts", _arr(("name", S), ("enabled", B))), ("group_count", L), ("scope_count", L))),
+    ("WorkspaceCollector", _st(("object_count", L), ("untitled_notebooks_count", L))),
     ("SystemTablesCollector", _st(
         ("available", B),
         ("billing", _st(("available", B), ("total_dbus_30d", S), ("trend_pct_change", S), ("top_cost_clusters", _ROWS))),
@@ -94,7 +94,8 @@ _COUNTS = (
     ("init_script", "OperationsCollector", "init_script_count"), ("group", "OperationsCollector", "group_count"),
     ("scope", "OperationsCollector", "scope_count"), ("ip_access_list", "SecurityCollector", "ip_access_list_count"),
     ("token", "SecurityCollector", "token_info.count"), ("external_location", "GovernanceCollector", "external_location_count"),
-    ("storage_credential", "GovernanceCollector", "storage_credential_count"), ("workspace_object", "WorkspaceCollector", "object_count"))
+    ("storage_credential", "GovernanceCollector", "storage_credential_count"), ("workspace_object", "WorkspaceCollector", "object_count"),
+    ("untitled_notebook", "WorkspaceCollector", "untitled_notebooks_count"))
 # (feature count, collector, count field, list field): the count also holds members that are no objects.
 _LISTED = (
     ("cluster", "ComputeCollector", "cluster_count", "clusters"), ("warehouse", "ComputeCollector", "warehouse_count", "warehouses"),
@@ -167,7 +168,9 @@ def read(documents: DataFrame, catalog: DataFrame) -> Cache:
             WS, F.coalesce("m.displayName", F.lit("")).alias("display_name"), F.col("m.applicationId").alias("application_id"),
             F.coalesce("m.active", F.lit(True)).alias("active")),
         "settings": c.select(WS, F.explode("SecurityCollector.security_settings").alias("setting", "value")),
-        "object_counts": c.select(WS, F.inline(counts)).where(F.col("n").isNotNull()),
+        "object_counts": c.select(WS, F.inline(counts)).where(F.col("n").isNotNull()).unionByName(
+            listed("OperationsCollector.init_scripts").where(~F.col("m.enabled")).groupBy(WS).agg(F.count(F.lit(1)).alias("n"))
+            .select(WS, F.lit("disabled_init_script").alias("kind"), "n")),
         "unlisted": c.select(WS, F.inline(unlisted)).where(F.col("n") != 0),
     }
     calls = docs.where("kind = 'audit'").select(WS, F.posexplode("a").alias("seq", "e")).select(
@@ -250,13 +253,16 @@ def documents(inventory: dict[str, DataFrame], inputs: DataFrame, lists: dict[st
     deep = {s: [F.col(flag).alias("available")] + [text(col).alias(p.split(".")[1]) for col, p in _NUMBERS if p.startswith(s + ".")]
             + [F.col(x) for x in lists if x in SECTION_LISTS[s]]
             for s, flag in zip(SECTION_LISTS, ("billing_available", "compute_available", "query_available", "jobs_available", "audit_available"))}
+    # The inputs hold how many scripts there are and how many are off, so the list is numbered.
+    scripts = F.when(n("init_script") > 0, F.transform(F.sequence(F.lit(1), n("init_script").cast("int")), lambda i: F.struct(
+        F.concat(F.lit("script-"), i.cast("string")).alias("name"), (i > n("disabled_init_script")).alias("enabled"))))
     store = F.struct(F.col("metastore_name").alias("name"), F.col("metastore_owner").alias("owner"), "delta_sharing_scope")
     collected = F.to_json(F.struct(
         group("GovernanceCollector", *listed("GovernanceCollector"), "isolation_modes", "owners", "metastore_name",
               F.when(F.col("has_metastore"), store).alias("metastore_summary"), *counts("GovernanceCollector")),
         group("ComputeCollector", *listed("ComputeCollector"), *counts("ComputeCollector")),
         group("SecurityCollector", "security_settings", *listed("SecurityCollector"), *counts("SecurityCollector")),
-        group("OperationsCollector", *listed("OperationsCollector"), *counts("OperationsCollector")),
+        group("OperationsCollector", *listed("OperationsCollector"), *counts("OperationsCollector"), scripts.alias("init_scripts")),
         group("WorkspaceCollector", *counts("WorkspaceCollector")),
         group("SystemTablesCollector", F.lit(True).alias("available"), *[group(s, *cols) for s, cols in deep.items()]),
         F.col("cloud").alias("_cloud_provider")))

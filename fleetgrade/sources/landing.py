@@ -130,6 +130,8 @@ def _object_kind_items(kind: str, i: Column) -> Column:
             F.lit("PYTHON").alias("language"))
     if kind == "group":
         return name
+    if kind == "init_script":
+        return F.struct(name.alias("name"), (i % 2 == 0).alias("enabled"))
     return F.struct(name.alias("name"))
 
 
@@ -138,7 +140,8 @@ def _object_lists(fx: Fixtures, page_size: int = 100) -> DataFrame:
     paged by hash within (workspace, kind), and each page's body is assembled as
     text, so the twelve endpoints share one shuffle."""
     from fleetgrade.sources.inventory import COUNT_LISTS
-    oc = fx.object_counts.where(F.col("n") > 0)
+    kinds = [k for k, _p, _l in COUNT_LISTS]
+    oc = fx.object_counts.where((F.col("n") > 0) & F.col("kind").isin(*kinds))
     kind_col = F.col("kind")
     endpoint = F.lit(None).cast("string")
     key = F.lit(None).cast("string")
