@@ -1,28 +1,37 @@
 """LM scoring with Brown class-based n-grams (operator 5).
 
-Exchange clustering gives every training word one of ``CLASSES`` classes. A word is
-described by how often each of ``BUCKETS`` groups of neighbouring words stands before and
-after it (a neighbour's group is a hash of the word); a sweep moves words to the class that
-raises the likelihood of these class-context counts most, every other word per sweep (by a
-hash), so that classes do not swing. The class table (classes x contexts) has a fixed size;
-words, their counts and contexts stay distributed. A text's probability is the product of
-class transitions and word emissions, both with additive smoothing:
-P(w | v) = P(class(w) | class(v)) * P(w | class(w)).
-
-Steps: (1) texts are cut into blocks of about ``BLOCK_TOKENS`` tokens where they are read;
-each block gives its distinct words with context counts, and its texts as word numbers.
-(2) Word rows meet by word and are summed in sorted order, so a frequent word costs one row
-per block. (3) Sweeps read the word table and exchange only the class table. (4) Block
-words are joined to their counts and classes, and go back to their block; hot words are one
-row per block there, too. (5) Every text is scored in its block; class transitions of the
-training texts are summed into a classes x classes table for the last step.
-
-Learning uses the rows whose crc32(doc_id as text) mod 10 is not 0, all of them, whole.
-
-Edge cases: null and empty texts are one end token; unseen words count 0 and belong to the
-class with most words seen once; rows without doc_id count as the id ''; repeated rows are
-learnt and scored once each; without training rows all counts are 0; extra columns are
-ignored; an empty table gives an empty result.
+Every training word belongs to one of ``CLASSES`` classes, found by exchange: a word moves to
+the class that raises the likelihood of the class bigrams most, given the classes that its
+neighbours have now. A text's probability is the product of class transitions and word
+emissions, both with additive smoothing: P(w | v) = P(class(w) | class(v)) * P(w | class(w)).
+
+Steps. (1) Texts are cut into blocks of about ``BLOCK_TOKENS`` tokens where they are read; a
+block gives its distinct words with their counts, and its texts as word numbers. (2) Words are
+summed over blocks and numbered by falling frequency; block words get their numbers by a join
+and go back to the block (a frequent word is one row per block), where every text is written
+with corpus-wide numbers, its counts and its base score. (3) Words seen ``FREQUENT`` times or
+more are clustered. They start with the most frequent ones in classes of their own, as Brown's
+algorithm does, and the others together. In a sweep, one pass over the texts counts for each
+word the classes before and after it (rarer neighbours are one context of their own); counts
+travel as sparse arrays per range of ``RANGE`` words, are summed per range in two steps, and
+never exist per occurrence. Summed over words they are the class bigram table, of fixed size.
+Each word then weighs its own counts against the table without its own share in it; every
+other word moves per sweep (by its number), so that classes do not swing. Sweeps go on until
+the likelihood gains less than ``SETTLED`` per token. (4) One more pass gives the rarer words
+the class that their contexts fit best. (5) Class transitions of the training texts are
+counted, and every text is scored.
+
+The words' classes go out with a pass as one byte per word, up to ``BROADCAST_WORDS`` words;
+beyond that each block joins the ranges that it needs. Both ways give the same result.
+
+Learning uses the rows whose crc32(doc_id as text) mod 10 is not 0, all of them, whole; what is
+counted grows with the input.
+
+Edge cases: null and empty texts are one end token; texts of any length are whole (one longer
+than a block fills a block of its own); unseen words count 0 and belong to the class with most
+words seen once, ties to the smaller class; ties between classes go to the smaller one; rows
+without doc_id count as the id ''; repeated rows are learnt and scored once each; without
+training rows all counts are 0; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,55 +41,44 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgrade.functions.numbering import numbered
 from fleetgrade.llm.common import remainder, word_bytes
 from fleetgrade.session import cut_lineage
 
-CLASSES, BUCKETS, SWEEPS = 64, 32, 4
-BLOCK_TOKENS = 3_000_000
+CLASSES, FREQUENT, SETTLED = 64, 30, 0.002
+BLOCK_TOKENS, RANGE, SALTS = 3_000_000, 1_024, 32
+BROADCAST_WORDS = 16_000_000
+DENSE = 1 << 24                # counters that a task may hold at once; more are sorted
 FOLD, ADD, SMOOTH = 10, 0.1, 0.5
-_MOST = (1 << 24) - 1
-END = b""   # the end of a text, and what stands before its first word
-_RAW = ("kind int, block long, idx long, word binary, vec binary, doc_id long, held_out boolean, toks binary")
+WIDE = 2 * (CLASSES + 1)       # contexts: a class or "rarer word" before, the same after
+END = b""                      # the end of a text, and what stands before its first word
+_RAW = "kind int, block long, idx long, word binary, n long, doc_id long, held_out boolean, toks binary"
+_CODED = ("block long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, ids binary")
+_COUNTS = "range long, salt int, keys binary, counts binary"
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
-    """Kind 0: a block's words with packed contexts; kind 1: its texts as word numbers."""
+    """Kind 0: a block's words with their training counts; kind 1: its texts as word numbers."""
     import zlib
 
     import numpy as np
     import pandas as pd
     from pyspark import TaskContext
 
-    columns = ["kind", "block", "idx", "word", "vec", "doc_id", "held_out", "toks"]
+    columns = ["kind", "block", "idx", "word", "n", "doc_id", "held_out", "toks"]
 
     def block(number, rows, index):
-        bucket = np.fromiter((zlib.crc32(w) % BUCKETS for w in index), np.int64, len(index))
-        keys = []
-        for _, held, ids in rows:
-            if not held:
-                prev = np.concatenate([[0], ids[:-1]])  # word number 0 is END
-                keys.append(ids * np.int64(2 * BUCKETS) + bucket[prev])
-                keys.append(ids[:-1] * np.int64(2 * BUCKETS) + BUCKETS + bucket[ids[1:]])
-        key, n = np.unique(np.concatenate(keys) if keys else np.empty(0, np.int64), return_counts=True)
-        # A context's number and its count in 32 bits; a larger count stands as several.
-        while n.max(initial=0) > _MOST:
-            over = n > _MOST
-            key, n = np.concatenate([key, key[over]]), np.concatenate([np.minimum(n, _MOST), n[over] - _MOST])
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        packed = ((key % (2 * BUCKETS)) << 24 | n).astype(np.uint32)
-        at = np.searchsorted(key // (2 * BUCKETS), np.arange(len(index) + 1))
-        raw, at = packed.tobytes(), (at * 4).tolist()
+        train = [ids for _, held, ids in rows if not held]
+        n = np.bincount(np.concatenate(train), minlength=len(index)) if train else np.zeros(len(index), np.int64)
         words = list(index)
         for lo in range(0, len(words), 20_000):
             part = words[lo: lo + 20_000]
-            yield pd.DataFrame({"kind": 0, "block": number, "idx": range(lo, lo + len(part)), "word": part,
-                                "vec": [raw[at[i]: at[i + 1]] for i in range(lo, lo + len(part))],
+            yield pd.DataFrame({"kind": 0, "block": number, "idx": range(lo, lo + len(part)), "word": part, "n": n[lo: lo + len(part)],
                                 "doc_id": None, "held_out": None, "toks": None}, columns=columns).astype(
                                     {"doc_id": "Int64", "held_out": "boolean"})
         for lo in range(0, len(rows), 1_000):
             part = rows[lo: lo + 1_000]
-            yield pd.DataFrame({"kind": 1, "block": number, "idx": range(lo, lo + len(part)), "word": None, "vec": None,
+            yield pd.DataFrame({"kind": 1, "block": number, "idx": range(lo, lo + len(part)), "word": None, "n": 0,
                                 "doc_id": pd.array([r[0] for r in part], "Int64"), "held_out": [r[1] for r in part],
                                 "toks": [zlib.compress(r[2].astype(np.int32).tobytes(), 1) for r in part]}, columns=columns)
 
@@ -101,173 +99,388 @@ def _blocks(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", (remainder(FOLD) == 0).alias("held")).mapInPandas(run, _RAW)
 
 
-def _word_table(rows: DataFrame) -> DataFrame:
-    """``word, n, vec``: every training word with its count and summed contexts."""
+def _coded(raw: DataFrame, words: DataFrame, total: int, distinct: int) -> DataFrame:
+    """Texts with corpus-wide word numbers (-1: not in training), their counts and base scores."""
+    import zlib
+
     import numpy as np
     import pandas as pd
 
-    wide = 2 * BUCKETS
+    den = np.log10(total + ADD * (distinct + 1))
 
-    def out(words, sums):
-        for lo in range(0, len(words), 10_000):
-            part = sums[lo: lo + 10_000]
-            r, c = np.nonzero(part)
-            packed = ((c.astype(np.int64) << 48) | part[r, c]).astype(np.int64).tobytes()
-            at = (np.searchsorted(r, np.arange(len(part) + 1)) * 8).tolist()
-            yield pd.DataFrame({"word": words[lo: lo + 10_000], "n": part[:, :BUCKETS].sum(axis=1),
-                                "vec": [packed[at[i]: at[i + 1]] for i in range(len(part))]})
+    def in_block(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        size = int(found["idx"].max()) + 1 if len(found) else 1
+        n, number = np.zeros(size), np.full(size, -1, np.int64)
+        at = found["idx"].to_numpy(np.int64)
+        n[at], number[at] = found["n"].to_numpy(), found["id"].to_numpy()
+        base, out = np.log10(n + ADD) - den, []
+        for block, doc_id, held, toks in zip(rows["own"], rows["doc_id"].astype("Int64"), rows["held_out"], rows["toks"], strict=True):
+            ids = np.frombuffer(zlib.decompress(toks), np.int32)
+            out.append((block, doc_id, held, len(ids), int((n[ids] > 0).sum()), float(base[ids].sum()),
+                        zlib.compress(number[ids].astype("<i8" if distinct >= 1 << 31 else "<i4").tobytes(), 1)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in _CODED.split(", ")]).astype({"doc_id": "Int64"})
+
+    texts = raw.where("kind = 1").select(F.col("block").alias("own"), "doc_id", "held_out", "toks")
+    looked = raw.where("kind = 0").select("block", "idx", "word").join(words, "word", "left").select(
+        "block", "idx", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("id", F.lit(-1)).alias("id"))
+    return texts.groupBy("own").cogroup(looked.groupBy("block")).applyInPandas(in_block, _CODED)
+
+
+def _ids(rows, width):
+    """All ids of some texts in one array, and where each text begins."""
+    import zlib
+
+    import numpy as np
+
+    parts = [np.frombuffer(zlib.decompress(x), width) for x in rows["ids"]]
+    size = np.array([len(p) for p in parts], np.int64)
+    return (np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)), np.concatenate([[0], np.cumsum(size)])
+
+
+class Classes:
+    """The classes of words 0 .. n-1: a byte each, or a table of ranges where they are too many."""
+
+    def __init__(self, table: DataFrame, words: int, needs: DataFrame | None, limit: int):
+        self.table, self.words, self.needs, self.small = table, words, needs, words <= limit
+
+    def over(self, coded: DataFrame, work, schema: str) -> DataFrame:
+        """``work(batches of texts, ids -> classes)`` over all texts; words beyond ``words`` have the class CLASSES."""
+        import numpy as np
+        import pandas as pd
+
+        if self.small:
+            rows = self.table.collect()
+            every = np.full(self.words, CLASSES, np.uint8)
+            for r in rows:
+                part = np.frombuffer(bytes(r["cls"]), np.uint8)
+                every[r["range"] * RANGE: r["range"] * RANGE + len(part)] = part
+            count = self.words
+
+            def of(ids):
+                inside = (ids >= 0) & (ids < count)
+                return np.where(inside, every[np.where(inside, ids, 0)] if count else CLASSES, CLASSES).astype(np.int64)
+
+            return coded.mapInPandas(lambda batches: work(batches, of), schema)
+
+        def in_block(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            found = found.sort_values("range")
+            ranges = found["range"].to_numpy(np.int64)
+            held = np.full((len(ranges) + 1, RANGE), CLASSES, np.uint8)
+            for i, c in enumerate(found["cls"]):
+                held[i, : len(c)] = np.frombuffer(c, np.uint8)
+
+            def of(ids):
+                at = np.minimum(np.searchsorted(ranges, ids // RANGE), max(0, len(ranges) - 1))
+                known = (ids >= 0) & (ranges[at] == ids // RANGE) if len(ranges) else np.zeros(len(ids), bool)
+                return np.where(known, held[np.where(known, at, len(ranges)), np.where(known, ids % RANGE, 0)], CLASSES).astype(np.int64)
+
+            out = [*work(iter([rows]), of)]
+            return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
+
+        found = self.needs.join(self.table, "range").select(F.col("block").alias("of"), "range", "cls")
+        return coded.groupBy("block").cogroup(found.groupBy("of")).applyInPandas(in_block, schema)
+
+
+def _emit(first: int, flat, count):
+    """Sparse counts (word * WIDE + context) as one row per range of words, words from ``first``."""
+    import numpy as np
+    import pandas as pd
+
+    flat = flat + first * WIDE
+    part = flat // (RANGE * WIDE)
+    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(flat) else np.empty(0, int)
+    keys, counts = (flat % (RANGE * WIDE)).astype("<u4"), count.astype("<i8")
+    return pd.DataFrame({"range": part[at], "salt": np.random.default_rng().integers(0, SALTS, len(at)).astype(np.int32),
+                         "keys": [k.tobytes() for k in np.split(keys, at[1:])] if len(at) else [],
+                         "counts": [c.tobytes() for c in np.split(counts, at[1:])] if len(at) else []})
+
+
+def _contexts(coded: DataFrame, classes: Classes, first: int, words: int, width: str) -> DataFrame:
+    """``range, keys, counts``: context counts of the words ``first .. first + words - 1`` under the classes."""
+    import numpy as np
+    import pandas as pd
+
+    def work(batches, of):
+        dense = np.zeros(words * WIDE, np.int64) if words * WIDE <= DENSE else None
+        held, size = [], 0
+
+        def sorted_out():
+            flat, n = np.unique(np.concatenate(held), return_counts=True)
+            return _emit(first, flat, n)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held = None, None
         for b in batches:
-            names = b["word"].tolist()
-            new = np.array([True] + [x != y for x, y in zip(names[1:], names[:-1], strict=True)])
-            group = np.cumsum(new) - 1
-            words = [w for w, x in zip(names, new, strict=True) if x]
-            packed = np.frombuffer(b"".join(b["vec"]), np.uint32)
-            owner = np.repeat(group, [len(v) // 4 for v in b["vec"]])
-            sums = np.bincount(owner * wide + (packed >> 24), weights=(packed & _MOST).astype(np.float64),
-                               minlength=len(words) * wide).astype(np.int64).reshape(len(words), wide)
-            if last is not None:
-                if words[0] == last:
-                    sums[0] += held
+            b = b[~b["held_out"].astype(bool)]
+            for lo in range(0, len(b), 500):
+                ids, start = _ids(b.iloc[lo: lo + 500], width)
+                if not len(ids):
+                    continue
+                cls = of(ids)
+                end = int(cls[start[1:][0] - 1])            # every text ends with END
+                before = np.concatenate([[end], cls[:-1]])
+                before[start[:-1]] = end
+                after = np.append(cls[1:], CLASSES)
+                inner = np.ones(len(ids), bool)
+                inner[start[1:] - 1] = False                # nothing follows END
+                mine = (ids >= first) & (ids < first + words)
+                keys = np.concatenate([((ids - first) * WIDE + before)[mine],
+                                       ((ids - first) * WIDE + CLASSES + 1 + after)[mine & inner]])
+                if dense is not None:
+                    dense += np.bincount(keys, minlength=len(dense)) if len(keys) * 8 > len(dense) else 0
+                    if len(keys) * 8 <= len(dense):
+                        np.add.at(dense, keys, 1)
                 else:
-                    yield from out([last], held[None, :])
-            last, held = words[-1], sums[-1]
-            yield from out(words[:-1], sums[:-1])
-        if last is not None:
-            yield from out([last], held[None, :])
+                    held.append(keys)
+                    size += len(keys)
+                    if size > 4_000_000:
+                        yield sorted_out()
+                        held, size = [], 0
+        if dense is not None:
+            flat = np.flatnonzero(dense)
+            yield _emit(first, flat, dense[flat])
+        elif held:
+            yield sorted_out()
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows sorted by range: one row per range, equal keys summed."""
+        now, held, size = None, [], 0
+
+        def whole():
+            keys = np.concatenate([np.frombuffer(k, "<u4") for k, _ in held])
+            n = np.concatenate([np.frombuffer(c, "<i8") for _, c in held])
+            total = np.zeros(RANGE * WIDE, np.int64)
+            np.add.at(total, keys, n)
+            at = np.flatnonzero(total)
+            return at.astype("<u4").tobytes(), total[at].astype("<i8").tobytes()
+
+        def row():
+            k, c = whole()
+            return pd.DataFrame({"range": [now[0]], "salt": [now[1]], "keys": [k], "counts": [c]})
 
-    return (rows.where((F.col("kind") == 0) & (F.octet_length("vec") > 0)).select("word", "vec")
-            .repartition("word").sortWithinPartitions("word").mapInPandas(run, "word binary, n long, vec binary"))
+        for b in batches:
+            for r, s, k, c in zip(b["range"], b["salt"], b["keys"], b["counts"], strict=True):
+                if (r, s) != now:
+                    if now is not None:
+                        yield row()
+                    now, held, size = (r, s), [], 0
+                held.append((k, c))
+                size += len(k)
+                if size > 1 << 24:
+                    held, size = [whole()], 0
+        if now is not None:
+            yield row()
+
+    rows = classes.over(coded, work, _COUNTS)
+    for salt in (F.col("salt"), F.lit(0)):          # a frequent range is summed in parts first
+        rows = (rows.withColumn("salt", salt.cast("int")).repartition("range", "salt").sortWithinPartitions("range", "salt")
+                .mapInPandas(summed, _COUNTS))
+    return rows.select("range", "keys", "counts")
+
+
+def _dense(keys, counts, words: int):
+    import numpy as np
 
+    out = np.zeros(RANGE * WIDE)
+    out[np.frombuffer(keys, "<u4")] = np.frombuffer(counts, "<i8")
+    return out.reshape(RANGE, WIDE)[:words]
 
-def _classes_of(words, vecs, counts, tables):
-    """Classes of a batch of words after the sweeps whose class tables are given."""
-    import zlib
 
+def _table(contexts: DataFrame):
+    """Class x context counts of all words (contexts with their ``cls``)."""
     import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        total = np.zeros((CLASSES, WIDE))
+        for b in batches:
+            for keys, counts, cls in zip(b["keys"], b["counts"], b["cls"], strict=True):
+                own = np.frombuffer(cls, np.uint8)
+                np.add.at(total, own, _dense(keys, counts, len(own)))
+        at = np.flatnonzero(total)
+        yield pd.DataFrame({"at": at, "c": total.ravel()[at].astype(np.int64)})
+
+    table = np.zeros(CLASSES * WIDE)
+    for r in contexts.select("keys", "counts", "cls").mapInPandas(run, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
+        table[r["at"]] = r["c"]
+    return table.reshape(CLASSES, WIDE)
 
-    crc = np.fromiter((zlib.crc32(b"c" + w) for w in words), np.int64, len(words))
-    cls = crc % CLASSES
-    if not tables or not len(words):
-        return cls
-    wide = 2 * BUCKETS
-    packed = np.frombuffer(b"".join(vecs), np.int64)
-    owner = np.repeat(np.arange(len(words)), [len(v) // 8 for v in vecs])
-    dense = np.zeros((len(words), wide))
-    dense[owner, packed >> 48] = packed & ((1 << 48) - 1)
-    n = np.asarray(counts, np.float64)[:, None]
-    for sweep, table in enumerate(tables):
-        total = table[:, :BUCKETS].sum(axis=1)
-        gain = dense @ np.log(table + SMOOTH).T - 2 * n * np.log(total + SMOOTH * BUCKETS)[None, :]
-        cls = np.where((crc >> 8) % 2 == sweep % 2, gain.argmax(axis=1), cls)
-    return cls
-
-
-def cluster(words: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
-    """``word, n, cls`` by exchange clustering of the word table."""
+
+def likelihood(table) -> float:
+    """Class part of the bigram log-likelihood, from the counts of what follows each class."""
     import numpy as np
-    import pandas as pd
 
-    wide, tables = 2 * BUCKETS, []
+    n = table[:, CLASSES + 1: CLASSES + 1 + CLASSES]
+    safe = lambda x: x * np.log(np.maximum(x, 1))
+    return float(safe(n).sum() - safe(n.sum(axis=1)).sum() - safe(n.sum(axis=0)).sum())
+
+
+def better_classes(counts, own, table):
+    """The class of each word that its context counts fit best, its own share taken out of ``own``'s row."""
+    import numpy as np
+
+    def fit(t):
+        before, after = t[..., : CLASSES + 1], t[..., CLASSES + 1:]
+        return np.log(t + SMOOTH), np.log(before.sum(axis=-1) + SMOOTH * (CLASSES + 1)), np.log(after.sum(axis=-1) + SMOOTH * (CLASSES + 1))
 
-    for _ in range(sweeps):
-        known = list(tables)
+    logs, sum_before, sum_after = fit(table)
+    n_before, n_after = counts[:, : CLASSES + 1].sum(axis=1), counts[:, CLASSES + 1:].sum(axis=1)
+    gain = counts @ logs.T - np.outer(n_before, sum_before) - np.outer(n_after, sum_after)
+    if own is not None:
+        l, b, a = fit(np.maximum(table[own] - counts, 0))
+        gain[np.arange(len(own)), own] = (counts * l).sum(axis=1) - n_before * b - n_after * a
+    return gain.argmax(axis=1)
 
-        def counts(batches: Iterator[pd.DataFrame], known=known) -> Iterator[pd.DataFrame]:
-            table = np.zeros(CLASSES * wide, np.int64)
-            for b in batches:
-                cls = _classes_of(b["word"].tolist(), b["vec"].tolist(), b["n"].to_numpy(), known)
-                packed = np.frombuffer(b"".join(b["vec"]), np.int64)
-                owner = np.repeat(cls, [len(v) // 8 for v in b["vec"]])
-                np.add.at(table, owner * wide + (packed >> 48), packed & ((1 << 48) - 1))
-            at = np.flatnonzero(table)
-            yield pd.DataFrame({"at": at, "c": table[at]})
 
-        got = words.mapInPandas(counts, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect()
-        table = np.zeros(CLASSES * wide)
-        for r in got:
-            table[r["at"]] = r["c"]
-        tables.append(table.reshape(CLASSES, wide))
+def _assigned(contexts: DataFrame, table, sweep: int | None) -> DataFrame:
+    """``range, cls`` after one sweep (``sweep`` None: every word, none of them in the table)."""
+    import numpy as np
+    import pandas as pd
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches):
         for b in batches:
-            cls = _classes_of(b["word"].tolist(), b["vec"].tolist(), b["n"].to_numpy(), tables)
-            yield pd.DataFrame({"word": b["word"], "n": b["n"], "cls": cls})
+            out = []
+            for r, keys, counts, cls in zip(b["range"], b["keys"], b["counts"], b["cls"], strict=True):
+                own = np.frombuffer(cls, np.uint8).astype(np.int64)
+                dense = _dense(keys, counts, len(own))
+                if sweep is None:       # a range may begin with frequent words, which keep their class
+                    new = np.where(own < CLASSES, own, better_classes(dense, None, table))
+                else:
+                    number = r * RANGE + np.arange(len(own))
+                    turn = (number * 2_654_435_761 >> 7) % 2 == sweep % 2
+                    new = np.where(turn, better_classes(dense, own, table), own)
+                out.append(new.astype(np.uint8).tobytes())
+            yield pd.DataFrame({"range": b["range"], "cls": out})
 
-    return words.mapInPandas(assign, "word binary, n long, cls int")
+    return contexts.select("range", "keys", "counts", "cls").mapInPandas(run, "range long, cls binary")
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
-    """Counts, base score, model score and perplexity for every row of ``docs``."""
-    import zlib
+def cluster(coded: DataFrame, ranges: DataFrame, needs: DataFrame, words: int, frequent: int, width: str,
+            limit: int = BROADCAST_WORDS, settled: float = SETTLED) -> tuple[DataFrame, list[float]]:
+    """``range, cls`` of all words, and the likelihood of every sweep.
 
+    ``ranges`` (range, ns): the words' counts in the order of their numbers; ``needs`` (block, range).
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = coded.sparkSession
+
+    def begin(batches):
+        for b in batches:
+            out = []
+            for r, ns in zip(b["range"], b["ns"], strict=True):
+                number = r * RANGE + np.arange(len(ns))
+                out.append(np.where(number >= frequent, CLASSES, np.minimum(number, CLASSES - 1)).astype(np.uint8).tobytes())
+            yield pd.DataFrame({"range": b["range"], "cls": out})
+
+    start = cut_lineage(ranges.mapInPandas(begin, "range long, cls binary"), "lm-classes")
+    first = start.where(F.col("range") * RANGE < frequent)
+    # Words of the last frequent range that are rarer stay out of the sweeps.
+    keep = F.when((F.col("range") + 1) * RANGE <= frequent, F.col("cls")).otherwise(F.substring("cls", 1, frequent % RANGE))
+    now = cut_lineage(first.select("range", keep.alias("cls")), "lm-classes")
+    seen, best = [], now
+    table = np.zeros((CLASSES, WIDE))
+    while frequent:
+        counted = cut_lineage(_contexts(coded, Classes(now, frequent, needs, limit), 0, frequent, width).join(now, "range"), "lm-contexts")
+        table = _table(counted)
+        seen.append(likelihood(table))
+        tokens = max(1.0, table[:, CLASSES + 1:].sum())
+        if len(seen) > 2 and seen[-1] - seen[-3] < 2 * settled * tokens:     # both halves have had a turn
+            break
+        best = now
+        now = cut_lineage(_assigned(counted, table, len(seen)), "lm-classes")
+    if frequent and seen[-1] >= max(seen):
+        best = now
+    rare = words - frequent
+    if not rare:
+        return best, seen
+    # The last pass: rarer words by the classes around them.
+    low = frequent // RANGE
+    whole = start.where(F.col("range") >= low).join(best.withColumnRenamed("cls", "have"), "range", "left").select(
+        "range", F.when(F.col("have").isNull(), F.col("cls")).otherwise(
+            F.concat("have", F.substring("cls", F.octet_length("have") + 1, RANGE))).alias("cls"))
+    counted = _contexts(coded, Classes(best, frequent, needs, limit), frequent, rare, width)
+    none = F.unhex(F.lit(""))
+    last = whole.join(counted, "range", "left").select("range", "cls", F.coalesce("keys", none).alias("keys"), F.coalesce("counts", none).alias("counts"))
+    done = _assigned(last, table, None)
+    return cut_lineage(best.where(F.col("range") < low).unionByName(done), "lm-classes"), seen
+
+
+def score_documents(docs: DataFrame, limit: int = BROADCAST_WORDS, frequent_from: int = FREQUENT) -> DataFrame:
+    """Counts, base score, model score and perplexity for every row of ``docs``."""
     import numpy as np
     import pandas as pd
 
     raw = cut_lineage(_blocks(docs), "lm-blocks", ["kind"])
-    vocab = cut_lineage(cluster(cut_lineage(_word_table(raw), "lm-words")), "lm-classes")
-    stats = vocab.groupBy("cls").agg(F.sum("n").alias("n"), F.count("*").alias("v"),
-                                     F.sum((F.col("n") == 1).cast("int")).alias("once")).collect()
-    total, distinct = sum(r["n"] for r in stats), sum(r["v"] for r in stats)
+    every = raw.where("kind = 0").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    words = numbered(every, [F.desc("n"), "word"], "id")
+    total, distinct, frequent = (int(x or 0) for x in words.agg(
+        F.sum("n"), F.count("*"), F.sum((F.col("n") >= frequent_from).cast("long"))).first())
+    width = "<i8" if distinct >= 1 << 31 else "<i4"
+    coded = cut_lineage(_coded(raw, words, total, distinct), "lm-coded")
+    ranges = cut_lineage(words.groupBy(F.floor(F.col("id") / RANGE).alias("range")).agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("id", "n"))), lambda x: x["n"]).alias("ns")), "lm-ranges")
+    needs = (raw.where("kind = 0").select("block", "word").join(words.select("word", F.floor(F.col("id") / RANGE).alias("range")), "word")
+             .select("block", "range").distinct())
+    table, _ = cluster(coded, ranges, needs, distinct, frequent, width, limit)
+
+    def counts(batches):
+        n, v, once = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+        for b in batches:
+            for cls, ns in zip(b["cls"], b["ns"], strict=True):
+                own, ns = np.frombuffer(cls, np.uint8), np.asarray(ns, np.int64)
+                np.add.at(n, own, ns)
+                np.add.at(v, own, 1)
+                np.add.at(once, own, ns == 1)
+        yield pd.DataFrame({"cls": np.arange(CLASSES), "n": n, "v": v, "once": once})
+
+    stats = (ranges.join(table, "range").select("cls", "ns").mapInPandas(counts, "cls int, n long, v long, once long")
+             .groupBy("cls").agg(F.sum("n").alias("n"), F.sum("v").alias("v"), F.sum("once").alias("once")).collect())
     n_cls, v_cls = np.zeros(CLASSES), np.zeros(CLASSES)
     for r in stats:
         n_cls[r["cls"]], v_cls[r["cls"]] = r["n"], r["v"]
     unseen = max(stats, key=lambda r: (r["once"], -r["cls"]))["cls"] if stats else 0
-    base_den = np.log10(total + ADD * (distinct + 1))
-    emit_den = np.log10(n_cls + ADD * (v_cls + 1))
-
-    looked = (raw.where("kind = 0").select("block", "idx", "word").join(vocab, "word", "left")
-              .select("block", "idx", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("cls", F.lit(int(unseen))).alias("cls")))
-    texts = raw.where("kind = 1").select(F.col("block").alias("own"), "doc_id", "held_out", "toks")
-
-    def in_block(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        size = int(found["idx"].max()) + 1 if len(found) else 1
-        n, cls = np.zeros(size), np.zeros(size, np.int64)
-        at = found["idx"].to_numpy(np.int64)
-        n[at], cls[at] = found["n"].to_numpy(), found["cls"].to_numpy()
-        base = np.log10(n + ADD) - base_den
-        emit = np.log10(n + ADD) - emit_den[cls]
-        out = []
-        for doc_id, held, toks in zip(rows["doc_id"].astype("Int64"), rows["held_out"], rows["toks"], strict=True):
-            ids = np.frombuffer(zlib.decompress(toks), np.int32)
-            seq = np.concatenate([[cls[0]], cls[ids]]).astype(np.uint8)
-            out.append((doc_id, held, len(ids), int((n[ids] > 0).sum()), float(base[ids].sum()), float(emit[ids].sum()), seq.tobytes()))
-        got = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "emission", "seq"])
-        return got.astype({"doc_id": "Int64"})
-
-    coded = cut_lineage(
-        texts.groupBy("own").cogroup(looked.groupBy("block")).applyInPandas(
-            in_block, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, emission double, seq binary"),
-        "lm-coded")
-
-    def moves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = np.zeros(CLASSES * CLASSES, np.int64)
+    base_den, emit_den = np.log10(total + ADD * (distinct + 1)), np.log10(n_cls + ADD * (v_cls + 1))
+    classes = Classes(table, distinct, needs, limit)
+
+    def sequences(b, of):
+        """Classes of all texts of a batch and of what stands before each token, and where texts begin."""
+        ids, start = _ids(b, width)
+        cls = of(ids)
+        cls = np.where(cls == CLASSES, unseen, cls)
+        before = np.concatenate([cls[:1], cls[:-1]])
+        before[start[:-1]] = cls[start[1:] - 1]         # END stands before the first word, as it does behind the last
+        return cls, before, start
+
+    def moves(batches, of):
+        count = np.zeros(CLASSES * CLASSES, np.int64)
         for b in batches:
-            for s in b["seq"]:
-                seq = np.frombuffer(s, np.uint8).astype(np.int64)
-                table += np.bincount(seq[:-1] * CLASSES + seq[1:], minlength=len(table))
-        at = np.flatnonzero(table)
-        yield pd.DataFrame({"at": at, "c": table[at]})
+            b = b[~b["held_out"].astype(bool)]
+            for lo in range(0, len(b), 500):
+                cls, before, _ = sequences(b.iloc[lo: lo + 500], of)
+                count += np.bincount(before * CLASSES + cls, minlength=len(count))
+        at = np.flatnonzero(count)
+        yield pd.DataFrame({"at": at, "c": count[at]})
 
     follow = np.zeros(CLASSES * CLASSES)
-    for r in (coded.where("not held_out").select("seq").mapInPandas(moves, "at long, c long")
-              .groupBy("at").agg(F.sum("c").alias("c")).collect()):
+    for r in classes.over(coded, moves, "at long, c long").groupBy("at").agg(F.sum("c").alias("c")).collect():
         follow[r["at"]] = r["c"]
     follow = follow.reshape(CLASSES, CLASSES)
     step = np.log10((follow + SMOOTH) / (follow.sum(axis=1, keepdims=True) + SMOOTH * CLASSES))
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def finish(batches, of):
         for b in batches:
-            seqs = [np.frombuffer(s, np.uint8) for s in b["seq"]]
-            moved = np.array([step[s[:-1], s[1:]].sum() for s in seqs])
-            yield pd.DataFrame({"doc_id": b["doc_id"].astype("Int64"), "held_out": b["held_out"], "n_tokens": b["n_tokens"],
-                                "n_known": b["n_known"], "train_tokens": total, "base_score": b["base_score"],
-                                "score": b["emission"].to_numpy() + moved})
-
-    return (coded.mapInPandas(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
-                                      "base_score double, score double")
+            for lo in range(0, len(b), 500):
+                part = b.iloc[lo: lo + 500]
+                cls, before, start = sequences(part, of)
+                n = part["n_tokens"].to_numpy(np.float64)
+                # A word's emission is its base score with its class's counts in place of all.
+                own = np.add.reduceat(step[before, cls] - emit_den[cls], start[:-1])
+                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "held_out": part["held_out"], "n_tokens": part["n_tokens"],
+                                    "n_known": part["n_known"], "train_tokens": total, "base_score": part["base_score"],
+                                    "score": part["base_score"].to_numpy() + n * base_den + own})
+
+    return (classes.over(coded, finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, "
+                                        "base_score double, score double")
             .withColumn("perplexity", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens"))))
 
 
