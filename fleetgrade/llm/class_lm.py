@@ -13,8 +13,8 @@ with corpus-wide numbers, its counts and its base score. (3) Words seen ``FREQUE
 more are clustered. They start with the most frequent ones in classes of their own, as Brown's
 algorithm does, and the others together. In a sweep, one pass over the texts counts for each
 word the classes before and after it (rarer neighbours are one context of their own); counts
-travel as sparse arrays per range of ``RANGE`` words, are summed per range in two steps, and
-never exist per occurrence. Summed over words they are the class bigram table, of fixed size.
+travel as packed arrays per range of ``RANGE`` words, are summed per range (in two steps where
+there are many blocks), and never exist per occurrence. Summed over words they are the class bigram table, of fixed size.
 Each word then weighs its own counts against the table without its own share in it; every
 other word moves per sweep (by its number), so that classes do not swing. Sweeps go on until
 the likelihood gains less than ``SETTLED`` per token. (4) One more pass gives the rarer words
@@ -45,7 +45,7 @@ from fleetgrade.functions.numbering import numbered
 from fleetgrade.llm.common import remainder, word_bytes
 from fleetgrade.session import cut_lineage
 
-CLASSES, FREQUENT, SETTLED = 64, 30, 0.002
+CLASSES, FREQUENT, SETTLED = 64, 30, 0.01
 BLOCK_TOKENS, RANGE, SALTS = 3_000_000, 1_024, 32
 BROADCAST_WORDS = 16_000_000
 DENSE = 1 << 24                # counters that a task may hold at once; more are sorted
@@ -181,21 +181,54 @@ class Classes:
         return coded.groupBy("block").cogroup(found.groupBy("of")).applyInPandas(in_block, schema)
 
 
+def _pack(keys, counts):
+    """Counts of a range: dense in the narrowest type where most places have one, else keys and counts."""
+    import zlib
+
+    import numpy as np
+
+    top = int(counts.max(initial=0))
+    width = "<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<i8"
+    if len(keys) * 6 > RANGE * WIDE:
+        dense = np.zeros(RANGE * WIDE, width)
+        dense[keys] = counts
+        return b"", width.encode() + zlib.compress(dense.tobytes(), 1)
+    steps = np.diff(keys.astype(np.int64), prepend=0).astype("<u4")
+    return zlib.compress(steps.tobytes(), 1), width.encode() + zlib.compress(counts.astype(width).tobytes(), 1)
+
+
+def _unpack(keys, counts):
+    """Keys and counts of a packed range (none for empty bytes)."""
+    import zlib
+
+    import numpy as np
+
+    if not len(counts):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    n = np.frombuffer(zlib.decompress(counts[3:]), bytes(counts[:3]).decode()).astype(np.int64)
+    if len(keys):
+        return np.cumsum(np.frombuffer(zlib.decompress(keys), "<u4").astype(np.int64)), n
+    at = np.flatnonzero(n)
+    return at, n[at]
+
+
 def _emit(first: int, flat, count):
     """Sparse counts (word * WIDE + context) as one row per range of words, words from ``first``."""
     import numpy as np
     import pandas as pd
+    from pyspark import TaskContext
 
     flat = flat + first * WIDE
     part = flat // (RANGE * WIDE)
     at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(flat) else np.empty(0, int)
-    keys, counts = (flat % (RANGE * WIDE)).astype("<u4"), count.astype("<i8")
-    return pd.DataFrame({"range": part[at], "salt": np.random.default_rng().integers(0, SALTS, len(at)).astype(np.int32),
-                         "keys": [k.tobytes() for k in np.split(keys, at[1:])] if len(at) else [],
-                         "counts": [c.tobytes() for c in np.split(counts, at[1:])] if len(at) else []})
+    if not len(at):
+        return pd.DataFrame(columns=["range", "salt", "keys", "counts"], dtype=object)
+    packed = [_pack(k, c) for k, c in zip(np.split(flat % (RANGE * WIDE), at[1:]), np.split(count, at[1:]), strict=True)]
+    return pd.DataFrame({"range": part[at], "salt": np.full(len(at), TaskContext.get().partitionId() % SALTS, np.int32),
+                         "keys": [k for k, _ in packed], "counts": [c for _, c in packed]})
 
 
-def _contexts(coded: DataFrame, classes: Classes, first: int, words: int, width: str) -> DataFrame:
+def _contexts(coded: DataFrame, classes: Classes, first: int, words: int, width: str, blocks: int) -> DataFrame:
     """``range, keys, counts``: context counts of the words ``first .. first + words - 1`` under the classes."""
     import numpy as np
     import pandas as pd
@@ -245,12 +278,12 @@ def _contexts(coded: DataFrame, classes: Classes, first: int, words: int, width:
         now, held, size = None, [], 0
 
         def whole():
-            keys = np.concatenate([np.frombuffer(k, "<u4") for k, _ in held])
-            n = np.concatenate([np.frombuffer(c, "<i8") for _, c in held])
             total = np.zeros(RANGE * WIDE, np.int64)
-            np.add.at(total, keys, n)
+            for k, c in held:
+                keys, n = _unpack(k, c)
+                total[keys] += n            # keys of one row are distinct
             at = np.flatnonzero(total)
-            return at.astype("<u4").tobytes(), total[at].astype("<i8").tobytes()
+            return _pack(at, total[at])
 
         def row():
             k, c = whole()
@@ -263,14 +296,15 @@ def _contexts(coded: DataFrame, classes: Classes, first: int, words: int, width:
                         yield row()
                     now, held, size = (r, s), [], 0
                 held.append((k, c))
-                size += len(k)
+                size += len(k) + len(c)
                 if size > 1 << 24:
                     held, size = [whole()], 0
         if now is not None:
             yield row()
 
     rows = classes.over(coded, work, _COUNTS)
-    for salt in (F.col("salt"), F.lit(0)):          # a frequent range is summed in parts first
+    # A frequent range has a row per task: many are summed in parts first.
+    for salt in (F.col("salt"), F.lit(0))[blocks <= 4 * SALTS:]:
         rows = (rows.withColumn("salt", salt.cast("int")).repartition("range", "salt").sortWithinPartitions("range", "salt")
                 .mapInPandas(summed, _COUNTS))
     return rows.select("range", "keys", "counts")
@@ -280,7 +314,8 @@ def _dense(keys, counts, words: int):
     import numpy as np
 
     out = np.zeros(RANGE * WIDE)
-    out[np.frombuffer(keys, "<u4")] = np.frombuffer(counts, "<i8")
+    at, n = _unpack(keys, counts)
+    out[at] = n
     return out.reshape(RANGE, WIDE)[:words]
 
 
@@ -354,7 +389,7 @@ def _assigned(contexts: DataFrame, table, sweep: int | None) -> DataFrame:
 
 
 def cluster(coded: DataFrame, ranges: DataFrame, needs: DataFrame, words: int, frequent: int, width: str,
-            limit: int = BROADCAST_WORDS, settled: float = SETTLED) -> tuple[DataFrame, list[float]]:
+            blocks: int, limit: int = BROADCAST_WORDS, settled: float = SETTLED) -> tuple[DataFrame, list[float]]:
     """``range, cls`` of all words, and the likelihood of every sweep.
 
     ``ranges`` (range, ns): the words' counts in the order of their numbers; ``needs`` (block, range).
@@ -380,7 +415,7 @@ def cluster(coded: DataFrame, ranges: DataFrame, needs: DataFrame, words: int, f
     seen, best = [], now
     table = np.zeros((CLASSES, WIDE))
     while frequent:
-        counted = cut_lineage(_contexts(coded, Classes(now, frequent, needs, limit), 0, frequent, width).join(now, "range"), "lm-contexts")
+        counted = cut_lineage(_contexts(coded, Classes(now, frequent, needs, limit), 0, frequent, width, blocks).join(now, "range"), "lm-contexts")
         table = _table(counted)
         seen.append(likelihood(table))
         tokens = max(1.0, table[:, CLASSES + 1:].sum())
@@ -398,7 +433,7 @@ def cluster(coded: DataFrame, ranges: DataFrame, needs: DataFrame, words: int, f
     whole = start.where(F.col("range") >= low).join(best.withColumnRenamed("cls", "have"), "range", "left").select(
         "range", F.when(F.col("have").isNull(), F.col("cls")).otherwise(
             F.concat("have", F.substring("cls", F.octet_length("have") + 1, RANGE))).alias("cls"))
-    counted = _contexts(coded, Classes(best, frequent, needs, limit), frequent, rare, width)
+    counted = _contexts(coded, Classes(best, frequent, needs, limit), frequent, rare, width, blocks)
     none = F.unhex(F.lit(""))
     last = whole.join(counted, "range", "left").select("range", "cls", F.coalesce("keys", none).alias("keys"), F.coalesce("counts", none).alias("counts"))
     done = _assigned(last, table, None)
@@ -411,7 +446,7 @@ def score_documents(docs: DataFrame, limit: int = BROADCAST_WORDS, frequent_from
     import pandas as pd
 
     raw = cut_lineage(_blocks(docs), "lm-blocks", ["kind"])
-    every = raw.where("kind = 0").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
+    every = cut_lineage(raw.where("kind = 0 and n > 0").groupBy("word").agg(F.sum("n").alias("n")), "lm-words")
     words = numbered(every, [F.desc("n"), "word"], "id")
     total, distinct, frequent = (int(x or 0) for x in words.agg(
         F.sum("n"), F.count("*"), F.sum((F.col("n") >= frequent_from).cast("long"))).first())
@@ -421,7 +456,7 @@ def score_documents(docs: DataFrame, limit: int = BROADCAST_WORDS, frequent_from
         F.transform(F.sort_array(F.collect_list(F.struct("id", "n"))), lambda x: x["n"]).alias("ns")), "lm-ranges")
     needs = (raw.where("kind = 0").select("block", "word").join(words.select("word", F.floor(F.col("id") / RANGE).alias("range")), "word")
              .select("block", "range").distinct())
-    table, _ = cluster(coded, ranges, needs, distinct, frequent, width, limit)
+    table, _ = cluster(coded, ranges, needs, distinct, frequent, width, total // BLOCK_TOKENS, limit)
 
     def counts(batches):
         n, v, once = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)

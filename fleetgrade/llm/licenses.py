@@ -123,6 +123,9 @@ class Automaton:
                 while u > 0 and self.len[u] >= min(MIN_MATCH, self.sizes[t]):
                     self.ends[u].append((t, i + 1))
                     u = self.link[u]
+        # Templates in which a state's words stand; a step that leaves one of them ends its match there.
+        self.within = [frozenset(t for t, _ in ends) for ends in self.ends]
+        self.leaves: dict[tuple[int, int], bool] = {}
         # Places of the required words of each template (none: no requirement, or the template lacks them).
         self.required: list[list[range]] = []
         for t, (label, text) in enumerate(templates):
@@ -170,6 +173,17 @@ class Automaton:
         self.link.append(link)
         return len(self.next) - 1
 
+    def _left(self, v: int, c: int) -> bool:
+        """Whether some template that a state or its shorter forms stand in has no such words followed by ``c``."""
+        key, out = (v, c), False
+        if key in self.leaves:
+            return self.leaves[key]
+        while v > 0 and self.within[v] and not out:
+            out = not self.within[v] <= self.within[self.next[v][c]]
+            v = self.link[v]
+        self.leaves[key] = out
+        return out
+
     def stream(self, ws: list[bytes]) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
         """(base places as (start, phrase), maximal matches as (end, length, state))."""
         base, found = [], []
@@ -187,6 +201,8 @@ class Automaton:
                 while v and c not in nxt[v]:
                     v = link[v]
                     size = length[v]
+            elif size > 1 and self.within[v] and self._left(v, c):
+                found.append((i, size, v))
             if c in nxt[v]:
                 v, size = nxt[v][c], size + 1
                 for need, t in finals[v]:
