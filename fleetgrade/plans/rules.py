@@ -227,7 +227,7 @@ def _():
     return [(F.coalesce(C("has_settings"), F.lit(False)) | F.lit(True), 1, True,
              "Workspace configuration readable; audit logging partly confirmed."),
             (ms_name(), 1, True, "Metastore present; confirm audit logging through system tables."),
-            (None, 0, True, "Audit logging not configured.", QUICK)]
+            (None, 0, True, "Nothing here records who did what; deliver audit logs.", QUICK)]
 
 
 @rule("gov-009")
@@ -435,7 +435,7 @@ def _():
 def _():
     return [(N("job_count") >= 3, 2, True, txt("%d automated jobs.", N("job_count"))),
             (N("job_count") > 0, 1, True, "A few jobs; automate more."),
-            (None, 0, True, "No automated workflows.")]
+            (None, 0, True, "No job or pipeline runs by itself yet.")]
 
 
 RULES["ops-010"] = literal(1, False, "Event-driven ingestion is not verifiable from the inventory.")
@@ -618,7 +618,7 @@ same_as("rel-001", "gov-012")
 def _():
     return [(N("photon_clusters") > 0, 2, True, txt("%d clusters on the vectorized engine.", N("photon_clusters"))),
             (N("cluster_count") > 0, 1, True, "Clusters without the vectorized engine."),
-            (None, 1, True, "No clusters to evaluate.")]
+            (None, 1, True, "Without clusters there is nothing to judge here.")]
 
 
 @rule("rel-003")
@@ -703,7 +703,7 @@ def _():
     return [((N("sp_count") > 0) & (N("sp_owned_jobs") > 0), 2, True,
              txt("%d of %d jobs owned by service principals.", N("sp_owned_jobs"), N("job_count"))),
             (N("sp_count") > 0, 1, True, "Service principals exist but own no job."),
-            (N("job_count") > 0, 0, True, "Jobs owned by individual users.", QUICK),
+            (N("job_count") > 0, 0, True, "People own the jobs; hand them to service principals.", QUICK),
             (None, 1, True, "No jobs.")]
 
 
