@@ -10,8 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgrade.functions.substring_join import contains_matches
-from fleetgrade.plans.catalog import rule_catalog
+from fleetgrade.plans.catalog import rules
 
 # Documentation base URL per cloud (unknown clouds use the aws one).
 DOCS_BASE = {
@@ -201,16 +200,14 @@ def remediation_kb(spark: SparkSession) -> DataFrame:
 def remediation_match(spark: SparkSession) -> DataFrame:
     """Per rule, the first topic one of whose patterns is in the lower-cased name.
 
-    Static (140 rules x 25 topics) and computed with the exact substring
-    equi-join, so no rule/pattern pairs are enumerated.
+    Both sides are static reference data, so the map is made once where the plan is.
     """
-    cat = rule_catalog(spark).select("rule_id", "name")
-    pats = (remediation_kb(spark)
-            .select("topic_ord", "topic", F.posexplode("applies_to").alias("pattern_ord", "pattern")))
-    hits = contains_matches(cat, [], ["rule_id"], "name", pats, "pattern", ["topic_ord", "topic"])
-    best = hits.groupBy("rule_id").agg(F.min(F.struct("topic_ord", "topic")).alias("t"))
-    return (cat.join(best, on="rule_id", how="left")
-            .select("rule_id", F.col("t.topic_ord").alias("topic_ord"), F.col("t.topic").alias("topic")))
+    rows = []
+    for r in rules():
+        name = r[2].lower()
+        hit = next(((i + 1, topic) for i, (topic, patterns, _docs) in enumerate(TOPICS) if any(p and p.lower() in name for p in patterns)), (None, None))
+        rows.append((r[1], *hit))
+    return spark.createDataFrame(rows, "rule_id string, topic_ord int, topic string")
 
 
 def remediation_plan(scores: DataFrame, match: DataFrame) -> DataFrame:
