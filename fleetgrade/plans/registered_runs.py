@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetgrade.config import FIXTURE_CONFIG as CFG
-from fleetgrade.operators import audit, billing, compute, deep, features, jobs, queries
+from fleetgrade.operators import billing, compute, deep, features, jobs, queries
 from fleetgrade.plans import incremental, rule_table, scoring
 from fleetgrade.plans.catalog import rule_catalog, rules as catalog_rules
 from fleetgrade.plans.oracles import ORACLES, oracle, oracles_scoring

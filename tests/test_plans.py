@@ -66,3 +66,35 @@ def test_materialised_assessment_has_cut_lineage(spark):
         assert locations
         assert all("/fleetgrade/" in line and base.rstrip("/").split("/")[-1] in line for line in locations)
         assert "lineitem" not in plan and "events.parquet" not in plan
+
+
+def test_count_lists_are_read_once(spark):
+    """All small lists are counted in one scan and one aggregate of the landed pages."""
+    from fleetgrade.sources import inventory
+    from fleetgrade.sources.landing import landed
+    plan = plan_of(inventory.object_counts(landed(spark, SF001)))
+    assert plan.count("FileScan") == 1 and "Union" not in plan
+
+
+def test_outdated_page_bodies_are_dropped_before_their_shuffle(spark):
+    """Deciding on the current pages reads keys; bodies meet the decision in a semi join, not in an aggregate of all pages."""
+    from fleetgrade.session import cut_lineage
+    from fleetgrade.sources import snapshots
+    rows = spark.createDataFrame([(1, "/api/2.0/repos", 0, "{}", 1, 1, 10)], snapshots.LANDING_SCHEMA)
+    table = cut_lineage(rows, "landings")
+    assert "body" not in plan_of(snapshots.current_sets(table))
+    plan = plan_of(snapshots.current_pages(table))
+    assert "LeftSemi" in plan and "Window" not in plan
+
+
+def test_static_remediation_map_is_no_join(spark):
+    from fleetgrade.plans import remediation
+    assert "Join" not in plan_of(remediation.remediation_match(spark))
+
+
+def test_service_principal_jobs_are_counted_without_a_last_join_of_jobs(spark):
+    """Jobs are reduced to distinct creators before the index is asked, and not joined again."""
+    from fleetgrade.operators.features import sp_owned_jobs
+    fx = Fixtures(spark, SF001)
+    plan = plan_of(sp_owned_jobs(fx.jobs, fx.service_principals))
+    assert plan.count("Generate explode") <= 3 and "job_id" not in plan
