@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetgrade.config import FIXTURE_CONFIG as CFG
 from fleetgrade.operators import billing, compute, deep, features, jobs, queries
-from fleetgrade.plans import incremental, rule_table, scoring
+from fleetgrade.plans import incremental, reports, rule_table, scoring
 from fleetgrade.plans.catalog import rule_catalog, rules as catalog_rules
 from fleetgrade.plans.oracles import ORACLES, oracle, oracles_scoring
 from fleetgrade.plans.registered import _snapshot_root, assessed, call_log, deep_tables, inventory, register
@@ -18,6 +18,7 @@ from fleetgrade.sources import inventory as inv
 from fleetgrade.sources import json_cache, rolling, snapshots, store
 from fleetgrade.sources.fixtures import Fixtures
 from fleetgrade.sources.landing import landed
+from fleetgrade.sources.testdata import load_raw
 
 WS = "workspace_id"
 
@@ -292,3 +293,76 @@ select cast(workspace_id as bigint) as workspace_id, count(*) as catalogs,
        array_to_string(list_sort(list(distinct isolation_mode)), ',') as isolation_modes,
        array_to_string(list_sort(list(distinct owner)), ',') as owners
 from catalogs group by workspace_id""")
+
+
+# --- N1, N2, N10, N12, N13, N18, N20 rows; S5 file --------------------------------------------------------------
+
+def identity_payloads(spark, sf) -> DataFrame:
+    """An identity answer per customer, in the forms that the endpoint uses."""
+    c = load_raw(spark, sf, "customer")
+    n = F.col("c_custkey")
+    groups = F.when(n % 3 == 0, F.struct(F.col("c_name").alias("userName"), F.array(F.lit("admins"), F.col("c_mktsegment")).alias("groups")))
+    scalar = F.struct(F.col("c_name").alias("display_name"), F.col("c_mktsegment").alias("group_names"), F.lit("viewer").alias("roles"))
+    none = F.struct(F.lit("").alias("userName"), F.col("c_name").alias("user_name"), F.array().cast("array<string>").alias("roles"))
+    body = F.when(n % 3 == 0, F.to_json(groups)).when(n % 3 == 1, F.to_json(scalar)).otherwise(F.to_json(none))
+    return c.select(n.cast("long").alias(WS), F.lit(inv.ENDPOINTS["current_user"]).alias("endpoint"), F.lit(0).alias("page"), body.alias("body"))
+
+
+@register("identities")
+def _identities(spark, sf):
+    """User, groups and roles of identity answers in their alternate forms."""
+    return inv.identity(identity_payloads(spark, sf)).select(
+        WS, "user", F.array_join("groups", ",").alias("groups"), F.array_join("roles", ",").alias("roles"))
+
+
+@register("auth_users")
+def _auth_users(spark, sf):
+    """The user named in the text that the auth command prints."""
+    c = load_raw(spark, sf, "customer")
+    line = F.when(F.col("c_custkey") % 4 == 0, F.lit("no one")).otherwise(F.concat(F.lit("  User:  "), F.col("c_name"), F.lit(" ")))
+    text = F.concat(F.lit("Host: https://h\n"), line, F.lit("\nUser agent: x"))
+    return inv.auth_user(c.select(F.col("c_custkey").cast("long").alias(WS), text.alias("output")))
+
+
+@register("ingest_small_lists")
+def _ingest_small_lists(spark, sf):
+    """Rows of the small lists, summed up per workspace."""
+    p = landed(spark, sf)
+    named = lambda kind, rows, off: rows.groupBy(WS).agg(
+        F.count(F.lit(1)).alias("rows"), F.min("name").alias("first_name"), F.count_if(off).alias("off")).select(WS, F.lit(kind).alias("kind"), "rows", "first_name", "off")
+    no = F.lit(False)
+    parts = [named("pool", inv.instance_pools(p), no), named("endpoint", inv.serving_endpoints(p), no),
+             named("init_script", inv.init_scripts(p), ~F.col("enabled")),
+             named("ip_access_list", inv.ip_access_lists(p).withColumn("name", F.col("label")), F.col("enabled")),
+             inv.tokens(p).select(WS, F.lit("token").alias("kind"), F.col("token_count").alias("rows"), F.array_min("token_ids").alias("first_name"),
+                                  (F.col("token_count") - F.size("token_ids")).alias("off"))]
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+@register("score_sheet_file")
+def _score_sheet_file(spark, sf):
+    """The score sheet written as CSV per workspace and read back."""
+    a = assessed(spark, sf)
+    sheet = reports.score_sheet(spark, a.scores, a.inputs)
+    path = f"{_snapshot_root(spark)}-sheet"
+    store.write_score_sheet(sheet, path)
+    back = spark.read.schema(sheet.schema).option("header", True).csv(path)
+    return back.select([F.coalesce(c, F.lit("")).alias(c) if t == "string" else F.col(c) for c, t in back.dtypes]).drop("Finding/Notes")
+
+
+ORACLES["identities"] = """
+select cast(c_custkey as bigint) as workspace_id, c_name as user,
+       case c_custkey % 3 when 0 then 'admins,' || c_mktsegment when 1 then c_mktsegment else '' end as groups,
+       case c_custkey % 3 when 1 then 'viewer' else '' end as roles
+from customer"""
+ORACLES["auth_users"] = """
+select cast(c_custkey as bigint) as workspace_id, case when c_custkey % 4 = 0 then null else c_name end as user from customer"""
+oracle("ingest_small_lists", ["object_counts"], """
+select cast(workspace_id as bigint) as workspace_id, kind, n as rows,
+       case when kind = 'ip_access_list' then null else kind || '-1' end as first_name,
+       case kind when 'init_script' then cast(floor((n + 1) / 2) as bigint) else 0 end as off
+from object_counts where n > 0 and kind in ('pool', 'endpoint', 'init_script', 'ip_access_list', 'token')""")
+ORACLES["score_sheet_file"] = f"""select * replace (coalesce("Verified", '') as "Verified") from ({ORACLES["score_sheet"]})"""
