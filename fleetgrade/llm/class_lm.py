@@ -60,6 +60,8 @@ _COUNTS = "range long, salt int, keys binary, counts binary"
 def _blocks(docs: DataFrame) -> DataFrame:
     """Kind 0: a block's words with their training counts; kind 1: its texts as word numbers."""
     import zlib
+    from collections import defaultdict
+    from itertools import count
 
     import numpy as np
     import pandas as pd
@@ -83,16 +85,23 @@ def _blocks(docs: DataFrame) -> DataFrame:
                                 "toks": [zlib.compress(r[2].astype(np.int32).tobytes(), 1) for r in part]}, columns=columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def empty():
+            numbers = defaultdict(count().__next__)
+            numbers[END]        # number 0
+            return numbers
+
         number = TaskContext.get().partitionId() * 1_000_000
-        rows, index, tokens = [], {END: 0}, 0
+        rows, index, tokens = [], empty(), 0
         for b in batches:
             for doc_id, text, held in zip(b["doc_id"].astype("Int64"), b["text"], b["held"], strict=True):
-                ids = np.array([index.setdefault(w, len(index)) for w in word_bytes(text)] + [0], np.int64)
+                words = word_bytes(text)
+                words.append(END)
+                ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
                 rows.append((doc_id, bool(held), ids))
                 tokens += len(ids)
                 if tokens >= BLOCK_TOKENS:
                     yield from block(number, rows, index)
-                    number, rows, index, tokens = number + 1, [], {END: 0}, 0
+                    number, rows, index, tokens = number + 1, [], empty(), 0
         if rows:
             yield from block(number, rows, index)
 
@@ -243,8 +252,8 @@ def _contexts(coded: DataFrame, classes: Classes, first: int, words: int, width:
 
         for b in batches:
             b = b[~b["held_out"].astype(bool)]
-            for lo in range(0, len(b), 500):
-                ids, start = _ids(b.iloc[lo: lo + 500], width)
+            for lo in range(0, len(b), 1_000):
+                ids, start = _ids(b.iloc[lo: lo + 1_000], width)
                 if not len(ids):
                     continue
                 cls = of(ids)
@@ -255,12 +264,12 @@ def _contexts(coded: DataFrame, classes: Classes, first: int, words: int, width:
                 inner = np.ones(len(ids), bool)
                 inner[start[1:] - 1] = False                # nothing follows END
                 mine = (ids >= first) & (ids < first + words)
-                keys = np.concatenate([((ids - first) * WIDE + before)[mine],
-                                       ((ids - first) * WIDE + CLASSES + 1 + after)[mine & inner]])
-                if dense is not None:
-                    dense += np.bincount(keys, minlength=len(dense)) if len(keys) * 8 > len(dense) else 0
-                    if len(keys) * 8 <= len(dense):
-                        np.add.at(dense, keys, 1)
+                base = (ids - first) * WIDE
+                keys = np.concatenate([(base + before)[mine], (base + (CLASSES + 1) + after)[mine & inner]])
+                if dense is not None:       # sorted, so that the counters are met in order
+                    keys = np.sort(keys.astype(np.int32))
+                    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
+                    dense[keys[at]] += np.diff(np.append(at, len(keys)))
                 else:
                     held.append(keys)
                     size += len(keys)
@@ -490,8 +499,8 @@ def score_documents(docs: DataFrame, limit: int = BROADCAST_WORDS, frequent_from
         count = np.zeros(CLASSES * CLASSES, np.int64)
         for b in batches:
             b = b[~b["held_out"].astype(bool)]
-            for lo in range(0, len(b), 500):
-                cls, before, _ = sequences(b.iloc[lo: lo + 500], of)
+            for lo in range(0, len(b), 1_000):
+                cls, before, _ = sequences(b.iloc[lo: lo + 1_000], of)
                 count += np.bincount(before * CLASSES + cls, minlength=len(count))
         at = np.flatnonzero(count)
         yield pd.DataFrame({"at": at, "c": count[at]})
