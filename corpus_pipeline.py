@@ -41,8 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    model = sentencepiece_bpe.default_model()
-    return sentencepiece_bpe.decode_documents(sentencepiece_bpe.encode_documents(docs, model), model)
+    return sentencepiece_bpe.encode_documents(docs, sentencepiece_bpe.default_model(), decoded=True)
 
 
 STAGES = [

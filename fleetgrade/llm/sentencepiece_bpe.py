@@ -258,8 +258,11 @@ def coder(model: dict) -> Bpe:
     return _WORKER[key]
 
 
-def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids`` for every row: the operator's own output."""
+def encode_documents(docs: DataFrame, model_path: str, decoded: bool = False) -> DataFrame:
+    """``doc_id, n_tokens, ids`` for every row: the operator's own output.
+
+    With ``decoded``, also the ``text`` that the ids decode to, by the same worker's coder.
+    """
     import numpy as np
     import pandas as pd
 
@@ -271,9 +274,10 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
             for at in range(0, len(b), 500):  # ids take more room than texts
                 part = b.iloc[at: at + 500]
                 ids = [np.array(c.encode(t), np.int32) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_tokens": [len(i) for i in ids], "ids": ids})
+                out = pd.DataFrame({"doc_id": part["doc_id"].astype("Int64").array, "n_tokens": [len(i) for i in ids], "ids": ids})
+                yield out.assign(text=[c.decode(i.tolist()) for i in ids]) if decoded else out
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_tokens long, ids array<int>" + ", text string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, model_path: str) -> DataFrame:
