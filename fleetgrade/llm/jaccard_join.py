@@ -55,7 +55,7 @@ def shingles(text: str | None, k: int):
     if not ws:
         return np.empty(0, np.int64)
     memo, digest = _MEMO, xxhash.xxh3_64_intdigest
-    if len(memo) > 500_000:
+    if len(memo) > 120_000:   # words with their hashes: about 20 MB a worker
         memo.clear()
     h = np.fromiter((memo.get(w) or memo.setdefault(w, digest(w) | 1) for w in ws), dtype=np.uint64, count=len(ws))
     size = min(k, len(ws))
