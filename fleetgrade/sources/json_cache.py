@@ -14,9 +14,14 @@ row carries ``OPEN`` where that is among them, else the first one). Counts that
 listed members come back as ``unlisted`` rows. A document that is not a JSON object, and a
 collector that failed (an empty object), give no rows; the workspace itself stays.
 
-``documents`` writes the same form for exchange with tools that read it. Such a document is
-one workspace's whole inventory by its format; the fleet's own snapshots are the partitioned
-tables of ``store``.
+``documents`` writes the same form for exchange with tools that read it. A workspace may hold
+any number of clusters, jobs or calls, so a document is written in parts ``(workspace_id, kind,
+part, body)``, each a document of its own form that holds at most about ``MEMBERS`` members of
+a list or ``CALLS`` calls: no row and no task holds a workspace's whole lists. ``part`` 0 holds
+everything that is said once; further ``collected`` parts hold further members (and the distinct
+isolation modes and owners, which their catalogs need), and the part of an ``audit`` document is
+the position of its first call. Documents without ``part`` are whole. The fleet's own snapshots
+are the partitioned tables of ``store``.
 """
 
 from __future__ import annotations
@@ -27,11 +32,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetgrade.functions.fold import fold_by_key
+from fleetgrade.functions.numbering import numbered_within
 from fleetgrade.operators.compute import ALWAYS_ON_HOURS
 from fleetgrade.operators.deep import DEEP_COLUMNS, DEEP_TYPES, FLAGS
 from fleetgrade.session import cut_lineage
 
 WS = "workspace_id"
+MEMBERS, CALLS = 1000, 256   # members of a list and calls in one part of a document
 S, L, I, B, D = T.StringType(), T.LongType(), T.IntegerType(), T.BooleanType(), T.DoubleType()
 
 
@@ -132,14 +140,16 @@ def _number(text: Column, of: str = "double") -> Column:
 def read(documents: DataFrame, catalog: DataFrame) -> Cache:
     """The tables of cached documents; ``catalog`` (name, pillar, rule_id, ord) names the scores' rules."""
     body = lambda kind, schema: F.when(F.col("kind") == kind, F.from_json("body", schema, {"mode": "PERMISSIVE"}))
+    part = F.col("part") if "part" in documents.columns else F.lit(0)
     docs = cut_lineage(documents.select(
-        WS, "kind", body("collected", COLLECTED).alias("c"), body("scored", SCORED).alias("s"), body("audit", AUDIT).alias("a"),
+        WS, "kind", part.cast("long").alias("part"), body("collected", COLLECTED).alias("c"), body("scored", SCORED).alias("s"), body("audit", AUDIT).alias("a"),
         F.when(F.col("kind") == "audit", F.col("body").rlike(r"^\s*\[")).otherwise(F.col("body").rlike(r"^\s*\{")).alias("form"),
         F.is_valid_utf8("body").alias("utf8"), F.try_parse_json("body").isNotNull().alias("json")), "json-cache")
     fine = F.col("form") & F.col("utf8") & F.col("json")
     rejected = docs.where(~F.coalesce(fine, F.lit(False))).select(WS, "kind")
     docs = docs.where(fine)
-    c = docs.where("kind = 'collected'").select(WS, "c.*")
+    c = docs.where("kind = 'collected'").select(WS, "part", "c.*")
+    once = c.where("part = 0")        # what is no list stands in the first part
     s = docs.where("kind = 'scored'").select(WS, "s.*")
 
     def listed(path: str) -> DataFrame:
@@ -153,11 +163,11 @@ def read(documents: DataFrame, catalog: DataFrame) -> Cache:
     catalogs = c.select(WS, F.explode("GovernanceCollector.catalogs").alias("catalog_name"), mode.alias("isolation_mode"),
                         F.get("GovernanceCollector.owners", F.lit(0)).alias("owner"))
     counts = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{at}.{f}").alias("n")) for k, at, f in _COUNTS])
-    unlisted = F.array(*[F.struct(F.lit(k).alias("kind"), (F.col(f"{at}.{n}") - F.coalesce(F.size(F.col(f"{at}.{lst}")), F.lit(0))).alias("n"))
+    unlisted = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{at}.{n}").alias("all"), F.size(F.coalesce(f"{at}.{lst}", F.array())).alias("rows"))
                          for k, at, n, lst in _LISTED])
     ms = "GovernanceCollector.metastore_summary"
     hosts = documents.select(WS).distinct().join(s.groupBy(WS).agg(F.max("workspace_host").alias("host")), WS, "left")
-    stores = c.select(WS, F.coalesce(f"{ms}.name", "GovernanceCollector.metastore_name").alias("metastore_name"),
+    stores = once.select(WS, F.coalesce(f"{ms}.name", "GovernanceCollector.metastore_name").alias("metastore_name"),
                       F.col(f"{ms}.owner").alias("metastore_owner"), F.col(f"{ms}.delta_sharing_scope").alias("delta_sharing_scope"))
     inventory = {
         "workspaces": hosts.join(stores, WS, "left"), "clusters": clusters, "warehouses": warehouses, "jobs": jobs,
@@ -167,17 +177,17 @@ def read(documents: DataFrame, catalog: DataFrame) -> Cache:
         "service_principals": listed("SecurityCollector.service_principals").select(
             WS, F.coalesce("m.displayName", F.lit("")).alias("display_name"), F.col("m.applicationId").alias("application_id"),
             F.coalesce("m.active", F.lit(True)).alias("active")),
-        "settings": c.select(WS, F.explode("SecurityCollector.security_settings").alias("setting", "value")),
-        "object_counts": c.select(WS, F.inline(counts)).where(F.col("n").isNotNull()).unionByName(
+        "settings": once.select(WS, F.explode("SecurityCollector.security_settings").alias("setting", "value")),
+        "object_counts": once.select(WS, F.inline(counts)).where(F.col("n").isNotNull()).unionByName(
             listed("OperationsCollector.init_scripts").where(~F.col("m.enabled")).groupBy(WS).agg(F.count(F.lit(1)).alias("n"))
             .select(WS, F.lit("disabled_init_script").alias("kind"), "n")),
-        "unlisted": c.select(WS, F.inline(unlisted)).where(F.col("n") != 0),
+        "unlisted": c.select(WS, F.inline(unlisted)).groupBy(WS, "kind").agg((F.sum("all") - F.sum("rows")).alias("n")).where(F.col("n") != 0),
     }
-    calls = docs.where("kind = 'audit'").select(WS, F.posexplode("a").alias("seq", "e")).select(
-        WS, F.col("seq").cast("long").alias("seq"), "e.command", "e.output", "e.timestamp", _number(F.col("e.duration")).alias("duration_seconds"))
+    calls = docs.where("kind = 'audit'").select(WS, "part", F.posexplode("a").alias("pos", "e")).select(
+        WS, (F.col("part") + F.col("pos")).alias("seq"), "e.command", "e.output", "e.timestamp", _number(F.col("e.duration")).alias("duration_seconds"))
     scores = (s.select(WS, F.to_date(F.substring("assessment_date", 1, 10)).alias("as_of"), F.explode("best_practice_scores").alias("b"))
               .select(WS, "as_of", "b.*").join(F.broadcast(catalog.select("name", "pillar", "rule_id", "ord")), ["name", "pillar"]))
-    return Cache(inventory, _deep_row(c), scores, calls, rejected)
+    return Cache(inventory, _deep_row(once), scores, calls, rejected)
 
 
 def _deep_row(c: DataFrame) -> DataFrame:
@@ -211,40 +221,50 @@ def _deep_row(c: DataFrame) -> DataFrame:
 
 
 def documents(inventory: dict[str, DataFrame], inputs: DataFrame, lists: dict[str, DataFrame], scores: DataFrame,
-              calls: DataFrame | None = None) -> DataFrame:
-    """Cached documents of a fleet: ``inputs`` as scored, ``lists`` the deep result rows by the name of their field."""
-    def gathered(table: DataFrame, item: Column, name: str) -> DataFrame:
-        return table.groupBy(WS).agg(F.collect_list(item).alias(name))
-
+              calls: DataFrame | None = None, members: int = MEMBERS, entries: int = CALLS) -> DataFrame:
+    """Cached documents of a fleet, in parts: ``inputs`` as scored, ``lists`` the deep result rows (some per workspace) by the name of their field."""
     t = inventory
-    cl, wh = t["clusters"], t["warehouses"]
+    cl, wh, cat = t["clusters"], t["warehouses"], t["catalogs"]
     tags = (F.when(F.col("custom_tag_count") > 0, F.map_from_arrays(
         F.transform(F.sequence(F.lit(1), F.col("custom_tag_count")), lambda i: F.concat(F.lit("tag"), i.cast("string"))),
         F.array_repeat(F.lit("x"), F.col("custom_tag_count")))) if "custom_tag_count" in cl.columns else F.col("custom_tags"))
     auto = (F.when(F.col("autoscale_max_workers").isNotNull(), F.struct(F.lit(1).alias("min_workers"), F.col("autoscale_max_workers").alias("max_workers")))
             if "autoscale_max_workers" in cl.columns else F.col("autoscale"))
-    item = lambda df, kind: F.struct(*[F.col(f.name) for f in kind.elementType.fields if f.name in df.columns])
     field = lambda collector, name: COLLECTED[collector].dataType[name].dataType
+    item = lambda df, kind: F.struct(*[F.col(f.name) for f in kind.elementType.fields if f.name in df.columns])
     cl = cl.withColumn("custom_tags", tags).withColumn("autoscale", auto)
     wh = wh.withColumnRenamed("warehouse_id", "id")
-    cat = t["catalogs"]
-    parts = [
-        gathered(cl, item(cl, field("ComputeCollector", "clusters")), "clusters"),
-        gathered(wh, item(wh, field("ComputeCollector", "warehouses")), "warehouses"),
-        gathered(t["jobs"], item(t["jobs"], field("OperationsCollector", "jobs")), "jobs"),
-        gathered(t["pipelines"], item(t["pipelines"], field("OperationsCollector", "pipelines")), "pipelines"),
-        cat.groupBy(WS).agg(F.collect_list("catalog_name").alias("catalogs"), F.collect_set("isolation_mode").alias("isolation_modes"),
-                            F.collect_set("owner").alias("owners")),
-        gathered(t["scim_groups"], F.struct(F.col("display_name").alias("displayName"), F.col("external_id").alias("externalId")), "scim_groups"),
-        gathered(t["service_principals"], F.struct(F.col("display_name").alias("displayName"), F.col("application_id").alias("applicationId")),
-                 "service_principals"),
+    rows = {
+        "clusters": (cl, item(cl, field("ComputeCollector", "clusters"))),
+        "warehouses": (wh, item(wh, field("ComputeCollector", "warehouses"))),
+        "jobs": (t["jobs"], item(t["jobs"], field("OperationsCollector", "jobs"))),
+        "pipelines": (t["pipelines"], item(t["pipelines"], field("OperationsCollector", "pipelines"))),
+        "catalogs": (cat, F.col("catalog_name")),
+        "scim_groups": (t["scim_groups"], F.struct(F.col("display_name").alias("displayName"), F.col("external_id").alias("externalId"))),
+        "service_principals": (t["service_principals"], F.struct(F.col("display_name").alias("displayName"), F.col("application_id").alias("applicationId")))}
+    sizes = fold_by_key([df.groupBy(WS).agg(F.ceil(F.count(F.lit(1)) / members).alias(f"_{name}")) for name, (df, _m) in rows.items()], WS)
+
+    def gathered(name: str) -> DataFrame:
+        """The members of a list by part: spread by what they hold, about ``members`` to a part."""
+        table, member = rows[name]
+        held = F.xxhash64(*[c for c, kind in table.dtypes if "map<" not in kind])
+        return (table.join(sizes.select(WS, F.col(f"_{name}").alias("_parts")), WS)
+                .groupBy(WS, F.pmod(held, F.col("_parts")).alias("part")).agg(F.collect_list(member).alias(name)))
+
+    once = [
         t["settings"].groupBy(WS).agg(F.map_from_entries(F.collect_list(F.struct("setting", "value"))).alias("security_settings")),
-        *[gathered(df, F.struct(*[c for c in df.columns if c != WS]), name) for name, df in lists.items()],
-        gathered(scores, F.struct("name", "pillar", "principle", "score", "finding_notes", "verified"), "best_practice_scores"),
-    ]
+        *[df.groupBy(WS).agg(F.collect_list(F.struct(*[c for c in df.columns if c != WS])).alias(name)) for name, df in lists.items()]]
+    facts = cat.groupBy(WS).agg(F.collect_set("isolation_mode").alias("isolation_modes"), F.collect_set("owner").alias("owners"))
     wide = inputs
-    for p in parts:
+    for p in once:
         wide = wide.join(p, WS, "left")
+    said = [c for c in wide.columns if c != WS]
+    parts = F.greatest(F.lit(1), *[F.col(f"_{name}") for name in rows])
+    wide = wide.join(facts, WS, "left").join(sizes, WS, "left").select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    first = lambda c: F.when(F.col("part") == 0, c)
+    wide = wide.select(WS, "part", "isolation_modes", "owners", *[first(F.col(c)).alias(c) for c in said])
+    for name in rows:
+        wide = wide.join(gathered(name), [WS, "part"], "left")
     n = lambda feature: F.col(f"{feature}_count")
     group = lambda name, *cols: F.struct(*cols).alias(name)
     text = lambda c: F.col(c).cast("string")
@@ -264,18 +284,21 @@ def documents(inventory: dict[str, DataFrame], inputs: DataFrame, lists: dict[st
         group("SecurityCollector", "security_settings", *listed("SecurityCollector"), *counts("SecurityCollector")),
         group("OperationsCollector", *listed("OperationsCollector"), *counts("OperationsCollector"), scripts.alias("init_scripts")),
         group("WorkspaceCollector", *counts("WorkspaceCollector")),
-        group("SystemTablesCollector", F.lit(True).alias("available"), *[group(s, *cols) for s, cols in deep.items()]),
+        group("SystemTablesCollector", first(F.lit(True)).alias("available"), *[group(s, *cols) for s, cols in deep.items()]),
         F.col("cloud").alias("_cloud_provider")))
+    out = wide.select(WS, F.lit("collected").alias("kind"), "part", collected.alias("body"))
+    of_rules = scores.groupBy(WS).agg(F.max("as_of").alias("as_of"), F.collect_list(
+        F.struct("name", "pillar", "principle", "score", "finding_notes", "verified")).alias("best_practice_scores"))
     scored = F.to_json(F.struct(F.col("host").alias("workspace_host"), text("as_of").alias("assessment_date"),
                                 F.col("cloud").alias("cloud_provider"), "best_practice_scores"))
-    wide = wide.join(scores.groupBy(WS).agg(F.max("as_of").alias("as_of")), WS, "left")
-    rows = wide.select(WS, F.explode(F.array(F.struct(F.lit("collected").alias("kind"), collected.alias("body")),
-                                             F.struct(F.lit("scored").alias("kind"), scored.alias("body")))).alias("d")).select(WS, "d.*")
+    whole = F.lit(0).cast("long").alias("part")
+    out = out.unionByName(inputs.select(WS, "host", "cloud").join(of_rules, WS, "left").select(WS, F.lit("scored").alias("kind"), whole, scored.alias("body")))
     if calls is not None:
         entry = F.struct("seq", "command", "output", F.lit("").alias("timestamp"), F.col("duration_seconds").alias("duration"))
-        log = calls.groupBy(WS).agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("body"))
-        rows = rows.unionByName(log.select(WS, F.lit("audit").alias("kind"), "body"))
-    return rows
+        start = F.col("_at") - F.col("_at") % entries
+        log = numbered_within(calls, WS, ["seq", "command"], "_at").groupBy(WS, start.alias("part")).agg(F.to_json(F.sort_array(F.collect_list(entry))).alias("body"))
+        out = out.unionByName(log.select(WS, F.lit("audit").alias("kind"), "part", "body"))
+    return out
 
 
 # Sections of the deep scan and the result rows each holds.

@@ -100,6 +100,36 @@ def test_json_documents_numbers_as_text_and_bad_documents(spark):
     assert [(r["command"], r["duration_seconds"]) for r in c.calls.collect()] == [("ls", 1.5)]
 
 
+def test_json_documents_of_a_large_workspace_come_in_parts(spark):
+    from fleetgrade.operators.features import workspace_features
+    from fleetgrade.plans.registered import inventory
+    a = assessed(spark, SF001)
+    inv_ = inventory(spark, SF001)
+    kept = ["job_id", "name", "has_git_source", "max_retries", "has_job_clusters", "creator_user_name"]
+    more = spark.range(10**9, 10**9 + 5300).select(F.lit(3).alias("workspace_id"), F.col("id").alias("job_id"), F.lit("j").alias("name"), F.lit(False).alias("has_git_source"),
+                                                   F.lit(0).alias("max_retries"), F.lit(False).alias("has_job_clusters"), F.lit("x").alias("creator_user_name"))
+    inv_ = inv_ | {"jobs": inv_["jobs"].select("workspace_id", *kept).unionByName(more)}
+    calls = spark.range(1000).select(F.when(F.col("id") < 900, 3).otherwise(1).alias("workspace_id"), (F.col("id") * 7919 % 1000).alias("seq"),
+                                     F.col("id").cast("string").alias("command"), F.lit("o").alias("output"), F.lit(1.0).alias("duration_seconds"))
+    inputs = a.inputs.withColumn("job_count", F.col("job_count") + F.when(F.col("workspace_id") == 3, 5302).otherwise(0))
+    docs = json_cache.documents(inv_, inputs, {}, a.scores, calls).persist()
+    sizes = docs.select(F.size(F.from_json(F.get_json_object("body", "$.OperationsCollector.jobs"), "array<string>")).alias("jobs"),
+                        F.when(F.col("kind") == "audit", F.size(F.from_json("body", "array<string>"))).alias("calls"))
+    most = sizes.agg(F.max("jobs"), F.max("calls")).first()
+    assert 0 < most[0] < 2000 and 0 < most[1] <= 256
+    c = json_cache.read(docs, rule_catalog(spark))
+    docs.unpersist()
+    got = {r["workspace_id"]: r for r in workspace_features(c.inventory).collect()}
+    want = {r["workspace_id"]: r for r in workspace_features(inv_).collect()}
+    same = ("cluster_count", "tagged_clusters", "warehouse_count", "git_jobs", "sp_owned_jobs", "has_open_catalog", "catalog_count", "scim_count", "sp_count", "policy_count", "dbfs_off")
+    assert all([got[w][f] for f in same] == [want[w][f] for f in same] for w in want) and set(got) == set(want)
+    assert {w: r["job_count"] for w, r in got.items()} == {w: r["job_count"] + 2 * (w == 3) for w, r in want.items()}     # two members that are no objects
+    assert c.inventory["jobs"].count() == inv_["jobs"].count() and c.deep.count() == len(want) and c.scores.count() == a.scores.count()
+    order = [r["command"] for r in c.calls.where("workspace_id = 3").orderBy("seq").collect()]
+    assert order == sorted((str(i) for i in range(900)), key=lambda i: int(i) * 7919 % 1000)
+    assert c.calls.where("workspace_id = 3").agg(F.max("seq"), F.count_distinct("seq")).first()[:] == (899, 900)
+
+
 def test_calls_are_committed_once(spark):
     root = f"{tempfile.mkdtemp(prefix='fg-calls-')}/log"
     rows = [(1, i, f"collector_{'ab'[i % 2]}", "api post /api/2.0/sql/statements" if i % 2 else "ls", "x" * 2500, 1.0, True, None) for i in range(10)]
