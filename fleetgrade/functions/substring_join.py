@@ -6,7 +6,11 @@ group. ``containing_texts`` indexes each pattern by its rarest gram instead: of
 pieces of ``GRAM`` characters, the one that the fewest distinct texts of the group hold. A
 text's own pieces fetch the patterns listed under them by an equi-join, and only those
 candidates are verified. A pattern with a piece that no text holds is never fetched at all.
-Texts are made distinct first, so a creator of a million jobs is looked at once.
+Texts are made distinct first, so a creator of a million jobs is looked at once. Of a text's
+pieces only those go on that some pattern of its group may hold: each group's patterns are
+summed up as the set of hash buckets (``BUCKETS`` at most) of their pieces, and a text's other
+pieces, nearly all of them, are dropped where they are cut. A bucket that two pieces share only
+lets one too many through, which the equi-join drops.
 
 ``contains_matches`` (for the static rule names) cuts texts into substrings of the
 patterns' lengths and equi-joins those.
@@ -19,6 +23,7 @@ from pyspark.sql import functions as F
 
 
 GRAM = 3
+BUCKETS = 1024
 
 
 def _grams(text: str, size) -> Column:
@@ -27,32 +32,41 @@ def _grams(text: str, size) -> Column:
     return F.when(F.length(text) >= size, F.array_distinct(F.transform(at, lambda i: F.substring(F.col(text), i, size))))
 
 
+def _bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
+def asked_pieces(texts: DataFrame, keys: list[str], of: DataFrame) -> DataFrame:
+    """Distinct pieces ``_g`` of each text in buckets that the group's pattern pieces (``of``: keys, ``_size``, ``_g``) fall in."""
+    # Patterns shorter than a gram are their own piece, so texts are cut to the sizes their group needs.
+    asked = of.groupBy(*keys, "_size").agg(F.collect_set(_bucket(F.col("_g"))).alias("_asked"))
+    held = F.filter(_grams("_t", F.col("_size")), lambda g: F.array_contains(F.col("_asked"), _bucket(g)))
+    return texts.where(F.length("_t") > 0).join(asked, on=keys).select(*texts.columns, F.explode(held).alias("_g"))
+
+
 def containing_texts(texts: DataFrame, keys: list[str], patterns: DataFrame) -> DataFrame:
-    """Rows of ``texts`` (keys, ``_t``, distinct) that contain some ``_p`` of ``patterns`` (keys, ``_p``)."""
+    """Rows of ``texts`` (keys, ``_t``, distinct; further columns are kept) that contain some ``_p`` of ``patterns`` (keys, ``_p``)."""
     pats = patterns.where(F.length("_p") > 0).distinct().withColumn("_size", F.least(F.length("_p"), F.lit(GRAM)))
-    # Patterns shorter than a gram are their own piece, so texts are cut to the sizes their group needs.
-    sizes = pats.select(*keys, "_size").distinct()
-    pieces = texts.where(F.length("_t") > 0).join(sizes, on=keys).select(*keys, "_t", F.explode(_grams("_t", F.col("_size"))).alias("_g"))
+    of = pats.select(*keys, "_p", "_size", F.size(_grams("_p", F.col("_size"))).alias("_all"), F.explode(_grams("_p", F.col("_size"))).alias("_g"))
+    pieces = asked_pieces(texts, keys, of)
     spread = pieces.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_df"))
-    of = pats.select(*keys, "_p", F.size(_grams("_p", F.col("_size"))).alias("_all"), F.explode(_grams("_p", F.col("_size"))).alias("_g"))
     rarest = (of.join(spread, on=[*keys, "_g"]).groupBy(*keys, "_p", "_all")
               .agg(F.min(F.struct("_df", "_g")).alias("_r"), F.count(F.lit(1)).alias("_held"))
               .where(F.col("_held") == F.col("_all")).select(*keys, "_p", F.col("_r._g").alias("_g")))
-    return (pieces.join(rarest, on=[*keys, "_g"]).where(F.col("_t").contains(F.col("_p"))).select(*keys, "_t").distinct())
+    return (pieces.join(rarest, on=[*keys, "_g"]).where(F.col("_t").contains(F.col("_p"))).select(*texts.columns).distinct())
 
 
 def count_containing(left: DataFrame, keys: list[str], text_col: str, right: DataFrame, pattern_col: str,
                      name: str, lower: bool = True) -> DataFrame:
     """Per group the number of ``left`` rows whose text contains some pattern of the group's ``right`` rows.
 
-    Rows are counted per distinct text before anything is compared and never joined again.
+    Rows are counted per distinct text before anything is compared; the count goes along.
     Empty patterns are ignored (quirk Q9).
     """
     norm = F.lower if lower else (lambda c: c)
     texts = left.where(F.col(text_col).isNotNull()).groupBy(*keys, norm(F.col(text_col)).alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
     pats = right.select(*keys, norm(F.col(pattern_col)).alias("_p"))
-    return (texts.join(containing_texts(texts.drop("_n"), keys, pats), on=[*keys, "_t"], how="left_semi")
-            .groupBy(*keys).agg(F.sum("_n").cast("bigint").alias(name)))
+    return containing_texts(texts, keys, pats).groupBy(*keys).agg(F.sum("_n").cast("bigint").alias(name))
 
 
 def contains_any(left: DataFrame, keys: list[str], id_cols: list[str], text_col: str,

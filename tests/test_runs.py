@@ -202,6 +202,18 @@ def test_containment_by_rarest_gram(spark):
     assert [(r["ws"], r["_t"]) for r in few] == [(1, "sp-1-runner")]
 
 
+def test_only_pieces_asked_for_go_on(spark):
+    from fleetgrade.functions import substring_join
+    texts = spark.range(3000).select((F.col("id") % 3).alias("ws"), F.concat(F.lit("user"), F.col("id").cast("string"), F.lit("@example.com")).alias("_t"))
+    texts = texts.unionByName(spark.createDataFrame([(1, "sp-1-runner"), (2, "sp-1-runner")], "ws long, _t string"))
+    of = spark.createDataFrame([(1, 3, "sp-"), (1, 3, "p-1")], "ws long, _size int, _g string")
+    rows = substring_join.asked_pieces(texts, ["ws"], of).collect()
+    assert {(r["_t"], r["_g"]) for r in rows} >= {("sp-1-runner", "sp-"), ("sp-1-runner", "p-1")}
+    assert {r["ws"] for r in rows} == {1} and len(rows) < 1000      # 1,000 texts of 14 to 17 pieces each
+    got = containing_texts(texts.withColumn("_n", F.lit(2)), ["ws"], spark.createDataFrame([(1, "sp-1")], "ws long, _p string")).collect()
+    assert [tuple(r) for r in got] == [(1, "sp-1-runner", 2)]
+
+
 def test_every_cut_drops_rows(spark):
     """The inputs reach each top-k cut, so a wrong cut shows in the checked tables."""
     t, d = deep_tables(spark, SF01), CFG.lookback_days
