@@ -197,3 +197,15 @@ def test_scoring_with_missing_sources(spark):
         rows = sc.where(F.col("rule_id").isin("ops-024", "cost-022", "perf-026")).collect()
         assert rows and all(r["score"] == 1 and not r["verified"] for r in rows)
         assert sc.count() == 140 * 10
+
+
+def test_objects_are_not_sorted_for_features(spark):
+    """Only rows already reduced per workspace and text meet an aggregate of text, which sorts."""
+    from fleetgrade.operators import features
+    rows = spark.range(1000).select((F.col("id") % 2).alias("workspace_id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("n"), (F.col("id") % 5).cast("string"))).alias("t"),
+                                    F.when(F.col("id") % 3 == 0, F.col("id")).alias("v"))
+    spec = [("n", F.lit(1), "sum"), ("some", F.col("v") > 990, "any"), ("most", F.col("v"), "max"), ("kinds", F.col("t"), "distinct"), ("sample", F.col("t"), "min")]
+    few = features.reduced(rows, spec)
+    assert few.count() == 10 and "SortAggregate" not in few._jdf.queryExecution().executedPlan().toString()
+    again = few.groupBy("workspace_id").agg(*[features._AGG[a](F.col(n)).alias(n) for n, _e, a in spec])
+    assert sorted(again.collect()) == sorted(features._aggregate(rows, spec).collect())
