@@ -48,6 +48,7 @@ from fleetgrade.session import cut_lineage
 CLASSES, FREQUENT, SETTLED = 64, 30, 0.01
 BLOCK_TOKENS, RANGE, SALTS = 3_000_000, 1_024, 32
 BROADCAST_WORDS = 16_000_000
+WAITING = 200_000              # word numbers that wait unpacked to be counted
 DENSE = 1 << 24                # counters that a task may hold at once; more are sorted
 FOLD, ADD, SMOOTH = 10, 0.1, 0.5
 WIDE = 2 * (CLASSES + 1)       # contexts: a class or "rarer word" before, the same after
@@ -69,9 +70,13 @@ def _blocks(docs: DataFrame) -> DataFrame:
 
     columns = ["kind", "block", "idx", "word", "n", "doc_id", "held_out", "toks"]
 
-    def block(number, rows, index):
-        train = [ids for _, held, ids in rows if not held]
-        n = np.bincount(np.concatenate(train), minlength=len(index)) if train else np.zeros(len(index), np.int64)
+    def counted(n, held, size):
+        """``n`` with the words of some training texts added."""
+        more = np.bincount(np.concatenate(held), minlength=size) if held else np.zeros(size, np.int64)
+        more[: len(n)] += n
+        return more
+
+    def block(number, rows, index, n):
         words = list(index)
         for lo in range(0, len(words), 20_000):
             part = words[lo: lo + 20_000]
@@ -82,7 +87,7 @@ def _blocks(docs: DataFrame) -> DataFrame:
             part = rows[lo: lo + 1_000]
             yield pd.DataFrame({"kind": 1, "block": number, "idx": range(lo, lo + len(part)), "word": None, "n": 0,
                                 "doc_id": pd.array([r[0] for r in part], "Int64"), "held_out": [r[1] for r in part],
-                                "toks": [zlib.compress(r[2].astype(np.int32).tobytes(), 1) for r in part]}, columns=columns)
+                                "toks": [r[2] for r in part]}, columns=columns)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def empty():
@@ -91,19 +96,27 @@ def _blocks(docs: DataFrame) -> DataFrame:
             return numbers
 
         number = TaskContext.get().partitionId() * 1_000_000
+        # A block's texts wait packed, and few ids as they are, so a worker holds little beside its words.
         rows, index, tokens = [], empty(), 0
+        n, held_ids, waiting = np.zeros(0, np.int64), [], 0
         for b in batches:
             for doc_id, text, held in zip(b["doc_id"].astype("Int64"), b["text"], b["held"], strict=True):
                 words = word_bytes(text)
                 words.append(END)
-                ids = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
-                rows.append((doc_id, bool(held), ids))
+                ids = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
+                rows.append((doc_id, bool(held), zlib.compress(ids.tobytes(), 1)))
                 tokens += len(ids)
+                if not held:
+                    held_ids.append(ids)
+                    waiting += len(ids)
+                if waiting >= WAITING:
+                    n, held_ids, waiting = counted(n, held_ids, len(index)), [], 0
                 if tokens >= BLOCK_TOKENS:
-                    yield from block(number, rows, index)
+                    yield from block(number, rows, index, counted(n, held_ids, len(index)))
                     number, rows, index, tokens = number + 1, [], empty(), 0
+                    n, held_ids, waiting = np.zeros(0, np.int64), [], 0
         if rows:
-            yield from block(number, rows, index)
+            yield from block(number, rows, index, counted(n, held_ids, len(index)))
 
     return docs.select("doc_id", "text", (remainder(FOLD) == 0).alias("held")).mapInPandas(run, _RAW)
 
