@@ -49,7 +49,9 @@ CLASSES, FREQUENT, SETTLED = 64, 30, 0.01
 BLOCK_TOKENS, RANGE, SALTS = 3_000_000, 1_024, 32
 BROADCAST_WORDS = 16_000_000
 WAITING = 200_000              # word numbers that wait unpacked to be counted
+UNPACKED = 200_000             # tokens of packed texts that a task unpacks at once
 DENSE = 1 << 24                # counters that a task may hold at once; more are sorted
+HELD = 8_000_000               # keys that wait to be sorted, in one buffer
 FOLD, ADD, SMOOTH = 10, 0.1, 0.5
 WIDE = 2 * (CLASSES + 1)       # contexts: a class or "rarer word" before, the same after
 END = b""                      # the end of a text, and what stands before its first word
@@ -156,7 +158,18 @@ def _ids(rows, width):
 
     parts = [np.frombuffer(zlib.decompress(x), width) for x in rows["ids"]]
     size = np.array([len(p) for p in parts], np.int64)
-    return (np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)), np.concatenate([[0], np.cumsum(size)])
+    return (np.concatenate(parts) if parts else np.empty(0, width)), np.concatenate([[0], np.cumsum(size)])
+
+
+def _parts(texts):
+    """The texts of a batch in parts of about ``UNPACKED`` tokens."""
+    import numpy as np
+
+    place = np.cumsum(texts["n_tokens"].to_numpy(np.int64)) // UNPACKED
+    cuts = np.flatnonzero(np.diff(place)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(texts)]):
+        if hi > lo:
+            yield texts.iloc[lo:hi]
 
 
 class Classes:
@@ -172,15 +185,14 @@ class Classes:
 
         if self.small:
             rows = self.table.collect()
-            every = np.full(self.words, CLASSES, np.uint8)
+            every = np.full(self.words + 1, CLASSES, np.uint8)      # the last place is for ids -1 and those beyond
             for r in rows:
                 part = np.frombuffer(bytes(r["cls"]), np.uint8)
                 every[r["range"] * RANGE: r["range"] * RANGE + len(part)] = part
             count = self.words
 
             def of(ids):
-                inside = (ids >= 0) & (ids < count)
-                return np.where(inside, every[np.where(inside, ids, 0)] if count else CLASSES, CLASSES).astype(np.int64)
+                return every[np.minimum(ids, count)].astype(np.int32)
 
             return coded.mapInPandas(lambda batches: work(batches, of), schema)
 
@@ -194,7 +206,7 @@ class Classes:
             def of(ids):
                 at = np.minimum(np.searchsorted(ranges, ids // RANGE), max(0, len(ranges) - 1))
                 known = (ids >= 0) & (ranges[at] == ids // RANGE) if len(ranges) else np.zeros(len(ids), bool)
-                return np.where(known, held[np.where(known, at, len(ranges)), np.where(known, ids % RANGE, 0)], CLASSES).astype(np.int64)
+                return np.where(known, held[np.where(known, at, len(ranges)), np.where(known, ids % RANGE, 0)], CLASSES).astype(np.int32)
 
             out = [*work(iter([rows]), of)]
             return pd.concat(out) if out else pd.DataFrame(columns=[c.split()[0] for c in schema.split(", ")])
@@ -240,13 +252,14 @@ def _emit(first: int, flat, count):
     import pandas as pd
     from pyspark import TaskContext
 
-    flat = flat + first * WIDE
-    part = flat // (RANGE * WIDE)
-    at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(flat) else np.empty(0, int)
-    if not len(at):
+    if not len(flat):
         return pd.DataFrame(columns=["range", "salt", "keys", "counts"], dtype=object)
-    packed = [_pack(k, c) for k, c in zip(np.split(flat % (RANGE * WIDE), at[1:]), np.split(count, at[1:]), strict=True)]
-    return pd.DataFrame({"range": part[at], "salt": np.full(len(at), TaskContext.get().partitionId() % SALTS, np.int32),
+    ranges = np.arange(first // RANGE, (first + int(flat[-1]) // WIDE) // RANGE + 1)
+    begin = (ranges * RANGE - first) * WIDE         # the key at which a range begins
+    at = np.searchsorted(flat, begin[1:].astype(flat.dtype))
+    parts = [(r, b, k, c) for r, b, k, c in zip(ranges, begin, np.split(flat, at), np.split(count, at), strict=True) if len(k)]
+    packed = [_pack(k.astype(np.int64) - b, c) for _, b, k, c in parts]
+    return pd.DataFrame({"range": [r for r, *_ in parts], "salt": np.full(len(parts), TaskContext.get().partitionId() % SALTS, np.int32),
                          "keys": [k for k, _ in packed], "counts": [c for _, c in packed]})
 
 
@@ -255,45 +268,49 @@ def _contexts(coded: DataFrame, classes: Classes, first: int, words: int, width:
     import numpy as np
     import pandas as pd
 
-    def work(batches, of):
-        dense = np.zeros(words * WIDE, np.int64) if words * WIDE <= DENSE else None
-        held, size = [], 0
+    kind = np.int32 if words * WIDE < 1 << 31 else np.int64
 
-        def sorted_out():
-            flat, n = np.unique(np.concatenate(held), return_counts=True)
-            return _emit(first, flat, n)
+    def tallied(keys):
+        """Distinct keys in order and their counts; ``keys`` are sorted in place."""
+        keys.sort()
+        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
+        return keys[at], np.diff(at, append=len(keys)).astype(np.int32)
 
+    def work(batches, of):
+        few = words * WIDE <= DENSE
+        held, size = np.zeros(words * WIDE, np.int32) if few else np.empty(HELD, kind), 0
         for b in batches:
-            b = b[~b["held_out"].astype(bool)]
-            for lo in range(0, len(b), 1_000):
-                ids, start = _ids(b.iloc[lo: lo + 1_000], width)
-                if not len(ids):
-                    continue
+            for texts in _parts(b[~b["held_out"].astype(bool)]):
+                ids, start = _ids(texts, width)
                 cls = of(ids)
-                end = int(cls[start[1:][0] - 1])            # every text ends with END
+                end = cls[start[1] - 1]                     # every text ends with END
                 before = np.concatenate([[end], cls[:-1]])
                 before[start[:-1]] = end
-                after = np.append(cls[1:], CLASSES)
-                inner = np.ones(len(ids), bool)
-                inner[start[1:] - 1] = False                # nothing follows END
                 mine = (ids >= first) & (ids < first + words)
-                base = (ids - first) * WIDE
-                keys = np.concatenate([(base + before)[mine], (base + (CLASSES + 1) + after)[mine & inner]])
-                if dense is not None:       # sorted, so that the counters are met in order
-                    keys = np.sort(keys.astype(np.int32))
-                    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, int)
-                    dense[keys[at]] += np.diff(np.append(at, len(keys)))
-                else:
-                    held.append(keys)
-                    size += len(keys)
-                    if size > 4_000_000:
-                        yield sorted_out()
-                        held, size = [], 0
-        if dense is not None:
-            flat = np.flatnonzero(dense)
-            yield _emit(first, flat, dense[flat])
-        elif held:
-            yield sorted_out()
+                inner = mine.copy()
+                inner[start[1:] - 1] = False                # nothing follows END
+                follows = np.flatnonzero(inner)
+                keys = np.concatenate([(ids[mine] - first).astype(kind) * WIDE + before[mine],
+                                       (ids[follows] - first).astype(kind) * WIDE + (CLASSES + 1) + cls[follows + 1]])
+                if few:                     # sorted, so that the counters are met in order
+                    if size + len(keys) >= 1 << 31:
+                        flat = np.flatnonzero(held)
+                        yield _emit(first, flat, held[flat])
+                        held[:], size = 0, 0
+                    keys, n = tallied(keys)
+                    held[keys] += n
+                    size += int(n.sum())
+                    continue
+                while size + len(keys) >= HELD:
+                    held[size:], keys, size = keys[: HELD - size], keys[HELD - size:], 0
+                    yield _emit(first, *tallied(held))
+                held[size: size + len(keys)] = keys
+                size += len(keys)
+        if few:
+            flat = np.flatnonzero(held)
+            yield _emit(first, flat, held[flat])
+        elif size:
+            yield _emit(first, *tallied(held[:size]))
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows sorted by range: one row per range, equal keys summed."""
@@ -511,9 +528,8 @@ def score_documents(docs: DataFrame, limit: int = BROADCAST_WORDS, frequent_from
     def moves(batches, of):
         count = np.zeros(CLASSES * CLASSES, np.int64)
         for b in batches:
-            b = b[~b["held_out"].astype(bool)]
-            for lo in range(0, len(b), 1_000):
-                cls, before, _ = sequences(b.iloc[lo: lo + 1_000], of)
+            for texts in _parts(b[~b["held_out"].astype(bool)]):
+                cls, before, _ = sequences(texts, of)
                 count += np.bincount(before * CLASSES + cls, minlength=len(count))
         at = np.flatnonzero(count)
         yield pd.DataFrame({"at": at, "c": count[at]})
@@ -526,8 +542,7 @@ def score_documents(docs: DataFrame, limit: int = BROADCAST_WORDS, frequent_from
 
     def finish(batches, of):
         for b in batches:
-            for lo in range(0, len(b), 500):
-                part = b.iloc[lo: lo + 500]
+            for part in _parts(b):
                 cls, before, start = sequences(part, of)
                 n = part["n_tokens"].to_numpy(np.float64)
                 # A word's emission is its base score with its class's counts in place of all.
