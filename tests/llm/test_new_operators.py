@@ -197,6 +197,25 @@ def test_neighbours_odd_rows(spark):
     assert nn_descent.nearest(df.where("vec_id = 100"), df.where("vec_id = 100")).count() == 0
 
 
+def test_many_edges_are_sorted_in_parts(monkeypatch):
+    """Sorted in parts of whole owners, edges give the same lists in less room, also around a hub."""
+    rng = np.random.default_rng(4)
+    n = 1_000_000
+    owner = np.where(rng.random(n) < 0.1, 77, rng.integers(0, 20_000, n)).astype(np.int32)
+    ids = rng.integers(0, 3_000, n).astype(np.int32)
+    scores, fresh = np.sin(owner * 3_001.0 + ids).astype(np.float32), rng.random(n) < 0.5
+    monkeypatch.setattr(nn_descent, "SORTED", 10 * n, raising=False)
+    want = nn_descent.best_of(owner, ids, scores, fresh, 24)
+    monkeypatch.setattr(nn_descent, "SORTED", 60_000, raising=False)
+    tracemalloc.start()
+    got = nn_descent.best_of(owner, ids, scores, fresh, 24)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert all((a == b).all() and a.dtype == b.dtype for a, b in zip(want, got, strict=True))
+    print("peak MB", peak)
+    assert peak < 25
+
+
 def test_top_k_extra_columns_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(vector_topk, "QUERY_VALUES", 30)
     monkeypatch.setattr(vector_topk, "CANDIDATE_VALUES", 50)
