@@ -216,6 +216,38 @@ def test_many_edges_are_sorted_in_parts(monkeypatch):
     assert peak < 25
 
 
+def test_a_round_asks_only_for_vectors_it_pairs(spark, monkeypatch):
+    """A hub that 20 cells list asks for the REVERSE nearest of them, not for as many of each cell; settled lists ask for none."""
+    cells, each, size = 20, 30, nn_descent.CELL
+    edges = [(c * size + j, i, s) for c in range(1, cells + 1) for j in range(each)
+             for i, s in ((0, 0.5 + (j * cells + c) / 4096), (c * size + (j + 1) % each, 0.3), (c * size + (j + 2) % each, 0.2))]
+    edges = sorted([*edges, *((0, size + j, 0.1 + j / 1024) for j in range(3))])
+    owner, ids, scores = (np.array(c, t) for c, t in zip(zip(*edges), (np.int64, np.int64, np.float32)))
+    packs = nn_descent._packs(3, owner, ids, scores, np.ones(len(edges), bool))
+    found = spark.createDataFrame([(int(r[0]), int(r[1]), *(a.tolist() for a in r[2:])) for r in packs.itertuples(index=False)], nn_descent._PACK)
+    lists = nn_descent._merged(None, found)
+    lists = lists.withColumn("fresh", F.when(F.col("cell") == 3, F.transform("fresh", lambda x: F.lit(False))).otherwise(F.col("fresh"))).localCheckpoint()
+    every = sorted({int(i) for i in owner})
+    x = np.random.default_rng(2).standard_normal((len(every), 8)).astype(np.float32)
+    nodes = spark.createDataFrame([(i, bytearray(v.tobytes())) for i, v in zip(every, x)], "node long, vec binary")
+
+    sent, grouped = [], type(nodes.groupBy("node"))
+    cogroup = grouped.cogroup
+    monkeypatch.setattr(grouped, "cogroup", lambda self, other: sent.append(other._df) or cogroup(self, other))
+    got = {(int(o), int(i)) for r in nn_descent._joined(lists, nodes).collect() for o, i in zip(r.owners, r.ids)}
+
+    want, asked = set(), collections.defaultdict(set)
+    for u in every:
+        back = sorted((-s, o) for o, i, s in edges if i == u)[:nn_descent.REVERSE]
+        members = {i for o, i, _ in edges if o == u} | {o for _, o in back}
+        if u // size != 3:
+            want |= set(itertools.permutations(members, 2))
+            asked[u // size] |= members
+    assert got == want
+    assert {r.home: r["count"] for r in sent[0].groupBy("home").count().collect()} == {c: len(m) for c, m in asked.items()}
+    assert len(asked[0]) <= nn_descent.DEGREE + nn_descent.REVERSE and 3 not in asked
+
+
 def test_top_k_extra_columns_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(vector_topk, "QUERY_VALUES", 30)
     monkeypatch.setattr(vector_topk, "CANDIDATE_VALUES", 50)
