@@ -248,6 +248,68 @@ def test_a_round_asks_only_for_vectors_it_pairs(spark, monkeypatch):
     assert len(asked[0]) <= nn_descent.DEGREE + nn_descent.REVERSE and 3 not in asked
 
 
+def test_a_vector_goes_to_blocks_once_per_order(spark, monkeypatch):
+    """The vectors that meet others while the index is built grow as the table does, not with its cells."""
+    for name, value in dict(CELL=32, ORDERS=4, DEGREE=16, REVERSE=8, LEAF=16, START=6).items():
+        monkeypatch.setattr(nn_descent, name, value, raising=False)
+    sent, grouped = [], type(spark.range(1).groupBy("id"))
+    apply, cogroup = grouped.applyInPandas, grouped.cogroup
+    seen = lambda df: sent.append(df.count()) if "vec" in df.columns else None
+    monkeypatch.setattr(grouped, "applyInPandas", lambda self, *a: seen(self._df) or apply(self, *a))
+    monkeypatch.setattr(grouped, "cogroup", lambda self, other: seen(other._df) or cogroup(self, other))
+    for n in (100, 500):
+        rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.random.default_rng(n).standard_normal((n, 8)))]
+        index = nn_descent.build(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+        assert sum(sent) == 4 * n and index.nodes.count() == n
+        lists = index.graph.collect()
+        assert sorted(r.node for r in lists) == list(range(n)) and all(r.node not in r.ids for r in lists)
+        sent.clear()
+
+
+def test_blocks_hold_every_node_in_every_order(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "CELL", 40)
+    monkeypatch.setattr(nn_descent, "ORDERS", 3)
+    rows = [(i, [i % 2, i % 7, 0], bytearray(b"v")) for i in range(130)]       # one code for all in the last order
+    placed = nn_descent._blocks(spark.createDataFrame(rows, "node long, codes array<long>, vec binary"), 130).collect()
+    blocks = collections.defaultdict(list)
+    for r in placed:
+        blocks[r.block].append(r.node)
+    assert sorted(blocks) == list(range(12)) and all(32 <= len(b) <= 33 for b in blocks.values())
+    for turn in range(3):
+        assert sorted(i for b in range(4 * turn, 4 * turn + 4) for i in blocks[b]) == list(range(130))
+
+
+def test_descent_in_a_block(monkeypatch):
+    x = np.random.default_rng(8).standard_normal((900, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T
+    np.fill_diagonal(near, -np.inf)
+    want = np.argsort(-near, axis=1)[:, :nn_descent.START]
+    for most in (nn_descent.SORTED, 3_000):                    # pairs are cut to the best of them as they come, too
+        monkeypatch.setattr(nn_descent, "SORTED", most)
+        own, ids, score = nn_descent._descent(x, 1)
+        assert (own == np.repeat(np.arange(900), nn_descent.START)).all() and len(set(zip(own, ids))) == len(own)
+        assert (own != ids).all() and np.allclose(score, near[own, ids], atol=1e-5)
+        hit = sum(len(np.intersect1d(a, b)) for a, b in zip(want, ids.reshape(900, -1)))
+        assert hit >= 0.9 * want.size
+    for n in (1, 2, 5):                                        # fewer than a list holds
+        own, ids, _ = nn_descent._descent(x[:n], 1)
+        assert sorted(zip(own.tolist(), ids.tolist())) == sorted(itertools.permutations(range(n), 2))
+
+
+def test_rounds_across_cells(spark, monkeypatch):
+    for name, value in dict(CELL=64, ORDERS=2, DEGREE=24, REVERSE=12, LEAF=32, START=12, QUERY_BLOCK=16, ENTRIES=32, BEAM=64).items():
+        monkeypatch.setattr(nn_descent, name, value)
+    rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.random.default_rng(6).standard_normal((400, 10)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(r.vec_id, list(r.embedding)) for r in df.collect()]
+    want = _nearest(rows, lambda i: i % 20 == 0, 5)
+    got = collections.defaultdict(set)
+    for r in nn_descent.search(nn_descent.build(df, across=True), df.where("vec_id % 20 = 0"), 5).collect():
+        got[r.query_id].add(r.vec_id)
+    assert sum(len({i for _, i in want[q]} & got[q]) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_top_k_extra_columns_and_repeated_ids(spark, monkeypatch):
     monkeypatch.setattr(vector_topk, "QUERY_VALUES", 30)
     monkeypatch.setattr(vector_topk, "CANDIDATE_VALUES", 50)
