@@ -249,21 +249,23 @@ def test_a_round_asks_only_for_vectors_it_pairs(spark, monkeypatch):
 
 
 def test_a_vector_goes_to_blocks_once_per_order(spark, monkeypatch):
-    """The vectors that meet others while the index is built grow as the table does, not with its cells."""
-    for name, value in dict(CELL=32, ORDERS=4, DEGREE=16, REVERSE=8, LEAF=16, START=6).items():
-        monkeypatch.setattr(nn_descent, name, value, raising=False)
+    """The vectors that meet others while the index is built grow as the table does, not with its cells (2 and 4 here)."""
+    monkeypatch.setattr(nn_descent, "ORDERS", 4, raising=False)
     sent, grouped = [], type(spark.range(1).groupBy("id"))
     apply, cogroup = grouped.applyInPandas, grouped.cogroup
     seen = lambda df: sent.append(df.count()) if "vec" in df.columns else None
     monkeypatch.setattr(grouped, "applyInPandas", lambda self, *a: seen(self._df) or apply(self, *a))
     monkeypatch.setattr(grouped, "cogroup", lambda self, other: seen(other._df) or cogroup(self, other))
-    for n in (100, 500):
-        rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.random.default_rng(n).standard_normal((n, 8)))]
-        index = nn_descent.build(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
-        assert sum(sent) == 4 * n and index.nodes.count() == n
+    sums = []
+    for n in (4_500, 13_500):
+        rows = np.random.default_rng(n).standard_normal((n, 24)).tolist()
+        index = nn_descent.build(spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>"))
         lists = index.graph.collect()
         assert sorted(r.node for r in lists) == list(range(n)) and all(r.node not in r.ids for r in lists)
+        sums.append(sum(sent))
         sent.clear()
+    assert sums[1] == 3 * sums[0]
+    assert sums[0] == 4 * 4_500
 
 
 def test_blocks_hold_every_node_in_every_order(spark, monkeypatch):
@@ -297,7 +299,7 @@ def test_descent_in_a_block(monkeypatch):
         assert sorted(zip(own.tolist(), ids.tolist())) == sorted(itertools.permutations(range(n), 2))
 
 
-def test_rounds_across_cells(spark, monkeypatch):
+def test_rounds_over_the_whole_graph(spark, monkeypatch):
     for name, value in dict(CELL=64, ORDERS=2, DEGREE=24, REVERSE=12, LEAF=32, START=12, QUERY_BLOCK=16, ENTRIES=32, BEAM=64).items():
         monkeypatch.setattr(nn_descent, name, value)
     rows = [(i, [float(v) for v in x]) for i, x in enumerate(np.random.default_rng(6).standard_normal((400, 10)))]
