@@ -21,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetgrade.functions.fold import shuffled
 
 GRAM = 3
 BUCKETS = 1024
@@ -41,19 +42,19 @@ def asked_pieces(texts: DataFrame, keys: list[str], of: DataFrame) -> DataFrame:
     # Patterns shorter than a gram are their own piece, so texts are cut to the sizes their group needs.
     asked = of.groupBy(*keys, "_size").agg(F.collect_set(_bucket(F.col("_g"))).alias("_asked"))
     held = F.filter(_grams("_t", F.col("_size")), lambda g: F.array_contains(F.col("_asked"), _bucket(g)))
-    return texts.where(F.length("_t") > 0).join(asked, on=keys).select(*texts.columns, F.explode(held).alias("_g"))
+    return texts.where(F.length("_t") > 0).join(shuffled(asked), on=keys).select(*texts.columns, F.explode(held).alias("_g"))
 
 
 def containing_texts(texts: DataFrame, keys: list[str], patterns: DataFrame) -> DataFrame:
     """Rows of ``texts`` (keys, ``_t``, distinct; further columns are kept) that contain some ``_p`` of ``patterns`` (keys, ``_p``)."""
     pats = patterns.where(F.length("_p") > 0).distinct().withColumn("_size", F.least(F.length("_p"), F.lit(GRAM)))
     of = pats.select(*keys, "_p", "_size", F.size(_grams("_p", F.col("_size"))).alias("_all"), F.explode(_grams("_p", F.col("_size"))).alias("_g"))
-    pieces = asked_pieces(texts, keys, of)
+    pieces = asked_pieces(texts, keys, of).repartition(*keys, "_g")       # a group's pieces are spread
     spread = pieces.groupBy(*keys, "_g").agg(F.count(F.lit(1)).alias("_df"))
-    rarest = (of.join(spread, on=[*keys, "_g"]).groupBy(*keys, "_p", "_all")
+    rarest = (of.join(shuffled(spread), on=[*keys, "_g"]).groupBy(*keys, "_p", "_all")
               .agg(F.min(F.struct("_df", "_g")).alias("_r"), F.count(F.lit(1)).alias("_held"))
               .where(F.col("_held") == F.col("_all")).select(*keys, "_p", F.col("_r._g").alias("_g")))
-    return (pieces.join(rarest, on=[*keys, "_g"]).where(F.col("_t").contains(F.col("_p"))).select(*texts.columns).distinct())
+    return (pieces.join(shuffled(rarest), on=[*keys, "_g"]).where(F.col("_t").contains(F.col("_p"))).select(*texts.columns).distinct())
 
 
 def count_containing(left: DataFrame, keys: list[str], text_col: str, right: DataFrame, pattern_col: str,

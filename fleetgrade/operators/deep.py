@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from fleetgrade.config import AssessConfig
 from fleetgrade.functions.columns import count_if
-from fleetgrade.functions.fold import fold_by_key
+from fleetgrade.functions.fold import fold_by_key, shuffled
 from fleetgrade.operators import audit, billing, compute, jobs, queries
 from fleetgrade.session import cut_lineage
 from fleetgrade.sources.window import recent
@@ -172,7 +172,7 @@ def assessment_input(features: DataFrame, deep: DataFrame | None,
         # No deep scan: metric columns exist but are NULL, every source unavailable.
         return features.select("*", *[F.lit(None).cast(DEEP_TYPES[c]).alias(c) for c in DEEP_COLUMNS],
                                *[F.lit(by_table.get(f, False)).alias(f) for f in FLAGS])
-    joined = features.join(deep, on=WS, how="left")
+    joined = features.join(shuffled(deep), on=WS, how="left")
     return joined.select(
         *[c for c in joined.columns if c not in FLAGS],
         *[F.coalesce(F.col(f), F.lit(by_table.get(f, False))).alias(f) for f in FLAGS])
