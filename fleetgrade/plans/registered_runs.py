@@ -106,7 +106,7 @@ def cached_documents(spark, sf) -> DataFrame:
     """The fixture fleet's assessment as cached documents, written as a table."""
     a = assessed(spark, sf)
     return cut_lineage(json_cache.documents(inventory(spark, sf), a.inputs, deep_lists(spark, sf), a.scores,
-                                            store.flatten_calls(call_log(spark, sf)).withColumnRenamed("duration", "duration_seconds")), "documents")
+                                            store.flatten_calls(call_log(spark, sf)).withColumnRenamed("duration", "duration_seconds")), "documents", wide=True)
 
 
 @register("rescore_from_json_cache")

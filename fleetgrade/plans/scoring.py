@@ -15,6 +15,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetgrade.functions.fold import shuffled
 from fleetgrade.plans.catalog import PILLARS, rules as catalog_rules
 from fleetgrade.plans.rules import compile_branches
 
@@ -169,7 +170,7 @@ def assessment(scores: DataFrame, base: DataFrame | None = None) -> DataFrame:
         maturity(vmean).alias("maturity"),
     )
     if base is not None:
-        out = out.join(base.select(WS, "host", "cloud"), on=WS, how="left")
+        out = out.join(shuffled(base.select(WS, "host", "cloud")), on=WS, how="left")
     return out
 
 

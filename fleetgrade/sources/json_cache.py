@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fleetgrade.functions.fold import fold_by_key
+from fleetgrade.functions.fold import fold_by_key, shuffled
 from fleetgrade.functions.numbering import numbered_within
 from fleetgrade.operators.compute import ALWAYS_ON_HOURS
 from fleetgrade.operators.deep import DEEP_COLUMNS, DEEP_TYPES, FLAGS
@@ -144,7 +144,7 @@ def read(documents: DataFrame, catalog: DataFrame) -> Cache:
     docs = cut_lineage(documents.select(
         WS, "kind", part.cast("long").alias("part"), body("collected", COLLECTED).alias("c"), body("scored", SCORED).alias("s"), body("audit", AUDIT).alias("a"),
         F.when(F.col("kind") == "audit", F.col("body").rlike(r"^\s*\[")).otherwise(F.col("body").rlike(r"^\s*\{")).alias("form"),
-        F.is_valid_utf8("body").alias("utf8"), F.try_parse_json("body").isNotNull().alias("json")), "json-cache")
+        F.is_valid_utf8("body").alias("utf8"), F.try_parse_json("body").isNotNull().alias("json")), "json-cache", wide=True)
     fine = F.col("form") & F.col("utf8") & F.col("json")
     rejected = docs.where(~F.coalesce(fine, F.lit(False))).select(WS, "kind")
     docs = docs.where(fine)
@@ -166,11 +166,11 @@ def read(documents: DataFrame, catalog: DataFrame) -> Cache:
     unlisted = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(f"{at}.{n}").alias("all"), F.size(F.coalesce(f"{at}.{lst}", F.array())).alias("rows"))
                          for k, at, n, lst in _LISTED])
     ms = "GovernanceCollector.metastore_summary"
-    hosts = documents.select(WS).distinct().join(s.groupBy(WS).agg(F.max("workspace_host").alias("host")), WS, "left")
+    hosts = documents.select(WS).distinct().join(shuffled(s.groupBy(WS).agg(F.max("workspace_host").alias("host"))), WS, "left")
     stores = once.select(WS, F.coalesce(f"{ms}.name", "GovernanceCollector.metastore_name").alias("metastore_name"),
                       F.col(f"{ms}.owner").alias("metastore_owner"), F.col(f"{ms}.delta_sharing_scope").alias("delta_sharing_scope"))
     inventory = {
-        "workspaces": hosts.join(stores, WS, "left"), "clusters": clusters, "warehouses": warehouses, "jobs": jobs,
+        "workspaces": hosts.join(shuffled(stores), WS, "left"), "clusters": clusters, "warehouses": warehouses, "jobs": jobs,
         "pipelines": listed("OperationsCollector.pipelines").select(WS, "m.*"), "catalogs": catalogs,
         "scim_groups": listed("SecurityCollector.scim_groups").select(WS, F.col("m.displayName").alias("display_name"),
                                                                       F.col("m.externalId").alias("external_id")),
@@ -248,8 +248,10 @@ def documents(inventory: dict[str, DataFrame], inputs: DataFrame, lists: dict[st
         """The members of a list by part: spread by what they hold, about ``members`` to a part."""
         table, member = rows[name]
         held = F.xxhash64(*[c for c, kind in table.dtypes if "map<" not in kind])
-        return (table.join(sizes.select(WS, F.col(f"_{name}").alias("_parts")), WS)
-                .groupBy(WS, F.pmod(held, F.col("_parts")).alias("part")).agg(F.collect_list(member).alias(name)))
+        # Dealt out by part, as the join's partitions by workspace would do for a group by (workspace, part), too.
+        return (table.join(shuffled(sizes.select(WS, F.col(f"_{name}").alias("_parts"))), WS)
+                .withColumn("part", F.pmod(held, F.col("_parts"))).repartition(WS, "part")
+                .groupBy(WS, "part").agg(F.collect_list(member).alias(name)))
 
     once = [
         t["settings"].groupBy(WS).agg(F.map_from_entries(F.collect_list(F.struct("setting", "value"))).alias("security_settings")),
@@ -257,14 +259,14 @@ def documents(inventory: dict[str, DataFrame], inputs: DataFrame, lists: dict[st
     facts = cat.groupBy(WS).agg(F.collect_set("isolation_mode").alias("isolation_modes"), F.collect_set("owner").alias("owners"))
     wide = inputs
     for p in once:
-        wide = wide.join(p, WS, "left")
+        wide = wide.join(shuffled(p), WS, "left")
     said = [c for c in wide.columns if c != WS]
     parts = F.greatest(F.lit(1), *[F.col(f"_{name}") for name in rows])
-    wide = wide.join(facts, WS, "left").join(sizes, WS, "left").select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    wide = wide.join(shuffled(facts), WS, "left").join(shuffled(sizes), WS, "left").select("*", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
     first = lambda c: F.when(F.col("part") == 0, c)
     wide = wide.select(WS, "part", "isolation_modes", "owners", *[first(F.col(c)).alias(c) for c in said])
     for name in rows:
-        wide = wide.join(gathered(name), [WS, "part"], "left")
+        wide = wide.join(shuffled(gathered(name)), [WS, "part"], "left")
     n = lambda feature: F.col(f"{feature}_count")
     group = lambda name, *cols: F.struct(*cols).alias(name)
     text = lambda c: F.col(c).cast("string")
@@ -292,7 +294,7 @@ def documents(inventory: dict[str, DataFrame], inputs: DataFrame, lists: dict[st
     scored = F.to_json(F.struct(F.col("host").alias("workspace_host"), text("as_of").alias("assessment_date"),
                                 F.col("cloud").alias("cloud_provider"), "best_practice_scores"))
     whole = F.lit(0).cast("long").alias("part")
-    out = out.unionByName(inputs.select(WS, "host", "cloud").join(of_rules, WS, "left").select(WS, F.lit("scored").alias("kind"), whole, scored.alias("body")))
+    out = out.unionByName(inputs.select(WS, "host", "cloud").join(shuffled(of_rules), WS, "left").select(WS, F.lit("scored").alias("kind"), whole, scored.alias("body")))
     if calls is not None:
         entry = F.struct("seq", "command", "output", F.lit("").alias("timestamp"), F.col("duration_seconds").alias("duration"))
         start = F.col("_at") - F.col("_at") % entries

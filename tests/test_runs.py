@@ -285,3 +285,32 @@ def test_values_in_other_forms(spark):
     assert rows["b"]["num_workers"] is None and rows["b"]["autoscale"] is None and rows["b"]["auto_termination_minutes"] == 30
     assert [(r["field"], r["value"]) for r in inv.rejected_fields(p, "clusters", "clusters").collect()] == [("num_workers", '"many"')]
     assert [(r["kind"], r["n"]) for r in inv.unlisted_members(p).collect()] == [("cluster", 1)]
+
+
+def test_cached_documents_are_not_broadcast_by_estimate(spark):
+    """Lists, documents and pieces are far larger than the files below them make Spark believe."""
+    from fleetgrade.operators import deep
+    from fleetgrade.operators.features import workspace_features
+    from fleetgrade.plans.registered import inventory
+    from tests.test_plans import plan_of
+    a, kept = assessed(spark, SF001), {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10MB")           # Spark's default
+        spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+        docs = json_cache.documents(inventory(spark, SF001), a.inputs, {}, a.scores)
+        c = json_cache.read(docs, rule_catalog(spark))
+        inputs = deep.assessment_input(workspace_features(c.inventory), c.deep)
+        for df in (docs, inputs, scoring.assessment(a.scores, inputs)):
+            assert "BroadcastExchange" not in plan_of(df)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_tables_of_documents_have_small_row_groups(spark):
+    """A task reads some thousand rows of a row group at once, whatever they hold."""
+    import pyarrow.parquet as pq
+    from fleetgrade.session import cut_lineage
+    docs = spark.range(0, 1000, 1, 1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.sha2(F.concat_ws("-", "id", i), 256)), "").alias("body"))
+    files = cut_lineage(docs, "documents", wide=True).inputFiles()
+    assert all(pq.ParquetFile(f.removeprefix("file://")).metadata.num_row_groups >= 6 for f in files)
