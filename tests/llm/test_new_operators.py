@@ -646,3 +646,22 @@ def test_new_operators_on_odd_rows_and_empty_tables(spark, odd):  # noqa: F811
     assert {r.lang for r in got} == {"und"} and {r.phrase for r in got} <= {"x x", "x x x", "x x x x", "same text", "text same", "same text same",
                                                                           "text same text", "same text same text", "text same text same"}
     assert resampling.resample(odd, odd).count() == len(ODD)
+
+
+def test_neighbours_that_share_no_block_are_found(spark, monkeypatch):
+    """The operator's graph holds nodes that lie in one block in no order (3 blocks in each of 2 orders here)."""
+    monkeypatch.setattr(nn_descent, "ORDERS", 2)
+    monkeypatch.setattr(nn_descent, "search", lambda index, queries, k: index)
+    rows = np.random.default_rng(12).standard_normal((9_000, 16)).tolist()
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<float>")
+    index = nn_descent.nearest(df, df)
+    nodes = sorted((r.node, bytes(r.vec)) for r in index.nodes.collect())
+    x = np.frombuffer(b"".join(v for _, v in nodes), np.float32).reshape(len(nodes), -1)
+    lists = {r.node: set(r.ids) for r in index.graph.collect()}
+    hit = 0
+    for node in range(0, 9_000, 30):
+        near = x @ x[node]
+        near[node] = -np.inf
+        hit += len(lists[node] & set(np.argpartition(-near, 20)[:20].tolist()))
+    print("recall", hit / 6_000)
+    assert hit >= 0.9 * 6_000
