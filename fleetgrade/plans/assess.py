@@ -37,6 +37,8 @@ def assess(inventory: dict[str, DataFrame], operational: dict[str, DataFrame] |
            cfg: AssessConfig, materialize: bool = True) -> Assessment:
     feats = features.workspace_features(inventory, cfg.recent_runtime_regex)
     dm = deep.deep_metrics(operational, cfg, materialize=materialize) if operational else None
+    if materialize:     # each in a plan of its own: the driver plans all of a plan anew after each of its stages
+        feats, dm = cut_lineage(feats, "features"), dm if dm is None else cut_lineage(dm, "deep")
     inputs = deep.assessment_input(feats, dm, operational)
     if materialize:
         inputs = cut_lineage(inputs, "assessment_inputs")

@@ -113,7 +113,8 @@ def cached_documents(spark, sf) -> DataFrame:
 def _rescore_from_json_cache(spark, sf):
     """Cached documents read back as inventory and deep rows, featured and scored again."""
     cache = json_cache.read(cached_documents(spark, sf), rule_catalog(spark))
-    inputs = cut_lineage(deep.assessment_input(features.workspace_features(cache.inventory), cache.deep), "cache-inputs")
+    feats = cut_lineage(features.workspace_features(cache.inventory), "cache-features")
+    inputs = cut_lineage(deep.assessment_input(feats, cache.deep), "cache-inputs")
     return scoring.assessment(scoring.score_rules(inputs, as_of=CFG.as_of), inputs)
 
 

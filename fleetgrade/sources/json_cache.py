@@ -242,20 +242,23 @@ def documents(inventory: dict[str, DataFrame], inputs: DataFrame, lists: dict[st
         "catalogs": (cat, F.col("catalog_name")),
         "scim_groups": (t["scim_groups"], F.struct(F.col("display_name").alias("displayName"), F.col("external_id").alias("externalId"))),
         "service_principals": (t["service_principals"], F.struct(F.col("display_name").alias("displayName"), F.col("application_id").alias("applicationId")))}
-    sizes = fold_by_key([df.groupBy(WS).agg(F.ceil(F.count(F.lit(1)) / members).alias(f"_{name}")) for name, (df, _m) in rows.items()], WS)
+    # Lists are written one by one: in one plan with all that they come from, the driver holds hundreds of
+    # stages and plans the whole anew after each.
+    sizes = cut_lineage(fold_by_key([df.groupBy(WS).agg(F.ceil(F.count(F.lit(1)) / members).alias(f"_{name}")) for name, (df, _m) in rows.items()], WS), "document-sizes")
 
     def gathered(name: str) -> DataFrame:
         """The members of a list by part: spread by what they hold, about ``members`` to a part."""
         table, member = rows[name]
         held = F.xxhash64(*[c for c, kind in table.dtypes if "map<" not in kind])
         # Dealt out by part, as the join's partitions by workspace would do for a group by (workspace, part), too.
-        return (table.join(shuffled(sizes.select(WS, F.col(f"_{name}").alias("_parts"))), WS)
-                .withColumn("part", F.pmod(held, F.col("_parts"))).repartition(WS, "part")
-                .groupBy(WS, "part").agg(F.collect_list(member).alias(name)))
+        return cut_lineage(table.join(shuffled(sizes.select(WS, F.col(f"_{name}").alias("_parts"))), WS)
+                           .withColumn("part", F.pmod(held, F.col("_parts"))).repartition(WS, "part")
+                           .groupBy(WS, "part").agg(F.collect_list(member).alias(name)), "document-lists", wide=True)
 
     once = [
         t["settings"].groupBy(WS).agg(F.map_from_entries(F.collect_list(F.struct("setting", "value"))).alias("security_settings")),
-        *[df.groupBy(WS).agg(F.collect_list(F.struct(*[c for c in df.columns if c != WS])).alias(name)) for name, df in lists.items()]]
+        *[cut_lineage(df.groupBy(WS).agg(F.collect_list(F.struct(*[c for c in df.columns if c != WS])).alias(name)), "document-rows")
+          for name, df in lists.items()]]
     facts = cat.groupBy(WS).agg(F.collect_set("isolation_mode").alias("isolation_modes"), F.collect_set("owner").alias("owners"))
     wide = inputs
     for p in once:
